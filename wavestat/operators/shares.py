@@ -39,7 +39,8 @@ def weighted_share(df: DataFrame, items: Sequence[str], by: Sequence[str] = (),
     long = unpivot_items(df.select(*by, weight, *items), [*by, weight], items, item_col, value_col)
     long = long.filter(F.col(value_col).isNotNull())
     if value_label is not None:
-        long = long.withColumn(value_col, value_label(F.col(value_col)))
+        long = (long.withColumn(value_col, value_label(F.col(value_col)))
+                .filter(F.col(value_col).isNotNull()))
     agg = weighted_counts(long, [item_col, *by, value_col], weight)
     return share_within(agg, "weighted_n", [item_col, *by], share_col)
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavestat.plans import descriptive as D
-from wavestat.sources.respondents import respondents
+from wavestat.operators.design import flag_table
+from wavestat.sources.respondents import ADAPTER_SWING_BY_YEAR, respondents
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -37,7 +38,28 @@ def _on_resp(product: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+def _with_swing(product):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        swing = flag_table(spark, ADAPTER_SWING_BY_YEAR)
+        return round_doubles(product(respondents(spark, sf_dir), swing))
+    run.__doc__ = product.__doc__
+    run.__name__ = product.__name__
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "belief_share_by_item": _on_resp(D.belief_share_by_item),
+        "belief_share_by_party_year": _on_resp(D.belief_share_by_party_year),
+        "belief_share_by_party_pooled": _on_resp(D.belief_share_by_party_pooled),
+        "count_by_confidence": _on_resp(D.count_by_confidence),
+        "count_by_confidence_party": _on_resp(D.count_by_confidence_party),
+        "confidence_crosstab": _on_resp(D.confidence_crosstab),
+        "null_rate_by_item_year": _on_resp(D.null_rate_by_item_year),
+        "null_counts_by_item_year": _on_resp(D.null_counts_by_item_year),
+        "demographics_percent": _on_resp(D.demographics_percent),
+        "availability_matrix": _on_resp(D.availability_matrix),
+        "complete_case_by_wave": _on_resp(D.complete_case_by_wave),
+        "dummy_design": _with_swing(D.dummy_design),
+        "correlation_matrix": _on_resp(D.correlation_matrix),
     }

@@ -8,7 +8,7 @@ to 6 decimals on both sides.
 from __future__ import annotations
 
 from wavestat import study as S
-from wavestat.plans.sqltext import case_map, ident, q, r6, union_long
+from wavestat.plans.sqltext import case_in, case_map, ident, in_list, q, r6, union_long
 
 # The respondent adapter (same column rules as sources/respondents.py).
 RESPONDENTS_SQL = """
@@ -66,8 +66,238 @@ FROM sh"""
     return with_resp(body, ctes)
 
 
+def _party_label_sql(col: str = "party") -> str:
+    whens = " ".join(f"WHEN {col} = {q(k)} THEN {q(v)}" for k, v in S.PARTY_LABELS.items())
+    return f"(CASE WHEN {col} IS NULL THEN NULL {whens} ELSE {q(S.OTHER_MISSING)} END)"
+
+
+def _belief_by_party(where: str) -> str:
+    items = S.CORE_ITEMS
+    parties = list(S.PARTY_LABELS.values())
+    long = union_long("d", ["party_label", "weight"], items, "fraud_key", "value")
+    ctes = f"""d AS (SELECT *, {_party_label_sql()} AS party_label FROM resp WHERE {where}),
+long AS ({long}),
+lab AS (SELECT fraud_key, party_label, weight,
+               CASE WHEN value = 1 THEN 'Common' WHEN value = 0 THEN 'Not Common' END AS belief
+        FROM long WHERE value IS NOT NULL AND party_label IN {in_list(parties)}),
+agg AS (SELECT fraud_key, party_label, belief, coalesce(sum(weight), 0) AS weighted_n
+        FROM lab WHERE belief IS NOT NULL GROUP BY 1, 2, 3)"""
+    body = f"""SELECT {case_map('fraud_key', S.ITEM_LABELS)} AS fraud_type, party_label, belief,
+  {r6('weighted_n', 'weighted_n')},
+  {r6('weighted_n / sum(weighted_n) OVER (PARTITION BY fraud_key, party_label)', 'percentage')}
+FROM agg"""
+    return with_resp(body, ctes)
+
+
+def belief_share_by_party_year() -> str:
+    return _belief_by_party("year = 2024")
+
+
+def belief_share_by_party_pooled() -> str:
+    return _belief_by_party("year BETWEEN 2012 AND 2024 AND weight IS NOT NULL")
+
+
+def _sum_items(items) -> str:
+    return " + ".join(ident(c) for c in items)
+
+
+def _not_dk(col: str) -> str:
+    return " AND ".join(f"NOT coalesce(regexp_matches({col}, {q('(?i)' + p)}), false)"
+                        for p in S.DONT_KNOW_PATTERNS)
+
+
+def _conf_label(col: str) -> str:
+    return case_map(col, dict(zip(S.CONFIDENCE_LEVELS, S.CONFIDENCE_LABELS)))
+
+
+def count_by_confidence() -> str:
+    items = S.CORE_ITEMS
+    nn = " AND ".join(f"{ident(c)} IS NOT NULL" for c in ["year", *items, "confidence"])
+    ctes = f"""d AS (SELECT * FROM resp WHERE year >= 2012 AND {_not_dk('confidence')} AND {nn}),
+c AS (SELECT {_conf_label('confidence')} AS confidence, CAST({_sum_items(items)} AS INTEGER) AS fraud_count FROM d),
+agg AS (SELECT confidence, fraud_count, count(*) AS n FROM c GROUP BY 1, 2)"""
+    body = f"""SELECT confidence, fraud_count, n,
+  {r6('n / sum(n) OVER (PARTITION BY confidence)', 'prop')} FROM agg"""
+    return with_resp(body, ctes)
+
+
+def count_by_confidence_party() -> str:
+    items = S.CORE_ITEMS
+    nn = " AND ".join(f"{ident(c)} IS NOT NULL" for c in ["year", "party", *items, "confidence"])
+    title = "(upper(substr(party, 1, 1)) || lower(substr(party, 2)))"
+    ctes = f"""d AS (SELECT * FROM resp WHERE year >= 2012 AND {_not_dk('confidence')} AND {nn}),
+c AS (SELECT CASE WHEN {title} IN {in_list(S.PARTY_TITLE_LEVELS)} THEN {title} END AS party,
+             {_conf_label('confidence')} AS confidence,
+             CAST({_sum_items(items)} AS INTEGER) AS fraud_count FROM d),
+agg AS (SELECT party, confidence, fraud_count, count(*) AS n FROM c GROUP BY 1, 2, 3)"""
+    body = f"""SELECT party, confidence, fraud_count, n,
+  {r6('n / sum(n) OVER (PARTITION BY party, confidence)', 'prop')} FROM agg"""
+    return with_resp(body, ctes)
+
+
+def confidence_crosstab() -> str:
+    items = S.CORE_ITEMS
+    cnt = " + ".join(f"coalesce(CAST({ident(c)} = 1 AS INTEGER), 0)" for c in items)
+    nas = " + ".join(f"CAST({ident(c)} IS NULL AS INTEGER)" for c in items)
+    order = case_map("confidence", {lev: i for i, lev in enumerate(S.CONFIDENCE_LEVELS)})
+    ctes = f"""c AS (SELECT {cnt} AS fraud_count, {nas} AS fraud_any_na, confidence FROM resp),
+f AS (SELECT {_conf_label('confidence')} AS "Confidence", {order} AS confidence_order, fraud_count
+      FROM c WHERE fraud_any_na = 0 AND confidence IN {in_list(S.CONFIDENCE_LEVELS)})"""
+    counts = ", ".join(f'count(*) FILTER (WHERE fraud_count = {k}) AS "{k}"' for k in range(len(items) + 1))
+    body = f'SELECT "Confidence", confidence_order, {counts} FROM f GROUP BY 1, 2'
+    return with_resp(body, ctes)
+
+
+def _pct_tenths(count: str, total: str) -> str:
+    num = f"(({count}) * 1000)"
+    qq = f"({num} // ({total}))"
+    rr = f"({num} % ({total}))"
+    up = f"(CASE WHEN 2 * {rr} > ({total}) OR (2 * {rr} = ({total}) AND {qq} % 2 = 1) THEN 1 ELSE 0 END)"
+    t = f"({qq} + {up})"
+    return f"(CAST({t} // 10 AS VARCHAR) || '.' || CAST({t} % 10 AS VARCHAR) || '%')"
+
+
+def _null_long() -> str:
+    items = S.CORE_ITEMS
+    nn = ", ".join(f"count({ident(c)}) AS {ident('nn__' + c)}" for c in items)
+    parts = [f"SELECT year, total, {q(c)} AS item, {ident('nn__' + c)} AS non_null FROM agg" for c in items]
+    return f"""agg AS (SELECT year, count(*) AS total, {nn} FROM resp GROUP BY year),
+long AS ({' UNION ALL '.join(parts)})"""
+
+
+def null_rate_by_item_year() -> str:
+    ctes = _null_long() + f""",
+l2 AS (SELECT year, {case_map('item', S.ITEM_LABELS)} AS "Question",
+       format('{{:,}}', total - non_null) || ' (' || {_pct_tenths('total - non_null', 'total')} || ')' AS combined_val
+       FROM long)"""
+    cols = ", ".join(f'max(CASE WHEN year = {y} THEN combined_val END) AS "{y}"' for y in S.SURVEY_YEARS)
+    order = case_map('"Question"', {lab: i for i, lab in enumerate(S.TABLE_ITEM_ORDER)})
+    body = f'SELECT "Question", {cols}, {order} AS question_order FROM l2 GROUP BY "Question"'
+    return with_resp(body, ctes)
+
+
+def null_counts_by_item_year() -> str:
+    body = f"""SELECT year, {case_map('item', S.ITEM_LABELS)} AS "Question", total,
+  total - non_null AS na_count, {r6('(total - non_null) / total', 'na_prop')} FROM long"""
+    return with_resp(body, _null_long())
+
+
+def demographics_percent() -> str:
+    def rec(col, mapping):
+        return case_in(f"upper(CAST({col} AS VARCHAR))", mapping)
+    age = "(CAST(year AS DOUBLE) - TRY_CAST(CAST(birth_year AS VARCHAR) AS DOUBLE))"
+    bins = " ".join(f"WHEN {age} >= {lo} AND {age} <= {hi} THEN {q(lab)}" for lo, hi, lab in S.AGE_BINS_TABLE)
+    bins += f" WHEN {age} >= {S.AGE_TABLE_TOP[0]} THEN {q(S.AGE_TABLE_TOP[1])}"
+    cols = [c for _, c, _ in S.DEMO_SECTIONS]
+    ctes = f"""d AS (SELECT TRY_CAST(CAST(weight AS VARCHAR) AS DOUBLE) AS weight,
+       CASE {bins} ELSE NULL END AS age_group,
+       {rec('gender', S.DEMO_GENDER)} AS gender_clean,
+       {rec('education', S.DEMO_EDUCATION)} AS educ_clean,
+       {rec('party', S.DEMO_PARTY)} AS party_clean,
+       {rec('ideology', S.DEMO_IDEOLOGY)} AS ideo_clean FROM resp),
+long AS ({union_long('d', ['weight'], cols, 'variable', 'feature')}),
+agg AS (SELECT variable, feature, count(*) AS n_unweighted, coalesce(sum(weight), 0) AS n_weighted
+        FROM long WHERE feature IS NOT NULL GROUP BY 1, 2)"""
+    section = case_map("variable", {c: s for s, c, _ in S.DEMO_SECTIONS})
+    sorder = case_map("variable", {c: i for i, (_, c, _) in enumerate(S.DEMO_SECTIONS)})
+    lorder = " ".join(f"WHEN variable = {q(c)} AND feature = {q(lev)} THEN {li}"
+                      for _, c, levels in S.DEMO_SECTIONS for li, lev in enumerate(levels))
+    body = f"""SELECT {section} AS section, feature, n_unweighted, {r6('n_weighted', 'n_weighted')},
+  {r6('100.0 * n_unweighted / sum(n_unweighted) OVER (PARTITION BY variable)', 'unweighted_pct')},
+  {r6('100.0 * n_weighted / sum(n_weighted) OVER (PARTITION BY variable)', 'weighted_pct')},
+  {sorder} AS section_order, (CASE {lorder} ELSE NULL END) AS level_order
+FROM agg"""
+    return with_resp(body, ctes)
+
+
+def availability_matrix() -> str:
+    items = S.FRAUD_ITEMS
+    cnt = ", ".join(f"count({ident(c)}) AS {ident(c)}" for c in items)
+    ctes = f"""py AS (SELECT year, {cnt} FROM resp GROUP BY year),
+long AS ({union_long('py', ['year'], items, 'item', 'n_answers')})"""
+    mark = q(S.CHECK_MARK)
+    cols = ", ".join(
+        f"CASE WHEN coalesce(bool_or(CASE WHEN year = {y} THEN n_answers > 0 END), false) "
+        f"THEN {mark} ELSE '' END AS {ident(str(y))}" for y in S.SURVEY_YEARS)
+    body = f"SELECT item, {case_map('item', S.SHARE_LABELS)} AS question, {cols} FROM long GROUP BY item"
+    return with_resp(body, ctes)
+
+
+def _all_nn(cols) -> str:
+    return "(" + " AND ".join(f"{ident(c)} IS NOT NULL" for c in cols) + ")"
+
+
+def complete_case_by_wave() -> str:
+    cols = ["caseid", "year", "weight", *S.CORE_ITEMS, "education", "race", "party"]
+    body = f"""SELECT {', '.join(ident(c) for c in cols)} FROM resp
+WHERE CASE WHEN year = 2008 THEN {_all_nn(S.COMPLETE_CASE_2008)} ELSE {_all_nn(S.COMPLETE_CASE_FULL)} END"""
+    return with_resp(body)
+
+
+def swing_values_sql(sets_by_year) -> str:
+    rows = ", ".join(f"({y}, {q(s)})" for y, ss in sets_by_year.items() for s in ss)
+    return f"SELECT DISTINCT * FROM (VALUES {rows}) t(year, state)"
+
+
+def _dummy_sql(name, col, values, form) -> str:
+    if form == "eq":
+        return f"CAST({ident(col)} = {q(values[0])} AS DOUBLE) AS {ident(name)}"
+    return f"CAST(coalesce({ident(col)} IN {in_list(values)}, false) AS DOUBLE) AS {ident(name)}"
+
+
+def dummy_design() -> str:
+    from wavestat.sources.respondents import ADAPTER_SWING_BY_YEAR
+    dummies = ", ".join(_dummy_sql(*d) for d in S.DEMOGRAPHIC_DUMMIES)
+    ctes = f"""sw AS ({swing_values_sql(ADAPTER_SWING_BY_YEAR)}),
+d AS (SELECT r.*, CASE WHEN s.year IS NOT NULL THEN 1.0 ELSE 0.0 END AS swing_state
+      FROM resp r LEFT JOIN sw s ON r.year = s.year AND r.state = s.state)"""
+    body = f"""SELECT caseid, year, {dummies},
+  CAST(party = 'REPUBLICAN' AS DOUBLE) AS rep_party, CAST(party = 'DEMOCRAT' AS DOUBLE) AS dem_party,
+  CAST(swing_state AS DOUBLE) AS swing_state FROM d"""
+    return with_resp(body, ctes)
+
+
+def correlation_matrix() -> str:
+    cols = S.FRAUD_ITEMS + ["birth_year"]
+    names = []
+    for c in cols:
+        new = c
+        for old, lab in S.CORRELATION_RENAMES:
+            new = new.replace(old, lab)
+        names.append(new)
+    aggs = []
+    for i in range(len(cols)):
+        for j in range(i, len(cols)):
+            x, y = f"CAST({ident(cols[i])} AS DOUBLE)", f"CAST({ident(cols[j])} AS DOUBLE)"
+            both = f"{x} IS NOT NULL AND {y} IS NOT NULL"
+            k = f"p{i}_{j}"
+            aggs += [f"covar_samp(CASE WHEN {both} THEN {x} END, CASE WHEN {both} THEN {y} END) AS {k}_c",
+                     f"var_samp(CASE WHEN {both} THEN {x} END) AS {k}_vx",
+                     f"var_samp(CASE WHEN {both} THEN {y} END) AS {k}_vy"]
+    parts = []
+    for i in range(len(cols)):
+        for j in range(len(cols)):
+            k = f"p{min(i, j)}_{max(i, j)}"
+            r = f"CASE WHEN {k}_vx * {k}_vy > 0 THEN {k}_c / sqrt({k}_vx * {k}_vy) END"
+            parts.append(f"SELECT {q(names[i])} AS row_var, {q(names[j])} AS col_var, {r6(r, 'r')} FROM m")
+    ctes = f"m AS (SELECT {', '.join(aggs)} FROM resp)"
+    return with_resp("\nUNION ALL\n".join(parts), ctes)
+
+
 ORACLES = {
     "belief_share_by_item": belief_share_by_item,
+    "belief_share_by_party_year": belief_share_by_party_year,
+    "belief_share_by_party_pooled": belief_share_by_party_pooled,
+    "count_by_confidence": count_by_confidence,
+    "count_by_confidence_party": count_by_confidence_party,
+    "confidence_crosstab": confidence_crosstab,
+    "null_rate_by_item_year": null_rate_by_item_year,
+    "null_counts_by_item_year": null_counts_by_item_year,
+    "demographics_percent": demographics_percent,
+    "availability_matrix": availability_matrix,
+    "complete_case_by_wave": complete_case_by_wave,
+    "dummy_design": dummy_design,
+    "correlation_matrix": correlation_matrix,
 }
 
 

@@ -94,3 +94,17 @@ def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.upper("n_name").alias("state"),
         ideology.alias("ideology"),
     )
+
+
+# FIXED VALUES for the adapter view: its states are NATION_0..NATION_24, so the
+# study's swing sets (US state names) match nobody.  The test configuration
+# uses these per-year sets instead.
+ADAPTER_SWING_BY_YEAR = {
+    2008: ["NATION_1", "NATION_3", "NATION_7"],
+    2012: ["NATION_1", "NATION_3", "NATION_7", "NATION_12"],
+    2014: ["NATION_2", "NATION_3", "NATION_7"],
+    2016: ["NATION_3", "NATION_9", "NATION_14", "NATION_20"],
+    2020: ["NATION_1", "NATION_7", "NATION_18"],
+    2022: ["NATION_1", "NATION_7", "NATION_18", "NATION_21"],
+    2024: ["NATION_5", "NATION_7", "NATION_11"],
+}
