@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavestat.plans import descriptive as D
+from wavestat.plans import estimates as X
 from wavestat.operators.design import flag_table
 from wavestat.sources.respondents import ADAPTER_SWING_BY_YEAR, respondents
 
@@ -62,4 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "complete_case_by_wave": _on_resp(D.complete_case_by_wave),
         "dummy_design": _with_swing(D.dummy_design),
         "correlation_matrix": _on_resp(D.correlation_matrix),
+        "domain_mean_ci": _on_resp(X.party_trend),
+        "swing_effect": _with_swing(X.swing_effect),
+        "effect_trend": _with_swing(lambda resp, swing: X.effect_trend(X.swing_effect(resp, swing))),
     }

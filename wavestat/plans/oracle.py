@@ -284,6 +284,78 @@ def correlation_matrix() -> str:
     return with_resp("\nUNION ALL\n".join(parts), ctes)
 
 
+def domain_mean_ci() -> str:
+    items = S.CORE_ITEMS
+    out = "not_confident_vote_counted"
+    conf = "upper(trim(CAST(confidence AS VARCHAR)))"
+    ctes = f"""d AS (SELECT *, CASE WHEN {conf} IN {in_list(S.NOT_CONFIDENT)} THEN 1.0
+                           WHEN {conf} IN {in_list(S.CONFIDENT)} THEN 0.0 END AS {out},
+                CASE party WHEN 'DEMOCRAT' THEN 'Democrat' WHEN 'REPUBLICAN' THEN 'Republican' END AS party_label
+         FROM resp WHERE year IN {in_list(S.SURVEY_YEARS)} AND party IN ('DEMOCRAT', 'REPUBLICAN')),
+long AS ({union_long('d', ['year', 'party_label', 'weight'], items + [out], 'fraud_type', 'y', 'DOUBLE')}),
+l2 AS (SELECT * FROM long WHERE NOT (year = 2008 AND fraud_type IN {in_list(S.ITEMS_NOT_IN_2008)})),
+agg AS (SELECT year, fraud_type, party_label, count(*) AS n_rows, count(y) AS n_obs,
+               sum(CASE WHEN y IS NOT NULL THEN weight END) AS sw, sum(weight * y) AS swy,
+               sum(CASE WHEN y IS NOT NULL THEN weight * weight END) AS sw2,
+               sum(weight * weight * y) AS sw2y, sum(weight * weight * y * y) AS sw2yy
+        FROM l2 GROUP BY 1, 2, 3),
+e AS (SELECT *, sum(n_rows) OVER (PARTITION BY year, fraud_type) AS n, swy / sw AS m FROM agg WHERE n_obs > 0),
+e2 AS (SELECT *, sqrt(n / (n - 1) * greatest(sw2yy - 2 * m * sw2y + m * m * sw2, 0) / (sw * sw)) AS se FROM e)"""
+    lo = "greatest(0, m - 1.96 * se)"
+    hi = "least(1, m + 1.96 * se)"
+    body = f"""SELECT year, fraud_type, {case_map('fraud_type', S.ITEM_LABELS)} AS fraud_label, party_label,
+  {r6('m', 'proportion')}, {r6('se', 'std_error')}, {r6(lo, 'ci_lower')}, {r6(hi, 'ci_upper')},
+  {r6('m * 100', 'percentage')}, {r6(lo + ' * 100', 'ci_lower_pct')}, {r6(hi + ' * 100', 'ci_upper_pct')},
+  n, n_obs FROM e2"""
+    return with_resp(body, ctes)
+
+
+def _swing_effect_ctes() -> str:
+    from wavestat.sources.respondents import ADAPTER_SWING_BY_YEAR
+    items = S.CORE_ITEMS
+    sums = []
+    for g in (0, 1):
+        wg = f"CASE WHEN s = {g} THEN weight END"
+        sums += [f"count(*) FILTER (WHERE s = {g}) AS n{g}", f"sum({wg}) AS sw{g}", f"sum({wg} * y) AS swy{g}",
+                 f"sum({wg} * {wg}) AS sw2{g}", f"sum({wg} * {wg} * y) AS sw2y{g}",
+                 f"sum({wg} * {wg} * y * y) AS sw2yy{g}"]
+    return f"""sw AS ({swing_values_sql(ADAPTER_SWING_BY_YEAR)}),
+d AS (SELECT r.*, CASE WHEN sw.year IS NOT NULL THEN 1.0 ELSE 0.0 END AS s
+      FROM resp r LEFT JOIN sw ON r.year = sw.year AND r.state = sw.state),
+long AS ({union_long('d', ['year', 's', 'weight'], items, 'item', 'y', 'DOUBLE')}),
+agg AS (SELECT year, item, {', '.join(sums)} FROM long WHERE y IS NOT NULL GROUP BY 1, 2),
+a1 AS (SELECT *, CAST(n0 + n1 AS DOUBLE) AS n, swy0 / sw0 AS p0, swy1 / sw1 AS p1 FROM agg WHERE n0 > 0 AND n1 > 0),
+a2 AS (SELECT *, p0 * (1 - p0) AS v0, p1 * (1 - p1) AS v1 FROM a1),
+a3 AS (SELECT *, ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)) AS beta,
+              n / (n - 1) * greatest(sw2yy0 - 2 * p0 * sw2y0 + p0 * p0 * sw20, 0) / ((sw0 * v0) * (sw0 * v0)) AS ve0,
+              n / (n - 1) * greatest(sw2yy1 - 2 * p1 * sw2y1 + p1 * p1 * sw21, 0) / ((sw1 * v1) * (sw1 * v1)) AS ve1,
+              (n0 * v0 + n1 * v1) / n AS m
+       FROM a2 WHERE v0 > 0 AND v1 > 0),
+a4 AS (SELECT *, beta * m AS est,
+              sqrt(power(-m + beta * (n0 / n) * v0 * (1 - 2 * p0), 2) * ve0
+                   + power(m + beta * (n1 / n) * v1 * (1 - 2 * p1), 2) * ve1) AS se
+       FROM a3)"""
+
+
+def swing_effect() -> str:
+    body = f"""SELECT year, item, {case_map('item', S.EFFECT_LABELS)} AS fraud_label, {q(S.SWING_GROUP)} AS "group",
+  'swing_states' AS term, {r6('est', 'estimate')}, {r6('se', 'std_error')},
+  {r6('est - 1.96 * se', 'ci_lower')}, {r6('est + 1.96 * se', 'ci_upper')},
+  {r6('beta', 'beta')}, {r6('sqrt(ve0 + ve1)', 'beta_se')}, {r6('p0', 'p0')}, {r6('p1', 'p1')},
+  CAST(n AS BIGINT) AS n, n0, n1,
+  CASE WHEN least(n0, n1) < 5 THEN 'small_cell' ELSE 'ok' END AS status
+FROM a4 WHERE est IS NOT NULL AND se IS NOT NULL"""
+    return with_resp(body, _swing_effect_ctes())
+
+
+def effect_trend() -> str:
+    idx = case_map("year", {y: i + 1 for i, y in enumerate(S.SURVEY_YEARS)})
+    body = f"""SELECT item, 'swing_states' AS term, {r6(f'regr_slope(est, {idx})', 'slope')},
+  {r6(f'regr_intercept(est, {idx})', 'intercept')}, regr_count(est, {idx}) AS n_points
+FROM a4 WHERE est IS NOT NULL AND se IS NOT NULL GROUP BY item"""
+    return with_resp(body, _swing_effect_ctes())
+
+
 ORACLES = {
     "belief_share_by_item": belief_share_by_item,
     "belief_share_by_party_year": belief_share_by_party_year,
@@ -298,6 +370,9 @@ ORACLES = {
     "complete_case_by_wave": complete_case_by_wave,
     "dummy_design": dummy_design,
     "correlation_matrix": correlation_matrix,
+    "domain_mean_ci": domain_mean_ci,
+    "swing_effect": swing_effect,
+    "effect_trend": effect_trend,
 }
 
 
