@@ -66,4 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "domain_mean_ci": _on_resp(X.party_trend),
         "swing_effect": _with_swing(X.swing_effect),
         "effect_trend": _with_swing(lambda resp, swing: X.effect_trend(X.swing_effect(resp, swing))),
+        "party_effects": _with_swing(X.party_effects),
+        "party_effect_trend": _with_swing(X.party_effect_trend),
+        "logit_coefficients": _on_resp(X.logit_coefficients),
+        "logit_tables_wide": _on_resp(X.logit_tables_wide),
     }

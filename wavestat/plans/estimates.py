@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from wavestat import study as S
 from wavestat.functions import clip, eq_dummy, in_set, lookup
 from wavestat.operators.contrast import binary_contrast, linear_trend
-from wavestat.operators.design import add_set_flag
+from wavestat.operators.design import add_dummies, add_set_flag, complete_case_by_key
 from wavestat.operators.domain import domain_mean
+from wavestat.operators.glm import fit_glm
 
 Z95 = 1.96
 
@@ -83,3 +84,122 @@ def effect_trend(effects: DataFrame, keys=("item", "term"), years=S.SURVEY_YEARS
     """
     return linear_trend(effects.withColumn("year_index", year_index(years)), list(keys),
                         "year_index", "estimate")
+
+
+# ----------------------------------------------------------------------------
+# Party effects (logit on party dummies + swing flag, marginal effects)
+# ----------------------------------------------------------------------------
+
+def party_effects(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
+                  labels=S.EFFECT_LABELS) -> DataFrame:
+    """Average marginal effect of Republican / Democrat (vs Independent) on
+    each belief, per year, from a survey-weighted logit that also controls for
+    swing-state residence.  All (year, item) models are fitted together.
+
+    Model rows: non-NULL belief; rows without a party stay in the design
+    (n) but not in the fit.
+    Output: year, item, fraud_label, term, party, estimate, std_error,
+    ci_lower, ci_upper, n_design, n_fit, status.
+    """
+    df = resp.select("year", "state", "party", "weight", *items).withColumns({
+        "rep_party": eq_dummy("party", "REPUBLICAN"),
+        "dem_party": eq_dummy("party", "DEMOCRAT")})
+    df = add_set_flag(df, swing, ["year", "state"], "swing_state")
+    long = (df.unpivot(["year", "weight", "rep_party", "dem_party", "swing_state"], list(items),
+                       "item", "y")
+            .filter(F.col("y").isNotNull()))
+    fit = fit_glm(long, ["year", "item"], "y", ["rep_party", "dem_party", "swing_state"])
+    me = fit.marginal_effects(resp.sparkSession, list(S.PARTY_EFFECT_TERMS))
+    me = me.filter(F.col("estimate").isNotNull() & F.col("std_error").isNotNull())
+    return me.select(
+        "year", "item", lookup("item", labels).alias("fraud_label"), "term",
+        lookup("term", S.PARTY_EFFECT_TERMS).alias("party"), "estimate", "std_error",
+        (F.col("estimate") - F.lit(Z95) * F.col("std_error")).alias("ci_lower"),
+        (F.col("estimate") + F.lit(Z95) * F.col("std_error")).alias("ci_upper"),
+        "n_design", "n_fit", "status")
+
+
+def party_effect_trend(resp: DataFrame, swing: DataFrame) -> DataFrame:
+    """Trend line of the party effects over the survey-year index, per item
+    and party.  Output: item, term, slope, intercept, n_points."""
+    return effect_trend(party_effects(resp, swing), keys=("item", "term"))
+
+
+# ----------------------------------------------------------------------------
+# Demographic logits 2012-2024 and their coefficient tables
+# ----------------------------------------------------------------------------
+
+def demographic_design(resp: DataFrame, years=None) -> DataFrame:
+    """Complete-case rule by wave (2008: three items) and the demographic dummies."""
+    df = resp
+    if years is not None:
+        df = df.filter(in_set("year", years))
+    df = complete_case_by_key(df, "year", {2008: S.COMPLETE_CASE_2008}, S.COMPLETE_CASE_FULL)
+    return add_dummies(df, S.DEMOGRAPHIC_DUMMIES)
+
+
+def demographic_logits(resp: DataFrame, years=S.DEMOGRAPHIC_LOGIT_YEARS, items=S.CORE_ITEMS,
+                       predictors=S.DEMOGRAPHIC_PREDICTORS):
+    """Survey-weighted logit of each item on the demographic predictors, per
+    year; returns the ``GlmFit`` (all year x item models in one batch)."""
+    df = demographic_design(resp, years)
+    long = df.select("year", "weight", *predictors, *items).unpivot(
+        ["year", "weight", *predictors], list(items), "item", "y")
+    return fit_glm(long, ["year", "item"], "y", list(predictors))
+
+
+def coefficient_table(coefs: DataFrame, term_labels: dict, model_col: str, model_labels: dict | None = None,
+                      digits: int = 3) -> DataFrame:
+    """Coefficient rows kept for labelled terms, in label-dictionary order, with
+    half-even rounding.  Output: model keys, model, term, label, term_order,
+    Estimate, Std_Error, p_value (all rounded)."""
+    order = {t: i for i, t in enumerate(term_labels)}
+    out = coefs.filter(in_set("term", list(term_labels)))
+    model = lookup(model_col, model_labels) if model_labels else F.col(model_col)
+    return out.select(
+        *[c for c in coefs.columns if c not in (
+            "term", "term_index", "estimate", "std_error", "statistic", "p_value", "aliased",
+            "n_design", "n_fit", "df_resid", "iterations", "status", model_col)],
+        model.alias("model"), "term", lookup("term", term_labels).alias("label"),
+        lookup("term", order).alias("term_order"),
+        F.bround("estimate", digits).alias("Estimate"),
+        F.bround("std_error", digits).alias("Std_Error"),
+        F.bround("p_value", digits).alias("p_value"),
+        "status")
+
+
+def wide_by_model(table: DataFrame, keys, models, value_cols=("Estimate", "Std_Error"),
+                  sep: str = "__") -> DataFrame:
+    """Long coefficient table -> one column per (model, value): ``{model}__{value}``."""
+    aggs = []
+    for mdl in models:
+        for v in value_cols:
+            aggs.append(F.first(F.when(F.col("model") == F.lit(mdl), F.col(v)), ignorenulls=True)
+                        .alias(f"{mdl}{sep}{v}"))
+    return table.groupBy(*keys).agg(*aggs)
+
+
+def logit_coefficients(resp: DataFrame) -> DataFrame:
+    """Long coefficient table of the 2012-2024 demographic logits.
+
+    Output: year, model (item label), term, label, term_order, Estimate,
+    Std_Error, p_value, status.
+    """
+    fit = demographic_logits(resp)
+    coefs = fit.coefficients(resp.sparkSession)
+    return coefficient_table(coefs, S.DEMOGRAPHIC_TERM_LABELS, "item", S.ITEM_LABELS)
+
+
+def logit_tables_wide(resp: DataFrame, items=S.CORE_ITEMS) -> DataFrame:
+    """Coefficient tables wide by outcome: per year and term,
+    ``{outcome}__Estimate`` and ``{outcome}__Std_Error`` (printed as two
+    halves: first ceil(k/2) outcomes, then the rest -- see ``split_halves``)."""
+    long = logit_coefficients(resp)
+    labels = [S.ITEM_LABELS[i] for i in items]
+    return wide_by_model(long, ["year", "label", "term_order"], labels)
+
+
+def split_halves(models):
+    """The two printed halves of an outcome list: first ceil(k/2), then the rest."""
+    half = (len(models) + 1) // 2
+    return list(models[:half]), list(models[half:])
