@@ -70,4 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "party_effect_trend": _with_swing(X.party_effect_trend),
         "logit_coefficients": _on_resp(X.logit_coefficients),
         "logit_tables_wide": _on_resp(X.logit_tables_wide),
+        "response_patterns": _on_resp(X.irt_response_patterns),
+        "irt_item_parameters": _on_resp(X.irt_item_parameters),
+        "irt_scores": _on_resp(X.irt_scores),
+        "linear_regression": _on_resp(X.irt_regression),
+        "pca_loadings": _on_resp(X.pca_loadings),
+        "pca_scores": _on_resp(X.pca_scores),
     }

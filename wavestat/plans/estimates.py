@@ -12,6 +12,10 @@ from wavestat.operators.contrast import binary_contrast, linear_trend
 from wavestat.operators.design import add_dummies, add_set_flag, complete_case_by_key
 from wavestat.operators.domain import domain_mean
 from wavestat.operators.glm import fit_glm
+from wavestat.operators.irt import attach_scores, fit_2pl, item_parameters, pattern_scores, response_patterns
+from wavestat.operators.multivar import pca_fit
+from wavestat.operators.multivar import pca_loadings as multivar_loadings
+from wavestat.operators.multivar import pca_scores as multivar_scores
 
 Z95 = 1.96
 
@@ -203,3 +207,82 @@ def split_halves(models):
     """The two printed halves of an outcome list: first ceil(k/2), then the rest."""
     half = (len(models) + 1) // 2
     return list(models[:half]), list(models[half:])
+
+
+# ----------------------------------------------------------------------------
+# Belief score (2PL IRT) and its weighted linear regression
+# ----------------------------------------------------------------------------
+
+def irt_design(resp: DataFrame, year: int = 2024) -> DataFrame:
+    """Rows of one year after the complete-case rule, with the demographic dummies."""
+    return demographic_design(resp.filter(F.col("year") == F.lit(year)))
+
+
+def irt_response_patterns(resp: DataFrame, year: int = 2024, items=S.CORE_ITEMS) -> DataFrame:
+    """Answer patterns over the core items (complete-case rows of one year)
+    and their counts.  Output: the items, n."""
+    return response_patterns(irt_design(resp, year).select(*items), items)
+
+
+def _irt(resp: DataFrame, year: int, items):
+    df = irt_design(resp, year)
+    fit = fit_2pl(df.select(*items), items)
+    return df, fit
+
+
+def irt_item_parameters(resp: DataFrame, year: int = 2024, items=S.CORE_ITEMS) -> DataFrame:
+    """2PL slope / intercept / difficulty per item.  Output: item, a, d, b."""
+    _, fit = _irt(resp, year, items)
+    return item_parameters(resp.sparkSession, fit)
+
+
+def irt_scores(resp: DataFrame, year: int = 2024, items=S.CORE_ITEMS) -> DataFrame:
+    """EAP belief score per respondent (pattern scores joined back to rows).
+
+    Output: caseid, year, fraud_score."""
+    df, fit = _irt(resp, year, items)
+    scores = pattern_scores(resp.sparkSession, fit, "fraud_score")
+    return attach_scores(df.select("caseid", "year", *items), scores, items, "fraud_score") \
+        .select("caseid", "year", "fraud_score")
+
+
+def irt_regression(resp: DataFrame, year: int = 2024, items=S.CORE_ITEMS,
+                   predictors=S.DEMOGRAPHIC_PREDICTORS) -> DataFrame:
+    """Survey-weighted linear regression of the 2PL belief score on the
+    demographic predictors (design SE, t-based p-values).
+
+    Output: label, term, term_order, Estimate, Std_Error, p_value (rounded to
+    3 decimals, half-even), status.
+    """
+    df, fit = _irt(resp, year, items)
+    scores = pattern_scores(resp.sparkSession, fit, "fraud_score")
+    scored = attach_scores(df, scores, items, "fraud_score")
+    reg = fit_glm(scored.select("year", "weight", "fraud_score", *predictors), ["year"], "fraud_score",
+                  list(predictors), family="gaussian")
+    table = coefficient_table(reg.coefficients(resp.sparkSession), S.DEMOGRAPHIC_TERM_LABELS, "year")
+    return table.select("label", "term", "term_order", "Estimate", "Std_Error", "p_value", "status")
+
+
+# ----------------------------------------------------------------------------
+# Principal components of the core items
+# ----------------------------------------------------------------------------
+
+def _pca_rows(resp: DataFrame, first_year: int, items):
+    return resp.filter(F.col("year") >= F.lit(first_year)).select(
+        "caseid", "year", *[F.col(c).cast("double").alias(c) for c in items]).dropna(subset=list(items))
+
+
+def pca_loadings(resp: DataFrame, first_year: int = 2012, items=S.CORE_ITEMS) -> DataFrame:
+    """Loadings of the standardised core items (complete rows from ``first_year``).
+
+    Output: variable, component, component_index, loading, sdev, variance_share.
+    """
+    fit = pca_fit(_pca_rows(resp, first_year, items), items)
+    return multivar_loadings(resp.sparkSession, fit)
+
+
+def pca_scores(resp: DataFrame, first_year: int = 2012, items=S.CORE_ITEMS) -> DataFrame:
+    """Component scores per respondent.  Output: caseid, year, PC1..PCk."""
+    rows = _pca_rows(resp, first_year, items)
+    fit = pca_fit(rows, items)
+    return multivar_scores(rows, fit, keep=["caseid", "year"])

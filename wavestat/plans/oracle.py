@@ -356,6 +356,14 @@ FROM a4 WHERE est IS NOT NULL AND se IS NOT NULL GROUP BY item"""
     return with_resp(body, _swing_effect_ctes())
 
 
+def response_patterns() -> str:
+    items = S.CORE_ITEMS
+    dummies = ""
+    where = f"year = 2024 AND {_all_nn(S.COMPLETE_CASE_FULL)}"
+    cols = ", ".join(ident(c) for c in items)
+    return with_resp(f"SELECT {cols}, count(*) AS n FROM resp WHERE {where} GROUP BY {cols}")
+
+
 ORACLES = {
     "belief_share_by_item": belief_share_by_item,
     "belief_share_by_party_year": belief_share_by_party_year,
@@ -373,6 +381,7 @@ ORACLES = {
     "domain_mean_ci": domain_mean_ci,
     "swing_effect": swing_effect,
     "effect_trend": effect_trend,
+    "response_patterns": response_patterns,
 }
 
 
