@@ -14,10 +14,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import uuid
+
+from wavestat.operators.harmonize import ALT_CODING, MAIN_CODING, harmonize_study
 from wavestat.plans import descriptive as D
 from wavestat.plans import estimates as X
 from wavestat.operators.design import flag_table
+from wavestat.session import checkpoint_dir
 from wavestat.sources.respondents import ADAPTER_SWING_BY_YEAR, respondents
+from wavestat.sources.standin import write_standin_waves
+from wavestat.sources.waves import read_waves
+
+_WAVE_FILES: dict[tuple[str, str], dict[str, str]] = {}
+
+
+def standin_wave_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Raw wave files for ``sf_dir`` (written once per session under the
+    checkpoint folder), read back lazily."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WAVE_FILES:
+        base = f"{checkpoint_dir(spark).rstrip('/')}/waves-{uuid.uuid4().hex}"
+        _WAVE_FILES[key] = write_standin_waves(respondents(spark, sf_dir), base)
+    return read_waves(spark, _WAVE_FILES[key])
+
+
+def _harmonize(coding):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return round_doubles(harmonize_study(standin_wave_files(spark, sf_dir), coding))
+    run.__doc__ = "Harmonised combined table built from the raw wave files."
+    return run
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -50,6 +75,8 @@ def _with_swing(product):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "harmonize_combined": _harmonize(MAIN_CODING),
+        "harmonize_alt": _harmonize(ALT_CODING),
         "belief_share_by_item": _on_resp(D.belief_share_by_item),
         "belief_share_by_party_year": _on_resp(D.belief_share_by_party_year),
         "belief_share_by_party_pooled": _on_resp(D.belief_share_by_party_pooled),

@@ -364,7 +364,162 @@ def response_patterns() -> str:
     return with_resp(f"SELECT {cols}, count(*) AS n FROM resp WHERE {where} GROUP BY {cols}")
 
 
+# ---------------------------------------------------------------------------
+# Harmonisation: stand-in raw waves (same encodings as sources/standin.py)
+# and the harmonise rules, restated in SQL.
+# ---------------------------------------------------------------------------
+
+def _pick_sql(options, k: str = "caseid") -> str:
+    whens = " ".join(f"WHEN {i} THEN {'NULL' if o is None else (q(o) if isinstance(o, str) else repr(o))}"
+                     for i, o in enumerate(options))
+    return f"(CASE ({k} % {len(options)}) {whens} END)"
+
+
+def _map_sql(expr: str, mapping: dict, default="NULL") -> str:
+    whens = " ".join(f"WHEN {expr} = {q(k)} THEN {q(v) if isinstance(v, str) else repr(v)}"
+                     for k, v in mapping.items())
+    return f"(CASE {whens} ELSE {default} END)"
+
+
+def _standin_sql(key: str):
+    from wavestat.sources import standin as W
+    year, sources = S.WAVE_MANIFEST[key]
+    st = W.WAVE_STYLE[key]
+    lower = st.get("lower", False)
+
+    def txt(c):
+        return f"lower({c})" if lower else c
+
+    def item(c):
+        if st["items"] == "codes":
+            return (f"CAST(CASE WHEN {c} = 1 THEN {_pick_sql([1.0, 2.0])} WHEN {c} = 0 THEN {_pick_sql([3.0, 4.0])} "
+                    f"ELSE {_pick_sql(W.MISSING_CODES)} END AS DOUBLE)", "double")
+        t = (f"(CASE WHEN {c} = 1 THEN {_pick_sql(W.ONE_TEXT)} WHEN {c} = 0 THEN {_pick_sql(W.ZERO_TEXT)} "
+             f"ELSE {_pick_sql(W.MISSING_TEXT)} END)")
+        if st["items"] == "text_lower":
+            return f"lower({t})", "text"
+        if st["items"] == "text_mixed":
+            # initcap of the fixed phrases: first letter of each word upper, rest lower
+            return (" (CASE " + " ".join(
+                f"WHEN {t} = {q(o)} THEN {q(' '.join(w[:1].upper() + w[1:].lower() for w in o.split(' ')))}"
+                for o in W.ONE_TEXT + W.ZERO_TEXT + [x for x in W.MISSING_TEXT if x]) + " END)"), "text"
+        return t, "text"
+
+    enc = {
+        "caseid": ("caseid", "long"),
+        "weight": ("weight", "double"),
+        "confidence": (txt("confidence"), "text"),
+        "birth_year": (("CAST(birth_year AS VARCHAR)", "text") if st.get("birth_text")
+                       else ("CAST(birth_year AS DOUBLE)", "double") if lower else ("birth_year", "int")),
+        "gender": (txt("gender"), "text"),
+        "race": (("coalesce(race, '9')", "text") if st.get("race_code9") else (txt("race"), "text")),
+        "education": ((_map_sql("education", W.EDUCATION_2008), "text") if lower else ("education", "text")),
+        "party": ((_map_sql("party", W.PARTY_CODES, "4.0"), "double") if st["party"] == "codes"
+                  else (f"coalesce({txt('party')}, {q('not sure' if lower else 'NOT SURE')})", "text")),
+        "zip_code": ("lpad(CAST(caseid % 99991 AS VARCHAR), 5, '0')", "text"),
+        "county": ("CASE WHEN caseid % 10 = 0 THEN NULL ELSE 'county ' || CAST(caseid % 50 AS VARCHAR) END", "text"),
+        "state": (("CAST(CAST(regexp_extract(state, '(\\d+)$', 1) AS INTEGER) AS DOUBLE)", "double")
+                  if st["state"] == "fips_code" else (txt("state"), "text")),
+        "time_lived_in_residence": (("CAST(caseid % 40 AS DOUBLE)", "double") if lower else
+                                    ("CASE WHEN caseid % 9 = 0 THEN '-8' ELSE CAST(caseid % 40 AS VARCHAR) END",
+                                     "text")),
+        "ideology": (txt("ideology"), "text"),
+        "voted": (_pick_sql(["YES", "NO", "-9"]), "text"),
+    }
+    for it in S.FRAUD_ITEMS:
+        enc[it] = item(it)
+    if st.get("codebook"):
+        for col, codes in W.CODES_2022.items():
+            enc[col] = (f"CAST({_map_sql(col, codes, '-9.0')} AS DOUBLE)", "double")
+    cols, types = [], {}
+    for target, src in zip(S.HARMONISED_COLUMNS, sources):
+        if src != S.NOT_ASKED:
+            e, t = enc[target]
+            cols.append(f"{e} AS {ident(src)}")
+            types[target] = (src, t)
+    return f"SELECT {', '.join(cols)} FROM resp WHERE year = {year}", types
+
+
+def _code_text_sql(col: str, t: str) -> str:
+    if t == "double":
+        return (f"(CASE WHEN {col} = floor({col}) AND abs({col}) < 9.0e15 "
+                f"THEN CAST(CAST({col} AS BIGINT) AS VARCHAR) ELSE CAST({col} AS VARCHAR) END)")
+    if t in ("int", "long"):
+        return f"CAST({col} AS VARCHAR)"
+    return col
+
+
+def _harmonize_sql(key: str, codes_one, codes_zero) -> str:
+    year, sources = S.WAVE_MANIFEST[key]
+    raw, types = _standin_sql(key)
+
+    def text(target):
+        if target not in types:
+            return "CAST(NULL AS VARCHAR)"
+        src, t = types[target]
+        return f"upper({_code_text_sql(ident(src), t)})"
+
+    def scrub(e):
+        return f"(CASE WHEN {e} IN {in_list(S.REFUSAL_CODES)} THEN NULL ELSE {e} END)"
+
+    out = {}
+    src, t = types["caseid"]
+    out["caseid"] = f"CAST({ident(src)} AS BIGINT)"
+    out["year"] = f"CAST({year} AS INTEGER)"
+    src, t = types["weight"]
+    out["weight"] = f"CAST({ident(src)} AS DOUBLE)"
+    for it in S.FRAUD_ITEMS:
+        x = text(it)
+        out[it] = (f"CAST(CASE WHEN {x} IN {in_list(S.BELIEF_TEXT_ONE)} THEN 1.0 "
+                   f"WHEN {x} IN {in_list(S.BELIEF_TEXT_ZERO)} THEN 0.0 "
+                   f"WHEN {x} IN {in_list(codes_one)} THEN 1.0 WHEN {x} IN {in_list(codes_zero)} THEN 0.0 "
+                   f"ELSE NULL END AS DOUBLE)")
+    src, t = types["birth_year"]
+    out["birth_year"] = f"TRY_CAST(TRY_CAST({_code_text_sql(ident(src), t)} AS DOUBLE) AS INTEGER)"
+    src, t = types["state"]
+    if t == "double":
+        out["state"] = f"upper({case_map(_code_text_sql(ident(src), t), S.STATE_CODES)})"
+    else:
+        out["state"] = f"upper({ident(src)})"
+    for c in ("zip_code", "county"):
+        out[c] = text(c)
+    race = text("race")
+    out["race"] = scrub(f"(CASE WHEN {race} = {q(S.RACE_MISSING_CODE)} THEN NULL ELSE {race} END)")
+    party = text("party")
+    out["party"] = scrub("(CASE " + " ".join(f"WHEN {party} IN {in_list(v)} THEN {q(k)}"
+                                             for k, v in S.PARTY_CODES.items()) + " ELSE NULL END)")
+    for c in ("confidence", "gender", "education", "ideology", "voted", "time_lived_in_residence"):
+        out[c] = scrub(text(c))
+    if year == 2022:
+        for col, codes in S.CODEBOOK_2022.items():
+            mapping = dict(codes)
+            if col in S.CODEBOOK_2022_KEEPS_TEXT:
+                mapping.update({lab: lab for lab in codes.values()})
+            out[col] = case_map(out[col], mapping)
+    sel = ", ".join(f"{out[c]} AS {ident(c)}" for c in S.COMBINED_COLUMNS)
+    return f"SELECT {sel} FROM ({raw}) w"
+
+
+def _harmonize(codes_one, codes_zero) -> str:
+    parts = [_harmonize_sql(k, codes_one, codes_zero) for k in S.WAVE_MANIFEST]
+    items_nn = "coalesce(" + ", ".join(ident(c) for c in S.FRAUD_ITEMS) + ") IS NOT NULL"
+    ctes = "comb AS (" + "\nUNION ALL\n".join(parts) + ")"
+    cols = ", ".join(r6(ident(c), c) if c in S.FRAUD_ITEMS or c == "weight" else ident(c)
+                     for c in S.COMBINED_COLUMNS)
+    return with_resp(f"SELECT {cols} FROM comb WHERE {items_nn}", ctes)
+
+
+def harmonize_combined() -> str:
+    return _harmonize(S.BELIEF_CODES_ONE_MAIN, S.BELIEF_CODES_ZERO_MAIN)
+
+
+def harmonize_alt() -> str:
+    return _harmonize(S.BELIEF_CODES_ONE_ALT, S.BELIEF_CODES_ZERO_ALT)
+
+
 ORACLES = {
+    "harmonize_combined": harmonize_combined,
+    "harmonize_alt": harmonize_alt,
     "belief_share_by_item": belief_share_by_item,
     "belief_share_by_party_year": belief_share_by_party_year,
     "belief_share_by_party_pooled": belief_share_by_party_pooled,
