@@ -38,6 +38,14 @@ def standin_wave_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]
     return read_waves(spark, _WAVE_FILES[key])
 
 
+def _on_raw_wave(key: str, product):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return round_doubles(product(standin_wave_files(spark, sf_dir)[key]))
+    run.__doc__ = product.__doc__
+    run.__name__ = product.__name__
+    return run
+
+
 def _harmonize(coding):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return round_doubles(harmonize_study(standin_wave_files(spark, sf_dir), coding))
@@ -97,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "party_effect_trend": _with_swing(X.party_effect_trend),
         "logit_coefficients": _on_resp(X.logit_coefficients),
         "logit_tables_wide": _on_resp(X.logit_tables_wide),
+        "logit_table_2008": _on_raw_wave("spae_2008", X.logit_table_2008),
         "response_patterns": _on_resp(X.irt_response_patterns),
         "irt_item_parameters": _on_resp(X.irt_item_parameters),
         "irt_scores": _on_resp(X.irt_scores),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavestat import study as S
-from wavestat.functions import clip, eq_dummy, in_set, lookup
+from wavestat.functions import eq_dummy, in_set, lookup, recode
 from wavestat.operators.contrast import binary_contrast, linear_trend
 from wavestat.operators.design import add_dummies, add_set_flag, complete_case_by_key
 from wavestat.operators.domain import domain_mean
@@ -286,3 +286,53 @@ def pca_scores(resp: DataFrame, first_year: int = 2012, items=S.CORE_ITEMS) -> D
     rows = _pca_rows(resp, first_year, items)
     fit = pca_fit(rows, items)
     return multivar_scores(rows, fit, keep=["caseid", "year"])
+
+
+# ----------------------------------------------------------------------------
+# The 2008 raw-wave logit table
+# ----------------------------------------------------------------------------
+
+def raw2008_design(raw: DataFrame) -> DataFrame:
+    """Recodes, case filters and dummies of the 2008 raw-wave models."""
+    df = raw.select("caseid", "weight", "mode", *S.RAW2008_ITEMS, "birthyr", "gender", "race", "educ",
+                    "pid3", "inputzip")
+    df = df.withColumns({q_: (F.when(in_set(q_, S.RAW2008_TEXT_ONE), F.lit(1.0))
+                              .when(in_set(q_, S.RAW2008_TEXT_ZERO), F.lit(0.0))
+                              .otherwise(F.lit(None).cast("double"))) for q_ in S.RAW2008_ITEMS})
+    df = df.dropna(subset=list(S.RAW2008_ITEMS))
+    df = df.withColumns({
+        "race": recode("race", S.RAW2008_RACE),
+        "educ": recode("educ", S.RAW2008_EDUC),
+        "birthyr": F.col("birthyr").cast("string").try_cast("double"),
+    })
+    keep = F.lit(True)
+    for v in S.RAW2008_GENDER_DROP:
+        keep = keep & (F.col("gender") != F.lit(v))
+    for v in S.RAW2008_PARTY_DROP:
+        keep = keep & (F.col("pid3") != F.lit(v))
+    keep = keep & F.col("gender").isNotNull() & F.col("race").isNotNull() & F.col("educ").isNotNull() \
+        & F.col("pid3").isNotNull()
+    df = df.filter(keep)
+    return df.withColumns({name: eq_dummy(col, value) for name, col, value in S.RAW2008_DUMMIES})
+
+
+def logit_table_2008(raw: DataFrame) -> DataFrame:
+    """Survey-weighted logits of the three 2008 items on interview mode and
+    demographics, wide by outcome.  Education enters with all five dummies
+    plus the intercept; the aliased one gets no estimate (NULL).
+
+    Output: label, term, term_order, Estimate_Q36, SE_Q36, Estimate_Q37,
+    SE_Q37, Estimate_Q38, SE_Q38 (rounded to 3 decimals, half-even).
+    """
+    df = raw2008_design(raw)
+    preds = list(S.RAW2008_PREDICTORS)
+    long = df.select("weight", *preds, *S.RAW2008_ITEMS).unpivot(
+        ["weight", *preds], list(S.RAW2008_ITEMS), "model", "y")
+    fit = fit_glm(long, ["model"], "y", preds)
+    table = coefficient_table(fit.coefficients(raw.sparkSession), S.RAW2008_TERM_LABELS, "model")
+    aggs = []
+    for q_, name in S.RAW2008_MODEL_NAMES.items():
+        for src, prefix in (("Estimate", "Estimate"), ("Std_Error", "SE")):
+            aggs.append(F.first(F.when(F.col("model") == F.lit(q_), F.col(src)), ignorenulls=True)
+                        .alias(f"{prefix}_{name}"))
+    return table.groupBy("label", "term", "term_order").agg(*aggs)
