@@ -1,56 +1,71 @@
 """Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
 
 Every query reads the driver tables (through the respondent adapter or the
-stand-in raw waves derived from them) and runs the whole product on them.
-Result doubles are rounded to 6 decimals so that the oracle comparison is
-exact.
+stand-in raw wave files derived from them) and runs the whole product on
+them.  Result doubles are rounded to 6 decimals so that the oracle comparison
+is exact.
+
+``PRODUCTS`` lists each product with the input it takes; ``bind`` turns the
+list into callables over any respondent source, so the same products run on
+the live adapter view (``queries()``) or on a written combined table (bench).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-import uuid
-
+from wavestat.operators.design import flag_table
 from wavestat.operators.harmonize import ALT_CODING, MAIN_CODING, harmonize_study
 from wavestat.plans import descriptive as D
 from wavestat.plans import estimates as X
-from wavestat.operators.design import flag_table
 from wavestat.session import checkpoint_dir
 from wavestat.sources.respondents import ADAPTER_SWING_BY_YEAR, respondents
 from wavestat.sources.standin import write_standin_waves
 from wavestat.sources.waves import read_waves
 
-_WAVE_FILES: dict[tuple[str, str], dict[str, str]] = {}
-
-
-def standin_wave_files(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Raw wave files for ``sf_dir`` (written once per session under the
-    checkpoint folder), read back lazily."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _WAVE_FILES:
-        base = f"{checkpoint_dir(spark).rstrip('/')}/waves-{uuid.uuid4().hex}"
-        _WAVE_FILES[key] = write_standin_waves(respondents(spark, sf_dir), base)
-    return read_waves(spark, _WAVE_FILES[key])
-
-
-def _on_raw_wave(key: str, product):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(product(standin_wave_files(spark, sf_dir)[key]))
-    run.__doc__ = product.__doc__
-    run.__name__ = product.__name__
-    return run
-
+RESP = "resp"          # product(resp)
+SWING = "swing"        # product(resp, swing)
+RAW = "raw"            # product(raw wave) -- key in the spec
+WAVES = "waves"        # product(raw waves)
+
+PRODUCTS: dict[str, tuple] = {
+    "harmonize_combined": (WAVES, lambda waves: harmonize_study(waves, MAIN_CODING)),
+    "harmonize_alt": (WAVES, lambda waves: harmonize_study(waves, ALT_CODING)),
+    "belief_share_by_item": (RESP, D.belief_share_by_item),
+    "belief_share_by_party_year": (RESP, D.belief_share_by_party_year),
+    "belief_share_by_party_pooled": (RESP, D.belief_share_by_party_pooled),
+    "count_by_confidence": (RESP, D.count_by_confidence),
+    "count_by_confidence_party": (RESP, D.count_by_confidence_party),
+    "confidence_crosstab": (RESP, D.confidence_crosstab),
+    "null_rate_by_item_year": (RESP, D.null_rate_by_item_year),
+    "null_counts_by_item_year": (RESP, D.null_counts_by_item_year),
+    "demographics_percent": (RESP, D.demographics_percent),
+    "availability_matrix": (RESP, D.availability_matrix),
+    "complete_case_by_wave": (RESP, D.complete_case_by_wave),
+    "dummy_design": (SWING, D.dummy_design),
+    "correlation_matrix": (RESP, D.correlation_matrix),
+    "domain_mean_ci": (RESP, X.party_trend),
+    "swing_effect": (SWING, X.swing_effect),
+    "effect_trend": (SWING, lambda resp, swing: X.effect_trend(X.swing_effect(resp, swing))),
+    "party_effects": (SWING, X.party_effects),
+    "party_effect_trend": (SWING, X.party_effect_trend),
+    "logit_coefficients": (RESP, X.logit_coefficients),
+    "logit_tables_wide": (RESP, X.logit_tables_wide),
+    "logit_table_2008": (RAW, X.logit_table_2008, "spae_2008"),
+    "response_patterns": (RESP, X.irt_response_patterns),
+    "irt_item_parameters": (RESP, X.irt_item_parameters),
+    "irt_scores": (RESP, X.irt_scores),
+    "linear_regression": (RESP, X.irt_regression),
+    "pca_loadings": (RESP, X.pca_loadings),
+    "pca_scores": (RESP, X.pca_scores),
+}
 
-def _harmonize(coding):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(harmonize_study(standin_wave_files(spark, sf_dir), coding))
-    run.__doc__ = "Harmonised combined table built from the raw wave files."
-    return run
+_WAVE_FILES: dict[tuple[str, str], dict[str, str]] = {}
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -64,52 +79,39 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
-def _on_resp(product: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return round_doubles(product(respondents(spark, sf_dir)))
-    run.__doc__ = product.__doc__
-    run.__name__ = product.__name__
-    return run
+def standin_wave_files(spark: SparkSession, sf_dir: str,
+                       resp_source: Callable[[SparkSession, str], DataFrame] = respondents
+                       ) -> dict[str, DataFrame]:
+    """Raw wave files for ``sf_dir`` (written once per session under the
+    checkpoint folder), read back lazily."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WAVE_FILES:
+        base = f"{checkpoint_dir(spark).rstrip('/')}/waves-{uuid.uuid4().hex}"
+        _WAVE_FILES[key] = write_standin_waves(resp_source(spark, sf_dir), base)
+    return read_waves(spark, _WAVE_FILES[key])
+
 
+def bind(name: str, resp_source: Callable[[SparkSession, str], DataFrame] = respondents,
+         rounded: bool = True) -> Callable[[SparkSession, str], DataFrame]:
+    """Callable ``(spark, sf_dir) -> DataFrame`` for one registered product."""
+    kind, product, *extra = PRODUCTS[name]
 
-def _with_swing(product):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        swing = flag_table(spark, ADAPTER_SWING_BY_YEAR)
-        return round_doubles(product(respondents(spark, sf_dir), swing))
-    run.__doc__ = product.__doc__
-    run.__name__ = product.__name__
+        if kind == RESP:
+            out = product(resp_source(spark, sf_dir))
+        elif kind == SWING:
+            out = product(resp_source(spark, sf_dir), flag_table(spark, ADAPTER_SWING_BY_YEAR))
+        elif kind == RAW:
+            out = product(standin_wave_files(spark, sf_dir, resp_source)[extra[0]])
+        else:
+            out = product(standin_wave_files(spark, sf_dir, resp_source))
+        return round_doubles(out) if rounded else out
+
+    run.__name__ = name
+    run.__doc__ = getattr(product, "__doc__", None)
     return run
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "harmonize_combined": _harmonize(MAIN_CODING),
-        "harmonize_alt": _harmonize(ALT_CODING),
-        "belief_share_by_item": _on_resp(D.belief_share_by_item),
-        "belief_share_by_party_year": _on_resp(D.belief_share_by_party_year),
-        "belief_share_by_party_pooled": _on_resp(D.belief_share_by_party_pooled),
-        "count_by_confidence": _on_resp(D.count_by_confidence),
-        "count_by_confidence_party": _on_resp(D.count_by_confidence_party),
-        "confidence_crosstab": _on_resp(D.confidence_crosstab),
-        "null_rate_by_item_year": _on_resp(D.null_rate_by_item_year),
-        "null_counts_by_item_year": _on_resp(D.null_counts_by_item_year),
-        "demographics_percent": _on_resp(D.demographics_percent),
-        "availability_matrix": _on_resp(D.availability_matrix),
-        "complete_case_by_wave": _on_resp(D.complete_case_by_wave),
-        "dummy_design": _with_swing(D.dummy_design),
-        "correlation_matrix": _on_resp(D.correlation_matrix),
-        "domain_mean_ci": _on_resp(X.party_trend),
-        "swing_effect": _with_swing(X.swing_effect),
-        "effect_trend": _with_swing(lambda resp, swing: X.effect_trend(X.swing_effect(resp, swing))),
-        "party_effects": _with_swing(X.party_effects),
-        "party_effect_trend": _with_swing(X.party_effect_trend),
-        "logit_coefficients": _on_resp(X.logit_coefficients),
-        "logit_tables_wide": _on_resp(X.logit_tables_wide),
-        "logit_table_2008": _on_raw_wave("spae_2008", X.logit_table_2008),
-        "response_patterns": _on_resp(X.irt_response_patterns),
-        "irt_item_parameters": _on_resp(X.irt_item_parameters),
-        "irt_scores": _on_resp(X.irt_scores),
-        "linear_regression": _on_resp(X.irt_regression),
-        "pca_loadings": _on_resp(X.pca_loadings),
-        "pca_scores": _on_resp(X.pca_scores),
-    }
+def queries(resp_source: Callable[[SparkSession, str], DataFrame] = respondents
+            ) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: bind(name, resp_source) for name in PRODUCTS}
