@@ -214,17 +214,21 @@ def glm_cells(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors
         F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"))
 
 
-def _iteration_aggregate(cells: DataFrame, beta: DataFrame | None, model_keys: list[str], p: int,
-                         family: str) -> DataFrame:
+def _pass_aggregate(cells: DataFrame, beta: DataFrame, model_keys: list[str], p: int, family: str,
+                    final: bool) -> DataFrame:
+    """One pass over the cells at the current coefficients, per model.
+
+    IRLS passes: upper triangle of X'WX, score X'W(y - mu), deviance.
+    Final pass: X'WX again plus the sandwich meat sum w^2 (y - mu)^2 x x' and
+    the marginal-effect sums.  Every pass joins the (broadcast, model-count
+    sized) coefficient table, so all IRLS passes share one plan shape and one
+    compiled code path.
+    """
     x = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(1, p)]
-    if beta is None:
-        eta = F.lit(0.0)
-        joined = cells
-    else:
-        joined = cells.join(F.broadcast(beta), model_keys, "inner")
-        eta = F.col("b0")
-        for i in range(1, p):
-            eta = eta + F.col(f"b{i}") * x[i]
+    joined = cells.join(F.broadcast(beta), model_keys, "inner")
+    eta = F.col("b0")
+    for i in range(1, p):
+        eta = eta + F.col(f"b{i}") * x[i]
     y, n, sw, sw2 = F.col("y"), F.col("n").cast("double"), F.col("sw"), F.col("sw2")
     if family == "binomial":
         mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
@@ -235,20 +239,25 @@ def _iteration_aggregate(cells: DataFrame, beta: DataFrame | None, model_keys: l
         mu = eta
         var_mu = F.lit(1.0)
         dev = sw * (y - mu) * (y - mu)
-    staged = joined.select(*model_keys, *[xi.alias(f"__x{i}") for i, xi in enumerate(x)],
-                           (sw * var_mu).alias("__wt"), (sw * (y - mu)).alias("__r"),
-                           (sw2 * (y - mu) * (y - mu)).alias("__m"), dev.alias("__dev"),
-                           (n * var_mu).alias("__a1"),
-                           (n * var_mu * (F.lit(1.0) - F.lit(2.0) * mu)).alias("__a2"), n.alias("__n"))
-    xc = [F.col(f"__x{i}") for i in range(p)]
+    cols = [*model_keys, *[xi.alias(f"__x{i}") for i, xi in enumerate(x)], (sw * var_mu).alias("__wt")]
+    if final:
+        cols += [(sw2 * (y - mu) * (y - mu)).alias("__m"), (n * var_mu).alias("__a1"),
+                 (n * var_mu * (F.lit(1.0) - F.lit(2.0) * mu)).alias("__a2"), n.alias("__n")]
+    else:
+        cols += [(sw * (y - mu)).alias("__r"), dev.alias("__dev")]
+    staged = joined.select(*cols)
+    # one SQL expression per sum: a single JVM round trip each
     aggs = []
     for j in range(p):
         for k in range(j, p):
-            aggs.append(F.sum(F.col("__wt") * xc[j] * xc[k]).alias(f"g{j}_{k}"))
-            aggs.append(F.sum(F.col("__m") * xc[j] * xc[k]).alias(f"m{j}_{k}"))
-        aggs.append(F.sum(F.col("__r") * xc[j]).alias(f"s{j}"))
-        aggs.append(F.sum(F.col("__a2") * xc[j]).alias(f"a{j}"))
-    aggs += [F.sum("__dev").alias("dev"), F.sum("__a1").alias("a_sum"), F.sum("__n").alias("n_fit")]
+            aggs.append(F.expr(f"sum(__wt * __x{j} * __x{k}) AS g{j}_{k}"))
+            if final:
+                aggs.append(F.expr(f"sum(__m * __x{j} * __x{k}) AS m{j}_{k}"))
+        aggs.append(F.expr(f"sum(__a2 * __x{j}) AS a{j}") if final else F.expr(f"sum(__r * __x{j}) AS s{j}"))
+    if final:
+        aggs += [F.expr("sum(__a1) AS a_sum"), F.expr("sum(__n) AS n_fit")]
+    else:
+        aggs.append(F.expr("sum(__dev) AS dev"))
     return staged.groupBy(*model_keys).agg(*aggs)
 
 
@@ -321,71 +330,81 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
                  F.sum(F.when(F.col("complete"), F.col("n"))).alias("n_fit")).collect()}
     if len(sizes) > MAX_MODELS:
         raise ValueError(f"{len(sizes)} models exceed the batch bound {MAX_MODELS}")
-    fit_cells = cells.filter(F.col("complete")).drop("complete")
+    # the passes re-read these cells: keep them in memory (a lost block is
+    # re-read from the written cell files, not recomputed from the raw data)
+    fit_cells = cells.filter(F.col("complete")).drop("complete").persist()
 
     models: dict[tuple, ModelFit] = {
         k: ModelFit(key=k, status=NO_DATA if nf == 0 else NOT_CONVERGED, n_design=nd, n_fit=nf)
         for k, (nd, nf) in sizes.items()}
-    coef: dict[tuple, np.ndarray] = {}
-    last_dev: dict[tuple, float] = {}
-    active = {k for k, m in models.items() if m.n_fit > 0}
-    beta_df = None
     beta_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in key_fields]
                                + [T.StructField(f"b{i}", T.DoubleType()) for i in range(p)])
 
-    for it in range(1, max_iter + 2):
+    def beta_table(ks):
+        return spark.createDataFrame([(*k, *[float(v) for v in coef[k]]) for k in ks], beta_schema)
+
+    coef: dict[tuple, np.ndarray] = {k: np.zeros(p) for k, m in models.items() if m.n_fit > 0}
+    last_dev: dict[tuple, float] = {}
+    active = set(coef)
+    done: set[tuple] = set()
+    for it in range(1, max_iter + 1):
         if not active:
             break
-        rows = _iteration_aggregate(fit_cells, beta_df, keys, p, family).collect()
+        rows = _pass_aggregate(fit_cells, beta_table(sorted(active, key=str)), keys, p, family,
+                               final=False).collect()
         for r in rows:
             k = tuple(r[c] for c in keys)
-            if k not in active:
-                continue
             m = models[k]
-            gram, meat = _sym(r, "g", p), _sym(r, "m", p)
+            gram = _sym(r, "g", p)
             score = np.array([r[f"s{j}"] for j in range(p)], dtype=float)
             dev = float(r["dev"])
             if it == 1:
                 m.kept = _alias_columns(gram, alias_tol)
-                coef[k] = np.zeros(p)
-            kept = m.kept
             m.iterations = it
             converged = (family == "gaussian" and it >= 2) or (
                 family == "binomial" and k in last_dev
                 and abs(dev - last_dev[k]) / (abs(dev) + 0.1) < tol)
-            if converged or it > max_iter:
-                gk = gram[np.ix_(kept, kept)]
-                try:
-                    ainv = _inv_scaled(gk)
-                except np.linalg.LinAlgError:
-                    ainv = np.full((len(kept), len(kept)), np.nan)
-                nd = m.n_design
-                scale = nd / (nd - 1.0) if nd > 1 else float("nan")
-                vk = ainv @ (scale * meat[np.ix_(kept, kept)]) @ ainv
-                full = np.full((p, p), np.nan)
-                full[np.ix_(kept, kept)] = vk
-                est = np.full(p, np.nan)
-                est[kept] = coef[k][kept]
-                m.coef, m.vcov, m.deviance = est, full, dev
-                m.ame_sum = float(r["a_sum"])
-                m.ame_grad = np.array([r[f"a{j}"] for j in range(p)], dtype=float)
-                if converged:
-                    m.status = RANK_DEFICIENT if len(kept) < p else OK
+            m.deviance = dev
+            if converged:
+                m.status = RANK_DEFICIENT if len(m.kept) < p else OK
+                done.add(k)
                 active.discard(k)
                 continue
             last_dev[k] = dev
+            kept = m.kept
             try:
                 step = _solve_scaled(gram[np.ix_(kept, kept)], score[kept])
             except np.linalg.LinAlgError:
                 active.discard(k)
+                done.add(k)
                 continue
             nxt = coef[k].copy()
             nxt[kept] = nxt[kept] + step
             coef[k] = nxt
-        if not active:
-            break
-        beta_rows = [(*k, *[float(v) for v in coef[k]]) for k in sorted(active, key=str)]
-        beta_df = spark.createDataFrame(beta_rows, beta_schema)
+    done |= active  # max_iter reached: keep status not_converged, report last coefficients
 
+    if done:
+        final_rows = _pass_aggregate(fit_cells, beta_table(sorted(done, key=str)), keys, p, family,
+                                     final=True).collect()
+        for r in final_rows:
+            k = tuple(r[c] for c in keys)
+            m = models[k]
+            kept = m.kept
+            gram, meat = _sym(r, "g", p), _sym(r, "m", p)
+            try:
+                ainv = _inv_scaled(gram[np.ix_(kept, kept)])
+            except np.linalg.LinAlgError:
+                ainv = np.full((len(kept), len(kept)), np.nan)
+            nd = m.n_design
+            scale = nd / (nd - 1.0) if nd > 1 else float("nan")
+            full = np.full((p, p), np.nan)
+            full[np.ix_(kept, kept)] = ainv @ (scale * meat[np.ix_(kept, kept)]) @ ainv
+            est = np.full(p, np.nan)
+            est[kept] = coef[k][kept]
+            m.coef, m.vcov = est, full
+            m.ame_sum = float(r["a_sum"])
+            m.ame_grad = np.array([r[f"a{j}"] for j in range(p)], dtype=float)
+
+    fit_cells.unpersist()
     ordered = [models[k] for k in sorted(models, key=lambda t: tuple(str(x) for x in t))]
     return GlmFit(keys, key_fields, terms, family, ordered)

@@ -25,33 +25,38 @@ def pairwise_correlation(df: DataFrame, cols: Sequence[str], row_col: str = "row
                          col_col: str = "col_var", value_col: str = "r") -> DataFrame:
     """Pearson r for every ordered pair on pairwise-complete rows.
 
-    One aggregation computes, per unordered pair, ``covar_samp`` over rows
-    where both are non-NULL and each side's ``var_samp`` over the same rows.
-    Zero variance or fewer than two complete rows gives NULL (no error).
+    Each row is expanded (``inline``, pipelined inside whole-stage codegen) to
+    one ``(i, j, x, y)`` entry per unordered pair with both values present;
+    one aggregation by pair then computes ``covar_samp`` and both
+    ``var_samp`` (numerically stable central moments; partial aggregation
+    leaves one row per pair and partition before the shuffle).  Zero
+    variance or fewer than two complete rows gives NULL (no error).
     Output: ``(row_var, col_var, r)`` for all len(cols)^2 ordered pairs.
     """
     cols = list(cols)
-    aggs = []
-    idx = {}
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            k = f"p{i}_{j}"
-            idx[(i, j)] = k
-            aggs += [F.covar_samp(F.when(both, x), F.when(both, y)).alias(f"{k}_c"),
-                     F.var_samp(F.when(both, x)).alias(f"{k}_vx"),
-                     F.var_samp(F.when(both, y)).alias(f"{k}_vy")]
-    moments = df.agg(*aggs)
     entries = []
     for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            k = idx[(min(i, j), max(i, j))]
-            r = F.try_divide(F.col(f"{k}_c"), F.sqrt(F.col(f"{k}_vx") * F.col(f"{k}_vy")))
-            entries.append(F.struct(F.lit(a).alias(row_col), F.lit(b).alias(col_col),
-                                    r.alias(value_col)))
-    return moments.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+        for j in range(i, len(cols)):
+            entries.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                                    F.col(cols[i]).cast("double").alias("x"),
+                                    F.col(cols[j]).cast("double").alias("y")))
+    long = df.select(F.inline(F.array(*entries))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    mom = long.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c"), F.var_samp("x").alias("vx"),
+                                     F.var_samp("y").alias("vy"))
+    r = F.try_divide(F.col("c"), F.sqrt(F.col("vx") * F.col("vy")))
+    names = F.array(*[F.lit(c) for c in cols])
+    both = mom.select("i", "j", r.alias("r")).select(F.inline(F.array(
+        F.struct(F.col("i").alias("a"), F.col("j").alias("b"), F.col("r").alias("r")),
+        F.struct(F.col("j").alias("a"), F.col("i").alias("b"), F.col("r").alias("r")))))
+    both = both.filter(F.col("a") != F.col("b")).unionByName(
+        mom.filter(F.col("i") == F.col("j")).select(F.col("i").alias("a"), F.col("j").alias("b"), r.alias("r")))
+    # every pair appears even when no row has both values (then r is NULL)
+    p = len(cols)
+    grid = df.sparkSession.createDataFrame([(a, b) for a in range(p) for b in range(p)], "a int, b int")
+    full = grid.join(F.broadcast(both), ["a", "b"], "left")
+    return full.select(F.element_at(names, F.col("a") + 1).alias(row_col),
+                       F.element_at(names, F.col("b") + 1).alias(col_col),
+                       F.col("r").alias(value_col))
 
 
 def _standardise_moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:

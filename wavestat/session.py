@@ -23,6 +23,8 @@ _LOCAL_DEFAULTS = {
     # the model aggregates carry one buffer per entry of X'WX; keep them
     # inside whole-stage codegen for up to ~20 predictors
     "spark.sql.codegen.maxFields": "400",
+    # no Python call-site capture per Column call (driver-side overhead only)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
