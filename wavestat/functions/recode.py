@@ -47,8 +47,7 @@ def code_text(c: ColumnOrName, dtype: T.DataType) -> Column:
 
 def in_set(c: ColumnOrName, values: Iterable) -> Column:
     """``c IN values`` as a value: FALSE (not NULL) when ``c`` is NULL."""
-    vals = [F.lit(v) for v in values]
-    return F.coalesce(_col(c).isin(*vals), F.lit(False))
+    return F.coalesce(_col(c).isin(list(values)), F.lit(False))
 
 
 def eq_dummy(c: ColumnOrName, value) -> Column:

@@ -98,11 +98,14 @@ def harmonize_wave(df: DataFrame, sources: Sequence[str], year: int, rules: Harm
         i = names.index(src)
         return F.col(f"__c{i}"), types[i]
 
+    texts: dict[str, Column] = {}
+
     def text(target: str) -> Column:
-        c, t = source(target)
-        if c is None:
-            return F.lit(None).cast("string")
-        return F.upper(code_text(c, t))
+        """Upper-cased text form of the wave's column (built once, reused)."""
+        if target not in texts:
+            c, t = source(target)
+            texts[target] = F.lit(None).cast("string") if c is None else F.upper(code_text(c, t))
+        return texts[target]
 
     out: dict[str, Column] = {}
     c, t = source("caseid")
