@@ -52,6 +52,7 @@ PRODUCTS: dict[str, tuple] = {
     "domain_mean_ci": (RESP, X.party_trend),
     "swing_effect": (SWING, X.swing_effect),
     "effect_trend": (SWING, lambda resp, swing: X.effect_trend(X.swing_effect(resp, swing))),
+    "glm_cells": (SWING, X.party_effect_cells),
     "party_effects": (SWING, X.party_effects),
     "party_effect_trend": (SWING, X.party_effect_trend),
     "logit_coefficients": (RESP, X.logit_coefficients),

@@ -11,7 +11,7 @@ from wavestat.functions import eq_dummy, in_set, lookup, recode
 from wavestat.operators.contrast import binary_contrast, linear_trend
 from wavestat.operators.design import add_dummies, add_set_flag, complete_case_by_key
 from wavestat.operators.domain import domain_mean
-from wavestat.operators.glm import fit_glm
+from wavestat.operators.glm import fit_glm, glm_cells
 from wavestat.operators.irt import attach_scores, fit_2pl, item_parameters, pattern_scores, response_patterns
 from wavestat.operators.multivar import pca_fit
 from wavestat.operators.multivar import pca_loadings as multivar_loadings
@@ -336,3 +336,17 @@ def logit_table_2008(raw: DataFrame) -> DataFrame:
             aggs.append(F.first(F.when(F.col("model") == F.lit(q_), F.col(src)), ignorenulls=True)
                         .alias(f"{prefix}_{name}"))
     return table.groupBy("label", "term", "term_order").agg(*aggs)
+
+
+def party_effect_cells(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS) -> DataFrame:
+    """The cell table the party-effect logits are fitted on (one row per
+    (year, item, complete, y, rep_party, dem_party, swing_state) with n, sum
+    of weights, sum of squared weights).  Output: year, item, complete, y,
+    x1, x2, x3, n, sw, sw2."""
+    df = resp.select("year", "state", "party", "weight", *items).withColumns({
+        "rep_party": eq_dummy("party", "REPUBLICAN"),
+        "dem_party": eq_dummy("party", "DEMOCRAT")})
+    df = add_set_flag(df, swing, ["year", "state"], "swing_state")
+    long = (df.unpivot(["year", "weight", "rep_party", "dem_party", "swing_state"], list(items), "item", "y")
+            .filter(F.col("y").isNotNull()))
+    return glm_cells(long, ["year", "item"], "y", ["rep_party", "dem_party", "swing_state"])

@@ -299,7 +299,8 @@ agg AS (SELECT year, fraud_type, party_label, count(*) AS n_rows, count(y) AS n_
                sum(CASE WHEN y IS NOT NULL THEN weight * weight END) AS sw2,
                sum(weight * weight * y) AS sw2y, sum(weight * weight * y * y) AS sw2yy
         FROM l2 GROUP BY 1, 2, 3),
-e AS (SELECT *, sum(n_rows) OVER (PARTITION BY year, fraud_type) AS n, swy / sw AS m FROM agg WHERE n_obs > 0),
+e AS (SELECT *, CAST(sum(n_rows) OVER (PARTITION BY year, fraud_type) AS BIGINT) AS n, swy / sw AS m
+       FROM agg WHERE n_obs > 0),
 e2 AS (SELECT *, sqrt(n / (n - 1) * greatest(sw2yy - 2 * m * sw2y + m * m * sw2, 0) / (sw * sw)) AS se FROM e)"""
     lo = "greatest(0, m - 1.96 * se)"
     hi = "least(1, m + 1.96 * se)"
@@ -517,6 +518,25 @@ def harmonize_alt() -> str:
     return _harmonize(S.BELIEF_CODES_ONE_ALT, S.BELIEF_CODES_ZERO_ALT)
 
 
+def glm_cells() -> str:
+    from wavestat.sources.respondents import ADAPTER_SWING_BY_YEAR
+    items = S.CORE_ITEMS
+    ctes = f"""sw AS ({swing_values_sql(ADAPTER_SWING_BY_YEAR)}),
+d AS (SELECT r.*, CAST(party = 'REPUBLICAN' AS DOUBLE) AS rep_party, CAST(party = 'DEMOCRAT' AS DOUBLE) AS dem_party,
+             CAST(CASE WHEN sw.year IS NOT NULL THEN 1.0 ELSE 0.0 END AS DOUBLE) AS swing_state
+      FROM resp r LEFT JOIN sw ON r.year = sw.year AND r.state = sw.state),
+long AS ({union_long('d', ['year', 'weight', 'rep_party', 'dem_party', 'swing_state'], items, 'item', 'y')}),
+l2 AS (SELECT *, (y IS NOT NULL AND rep_party IS NOT NULL AND dem_party IS NOT NULL AND swing_state IS NOT NULL
+                  AND weight IS NOT NULL) AS complete FROM long WHERE y IS NOT NULL)"""
+    body = f"""SELECT year, item, complete, CASE WHEN complete THEN y END AS y,
+  CASE WHEN complete THEN rep_party END AS x1, CASE WHEN complete THEN dem_party END AS x2,
+  CASE WHEN complete THEN swing_state END AS x3, count(*) AS n,
+  {r6('sum(CASE WHEN complete THEN weight END)', 'sw')},
+  {r6('sum(CASE WHEN complete THEN weight * weight END)', 'sw2')}
+FROM l2 GROUP BY 1, 2, 3, 4, 5, 6, 7"""
+    return with_resp(body, ctes)
+
+
 ORACLES = {
     "harmonize_combined": harmonize_combined,
     "harmonize_alt": harmonize_alt,
@@ -537,6 +557,7 @@ ORACLES = {
     "swing_effect": swing_effect,
     "effect_trend": effect_trend,
     "response_patterns": response_patterns,
+    "glm_cells": glm_cells,
 }
 
 
