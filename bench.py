@@ -18,8 +18,8 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -41,8 +41,8 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
 
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus)
-    base = checkpoint_dir(spark)
-    scratch = tempfile.mkdtemp(prefix="bench-", dir=base if base.startswith("/") else None)
+    # scratch under the shared checkpoint folder (never a machine-local folder)
+    scratch = f"{checkpoint_dir(spark).rstrip('/')}/bench-{uuid.uuid4().hex}"
     times: dict[str, float] = {}
 
     t0 = time.time()

@@ -21,42 +21,68 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in set(exclude)]
 
 
+ZERO_VAR_RTOL = 1e-10  # centred sum of squares below this share of the raw one counts as zero
+
+
 def pairwise_correlation(df: DataFrame, cols: Sequence[str], row_col: str = "row_var",
                          col_col: str = "col_var", value_col: str = "r") -> DataFrame:
     """Pearson r for every ordered pair on pairwise-complete rows.
 
-    Each row is expanded (``inline``, pipelined inside whole-stage codegen) to
-    one ``(i, j, x, y)`` entry per unordered pair with both values present;
-    one aggregation by pair then computes ``covar_samp`` and both
-    ``var_samp`` (numerically stable central moments; partial aggregation
-    leaves one row per pair and partition before the shuffle).  Zero
-    variance or fewer than two complete rows gives NULL (no error).
-    Output: ``(row_var, col_var, r)`` for all len(cols)^2 ordered pairs.
+    With z_i = x_i - c_i (0 when x_i is NULL; c_i the column mean, so the raw
+    sums do not cancel) and m_i = 1 when x_i is present, every
+    pairwise-complete moment is an entry of four cross-product matrices:
+
+        n_ij = sum m_i m_j,  Sx_ij = sum z_i m_j,  Sxx_ij = sum z_i^2 m_j,  Sxy_ij = sum z_i z_j
+
+    Pass 1 computes the p column means (p numbers to the driver); pass 2 is
+    one aggregation of plain multiply-adds per row (whole-stage codegen when
+    ``spark.sql.codegen.maxFields`` covers the ~4 p^2 sums), partial per task,
+    one row shuffled per task.  The single row of sums (size bounded by the
+    column count) is turned into r on the driver.  Zero variance or fewer than
+    two complete rows gives NULL.  Output: (row_var, col_var, r) for all
+    len(cols)^2 ordered pairs.
     """
     cols = list(cols)
-    entries = []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            entries.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                                    F.col(cols[i]).cast("double").alias("x"),
-                                    F.col(cols[j]).cast("double").alias("y")))
-    long = df.select(F.inline(F.array(*entries))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    mom = long.groupBy("i", "j").agg(F.covar_samp("x", "y").alias("c"), F.var_samp("x").alias("vx"),
-                                     F.var_samp("y").alias("vy"))
-    r = F.try_divide(F.col("c"), F.sqrt(F.col("vx") * F.col("vy")))
-    names = F.array(*[F.lit(c) for c in cols])
-    both = mom.select("i", "j", r.alias("r")).select(F.inline(F.array(
-        F.struct(F.col("i").alias("a"), F.col("j").alias("b"), F.col("r").alias("r")),
-        F.struct(F.col("j").alias("a"), F.col("i").alias("b"), F.col("r").alias("r")))))
-    both = both.filter(F.col("a") != F.col("b")).unionByName(
-        mom.filter(F.col("i") == F.col("j")).select(F.col("i").alias("a"), F.col("j").alias("b"), r.alias("r")))
-    # every pair appears even when no row has both values (then r is NULL)
     p = len(cols)
-    grid = df.sparkSession.createDataFrame([(a, b) for a in range(p) for b in range(p)], "a int, b int")
-    full = grid.join(F.broadcast(both), ["a", "b"], "left")
-    return full.select(F.element_at(names, F.col("a") + 1).alias(row_col),
-                       F.element_at(names, F.col("b") + 1).alias(col_col),
-                       F.col("r").alias(value_col))
+    mrow = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)]).collect()[0]
+    shift = [float(mrow[f"c{i}"]) if mrow[f"c{i}"] is not None else 0.0 for i in range(p)]
+    proj = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        proj += [F.coalesce(x - F.lit(shift[i]), F.lit(0.0)).alias(f"z{i}"),
+                 x.isNotNull().cast("double").alias(f"m{i}")]
+    staged = df.select(*proj)
+    aggs = []
+    for i in range(p):
+        for j in range(p):
+            if j >= i:
+                aggs += [F.expr(f"sum(m{i} * m{j}) AS n{i}_{j}"), F.expr(f"sum(z{i} * z{j}) AS c{i}_{j}")]
+            aggs += [F.expr(f"sum(z{i} * m{j}) AS a{i}_{j}"), F.expr(f"sum(z{i} * z{i} * m{j}) AS b{i}_{j}")]
+    row = staged.agg(*aggs).collect()[0]  # one row of ~4 p^2 sums (bounded by the column count)
+    n = np.empty((p, p))
+    sxy = np.empty((p, p))
+    a = np.empty((p, p))
+    b = np.empty((p, p))
+    for i in range(p):
+        for j in range(p):
+            lo, hi = min(i, j), max(i, j)
+            n[i, j] = row[f"n{lo}_{hi}"] or 0.0
+            sxy[i, j] = row[f"c{lo}_{hi}"] or 0.0
+            a[i, j] = row[f"a{i}_{j}"] or 0.0
+            b[i, j] = row[f"b{i}_{j}"] or 0.0
+    out = []
+    for i in range(p):
+        for j in range(p):
+            vx = n[i, j] * b[i, j] - a[i, j] ** 2
+            vy = n[i, j] * b[j, i] - a[j, i] ** 2
+            r = None
+            if (n[i, j] >= 2 and vx > ZERO_VAR_RTOL * n[i, j] * b[i, j]
+                    and vy > ZERO_VAR_RTOL * n[i, j] * b[j, i]):
+                r = float((n[i, j] * sxy[i, j] - a[i, j] * a[j, i]) / np.sqrt(vx * vy))
+            out.append((cols[i], cols[j], r))
+    schema = T.StructType([T.StructField(row_col, T.StringType()), T.StructField(col_col, T.StringType()),
+                           T.StructField(value_col, T.DoubleType())])
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def _standardise_moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:

@@ -20,9 +20,10 @@ _LOCAL_DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # the model aggregates carry one buffer per entry of X'WX; keep them
-    # inside whole-stage codegen for up to ~20 predictors
-    "spark.sql.codegen.maxFields": "400",
+    # the moment aggregates (X'WX of the models, the pairwise cross-product
+    # matrices of the correlation) carry one buffer per matrix entry; keep
+    # them inside whole-stage codegen
+    "spark.sql.codegen.maxFields": "1000",
     # no Python call-site capture per Column call (driver-side overhead only)
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
