@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavestat import study as S
-from wavestat.functions import binary_response, code_text, in_set, lookup, nullify
+from wavestat.functions import code_text, lookup, nullify
 
 
 @dataclass(frozen=True)
@@ -75,6 +75,39 @@ def _to_number(c: Column, dtype: T.DataType, target: str) -> Column:
     return as_double if target == "double" else as_double.try_cast(target)
 
 
+def _as_number(v: str) -> float | None:
+    try:
+        return float(v)
+    except ValueError:
+        return None
+
+
+def _first_match_map(targets: Sequence[tuple[object, Sequence[str]]], numeric: bool = False) -> Column:
+    """Literal map source value -> target, the first listing of a value wins (the
+    same result as a CASE over the lists in order).
+
+    ``numeric``: keys for a numeric source column -- the values that read as
+    numbers, as doubles (a number never equals answer text, so text values
+    drop out; ``1.0`` matches code ``"1"`` as its text form would).
+    """
+    pairs: dict = {}
+    for target, sources in targets:
+        for v in sources:
+            key = _as_number(v) if numeric else v
+            if key is not None:
+                pairs.setdefault(key, target)
+    if not pairs:
+        return F.create_map().cast(T.MapType(T.DoubleType() if numeric else T.StringType(), T.StringType()))
+    args = []
+    for k, v in pairs.items():
+        args += [F.lit(k), F.lit(v)]
+    return F.create_map(*args)
+
+
+def _belief_targets(coding: ResponseCoding) -> list[tuple[float, Sequence[str]]]:
+    return [(1.0, coding.text_one), (0.0, coding.text_zero), (1.0, coding.codes_one), (0.0, coding.codes_zero)]
+
+
 def harmonize_wave(df: DataFrame, sources: Sequence[str], year: int, rules: HarmonizeRules = HarmonizeRules(),
                    codebook: Mapping[str, Mapping[str, str]] | None = None,
                    codebook_keeps_text: Sequence[str] = (), not_asked: str = S.NOT_ASKED) -> DataFrame:
@@ -99,6 +132,7 @@ def harmonize_wave(df: DataFrame, sources: Sequence[str], year: int, rules: Harm
         return F.col(f"__c{i}"), types[i]
 
     texts: dict[str, Column] = {}
+    maps: dict[tuple, Column] = {}
 
     def text(target: str) -> Column:
         """Upper-cased text form of the wave's column (built once, reused)."""
@@ -107,6 +141,21 @@ def harmonize_wave(df: DataFrame, sources: Sequence[str], year: int, rules: Harm
             texts[target] = F.lit(None).cast("string") if c is None else F.upper(code_text(c, t))
         return texts[target]
 
+    def is_numeric(target: str) -> bool:
+        return isinstance(source(target)[1], _NUMERIC)
+
+    def coded(target: str, name: str, targets) -> Column:
+        """Value -> target by first-match lists: numeric columns are looked up
+        as numbers (no per-row text conversion), text columns as upper text."""
+        c, t = source(target)
+        if c is None:
+            return F.lit(None)
+        numeric = isinstance(t, _NUMERIC)
+        key = (name, numeric)
+        if key not in maps:
+            maps[key] = _first_match_map(targets, numeric)
+        return maps[key][c.cast("double")] if numeric else maps[key][text(target)]
+
     out: dict[str, Column] = {}
     c, t = source("caseid")
     out["caseid"] = _to_number(c, t, "long") if c is not None else F.lit(None).cast("long")
@@ -114,9 +163,8 @@ def harmonize_wave(df: DataFrame, sources: Sequence[str], year: int, rules: Harm
     c, t = source("weight")
     out["weight"] = _to_number(c, t, "double") if c is not None else F.lit(None).cast("double")
 
-    cod = rules.coding
     for item in rules.items:
-        out[item] = binary_response(text(item), cod.text_one, cod.text_zero, cod.codes_one, cod.codes_zero)
+        out[item] = coded(item, "belief", _belief_targets(rules.coding))
 
     c, t = source("birth_year")
     out["birth_year"] = (code_text(c, t).try_cast("double").try_cast("int") if c is not None
@@ -135,12 +183,7 @@ def harmonize_wave(df: DataFrame, sources: Sequence[str], year: int, rules: Harm
 
     race = text("race")
     out["race"] = F.when(race == F.lit(rules.race_missing), F.lit(None)).otherwise(race)
-    party = text("party")
-    pexpr = None
-    for label, codes in rules.party_codes.items():
-        cond = in_set(party, codes)
-        pexpr = F.when(cond, F.lit(label)) if pexpr is None else pexpr.when(cond, F.lit(label))
-    out["party"] = pexpr.otherwise(F.lit(None).cast("string"))
+    out["party"] = coded("party", "party", list(rules.party_codes.items()))
     for col in ("confidence", "gender", "education", "ideology", "voted", "time_lived_in_residence"):
         out[col] = text(col)
 
@@ -150,10 +193,15 @@ def harmonize_wave(df: DataFrame, sources: Sequence[str], year: int, rules: Harm
 
     if codebook:
         for col, codes in codebook.items():
-            mapping = dict(codes)
-            if col in codebook_keeps_text:
-                mapping.update({lab: lab for lab in codes.values()})
-            out[col] = lookup(out[col], mapping)
+            if is_numeric(col):
+                # refusal codes and the race missing code are not codebook
+                # codes, so decoding the raw number gives the same result
+                out[col] = coded(col, f"codebook:{col}", [(lab, [code]) for code, lab in codes.items()])
+            else:
+                mapping = dict(codes)
+                if col in codebook_keeps_text:
+                    mapping.update({lab: lab for lab in codes.values()})
+                out[col] = lookup(out[col], mapping)
 
     return wave.select(*[out[name].cast(COMBINED_TYPES[name]).alias(name) for name in S.COMBINED_COLUMNS])
 
