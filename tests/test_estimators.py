@@ -176,3 +176,19 @@ def test_separated_group_is_flagged(spark):
     df = spark.createDataFrame(rows, "g double, y double, weight double").withColumn("year", F.lit(2020))
     r = binary_contrast(df, ["y"], "g").collect()[0]
     assert r.status == "separated" and r.estimate is None
+
+
+def test_model_based_variance_matches_spark_ml(spark, sim):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+    df, _ = sim
+    one = df.filter("k = 'b'")
+    fit = fit_glm(one, ["k"], "y", ["g", "x1", "x2"], variance="model")
+    ours = {r.term: r for r in fit.coefficients(spark).collect()}
+    vec = VectorAssembler(inputCols=["g", "x1", "x2"], outputCol="features").transform(one)
+    ml = GeneralizedLinearRegression(family="binomial", link="logit", weightCol="weight", labelCol="y",
+                                     tol=1e-10, maxIter=50).fit(vec)
+    se = ml.summary.coefficientStandardErrors  # coefficients..., intercept
+    for j, t in enumerate(["g", "x1", "x2"]):
+        assert math.isclose(ours[t].std_error, se[j], rel_tol=1e-4)
+    assert math.isclose(ours["(Intercept)"].std_error, se[-1], rel_tol=1e-4)

@@ -306,16 +306,22 @@ def _inv_scaled(a: np.ndarray) -> np.ndarray:
 
 def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors: Sequence[str],
             weight: str = "weight", family: str = "binomial", max_iter: int = 25, tol: float = 1e-8,
-            alias_tol: float = 1e-9) -> GlmFit:
+            alias_tol: float = 1e-9, variance: str = "sandwich") -> GlmFit:
     """Fit one weighted GLM per model-key group, all groups in the same jobs.
 
     ``df`` holds the design rows of every model (long form: one row per model
     and respondent).  Rows with a NULL outcome, predictor or weight are left
     out of the fit but count in the design size used by the variance.
     ``family``: ``"binomial"`` (logit link) or ``"gaussian"`` (identity).
+    ``variance``: ``"sandwich"`` (design-based, every row its own sampling
+    unit) or ``"model"`` (weights as frequency weights: (X'WX)^-1, times the
+    residual variance for the linear model) -- the plain weighted-GLM
+    fallback.
     """
     if family not in ("binomial", "gaussian"):
         raise ValueError("family must be 'binomial' or 'gaussian'")
+    if variance not in ("sandwich", "model"):
+        raise ValueError("variance must be 'sandwich' or 'model'")
     spark = df.sparkSession
     keys = list(model_keys)
     key_fields = [df.schema[k] for k in keys]
@@ -395,10 +401,17 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
                 ainv = _inv_scaled(gram[np.ix_(kept, kept)])
             except np.linalg.LinAlgError:
                 ainv = np.full((len(kept), len(kept)), np.nan)
-            nd = m.n_design
-            scale = nd / (nd - 1.0) if nd > 1 else float("nan")
             full = np.full((p, p), np.nan)
-            full[np.ix_(kept, kept)] = ainv @ (scale * meat[np.ix_(kept, kept)]) @ ainv
+            if variance == "model":
+                disp = 1.0
+                if family == "gaussian":
+                    dfr = m.n_fit - len(kept)
+                    disp = (m.deviance / dfr) if dfr > 0 else float("nan")
+                full[np.ix_(kept, kept)] = ainv * disp
+            else:
+                nd = m.n_design
+                scale = nd / (nd - 1.0) if nd > 1 else float("nan")
+                full[np.ix_(kept, kept)] = ainv @ (scale * meat[np.ix_(kept, kept)]) @ ainv
             est = np.full(p, np.nan)
             est[kept] = coef[k][kept]
             m.coef, m.vcov = est, full
