@@ -8,7 +8,8 @@ Plan
    Incomplete rows (any NULL outcome/predictor/weight) collapse into one cell
    per model; they count towards the design size n but not the fit.  This is
    the only pass over the data; the cells are written once to the shared
-   checkpoint folder and read back (lineage cut, survives executor loss).
+   checkpoint folder and read back (lineage cut, survives executor loss), and
+   deleted when the fit is done.
 2. **IRLS, all models at once.**  Each iteration joins the current
    coefficients (one row per model -- a configuration-sized table, checked
    before it is broadcast) to the cells and aggregates, per model, the upper
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavestat.functions import all_not_null
-from wavestat.session import materialize
+from wavestat.session import materialize_with_path, release
 
 INTERCEPT = "(Intercept)"
 MAX_MODELS = 10_000  # coefficient table broadcast bound (rows = models)
@@ -328,7 +329,7 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
     terms = [INTERCEPT, *predictors]
     p = len(terms)
 
-    cells = materialize(glm_cells(df, keys, outcome, predictors, weight), "glm-cells")
+    cells, cells_path = materialize_with_path(glm_cells(df, keys, outcome, predictors, weight), "glm-cells")
 
     sizes = {tuple(r[k] for k in keys): (int(r["n_design"]), int(r["n_fit"] or 0))
              for r in cells.groupBy(*keys).agg(
@@ -419,5 +420,6 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
             m.ame_grad = np.array([r[f"a{j}"] for j in range(p)], dtype=float)
 
     fit_cells.unpersist()
+    release(spark, cells_path)  # results are on the driver; the cell files are no longer read
     ordered = [models[k] for k in sorted(models, key=lambda t: tuple(str(x) for x in t))]
     return GlmFit(keys, key_fields, terms, family, ordered)

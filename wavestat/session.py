@@ -82,3 +82,21 @@ def materialize(df, name: str):
     path = f"{base}/wavestat-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize_with_path(df, name: str):
+    """``materialize`` that also returns the written folder (for ``release``)."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/wavestat-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), path
+
+
+def release(spark, path: str) -> None:
+    """Delete a folder written by ``materialize_with_path`` once nothing reads it."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hpath, True)
