@@ -87,3 +87,18 @@ def test_union_casts_to_fixed_schema(spark):
     out = combine_waves([harmonize_wave(a, src, 2008), harmonize_wave(b, src, 2012)])
     assert same_types(out.schema, COMBINED_SCHEMA)
     assert sorted((r.caseid, r.weight, r.birth_year) for r in out.collect()) == [(1, 1.0, 1970), (2, 2.5, 1980)]
+
+
+def test_csv_wave_file_all_text(spark, tmp_path):
+    from wavestat.sources.waves import read_wave
+    path = str(tmp_path / "wave.csv")
+    with open(path, "w") as f:
+        f.write("caseid,weight,Q37A,pid3,inputstate,birthyr\n")
+        f.write("11,1.25,2,1,Ohio,1980\n12,0.75,4,REPUBLICAN,Texas,x\n13,1.0,,3,,\n")
+    df = read_wave(spark, path, "csv")
+    src = manifest(voting_more_than_once="Q37A", party="pid3", state="inputstate", birth_year="birthyr",
+                   **{c: "X" for c in S.HARMONISED_COLUMNS
+                      if c not in ("caseid", "weight", "voting_more_than_once", "party", "state", "birth_year")})
+    got = {r.caseid: (r.weight, r.voting_more_than_once, r.party, r.state, r.birth_year)
+           for r in combine_waves([harmonize_wave(df, src, 2014)]).collect()}
+    assert got == {11: (1.25, 1.0, "DEMOCRAT", "OHIO", 1980), 12: (0.75, 0.0, "REPUBLICAN", "TEXAS", None)}

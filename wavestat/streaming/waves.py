@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from wavestat import study as S
 from wavestat.operators.harmonize import HarmonizeRules, combine_waves, harmonize_wave
 
 
@@ -41,4 +40,4 @@ def append_waves_stream(harmonised: DataFrame, combined_path: str, checkpoint: s
     return writer.start()
 
 
-__all__ = ["harmonize_wave_stream", "append_waves_stream", "S"]
+__all__ = ["harmonize_wave_stream", "append_waves_stream"]
