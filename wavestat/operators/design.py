@@ -40,8 +40,6 @@ def flag_table(spark: SparkSession, sets_by_key: Mapping[object, Sequence[str]],
                key_type: T.DataType = T.IntegerType()) -> DataFrame:
     """Dimension ``(key, value)`` from a per-key set configuration."""
     rows = [(k, v) for k, vals in sets_by_key.items() for v in dict.fromkeys(vals)]
-    if len(rows) > MAX_BROADCAST_FLAG_ROWS:
-        raise ValueError(f"flag dimension has {len(rows)} rows; too large to broadcast")
     schema = T.StructType([T.StructField(key_col, key_type, False),
                            T.StructField(value_col, T.StringType(), False)])
     return spark.createDataFrame(rows, schema)
@@ -50,11 +48,14 @@ def flag_table(spark: SparkSession, sets_by_key: Mapping[object, Sequence[str]],
 def add_set_flag(df: DataFrame, flags: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
     """1.0 when the row's ``keys`` appear in ``flags``, else 0.0 (NULL key -> 0.0).
 
-    ``flags`` is a configuration dimension whose size was checked by
-    ``flag_table``; it is broadcast, so the large side is not shuffled.
+    ``flags`` is a dimension (e.g. from ``flag_table``).  Its distinct keys are
+    counted first: up to ``MAX_BROADCAST_FLAG_ROWS`` it is broadcast, so the
+    large side is not shuffled; beyond that it is a plain left join (shuffle,
+    planned by AQE).
     """
     marked = flags.select(*keys).distinct().withColumn("__flag", F.lit(1.0))
-    joined = df.join(F.broadcast(marked), list(keys), "left")
+    small = marked.count() <= MAX_BROADCAST_FLAG_ROWS  # configuration-sized: a cheap job
+    joined = df.join(F.broadcast(marked) if small else marked, list(keys), "left")
     return joined.withColumn(out, F.coalesce(F.col("__flag"), F.lit(0.0))).drop("__flag")
 
 

@@ -11,8 +11,8 @@ Plan
    checkpoint folder and read back (lineage cut, survives executor loss), and
    deleted when the fit is done.
 2. **IRLS, all models at once.**  Each iteration joins the current
-   coefficients (one row per model -- a configuration-sized table, checked
-   before it is broadcast) to the cells and aggregates, per model, the upper
+   coefficients (one row per model; broadcast up to a checked model count,
+   shuffle-joined beyond it) to the cells and aggregates, per model, the upper
    triangle of X'WX, the score X'W(y - mu), the deviance, the meat
    sum w^2 (y - mu)^2 x x' and the marginal-effect sums.  The driver solves the
    p x p systems.  Converged models leave the active set.
@@ -39,7 +39,7 @@ from wavestat.functions import all_not_null
 from wavestat.session import materialize_with_path, release
 
 INTERCEPT = "(Intercept)"
-MAX_MODELS = 10_000  # coefficient table broadcast bound (rows = models)
+MAX_BROADCAST_MODELS = 100_000  # coefficient table broadcast bound (rows = models)
 
 OK = "ok"
 NO_DATA = "no_data"
@@ -216,7 +216,7 @@ def glm_cells(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors
 
 
 def _pass_aggregate(cells: DataFrame, beta: DataFrame, model_keys: list[str], p: int, family: str,
-                    final: bool) -> DataFrame:
+                    final: bool, broadcast: bool = True) -> DataFrame:
     """One pass over the cells at the current coefficients, per model.
 
     IRLS passes: upper triangle of X'WX, score X'W(y - mu), deviance.
@@ -226,7 +226,7 @@ def _pass_aggregate(cells: DataFrame, beta: DataFrame, model_keys: list[str], p:
     compiled code path.
     """
     x = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(1, p)]
-    joined = cells.join(F.broadcast(beta), model_keys, "inner")
+    joined = cells.join(F.broadcast(beta) if broadcast else beta, model_keys, "inner")
     eta = F.col("b0")
     for i in range(1, p):
         eta = eta + F.col(f"b{i}") * x[i]
@@ -335,8 +335,9 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
              for r in cells.groupBy(*keys).agg(
                  F.sum("n").alias("n_design"),
                  F.sum(F.when(F.col("complete"), F.col("n"))).alias("n_fit")).collect()}
-    if len(sizes) > MAX_MODELS:
-        raise ValueError(f"{len(sizes)} models exceed the batch bound {MAX_MODELS}")
+    # the coefficient table has one row per model: broadcast it while that
+    # count is small, else join it by shuffle
+    bcast = len(sizes) <= MAX_BROADCAST_MODELS
     # the passes re-read these cells: keep them in memory (a lost block is
     # re-read from the written cell files, not recomputed from the raw data)
     fit_cells = cells.filter(F.col("complete")).drop("complete").persist()
@@ -358,7 +359,7 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
         if not active:
             break
         rows = _pass_aggregate(fit_cells, beta_table(sorted(active, key=str)), keys, p, family,
-                               final=False).collect()
+                               final=False, broadcast=bcast).collect()
         for r in rows:
             k = tuple(r[c] for c in keys)
             m = models[k]
@@ -392,7 +393,7 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
 
     if done:
         final_rows = _pass_aggregate(fit_cells, beta_table(sorted(done, key=str)), keys, p, family,
-                                     final=True).collect()
+                                     final=True, broadcast=bcast).collect()
         for r in final_rows:
             k = tuple(r[c] for c in keys)
             m = models[k]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_ITEMS = 20  # 2^20 patterns at most
+MAX_BROADCAST_PATTERNS = 100_000  # pattern-score tables above this are shuffle-joined
 
 
 def response_patterns(df: DataFrame, items: Sequence[str], count_col: str = "n") -> DataFrame:
@@ -130,12 +131,19 @@ def item_parameters(spark, fit: dict) -> DataFrame:
     return spark.createDataFrame(rows, "item string, a double, d double, b double")
 
 
-def attach_scores(df: DataFrame, scores: DataFrame, items: Sequence[str], score_col: str = "score") -> DataFrame:
-    """Join each row to its pattern's score (broadcast: <= 2^k pattern rows)."""
+def attach_scores(df: DataFrame, scores: DataFrame, items: Sequence[str], score_col: str = "score",
+                  n_patterns: int | None = None) -> DataFrame:
+    """Join each row to its pattern's score.
+
+    The score table has one row per observed pattern (at most 2^k for k
+    binary items); it is broadcast when ``n_patterns`` (known on the driver
+    from the fit) is at most ``MAX_BROADCAST_PATTERNS``, else shuffle-joined.
+    """
     keyed = scores.select(*[F.col(c).alias(f"__p_{c}") for c in items], score_col)
     cond = None
     for c in items:
         e = F.col(c).cast("double") == F.col(f"__p_{c}")
         cond = e if cond is None else cond & e
-    out = df.join(F.broadcast(keyed), cond, "left")
+    small = n_patterns is not None and n_patterns <= MAX_BROADCAST_PATTERNS
+    out = df.join(F.broadcast(keyed) if small else keyed, cond, "left")
     return out.drop(*[f"__p_{c}" for c in items])
