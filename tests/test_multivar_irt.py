@@ -62,7 +62,9 @@ def test_2pl_recovers_parameters(spark):
     th = rng.standard_normal(20000)
     x = (rng.random((20000, 6)) < 1 / (1 + np.exp(-(np.outer(th, a_true) + d_true)))).astype(float)
     items = [f"i{j}" for j in range(6)]
-    df = spark.createDataFrame(pd.DataFrame(x, columns=items))
+    pdf = pd.DataFrame(x, columns=items)
+    pdf.insert(0, "rid", np.arange(len(pdf)))
+    df = spark.createDataFrame(pdf)
     fit = fit_2pl(df, items)
     assert np.max(np.abs(fit["a"] - a_true)) < 0.15
     assert np.max(np.abs(fit["d"] - d_true)) < 0.1
@@ -71,5 +73,5 @@ def test_2pl_recovers_parameters(spark):
     scored = attach_scores(df, scores, items, "score")
     assert scored.count() == 20000 and scored.filter("score is null").count() == 0
     # EAP correlates with the true ability
-    s = np.array([r.score for r in scored.select("score").collect()])
+    s = np.array([r.score for r in scored.select("rid", "score").orderBy("rid").collect()])
     assert np.corrcoef(s, th)[0, 1] > 0.7
