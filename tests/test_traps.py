@@ -98,3 +98,12 @@ def test_empty_weight_sum_is_zero(spark):
     from wavestat.operators.shares import weighted_counts
     df = spark.createDataFrame([("a", None)], "k string, weight double")
     assert rows(weighted_counts(df, ["k"]), "k", "weighted_n") == [("a", 0.0)]
+
+
+def test_binary_response_text_and_codes(spark):
+    from wavestat.functions import binary_response
+    df = spark.createDataFrame([("IT IS VERY COMMON",), ("IT ALMOST NEVER OCCURS",), ("2",), ("3",), ("9",),
+                                (None,)], "t string")
+    out = df.select(binary_response(F.col("t"), ["IT IS VERY COMMON"], ["IT ALMOST NEVER OCCURS"],
+                                    ["1", "2"], ["3", "4"]).alias("v"))
+    assert rows(out, "v") == [(1.0,), (0.0,), (1.0,), (0.0,), (None,), (None,)]
