@@ -5,8 +5,8 @@ respondent schema (one row per line item) so every product runs on data that
 grows with the tables.  It only shapes columns; no product logic lives here.
 
 Join plan: lineitem -> orders -> customer are large and sort-merge/shuffle-hash
-joined on their keys (AQE re-plans at run time); ``nation`` is the fixed
-25-row TPC-H dimension and is broadcast.
+joined on their keys (AQE re-plans at run time, skew join on); ``nation`` is
+the 25-row TPC-H dimension and is broadcast after a size check.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from wavestat.sources.tables import read_table
 SHIP_YEAR_TO_SURVEY = [(1995, 2008), (1996, 2012), (1997, 2014), (1998, 2016),
                        (1999, 2020), (2000, 2022)]
 LAST_SURVEY_YEAR = 2024
+MAX_BROADCAST_DIMENSION_ROWS = 100_000
 
 
 def _item(null_cond, one_cond):
@@ -36,8 +37,10 @@ def respondents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_shipdate"])
     orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderpriority"])
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
-    # nation: fixed 25-row dimension, safe to broadcast at any scale factor
-    nation = F.broadcast(read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]))
+    # nation: a 25-row dimension in every TPC-H scale; broadcast behind a size check
+    nation = read_table(spark, sf_dir, "nation", ["n_nationkey", "n_name"])
+    if nation.count() <= MAX_BROADCAST_DIMENSION_ROWS:
+        nation = F.broadcast(nation)
 
     joined = (li.join(orders, li.l_orderkey == orders.o_orderkey)
               .join(customer, orders.o_custkey == customer.c_custkey)
