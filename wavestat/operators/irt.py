@@ -34,7 +34,12 @@ def response_patterns(df: DataFrame, items: Sequence[str], count_col: str = "n")
 def _collect_patterns(df: DataFrame, items: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(items) > MAX_ITEMS:
         raise ValueError(f"{len(items)} items: pattern table may exceed 2^{MAX_ITEMS} rows")
-    pats = response_patterns(df, items).collect()  # <= 2^k rows (binary items)
+    bound = 2 ** len(items)
+    # at most 2^k patterns exist for binary answers; fetch one more to detect
+    # non-binary input without ever pulling an unbounded table to the driver
+    pats = response_patterns(df, items).limit(bound + 1).collect()
+    if len(pats) > bound:
+        raise ValueError("more than 2^k answer patterns: 2PL items must be complete 0/1 answers")
     x = np.array([[float(r[c]) for c in items] for r in pats], dtype=float)
     n = np.array([float(r["n"]) for r in pats], dtype=float)
     if x.size and not np.all(np.isin(x, (0.0, 1.0))):
