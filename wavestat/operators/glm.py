@@ -40,6 +40,7 @@ from wavestat.session import materialize_with_path, release
 
 INTERCEPT = "(Intercept)"
 MAX_BROADCAST_MODELS = 100_000  # coefficient table broadcast bound (rows = models)
+MAX_MODELS = 1_000_000  # per-model p x p results come to the driver: bound the batch
 
 OK = "ok"
 NO_DATA = "no_data"
@@ -331,10 +332,12 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
 
     cells, cells_path = materialize_with_path(glm_cells(df, keys, outcome, predictors, weight), "glm-cells")
 
-    sizes = {tuple(r[k] for k in keys): (int(r["n_design"]), int(r["n_fit"] or 0))
-             for r in cells.groupBy(*keys).agg(
-                 F.sum("n").alias("n_design"),
-                 F.sum(F.when(F.col("complete"), F.col("n"))).alias("n_fit")).collect()}
+    size_rows = cells.groupBy(*keys).agg(
+        F.sum("n").alias("n_design"),
+        F.sum(F.when(F.col("complete"), F.col("n"))).alias("n_fit")).limit(MAX_MODELS + 1).collect()
+    if len(size_rows) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models in one batch; split the model keys")
+    sizes = {tuple(r[k] for k in keys): (int(r["n_design"]), int(r["n_fit"] or 0)) for r in size_rows}
     # the coefficient table has one row per model: broadcast it while that
     # count is small, else join it by shuffle
     bcast = len(sizes) <= MAX_BROADCAST_MODELS
