@@ -192,3 +192,21 @@ def test_model_based_variance_matches_spark_ml(spark, sim):
     for j, t in enumerate(["g", "x1", "x2"]):
         assert math.isclose(ours[t].std_error, se[j], rel_tol=1e-4)
     assert math.isclose(ours["(Intercept)"].std_error, se[-1], rel_tol=1e-4)
+
+
+def test_discrete_change_marginal_effect(spark, sim):
+    df, d = sim
+    fit = fit_glm(df.filter("k = 'a'"), ["k"], "y", ["g", "x1", "x2"], difference_terms=["g"])
+    me = fit.marginal_effects(spark, ["g"], kind="difference").collect()[0]
+    m = d["k"] == "a"
+    X = np.column_stack([np.ones(m.sum()), d["g"][m], d["x1"][m], d["x2"][m]])
+    beta, v, _ = numpy_logit(X, d["y"][m], d["w"][m])
+
+    def change(b):
+        x1, x0 = X.copy(), X.copy()
+        x1[:, 1], x0[:, 1] = 1.0, 0.0
+        return np.mean(1 / (1 + np.exp(-x1 @ b)) - 1 / (1 + np.exp(-x0 @ b)))
+
+    grad = np.array([(change(beta + h) - change(beta - h)) / 2e-6 for h in np.eye(4) * 1e-6])
+    assert math.isclose(me.estimate, change(beta), rel_tol=1e-6)
+    assert math.isclose(me.std_error, math.sqrt(grad @ v @ grad), rel_tol=1e-5)

@@ -116,6 +116,7 @@ class ModelFit:
     ame_sum: float | None = None           # sum n mu (1 - mu) over fit cells
     ame_grad: np.ndarray | None = None     # sum n mu (1 - mu) (1 - 2 mu) x
     deviance: float | None = None
+    diff: dict = field(default_factory=dict)  # term index -> (sum n (mu1 - mu0), gradient)
 
 
 class GlmFit:
@@ -160,13 +161,18 @@ class GlmFit:
             T.StructField("iterations", T.IntegerType()), T.StructField("status", T.StringType())])
         return spark.createDataFrame(rows, schema)
 
-    def marginal_effects(self, spark: SparkSession, terms: Sequence[str]) -> DataFrame:
+    def marginal_effects(self, spark: SparkSession, terms: Sequence[str], kind: str = "derivative") -> DataFrame:
         """Average marginal effect on the response scale of numeric ``terms``.
 
-        Derivative form, averaged (unweighted) over the rows used by the fit:
-        AME_j = beta_j mean(mu (1 - mu)) for the logit, beta_j for the linear
-        model; delta-method standard error with the design-based covariance.
+        ``kind="derivative"``: averaged (unweighted) over the rows used by the
+        fit, AME_j = beta_j mean(mu (1 - mu)) for the logit.
+        ``kind="difference"`` (0/1 regressors; the terms must have been listed
+        in ``fit_glm(difference_terms=...)``): mean of mu(x_j = 1) - mu(x_j = 0).
+        The linear model gives beta_j either way.  Delta-method standard error
+        with the fit's covariance.
         """
+        if kind not in ("derivative", "difference"):
+            raise ValueError("kind must be 'derivative' or 'difference'")
         rows = []
         for m in self.models:
             for term in terms:
@@ -175,7 +181,13 @@ class GlmFit:
                 if m.coef is not None and j in m.kept and m.n_fit > 0:
                     kept = m.kept
                     g = np.zeros(len(self.terms))
-                    if self.family == "binomial":
+                    if self.family == "binomial" and kind == "difference":
+                        if j not in m.diff:
+                            raise ValueError(f"{term} was not listed in difference_terms")
+                        dsum, dgrad = m.diff[j]
+                        est = float(dsum / m.n_fit)
+                        g[kept] = dgrad[kept] / m.n_fit
+                    elif self.family == "binomial":
                         s1 = m.ame_sum / m.n_fit
                         est = float(m.coef[j] * s1)
                         g[kept] = m.coef[j] * m.ame_grad[kept] / m.n_fit
@@ -217,12 +229,14 @@ def glm_cells(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors
 
 
 def _pass_aggregate(cells: DataFrame, beta: DataFrame, model_keys: list[str], p: int, family: str,
-                    final: bool, broadcast: bool = True) -> DataFrame:
+                    final: bool, broadcast: bool = True, diff_terms: Sequence[int] = ()) -> DataFrame:
     """One pass over the cells at the current coefficients, per model.
 
     IRLS passes: upper triangle of X'WX, score X'W(y - mu), deviance.
     Final pass: X'WX again plus the sandwich meat sum w^2 (y - mu)^2 x x' and
-    the marginal-effect sums.  Every pass joins the (broadcast, model-count
+    the marginal-effect sums (derivative form; for ``diff_terms`` also the
+    discrete change mu(x_j = 1) - mu(x_j = 0) and its gradient).  Every pass
+    joins the (broadcast, model-count
     sized) coefficient table, so all IRLS passes share one plan shape and one
     compiled code path.
     """
@@ -245,6 +259,14 @@ def _pass_aggregate(cells: DataFrame, beta: DataFrame, model_keys: list[str], p:
     if final:
         cols += [(sw2 * (y - mu) * (y - mu)).alias("__m"), (n * var_mu).alias("__a1"),
                  (n * var_mu * (F.lit(1.0) - F.lit(2.0) * mu)).alias("__a2"), n.alias("__n")]
+        if family == "binomial":
+            for j in diff_terms:
+                bj, xj = F.col(f"b{j}"), x[j]
+                mu1 = F.lit(1.0) / (F.lit(1.0) + F.exp(-(eta + bj * (F.lit(1.0) - xj))))
+                mu0 = F.lit(1.0) / (F.lit(1.0) + F.exp(-(eta - bj * xj)))
+                cols += [(n * (mu1 - mu0)).alias(f"__d{j}"),
+                         (n * mu1 * (F.lit(1.0) - mu1)).alias(f"__v1_{j}"),
+                         (n * mu0 * (F.lit(1.0) - mu0)).alias(f"__v0_{j}")]
     else:
         cols += [(sw * (y - mu)).alias("__r"), dev.alias("__dev")]
     staged = joined.select(*cols)
@@ -258,6 +280,12 @@ def _pass_aggregate(cells: DataFrame, beta: DataFrame, model_keys: list[str], p:
         aggs.append(F.expr(f"sum(__a2 * __x{j}) AS a{j}") if final else F.expr(f"sum(__r * __x{j}) AS s{j}"))
     if final:
         aggs += [F.expr("sum(__a1) AS a_sum"), F.expr("sum(__n) AS n_fit")]
+        if family == "binomial":
+            for j in diff_terms:
+                aggs.append(F.expr(f"sum(__d{j}) AS d{j}"))
+                for k in range(p):
+                    term = f"__v1_{j}" if k == j else f"(__v1_{j} - __v0_{j}) * __x{k}"
+                    aggs.append(F.expr(f"sum({term}) AS dg{j}_{k}"))
     else:
         aggs.append(F.expr("sum(__dev) AS dev"))
     return staged.groupBy(*model_keys).agg(*aggs)
@@ -308,13 +336,16 @@ def _inv_scaled(a: np.ndarray) -> np.ndarray:
 
 def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors: Sequence[str],
             weight: str = "weight", family: str = "binomial", max_iter: int = 25, tol: float = 1e-8,
-            alias_tol: float = 1e-9, variance: str = "sandwich") -> GlmFit:
+            alias_tol: float = 1e-9, variance: str = "sandwich",
+            difference_terms: Sequence[str] = ()) -> GlmFit:
     """Fit one weighted GLM per model-key group, all groups in the same jobs.
 
     ``df`` holds the design rows of every model (long form: one row per model
     and respondent).  Rows with a NULL outcome, predictor or weight are left
     out of the fit but count in the design size used by the variance.
     ``family``: ``"binomial"`` (logit link) or ``"gaussian"`` (identity).
+    ``difference_terms``: 0/1 predictors whose discrete-change marginal
+    effect ``GlmFit.marginal_effects(kind="difference")`` will report.
     ``variance``: ``"sandwich"`` (design-based, every row its own sampling
     unit) or ``"model"`` (weights as frequency weights: (X'WX)^-1, times the
     residual variance for the linear model) -- the plain weighted-GLM
@@ -395,8 +426,9 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
     done |= active  # max_iter reached: keep status not_converged, report last coefficients
 
     if done:
+        diff_idx = [terms.index(t) for t in difference_terms]
         final_rows = _pass_aggregate(fit_cells, beta_table(sorted(done, key=str)), keys, p, family,
-                                     final=True, broadcast=bcast).collect()
+                                     final=True, broadcast=bcast, diff_terms=diff_idx).collect()
         for r in final_rows:
             k = tuple(r[c] for c in keys)
             m = models[k]
@@ -422,6 +454,9 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
             m.coef, m.vcov = est, full
             m.ame_sum = float(r["a_sum"])
             m.ame_grad = np.array([r[f"a{j}"] for j in range(p)], dtype=float)
+            if family == "binomial":
+                m.diff = {j: (float(r[f"d{j}"]), np.array([r[f"dg{j}_{k}"] for k in range(p)], dtype=float))
+                          for j in diff_idx}
 
     fit_cells.unpersist()
     release(spark, cells_path)  # results are on the driver; the cell files are no longer read

@@ -95,13 +95,14 @@ def effect_trend(effects: DataFrame, keys=("item", "term"), years=S.SURVEY_YEARS
 # ----------------------------------------------------------------------------
 
 def party_effects(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
-                  labels=S.EFFECT_LABELS) -> DataFrame:
+                  labels=S.EFFECT_LABELS, kind: str = "derivative") -> DataFrame:
     """Average marginal effect of Republican / Democrat (vs Independent) on
     each belief, per year, from a survey-weighted logit that also controls for
     swing-state residence.  All (year, item) models are fitted together.
 
     Model rows: non-NULL belief; rows without a party stay in the design
-    (n) but not in the fit.
+    (n) but not in the fit.  ``kind``: ``"derivative"`` (default) or
+    ``"difference"`` (average change from party dummy 0 to 1).
     Output: year, item, fraud_label, term, party, estimate, std_error,
     ci_lower, ci_upper, n_design, n_fit, status.
     """
@@ -112,8 +113,10 @@ def party_effects(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
     long = (df.unpivot(["year", "weight", "rep_party", "dem_party", "swing_state"], list(items),
                        "item", "y")
             .filter(F.col("y").isNotNull()))
-    fit = fit_glm(long, ["year", "item"], "y", ["rep_party", "dem_party", "swing_state"])
-    me = fit.marginal_effects(resp.sparkSession, list(S.PARTY_EFFECT_TERMS))
+    terms = list(S.PARTY_EFFECT_TERMS)
+    fit = fit_glm(long, ["year", "item"], "y", ["rep_party", "dem_party", "swing_state"],
+                  difference_terms=terms if kind == "difference" else ())
+    me = fit.marginal_effects(resp.sparkSession, terms, kind=kind)
     me = me.filter(F.col("estimate").isNotNull() & F.col("std_error").isNotNull())
     return me.select(
         "year", "item", lookup("item", labels).alias("fraud_label"), "term",
