@@ -51,7 +51,7 @@ PRODUCTS: dict[str, tuple] = {
     "correlation_matrix": (RESP, D.correlation_matrix),
     "domain_mean_ci": (RESP, X.party_trend),
     "swing_effect": (SWING, X.swing_effect),
-    "effect_trend": (SWING, lambda resp, swing: X.effect_trend(X.swing_effect(resp, swing))),
+    "effect_trend": (SWING, X.swing_effect_trend),
     "glm_cells": (SWING, X.party_effect_cells),
     "party_effects": (SWING, X.party_effects),
     "party_effect_trend": (SWING, X.party_effect_trend),

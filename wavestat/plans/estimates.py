@@ -76,6 +76,18 @@ def swing_effect(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
         "beta", "beta_se", "p0", "p1", "n", "n0", "n1", "status")
 
 
+MAX_SURVEY_YEARS = 1000
+
+
+def survey_years(df: DataFrame, col: str = "year") -> list:
+    """Distinct survey years present in the data, sorted (one small job; the
+    count of distinct years is checked before it reaches the driver)."""
+    rows = df.select(col).distinct().limit(MAX_SURVEY_YEARS + 1).collect()
+    if len(rows) > MAX_SURVEY_YEARS:
+        raise ValueError(f"more than {MAX_SURVEY_YEARS} distinct values in {col}")
+    return sorted(r[col] for r in rows if r[col] is not None)
+
+
 def year_index(years=S.SURVEY_YEARS, col: str = "year"):
     """1-based position of the year among all survey years (trend x axis)."""
     return lookup(col, {y: i + 1 for i, y in enumerate(years)})
@@ -84,12 +96,20 @@ def year_index(years=S.SURVEY_YEARS, col: str = "year"):
 def effect_trend(effects: DataFrame, keys=("item", "term"), years=S.SURVEY_YEARS) -> DataFrame:
     """Least-squares trend of effect estimates over the survey-year index.
 
+    ``years``: all survey years in order (the x axis counts every year, so an
+    item first asked in the second wave starts at 2).
     Output: keys..., slope, intercept, n_points.
     """
     return linear_trend(effects.withColumn("year_index", year_index(years)), list(keys),
                         "year_index", "estimate")
 
 
+def swing_effect_trend(resp: DataFrame, swing: DataFrame) -> DataFrame:
+    """Trend of the swing-state effects over the index of the survey years
+    present in the data.  Output: item, term, slope, intercept, n_points."""
+    return effect_trend(swing_effect(resp, swing), years=survey_years(resp))
+
+
 # ----------------------------------------------------------------------------
 # Party effects (logit on party dummies + swing flag, marginal effects)
 # ----------------------------------------------------------------------------
@@ -129,7 +149,7 @@ def party_effects(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
 def party_effect_trend(resp: DataFrame, swing: DataFrame) -> DataFrame:
     """Trend line of the party effects over the survey-year index, per item
     and party.  Output: item, term, slope, intercept, n_points."""
-    return effect_trend(party_effects(resp, swing), keys=("item", "term"))
+    return effect_trend(party_effects(resp, swing), keys=("item", "term"), years=survey_years(resp))
 
 
 # ----------------------------------------------------------------------------
