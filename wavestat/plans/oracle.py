@@ -352,7 +352,7 @@ FROM a4 WHERE est IS NOT NULL AND se IS NOT NULL"""
 def effect_trend() -> str:
     idx = case_map("year", {y: i + 1 for i, y in enumerate(S.SURVEY_YEARS)})
     body = f"""SELECT item, 'swing_states' AS term, {r6(f'regr_slope(est, {idx})', 'slope')},
-  {r6(f'regr_intercept(est, {idx})', 'intercept')}, regr_count(est, {idx}) AS n_points
+  {r6(f'regr_intercept(est, {idx})', 'intercept')}, CAST(regr_count(est, {idx}) AS BIGINT) AS n_points
 FROM a4 WHERE est IS NOT NULL AND se IS NOT NULL GROUP BY item"""
     return with_resp(body, _swing_effect_ctes())
 
