@@ -48,5 +48,6 @@ def union_long(source: str, ids: Sequence[str], items: Sequence[str], name_col:
 
 
 def r6(expr: str, alias: str) -> str:
-    """Round a double result to 6 decimals, as the Spark side does."""
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {ident(alias)}"
+    """Round a double result to 6 decimals, as the Spark side does (adding 0.0
+    turns -0.0 into 0.0, which Spark's decimal-based rounding never yields)."""
+    return f"(round(CAST({expr} AS DOUBLE), 6) + CAST(0.0 AS DOUBLE)) AS {ident(alias)}"
