@@ -102,3 +102,35 @@ def test_csv_wave_file_all_text(spark, tmp_path):
     got = {r.caseid: (r.weight, r.voting_more_than_once, r.party, r.state, r.birth_year)
            for r in combine_waves([harmonize_wave(df, src, 2014)]).collect()}
     assert got == {11: (1.25, 1.0, "DEMOCRAT", "OHIO", 1980), 12: (0.75, 0.0, "REPUBLICAN", "TEXAS", None)}
+
+
+def test_main_and_alt_differ_exactly_on_code_3(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from wavestat.sources.respondents import respondents
+    from wavestat.sources.standin import standin_wave
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        return
+    key = "MITU0019_OUTPUT_50state_1"  # numeric answer codes
+    year, sources = S.WAVE_MANIFEST[key]
+    raw = standin_wave(respondents(spark, sf), key).withColumn("caseid", F.monotonically_increasing_id())
+    raw.write.parquet(str(tmp_path / "w"))
+    raw = spark.read.parquet(str(tmp_path / "w"))
+    main = harmonize_wave(raw, sources, year)
+    alt = harmonize_wave(raw, sources, year, HarmonizeRules(coding=ALT_CODING))
+    items = [t for t, s_ in zip(S.HARMONISED_COLUMNS, sources) if t in S.FRAUD_ITEMS and s_ != "X"]
+    codes = raw.select(F.col("caseid"), *[F.col(s_).alias(f"raw_{t}") for t, s_ in zip(S.HARMONISED_COLUMNS, sources)
+                                          if t in items])
+    j = (main.select("caseid", *[F.col(i).alias(f"m_{i}") for i in items])
+         .join(alt.select("caseid", *[F.col(i).alias(f"a_{i}") for i in items]), "caseid")
+         .join(codes, "caseid"))
+    assert j.count() == raw.count()
+    for i in items:
+        differ = ~F.col(f"m_{i}").eqNullSafe(F.col(f"a_{i}"))
+        code3 = F.col(f"raw_{i}") == 3.0
+        assert j.filter(differ & ~F.coalesce(code3, F.lit(False))).count() == 0
+        assert j.filter(code3 & ~((F.col(f"m_{i}") == 0.0) & (F.col(f"a_{i}") == 1.0))).count() == 0
+    assert j.filter(F.col(f"raw_{items[0]}") == 3.0).count() > 0
