@@ -2,9 +2,10 @@
 
 Plan
 ----
-1. **Cells.**  Rows are compressed to cells ``(model keys, y, x...)`` with
-   ``n``, ``sum w`` and ``sum w^2``: within a cell the residual is constant, so
-   score, information and sandwich are exact functions of those three sums.
+1. **Cells.**  Rows are compressed to cells ``(model keys, x...)`` carrying
+   ``n`` and sums of ``w``, ``w^2``, ``w y``, ``w^2 y``, ``w^2 y^2`` (logit), or
+   ``(model keys, y, x...)`` with ``n``, ``sum w``, ``sum w^2`` (linear model):
+   score, information and sandwich are exact functions of those sums.
    Incomplete rows (any NULL outcome/predictor/weight) collapse into one cell
    per model; they count towards the design size n but not the fit.  This is
    the only pass over the data; the cells are written once to the shared
@@ -212,9 +213,15 @@ class GlmFit:
 # ----------------------------------------------------------------------------
 
 def glm_cells(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors: Sequence[str],
-              weight: str = "weight") -> DataFrame:
-    """Compress design rows to cells: (keys, complete, y, x_1..x_k) -> n, sw, sw2.
-
+              weight: str = "weight", outcome_in_key: bool = True) -> DataFrame:
+    """Compress design rows to cells.
+
+    ``outcome_in_key=True``: (keys, complete, y, x_1..x_k) -> n, sw, sw2 --
+    within a cell the residual is one number, so every pass is exact.
+    ``outcome_in_key=False`` (the logit): (keys, complete, x_1..x_k) -> n, sw,
+    sw2, swy, sw2y, sw2yy; the score sum w (y - mu), the deviance and the
+    meat sum w^2 (y - mu)^2 are exact functions of these sums, and binary
+    answers need half the cells.
     Incomplete rows (any NULL outcome, predictor or weight) form one cell per
     model with ``complete = false`` and NULL y/x.
     """
@@ -224,8 +231,14 @@ def glm_cells(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors
     base = df.select(*model_keys, ok.alias("complete"),
                      F.when(ok, F.col(outcome).cast("double")).alias("y"), *xs,
                      F.when(ok, w).alias("w"))
-    return base.groupBy(*model_keys, "complete", "y", *[f"x{i + 1}" for i in range(len(predictors))]).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"))
+    xnames = [f"x{i + 1}" for i in range(len(predictors))]
+    wc, yc = F.col("w"), F.col("y")
+    aggs = [F.count(F.lit(1)).alias("n"), F.sum(wc).alias("sw"), F.sum(wc * wc).alias("sw2")]
+    if outcome_in_key:
+        return base.groupBy(*model_keys, "complete", "y", *xnames).agg(*aggs)
+    aggs += [F.sum(wc * yc).alias("swy"), F.sum(wc * wc * yc).alias("sw2y"),
+             F.sum(wc * wc * yc * yc).alias("sw2yy")]
+    return base.groupBy(*model_keys, "complete", *xnames).agg(*aggs)
 
 
 def _pass_aggregate(cells: DataFrame, beta: DataFrame, model_keys: list[str], p: int, family: str,
@@ -245,19 +258,26 @@ def _pass_aggregate(cells: DataFrame, beta: DataFrame, model_keys: list[str], p:
     eta = F.col("b0")
     for i in range(1, p):
         eta = eta + F.col(f"b{i}") * x[i]
-    y, n, sw, sw2 = F.col("y"), F.col("n").cast("double"), F.col("sw"), F.col("sw2")
+    n, sw, sw2 = F.col("n").cast("double"), F.col("sw"), F.col("sw2")
     if family == "binomial":
+        # logit cells carry outcome sums instead of y (see glm_cells)
+        swy, sw2y, sw2yy = F.col("swy"), F.col("sw2y"), F.col("sw2yy")
         mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
         var_mu = mu * (F.lit(1.0) - mu)
         muc = F.least(F.greatest(mu, F.lit(1e-300)), F.lit(1.0 - 1e-16))
-        dev = F.lit(-2.0) * sw * F.when(y > F.lit(0.5), F.log(muc)).otherwise(F.log(F.lit(1.0) - muc))
+        dev = F.lit(-2.0) * (swy * F.log(muc) + (sw - swy) * F.log(F.lit(1.0) - muc))
+        resid_w = swy - sw * mu                                    # sum w (y - mu)
+        resid_w2 = sw2yy - F.lit(2.0) * mu * sw2y + mu * mu * sw2  # sum w^2 (y - mu)^2
     else:
+        y = F.col("y")
         mu = eta
         var_mu = F.lit(1.0)
         dev = sw * (y - mu) * (y - mu)
+        resid_w = sw * (y - mu)
+        resid_w2 = sw2 * (y - mu) * (y - mu)
     cols = [*model_keys, *[xi.alias(f"__x{i}") for i, xi in enumerate(x)], (sw * var_mu).alias("__wt")]
     if final:
-        cols += [(sw2 * (y - mu) * (y - mu)).alias("__m"), (n * var_mu).alias("__a1"),
+        cols += [resid_w2.alias("__m"), (n * var_mu).alias("__a1"),
                  (n * var_mu * (F.lit(1.0) - F.lit(2.0) * mu)).alias("__a2"), n.alias("__n")]
         if family == "binomial":
             for j in diff_terms:
@@ -268,7 +288,7 @@ def _pass_aggregate(cells: DataFrame, beta: DataFrame, model_keys: list[str], p:
                          (n * mu1 * (F.lit(1.0) - mu1)).alias(f"__v1_{j}"),
                          (n * mu0 * (F.lit(1.0) - mu0)).alias(f"__v0_{j}")]
     else:
-        cols += [(sw * (y - mu)).alias("__r"), dev.alias("__dev")]
+        cols += [resid_w.alias("__r"), dev.alias("__dev")]
     staged = joined.select(*cols)
     # one SQL expression per sum: a single JVM round trip each
     aggs = []
@@ -361,7 +381,8 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
     terms = [INTERCEPT, *predictors]
     p = len(terms)
 
-    cells, cells_path = materialize_with_path(glm_cells(df, keys, outcome, predictors, weight), "glm-cells")
+    cells, cells_path = materialize_with_path(
+        glm_cells(df, keys, outcome, predictors, weight, outcome_in_key=(family != "binomial")), "glm-cells")
 
     size_rows = cells.groupBy(*keys).agg(
         F.sum("n").alias("n_design"),

@@ -363,14 +363,15 @@ def logit_table_2008(raw: DataFrame) -> DataFrame:
 
 
 def party_effect_cells(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS) -> DataFrame:
-    """The cell table the party-effect logits are fitted on (one row per
-    (year, item, complete, y, rep_party, dem_party, swing_state) with n, sum
-    of weights, sum of squared weights).  Output: year, item, complete, y,
-    x1, x2, x3, n, sw, sw2."""
+    """The cell table the party-effect logits are fitted on: one row per
+    (year, item, complete, rep_party, dem_party, swing_state) with n and the
+    sums of w, w^2, w y, w^2 y, w^2 y^2.  Output: year, item, complete, x1,
+    x2, x3, n, sw, sw2, swy, sw2y, sw2yy."""
     df = resp.select("year", "state", "party", "weight", *items).withColumns({
         "rep_party": eq_dummy("party", "REPUBLICAN"),
         "dem_party": eq_dummy("party", "DEMOCRAT")})
     df = add_set_flag(df, swing, ["year", "state"], "swing_state")
     long = (df.unpivot(["year", "weight", "rep_party", "dem_party", "swing_state"], list(items), "item", "y")
             .filter(F.col("y").isNotNull()))
-    return glm_cells(long, ["year", "item"], "y", ["rep_party", "dem_party", "swing_state"])
+    return glm_cells(long, ["year", "item"], "y", ["rep_party", "dem_party", "swing_state"],
+                     outcome_in_key=False)

@@ -528,12 +528,15 @@ d AS (SELECT r.*, CAST(party = 'REPUBLICAN' AS DOUBLE) AS rep_party, CAST(party
 long AS ({union_long('d', ['year', 'weight', 'rep_party', 'dem_party', 'swing_state'], items, 'item', 'y')}),
 l2 AS (SELECT *, (y IS NOT NULL AND rep_party IS NOT NULL AND dem_party IS NOT NULL AND swing_state IS NOT NULL
                   AND weight IS NOT NULL) AS complete FROM long WHERE y IS NOT NULL)"""
-    body = f"""SELECT year, item, complete, CASE WHEN complete THEN y END AS y,
+    body = f"""SELECT year, item, complete,
   CASE WHEN complete THEN rep_party END AS x1, CASE WHEN complete THEN dem_party END AS x2,
   CASE WHEN complete THEN swing_state END AS x3, count(*) AS n,
   {r6('sum(CASE WHEN complete THEN weight END)', 'sw')},
-  {r6('sum(CASE WHEN complete THEN weight * weight END)', 'sw2')}
-FROM l2 GROUP BY 1, 2, 3, 4, 5, 6, 7"""
+  {r6('sum(CASE WHEN complete THEN weight * weight END)', 'sw2')},
+  {r6('sum(CASE WHEN complete THEN weight * y END)', 'swy')},
+  {r6('sum(CASE WHEN complete THEN weight * weight * y END)', 'sw2y')},
+  {r6('sum(CASE WHEN complete THEN weight * weight * y * y END)', 'sw2yy')}
+FROM l2 GROUP BY 1, 2, 3, 4, 5, 6"""
     return with_resp(body, ctes)
 
 
