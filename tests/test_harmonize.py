@@ -134,3 +134,12 @@ def test_main_and_alt_differ_exactly_on_code_3(spark, tmp_path):
         assert j.filter(differ & ~F.coalesce(code3, F.lit(False))).count() == 0
         assert j.filter(code3 & ~((F.col(f"m_{i}") == 0.0) & (F.col(f"a_{i}") == 1.0))).count() == 0
     assert j.filter(F.col(f"raw_{items[0]}") == 3.0).count() > 0
+
+
+def test_numeric_column_with_text_only_codes(spark):
+    from wavestat.operators.harmonize import ResponseCoding
+    coding = ResponseCoding(codes_one=("A",), codes_zero=("B",))  # no numeric codes at all
+    df = spark.createDataFrame([(1, 1.0, 1.0), (2, 1.0, 3.0)], "caseid long, weight double, voting_more_than_once double")
+    src = manifest(**{c: "X" for c in S.HARMONISED_COLUMNS if c not in ("caseid", "weight", "voting_more_than_once")})
+    out = harmonize_wave(df, src, 2014, HarmonizeRules(coding=coding)).collect()
+    assert [r.voting_more_than_once for r in out] == [None, None]

@@ -97,7 +97,9 @@ def _first_match_map(targets: Sequence[tuple[object, Sequence[str]]], numeric: b
             if key is not None:
                 pairs.setdefault(key, target)
     if not pairs:
-        return F.create_map().cast(T.MapType(T.DoubleType() if numeric else T.StringType(), T.StringType()))
+        numeric_targets = all(isinstance(t, float) for t, _ in targets)
+        return F.create_map().cast(T.MapType(T.DoubleType() if numeric else T.StringType(),
+                                             T.DoubleType() if numeric_targets else T.StringType()))
     args = []
     for k, v in pairs.items():
         args += [F.lit(k), F.lit(v)]
