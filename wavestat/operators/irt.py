@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_ITEMS = 20  # 2^20 patterns at most
+MAX_ITEMS = 16  # at most 2^16 patterns: the EM over patterns x 61 nodes stays small on the driver
 MAX_BROADCAST_PATTERNS = 100_000  # pattern-score tables above this are shuffle-joined
 
 
