@@ -107,3 +107,9 @@ def test_binary_response_text_and_codes(spark):
     out = df.select(binary_response(F.col("t"), ["IT IS VERY COMMON"], ["IT ALMOST NEVER OCCURS"],
                                     ["1", "2"], ["3", "4"]).alias("v"))
     assert rows(out, "v") == [(1.0,), (0.0,), (1.0,), (0.0,), (None,), (None,)]
+
+
+def test_percent_label_half_even(spark):
+    from wavestat.functions import percent_label
+    df = spark.createDataFrame([(0.125,), (0.375,), (0.5,), (None,)], "p double")
+    assert rows(df.select(percent_label("p").alias("l")), "l") == [("12%",), ("38%",), ("50%",), (None,)]

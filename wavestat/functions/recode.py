@@ -183,3 +183,9 @@ def percent_tenths_text(count: ColumnOrName, total: ColumnOrName) -> Column:
 def thousands_text(count: ColumnOrName) -> Column:
     """Whole number with thousands separators, e.g. ``"12,345"``."""
     return F.format_number(_col(count).cast("long"), 0)
+
+
+def percent_label(share: ColumnOrName) -> Column:
+    """Whole-percent label of a share, e.g. 0.125 -> "12%" (half-to-even, as the
+    charts print it); NULL share -> NULL."""
+    return F.concat(F.bround(_col(share) * F.lit(100.0), 0).cast("long").cast("string"), F.lit("%"))

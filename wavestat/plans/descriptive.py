@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wavestat import study as S
 from wavestat.functions import (age_bins_closed, age_bins_open, count_null, count_true, eq_dummy,
-                                in_set, lookup, percent_tenths_text, recode, thousands_text)
+                                in_set, lookup, percent_label, percent_tenths_text, recode, thousands_text)
 from wavestat.operators.design import add_dummies, add_set_flag, complete_case_by_key
 from wavestat.operators.multivar import numeric_columns, pairwise_correlation
 from wavestat.operators.reshape import pivot_counts, pivot_first, unpivot_items
@@ -24,8 +24,9 @@ NO_BELIEF = "No Belief in Fraud"
 def belief_share_by_item(resp: DataFrame, items=S.FRAUD_ITEMS, labels=S.SHARE_LABELS) -> DataFrame:
     """Weighted share believing / not believing each item is common.
 
-    Output: fraud_type, fraud_label, belief, weighted_n, proportion and
-    belief_proportion (the item's belief share, the display sort key).
+    Output: fraud_type, fraud_label, belief, weighted_n, proportion, label
+    (whole percent) and belief_proportion (the item's belief share, the
+    display sort key).
     """
     out = weighted_share(
         resp, items, weight="weight",
@@ -38,6 +39,7 @@ def belief_share_by_item(resp: DataFrame, items=S.FRAUD_ITEMS, labels=S.SHARE_LA
         "belief",
         "weighted_n",
         "proportion",
+        percent_label("proportion").alias("label"),
         F.max(F.when(F.col("belief") == F.lit(BELIEF), F.col("proportion"))).over(w)
         .alias("belief_proportion"),
     )
@@ -123,7 +125,7 @@ def count_by_confidence(resp: DataFrame, items=S.CORE_ITEMS, first_year: int = 2
 
     Years from ``first_year``; don't-know answers removed; complete rows only;
     confidence outside the four levels forms a NULL group.
-    Output: confidence, fraud_count, n, prop.
+    Output: confidence, fraud_count, n, prop, label (whole percent).
     """
     df = (resp.filter(F.col("year") >= F.lit(first_year))
           .select("year", *items, "confidence")
@@ -131,14 +133,15 @@ def count_by_confidence(resp: DataFrame, items=S.CORE_ITEMS, first_year: int = 2
           .dropna())
     df = df.select(_confidence_label("confidence").alias("confidence"),
                    count_true(items).cast("int").alias("fraud_count"))
-    return count_share(df, ["confidence", "fraud_count"], ["confidence"], "n", "prop")
+    out = count_share(df, ["confidence", "fraud_count"], ["confidence"], "n", "prop")
+    return out.withColumn("label", percent_label("prop"))
 
 
 def count_by_confidence_party(resp: DataFrame, items=S.CORE_ITEMS, first_year: int = 2012) -> DataFrame:
     """``count_by_confidence`` split by party (title-case levels; others NULL).
 
     Output: party, confidence, fraud_count, n, prop (share within party and
-    confidence).
+    confidence), label (whole percent).
     """
     df = (resp.filter(F.col("year") >= F.lit(first_year))
           .select("year", "party", *items, "confidence")
@@ -148,7 +151,8 @@ def count_by_confidence_party(resp: DataFrame, items=S.CORE_ITEMS, first_year: i
     df = df.select(F.when(party.isin(*S.PARTY_TITLE_LEVELS), party).alias("party"),
                    _confidence_label("confidence").alias("confidence"),
                    count_true(items).cast("int").alias("fraud_count"))
-    return count_share(df, ["party", "confidence", "fraud_count"], ["party", "confidence"], "n", "prop")
+    out = count_share(df, ["party", "confidence", "fraud_count"], ["party", "confidence"], "n", "prop")
+    return out.withColumn("label", percent_label("prop"))
 
 
 def confidence_crosstab(resp: DataFrame, items=S.CORE_ITEMS) -> DataFrame:

@@ -48,6 +48,11 @@ def with_resp(body: str, extra_ctes: str = "") -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def _pct_label(share: str) -> str:
+    """Whole-percent label, half-to-even, e.g. '12%'."""
+    return f"(CAST(CAST(round_even(CAST({share} AS DOUBLE) * 100, 0) AS BIGINT) AS VARCHAR) || '%')"
+
+
 def belief_share_by_item() -> str:
     items = S.FRAUD_ITEMS
     long = union_long("resp", ["weight"], items, "fraud_type", "value")
@@ -59,7 +64,7 @@ agg AS (
   FROM long WHERE value IS NOT NULL GROUP BY 1, 2),
 sh AS (SELECT *, weighted_n / sum(weighted_n) OVER (PARTITION BY fraud_type) AS proportion FROM agg)"""
     body = f"""SELECT fraud_type, {case_map('fraud_type', S.SHARE_LABELS)} AS fraud_label, belief,
-  {r6('weighted_n', 'weighted_n')}, {r6('proportion', 'proportion')},
+  {r6('weighted_n', 'weighted_n')}, {r6('proportion', 'proportion')}, {_pct_label('proportion')} AS label,
   {r6("max(CASE WHEN belief = 'Belief in Fraud' THEN proportion END) OVER (PARTITION BY fraud_type)",
       'belief_proportion')}
 FROM sh"""
@@ -117,7 +122,8 @@ def count_by_confidence() -> str:
 c AS (SELECT {_conf_label('confidence')} AS confidence, CAST({_sum_items(items)} AS INTEGER) AS fraud_count FROM d),
 agg AS (SELECT confidence, fraud_count, count(*) AS n FROM c GROUP BY 1, 2)"""
     body = f"""SELECT confidence, fraud_count, n,
-  {r6('n / sum(n) OVER (PARTITION BY confidence)', 'prop')} FROM agg"""
+  {r6('n / sum(n) OVER (PARTITION BY confidence)', 'prop')},
+  {_pct_label('n / sum(n) OVER (PARTITION BY confidence)')} AS label FROM agg"""
     return with_resp(body, ctes)
 
 
@@ -131,7 +137,8 @@ c AS (SELECT CASE WHEN {title} IN {in_list(S.PARTY_TITLE_LEVELS)} THEN {title} E
              CAST({_sum_items(items)} AS INTEGER) AS fraud_count FROM d),
 agg AS (SELECT party, confidence, fraud_count, count(*) AS n FROM c GROUP BY 1, 2, 3)"""
     body = f"""SELECT party, confidence, fraud_count, n,
-  {r6('n / sum(n) OVER (PARTITION BY party, confidence)', 'prop')} FROM agg"""
+  {r6('n / sum(n) OVER (PARTITION BY party, confidence)', 'prop')},
+  {_pct_label('n / sum(n) OVER (PARTITION BY party, confidence)')} AS label FROM agg"""
     return with_resp(body, ctes)
 
 
