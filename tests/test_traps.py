@@ -113,3 +113,10 @@ def test_percent_label_half_even(spark):
     from wavestat.functions import percent_label
     df = spark.createDataFrame([(0.125,), (0.375,), (0.5,), (None,)], "p double")
     assert rows(df.select(percent_label("p").alias("l")), "l") == [("12%",), ("38%",), ("50%",), (None,)]
+
+
+def test_percent_label_tenths(spark):
+    from wavestat.functions import percent_label_tenths
+    df = spark.createDataFrame([(0.4533,), (0.12,), (1.0,), (0.125,), (0.00049,), (None,)], "p double")
+    assert rows(df.select(percent_label_tenths("p").alias("l")), "l") == [
+        ("45.3%",), ("12%",), ("100%",), ("12.5%",), ("0%",), (None,)]

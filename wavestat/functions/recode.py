@@ -189,3 +189,10 @@ def percent_label(share: ColumnOrName) -> Column:
     """Whole-percent label of a share, e.g. 0.125 -> "12%" (half-to-even, as the
     charts print it); NULL share -> NULL."""
     return F.concat(F.bround(_col(share) * F.lit(100.0), 0).cast("long").cast("string"), F.lit("%"))
+
+
+def percent_label_tenths(share: ColumnOrName) -> Column:
+    """Percent label with one decimal, whole numbers printed without it, e.g.
+    0.4533 -> "45.3%", 0.12 -> "12%" (half-to-even); NULL share -> NULL."""
+    rounded = F.bround(_col(share) * F.lit(100.0), 1).cast("string")
+    return F.concat(F.regexp_replace(rounded, r"\.0$", ""), F.lit("%"))

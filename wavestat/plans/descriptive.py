@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from wavestat import study as S
 from wavestat.functions import (age_bins_closed, age_bins_open, count_null, count_true, eq_dummy,
-                                in_set, lookup, percent_label, percent_tenths_text, recode, thousands_text)
+                                in_set, lookup, percent_label, percent_label_tenths, percent_tenths_text, recode,
+                                thousands_text)
 from wavestat.operators.design import add_dummies, add_set_flag, complete_case_by_key
 from wavestat.operators.multivar import numeric_columns, pairwise_correlation
 from wavestat.operators.reshape import pivot_counts, pivot_first, unpivot_items
@@ -83,7 +84,7 @@ def _belief_by_party(df: DataFrame, items, labels) -> DataFrame:
     out = weighted_share(df, items, by=["party_label"], weight="weight", value_label=common_label,
                          item_col="fraud_key", value_col="belief", share_col="percentage")
     return out.select(lookup("fraud_key", labels).alias("fraud_type"), "party_label", "belief",
-                      "weighted_n", "percentage")
+                      "weighted_n", "percentage", percent_label_tenths("percentage").alias("label"))
 
 
 def belief_share_by_party_year(resp: DataFrame, year: int = 2024, items=S.CORE_ITEMS,
@@ -91,7 +92,7 @@ def belief_share_by_party_year(resp: DataFrame, year: int = 2024, items=S.CORE_I
     """Weighted share of Common / Not Common per item and party in one year.
 
     Output: fraud_type (label), party_label, belief, weighted_n, percentage
-    (share within item and party).
+    (share within item and party), label (percent text, one decimal).
     """
     df = chart_demographics(resp.filter(F.col("year") == F.lit(year)), year)
     return _belief_by_party(df, items, labels)

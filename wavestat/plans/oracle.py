@@ -89,7 +89,9 @@ agg AS (SELECT fraud_key, party_label, belief, coalesce(sum(weight), 0) AS weigh
         FROM lab WHERE belief IS NOT NULL GROUP BY 1, 2, 3)"""
     body = f"""SELECT {case_map('fraud_key', S.ITEM_LABELS)} AS fraud_type, party_label, belief,
   {r6('weighted_n', 'weighted_n')},
-  {r6('weighted_n / sum(weighted_n) OVER (PARTITION BY fraud_key, party_label)', 'percentage')}
+  {r6('weighted_n / sum(weighted_n) OVER (PARTITION BY fraud_key, party_label)', 'percentage')},
+  (regexp_replace(CAST(round_even(weighted_n / sum(weighted_n) OVER (PARTITION BY fraud_key, party_label) * 100, 1)
+                       AS VARCHAR), '\\.0$', '') || '%') AS label
 FROM agg"""
     return with_resp(body, ctes)
 
