@@ -6,7 +6,7 @@ import os
 
 import public_tokenizers
 
-from . import html, language, pieces, quality, sharding, simhash
+from . import decontaminate, html, language, licences, pieces, ppm, pseudonyms, quality, sharding, simhash
 
 MODEL = os.environ.get("PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 
@@ -24,6 +24,11 @@ def op2_sharding(spark, sf_dir):
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op3_licence_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licences.scanned(docs, licences.trained(docs))
+
+
 def op4_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     learn = docs.where(language.remainder("doc_id", 5) != 0)
@@ -34,6 +39,14 @@ def op5_sentencepiece(spark, sf_dir):
     return pieces.encoded(table(spark, sf_dir, "documents"), MODEL)
 
 
+def op6_ppm_scoring(spark, sf_dir):
+    return ppm.scored(table(spark, sf_dir, "documents"), ppm.remainder("doc_id", 7) == 2)
+
+
+def op7_pii_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark, sf_dir):
     return html.extracted(table(spark, sf_dir, "pages"))
 
@@ -42,9 +55,13 @@ def op9_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark, sf_dir):
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries():
-    found = [op1_quality_rules, op2_sharding, op4_language_id, op5_sentencepiece, op8_html_extraction,
-             op9_simhash_near_dedup]
+    found = [op1_quality_rules, op2_sharding, op3_licence_scan, op4_language_id, op5_sentencepiece, op6_ppm_scoring, op7_pii_pseudonyms, op8_html_extraction,
+             op9_simhash_near_dedup, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
