@@ -6,10 +6,12 @@ randomised SVD of the TF-IDF passages of a bounded sample (``FIT_DOCS``
 documents of smallest id hash, whole texts) is computed by Spark tasks that sum
 A'(A W); only FEATURES x RANK numbers reach the driver.  Every passage of every
 document (runs of two and of three chunks of ``CHUNK`` words, at every chunk)
-is projected and compared by cosine with all items, in blocks of items.  Each
-candidate is then decided on the text: the longest common subsequence of words
-with the item, and with the item's answer (its last ``ANSWER`` words, as the
-table has no answer column).
+is projected and compared by cosine with all items, in blocks of items.  The
+first ``DROP`` directions, which hold the languages' common words, are left out.
+A candidate item of whose words less than ``LIKELY`` occur in the document is
+dropped, as its subsequence cannot reach that share; the others are decided on
+the text: the longest common subsequence of words with the item, and with the
+item's answer (its last ``ANSWER`` words, as the table has no answer column).
 
 Null or blank texts and items without words give no rows.  Repeated rows are
 each reported.  With an empty documents or benchmark table the result is empty.
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import arrays, binary, column, written
 
-FEATURES, RANK, OVER, FIT_DOCS, POWER = 1 << 14, 48, 16, 2000, 1
-CHUNK, COSINE, ITEM_BLOCK = 16, 0.5, 5000
+FEATURES, RANK, DROP, OVER, FIT_DOCS, POWER = 1 << 14, 64, 8, 16, 2000, 1
+CHUNK, COSINE, ITEM_BLOCK = 16, 0.45, 5000
 ANSWER, SURE, LIKELY, ANSWERED = 8, 0.7, 0.5, 0.75
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -80,11 +82,12 @@ def _spread(idf: np.ndarray, basis: np.ndarray):
         for b in batches:
             for t in binary(b, "text"):
                 f = hashed.of(words(t))
-                for a in range(0, max(0, len(f) - CHUNK + 1), CHUNK):
-                    own = f[a:a + 2 * CHUNK]
-                    norm = np.sqrt((np.bincount(own, minlength=1)[np.unique(own)] ** 2 * idf[np.unique(own)] ** 2).sum())
-                    y = weighted[own].sum(0) / max(norm, 1e-9) ** 2
-                    np.add.at(out, own, idf[own, None] * y)
+                if not len(f):
+                    continue
+                at = np.arange(0, len(f), 2 * CHUNK)
+                norm = np.maximum(np.add.reduceat(idf[f] ** 2, at), 1e-9)
+                y = np.add.reduceat(weighted[f], at, axis=0) / norm[:, None].astype(np.float32)
+                np.add.at(out, f, idf[f, None] * np.repeat(y, np.diff(np.append(at, len(f))), axis=0))
         for k in range(0, FEATURES, 1024):
             yield arrays(["part", "sums"], [pa.array([k], pa.int32()), pa.array([out[k:k + 1024].tobytes()], pa.binary())])
 
@@ -108,15 +111,15 @@ def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS, rank: int = RANK) -> tuple
     idf = np.maximum(idf, 0.0)
     sample = written(docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
                      .limit(fit_docs).select("text").repartition(8), "lsa-sample")
-    basis = np.random.default_rng(7).standard_normal((FEATURES, rank + OVER)).astype(np.float32)
+    basis = np.random.default_rng(7).standard_normal((FEATURES, DROP + rank + OVER)).astype(np.float32)
     for _ in range(1 + POWER):
         parts = sample.mapInArrow(_spread(idf, np.linalg.qr(basis)[0]), "part int, sums binary").groupBy("part").applyInArrow(
             _added, "part int, sums binary").collect()
-        got = np.zeros((FEATURES, rank + OVER), np.float32)
+        got = np.zeros((FEATURES, DROP + rank + OVER), np.float32)
         for part, sums in parts:
             got[part:part + 1024] = np.frombuffer(sums, np.float32).reshape(1024, -1)
         basis = got
-    return idf, np.linalg.svd(basis, full_matrices=False)[0][:, :rank]
+    return idf, np.linalg.svd(basis, full_matrices=False)[0][:, DROP:DROP + rank]
 
 
 def common_words(a: list[bytes], b: list[bytes]) -> int:
@@ -135,6 +138,9 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
     weighted = (idf[:, None] * basis).astype(np.float32)
     hashed = Hashed()
     wanted = np.stack([weighted[hashed.of(w)].sum(0) for _, w in items])
+    flat = np.concatenate([hashed.of(w) for _, w in items])
+    lengths = np.array([len(w) for _, w in items])
+    starts = np.append(0, np.cumsum(lengths)[:-1])
     wanted = (wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)).T.copy()
 
     def run(batches):
@@ -145,10 +151,17 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
                 ws = words(t)
                 if not ws:
                     continue
-                vectors, first, end = _passages(hashed.of(ws), weighted)
+                own_features = hashed.of(ws)
+                vectors, first, end = _passages(own_features, weighted)
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 near = vectors @ wanted
                 rows, cols = np.nonzero(near >= COSINE)
+                if not len(rows):
+                    continue
+                present = np.zeros(FEATURES, bool)
+                present[own_features] = True
+                reach = np.add.reduceat(present[flat], starts, dtype=np.int64) >= LIKELY * lengths
+                rows, cols = rows[reach[cols]], cols[reach[cols]]
                 best: dict[int, tuple] = {}
                 tried: set[tuple[int, int]] = set()
                 for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
