@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrays, binary, column, written
 
 FEATURES, RANK, DROP, OVER, FIT_DOCS, POWER = 1 << 14, 64, 8, 16, 2000, 1
-CHUNK, COSINE, ITEM_BLOCK = 16, 0.45, 5000
+CHUNK, COSINE, ITEM_BLOCK = 16, 0.4, 5000
 ANSWER, SURE, LIKELY, ANSWERED = 8, 0.7, 0.5, 0.75
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
