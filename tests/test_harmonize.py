@@ -143,3 +143,11 @@ def test_numeric_column_with_text_only_codes(spark):
     src = manifest(**{c: "X" for c in S.HARMONISED_COLUMNS if c not in ("caseid", "weight", "voting_more_than_once")})
     out = harmonize_wave(df, src, 2014, HarmonizeRules(coding=coding)).collect()
     assert [r.voting_more_than_once for r in out] == [None, None]
+
+
+def test_absent_wave_is_an_error(spark):
+    import pytest
+
+    from wavestat.operators.harmonize import harmonize_study
+    with pytest.raises(ValueError, match="no input for wave"):
+        harmonize_study({})

@@ -39,6 +39,12 @@ def report(spark, combined: str, out: str, raw_2008: str | None = None, products
            fmt: str = "parquet") -> list[str]:
     resp = read_combined(spark, combined)
     swing = flag_table(spark, S.SWING_BY_YEAR)
+    unknown = [name for name in products or () if name not in catalog.PRODUCTS]
+    if unknown:
+        raise ValueError(f"unknown product(s): {', '.join(unknown)}")
+    missing = [name for name in products or () if catalog.PRODUCTS[name][0] == catalog.RAW and not raw_2008]
+    if missing:
+        raise ValueError(f"the raw 2008 wave is needed for: {', '.join(missing)}")
     written = []
     for name, (kind, product, *extra) in catalog.PRODUCTS.items():
         if products and name not in products:

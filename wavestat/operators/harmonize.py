@@ -219,13 +219,15 @@ def harmonize_study(raw_waves: Mapping[str, DataFrame], coding: ResponseCoding =
     """Harmonise every wave of the study manifest and combine them.
 
     ``raw_waves`` maps the manifest's wave key to the raw wave DataFrame.
+    Every wave of the manifest must be given (an absent one is an error).
     The 2022 wave additionally decodes its numeric codebook.
     """
+    absent = [key for key in manifest if key not in raw_waves]
+    if absent:
+        raise ValueError(f"no input for wave(s): {', '.join(map(str, absent))}")
     rules = HarmonizeRules(coding=coding)
     parts = []
     for key, (year, sources) in manifest.items():
-        if key not in raw_waves:
-            continue
         book = S.CODEBOOK_2022 if year == 2022 else None
         parts.append(harmonize_wave(raw_waves[key], sources, year, rules, book, S.CODEBOOK_2022_KEEPS_TEXT))
     return combine_waves(parts, rules.items)

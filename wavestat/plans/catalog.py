@@ -85,7 +85,7 @@ def standin_wave_files(spark: SparkSession, sf_dir: str,
                        ) -> dict[str, DataFrame]:
     """Raw wave files for ``sf_dir`` (written once per session under the
     checkpoint folder), read back lazily."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, resp_source)
     if key not in _WAVE_FILES:
         base = f"{checkpoint_dir(spark).rstrip('/')}/waves-{uuid.uuid4().hex}"
         _WAVE_FILES[key] = write_standin_waves(resp_source(spark, sf_dir), base)

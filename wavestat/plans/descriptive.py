@@ -242,19 +242,6 @@ def availability_matrix(resp: DataFrame, items=S.FRAUD_ITEMS, labels=S.SHARE_LAB
                          for y in years])
 
 
-def availability_published(spark, entries=S.AVAILABILITY_PUBLISHED, years=S.SURVEY_YEARS,
-                           mark: str = S.CHECK_MARK) -> DataFrame:
-    """The published question-availability table (literal metadata with an
-    array column), marked per year with ``array_contains``."""
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("question", T.StringType(), False),
-                           T.StructField("years_asked", T.ArrayType(T.IntegerType()), False)])
-    lit_df = spark.createDataFrame([(q_, list(ys)) for q_, ys in entries], schema)
-    return lit_df.select("question", *[
-        F.when(F.array_contains("years_asked", y), F.lit(mark)).otherwise(F.lit("")).alias(str(y))
-        for y in years])
-
-
 # ----------------------------------------------------------------------------
 # Model-design views and the correlation matrix
 # ----------------------------------------------------------------------------

@@ -7,7 +7,6 @@ session comes from the caller.  ``get_session`` is for local runs and tests.
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -52,7 +51,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names shared storage and is always honoured.  Only
-    when it is unset (local runs, tests) a fresh scratch folder is made.
+    when it is unset (local runs) a folder in the session's warehouse is used.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -63,31 +62,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        # local runs and tests only: no shared folder was named, so take a fresh one
-        configured = tempfile.mkdtemp(prefix="wavestat-ckpt-", dir="/tmp")
+        # local runs only: no shared folder was named, so use the session's warehouse
+        configured = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
-def materialize(df, name: str):
-    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+def materialize_with_path(df, name: str):
+    """Write ``df`` once as Parquet under the shared checkpoint folder; return it reread, and the folder (for ``release``).
 
-    Cuts the lineage (a lost executor re-reads the files instead of
-    recomputing the whole plan) and costs exactly one computation of ``df``.
+    Cuts the lineage: a lost executor re-reads the files instead of recomputing the whole plan.
     """
     import uuid
 
-    spark = df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/wavestat-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
-def materialize_with_path(df, name: str):
-    """``materialize`` that also returns the written folder (for ``release``)."""
-    import uuid
-
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/wavestat-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
