@@ -68,9 +68,9 @@ def _counted(batches):
             size = len(words) + len(keys)
             yield arrays(["block", "word", "gram", "n"], [
                 pa.array(np.full(size, block, np.int64)),
-                pa.array([*words] + [None] * len(keys), pa.binary()),
-                pa.array([None] * len(words) + keys.tolist(), pa.int64()),
-                pa.array([*words.values(), *n.tolist()], pa.int64())])
+                pa.concat_arrays([pa.array([*words], pa.binary()), pa.nulls(len(keys), pa.binary())]),
+                pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(keys, pa.int64())]),
+                pa.concat_arrays([pa.array([*words.values()], pa.int64()), pa.array(n, pa.int64())])])
 
 
 def _estimate(order1: np.ndarray):
@@ -157,8 +157,7 @@ def scored(docs: DataFrame, held_out) -> DataFrame:
     block = F.spark_partition_id().cast("long") * BLOCK_SPLIT + F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCK_SPLIT))
     rows = written(docs.select("doc_id", "text", held_out.alias("held_out"), block.alias("block")), "ppm-documents")
     uses = written(rows.select("block", (~F.col("held_out")).alias("trains"), "text").mapInArrow(
-        _counted, "block long, word binary, gram long, n long").groupBy("block", "word", "gram").agg(F.sum("n").alias("n")),
-        "ppm-uses")
+        _counted, "block long, word binary, gram long, n long"), "ppm-uses")  # a block may repeat a key, once per batch
     words = uses.where("word is not null").groupBy("word").agg(F.sum("n").alias("value"))
     total, vocabulary = words.agg(F.coalesce(F.sum("value"), F.lit(0)), F.count_if(F.col("value") > 0)).first()
     counts = written(uses.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
