@@ -8,8 +8,8 @@ A'(A W); only FEATURES x RANK numbers reach the driver.  Every passage of every
 document (runs of two and of three chunks of ``CHUNK`` words, at every chunk)
 is projected and compared by cosine with all items, in blocks of items.  The
 first ``DROP`` directions, which hold the languages' common words, are left out.
-A candidate item of whose words less than ``LIKELY`` occur in the document is
-dropped, as its subsequence cannot reach that share; the others are decided on
+A candidate item of whose words less than ``LIKELY`` occur in the document, or
+in the words around the passage, is dropped, as its subsequence cannot reach that share; the others are decided on
 the text: the longest common subsequence of words with the item, and with the
 item's answer (its last ``ANSWER`` words, as the table has no answer column).
 
@@ -141,6 +141,7 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
     flat = np.concatenate([hashed.of(w) for _, w in items])
     lengths = np.array([len(w) for _, w in items])
     starts = np.append(0, np.cumsum(lengths)[:-1])
+    sets = [frozenset(w) for _, w in items]
     wanted = (wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)).T.copy()
 
     def run(batches):
@@ -151,30 +152,31 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
                 ws = words(t)
                 if not ws:
                     continue
-                own_features = hashed.of(ws)
-                vectors, first, end = _passages(own_features, weighted)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                near = vectors @ wanted
-                rows, cols = np.nonzero(near >= COSINE)
-                if not len(rows):
-                    continue
+                features = hashed.of(ws)
                 present = np.zeros(FEATURES, bool)
-                present[own_features] = True
-                reach = np.add.reduceat(present[flat], starts, dtype=np.int64) >= LIKELY * lengths
-                rows, cols = rows[reach[cols]], cols[reach[cols]]
+                present[features] = True
+                reach = np.flatnonzero(np.add.reduceat(present[flat], starts, dtype=np.int64) >= LIKELY * lengths)
+                vectors, first, end = _passages(features, weighted)
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+                near = vectors @ wanted[:, reach]
+                rows, at = np.nonzero(near >= COSINE)
+                cosines, cols = near[rows, at], reach[at]
+                first, end = first.tolist(), end.tolist()
                 best: dict[int, tuple] = {}
                 tried: set[tuple[int, int]] = set()
-                for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
+                for r, c, cosine in zip(rows.tolist(), cols.tolist(), cosines.tolist(), strict=True):
                     if (c, first[r] // 2) in tried:
                         continue
                     tried.add((c, first[r] // 2))
                     own = items[c][1]
                     a, e = max(0, first[r] * CHUNK - len(own)), min(len(ws), end[r] * CHUNK + CHUNK + len(own))
                     part = ws[a:e]
+                    if len(own) - len(sets[c].difference(part)) < LIKELY * len(own):
+                        continue
                     share = common_words(own, part) / len(own)
                     last = own[-ANSWER:]
                     answer = common_words(last, part) / len(last)
-                    got = (share, answer, float(near[r, c]), a, e)
+                    got = (share, answer, cosine, a, e)
                     if c not in best or got > best[c]:
                         best[c] = got
                 out += [(doc_id, items[c][0], cos, share, answer, share >= SURE or share >= LIKELY and answer >= ANSWERED, a, e)
