@@ -8,10 +8,12 @@ A'(A W); only FEATURES x RANK numbers reach the driver.  Every passage of every
 document (runs of two and of three chunks of ``CHUNK`` words, at every chunk)
 is projected and compared by cosine with all items, in blocks of items.  The
 first ``DROP`` directions, which hold the languages' common words, are left out.
-A candidate item of whose words less than ``LIKELY`` occur in the document, or
-in the words around the passage, is dropped, as its subsequence cannot reach that share; the others are decided on
-the text: the longest common subsequence of words with the item, and with the
-item's answer (its last ``ANSWER`` words, as the table has no answer column).
+A candidate whose words fill less than ``LIKELY`` of the item in the chunks
+around the passage is dropped, as its subsequence cannot reach that share; the
+others are decided on the text: the longest common subsequence of words with
+the item, and with the item's answer (its last ``ANSWER`` words, as the table
+has no answer column).  Candidates of a share of ``LIKELY`` or more are
+returned; of these, a share of ``SURE`` or the answer makes contamination.
 
 Null or blank texts and items without words give no rows.  Repeated rows are
 each reported.  With an empty documents or benchmark table the result is empty.
@@ -20,6 +22,7 @@ each reported.  With an empty documents or benchmark table the result is empty.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +42,15 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Hashed(dict):
-    """word -> feature, remembered up to a bound."""
+    """word -> feature + FEATURES * (number of a known word + 1, else 0), remembered up to a bound."""
+
+    def __init__(self, known: dict[bytes, int] | None = None):
+        self.known = known or {}
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        got = self[word] = zlib.crc32(word) % FEATURES
+        got = self[word] = zlib.crc32(word) % FEATURES + FEATURES * (self.known.get(word, -1) + 1)
         return got
 
     def of(self, ws: list[bytes]) -> np.ndarray:
@@ -74,6 +80,17 @@ def _passages(features: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, n
     return sums[e] - sums[a], a, e
 
 
+def _widest(near: np.ndarray) -> np.ndarray:
+    """Without the shorter passages inside a longer one that is near the same item, as no share of theirs is greater."""
+    short = (len(near) + 1) // 2
+    if short == 1:  # both are the whole text
+        near[0] = False
+    else:
+        near[:short - 1] &= ~near[short:]
+        near[1:short] &= ~near[short:]
+    return near
+
+
 def _spread(idf: np.ndarray, basis: np.ndarray):
     """A'(A W) of the sample's passages (two chunks each), one sum per task, in rows of feature blocks."""
     def run(batches):
@@ -87,7 +104,9 @@ def _spread(idf: np.ndarray, basis: np.ndarray):
                 at = np.arange(0, len(f), 2 * CHUNK)
                 norm = np.maximum(np.add.reduceat(idf[f] ** 2, at), 1e-9)
                 y = np.add.reduceat(weighted[f], at, axis=0) / norm[:, None].astype(np.float32)
-                np.add.at(out, f, idf[f, None] * np.repeat(y, np.diff(np.append(at, len(f))), axis=0))
+                own, row = np.unique(f, return_inverse=True)
+                cells = np.bincount(row * len(at) + np.arange(len(f)) // (2 * CHUNK), idf[f], len(own) * len(at))
+                out[own] += cells.reshape(len(own), -1).astype(np.float32) @ y
         for k in range(0, FEATURES, 1024):
             yield arrays(["part", "sums"], [pa.array([k], pa.int32()), pa.array([out[k:k + 1024].tobytes()], pa.binary())])
 
@@ -122,64 +141,97 @@ def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS, rank: int = RANK) -> tuple
     return idf, np.linalg.svd(basis, full_matrices=False)[0][:, DROP:DROP + rank]
 
 
-def common_words(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence (bit-parallel)."""
-    places: dict[bytes, int] = {}
-    for i, w in enumerate(a):
-        places[w] = places.get(w, 0) | 1 << i
-    row, full = 0, (1 << len(a)) - 1
-    for w in b:
-        x = row | places.get(w, 0)
+def _in_order(length: int, matches) -> int:
+    """Longest common subsequence (bit-parallel) of a text of ``length`` words with another, whose words are given as the
+    bits of their positions in the first text; words that are not in it may be left out."""
+    row, full = 0, (1 << length) - 1
+    for found in matches:
+        x = row | found
         row = x & ~(x - (row << 1 | 1)) & full
     return row.bit_count()
 
 
+def places(words: list) -> dict:
+    """Word -> bits of its positions."""
+    out: dict = {}
+    for i, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << i
+    return out
+
+
+def common_words(a: list, b: list) -> int:
+    """Length of the longest common subsequence of two texts."""
+    spots = places(a)
+    return _in_order(len(a), [spots[w] for w in b if w in spots])
+
+
 def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.ndarray):
     weighted = (idf[:, None] * basis).astype(np.float32)
     hashed = Hashed()
     wanted = np.stack([weighted[hashed.of(w)].sum(0) for _, w in items])
-    flat = np.concatenate([hashed.of(w) for _, w in items])
-    lengths = np.array([len(w) for _, w in items])
-    starts = np.append(0, np.cumsum(lengths)[:-1])
-    sets = [frozenset(w) for _, w in items]
     wanted = (wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)).T.copy()
+    known: dict[bytes, int] = {}
+    ids = [[known.setdefault(w, len(known)) for w in ws] for _, ws in items]
+    lengths = np.array([len(w) for w in ids])
+    margins = -(-lengths // CHUNK)  # chunks compared on either side of a passage
+    whole, last = [places(w) for w in ids], [places(w[-ANSWER:]) for w in ids]
+    uses = np.zeros((len(known), len(items)), np.float32)  # times that an item has a word
+    for c, w in enumerate(ids):
+        np.add.at(uses[:, c], w, 1)
+    has = np.ascontiguousarray(uses.T > 0)
+
+    def hopeful(near: np.ndarray, at: np.ndarray, local: np.ndarray, word: np.ndarray, chunks: int, first: np.ndarray,
+                end: np.ndarray, reach: np.ndarray) -> None:
+        """Unmark the passages without enough of the item's words around them (in whole chunks)."""
+        seen = np.zeros((chunks + 1, len(local)), np.int32)
+        seen[at // CHUNK + 1, word] = 1
+        seen = np.cumsum(seen, 0, dtype=np.int32)
+        for margin in np.unique(margins[reach]).tolist():
+            own = np.flatnonzero(margins[reach] == margin)
+            times, least = uses[np.ix_(local, reach[own])], LIKELY * lengths[reach[own]]
+            low, high = np.maximum(first - margin, 0), np.minimum(end + 1 + margin, chunks)
+            for k in range(0, len(near), 512):
+                part = slice(k, k + 512)
+                near[part, own] &= (seen[high[part]] > seen[low[part]]).astype(np.float32) @ times >= least
 
     def run(batches):
-        hashed = Hashed()
+        hashed = Hashed(known)
         for b in batches:
             out: list[tuple] = []
             for doc_id, t in zip(column(b, "doc_id").to_pylist(), binary(b, "text"), strict=True):
                 ws = words(t)
                 if not ws:
                     continue
-                features = hashed.of(ws)
-                present = np.zeros(FEATURES, bool)
-                present[features] = True
-                reach = np.flatnonzero(np.add.reduceat(present[flat], starts, dtype=np.int64) >= LIKELY * lengths)
-                vectors, first, end = _passages(features, weighted)
+                codes = hashed.of(ws)
+                vectors, first, end = _passages(codes % FEATURES, weighted)
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                near = vectors @ wanted[:, reach]
-                rows, at = np.nonzero(near >= COSINE)
-                cosines, cols = near[rows, at], reach[at]
-                first, end = first.tolist(), end.tolist()
+                word = codes // FEATURES - 1
+                at = np.flatnonzero(word >= 0)
+                local, own = np.unique(word[at], return_inverse=True)
+                reach = np.flatnonzero(uses[local].sum(0) >= LIKELY * lengths)
+                cosines = vectors @ wanted[:, reach]
+                near = _widest(cosines >= COSINE)
+                if not near.any():
+                    continue
+                hopeful(near, at, local, own, -(-len(ws) // CHUNK), first, end, reach)
                 best: dict[int, tuple] = {}
-                tried: set[tuple[int, int]] = set()
-                for r, c, cosine in zip(rows.tolist(), cols.tolist(), cosines.tolist(), strict=True):
-                    if (c, first[r] // 2) in tried:
-                        continue
-                    tried.add((c, first[r] // 2))
-                    own = items[c][1]
-                    a, e = max(0, first[r] * CHUNK - len(own)), min(len(ws), end[r] * CHUNK + CHUNK + len(own))
-                    part = ws[a:e]
-                    if len(own) - len(sets[c].difference(part)) < LIKELY * len(own):
-                        continue
-                    share = common_words(own, part) / len(own)
-                    last = own[-ANSWER:]
-                    answer = common_words(last, part) / len(last)
-                    got = (share, answer, cosine, a, e)
-                    if c not in best or got > best[c]:
-                        best[c] = got
-                out += [(doc_id, items[c][0], cos, share, answer, share >= SURE or share >= LIKELY and answer >= ANSWERED, a, e)
+                for col in np.flatnonzero(near.any(0)).tolist():
+                    c = int(reach[col])
+                    n = len(ids[c])
+                    hits = np.flatnonzero(has[c][word[at]])
+                    spots, found = at[hits].tolist(), word[at[hits]].tolist()
+                    bits = [whole[c][w] for w in found]
+                    for r in np.flatnonzero(near[:, col]).tolist():
+                        a, e = max(0, int(first[r]) * CHUNK - n), min(len(ws), int(end[r]) * CHUNK + CHUNK + n)
+                        low, high = bisect_left(spots, a), bisect_left(spots, e)
+                        if high - low < LIKELY * n:
+                            continue
+                        share = _in_order(n, bits[low:high]) / n
+                        if share >= LIKELY:
+                            ends = [last[c][w] for w in found[low:high] if w in last[c]]
+                            answer = _in_order(min(n, ANSWER), ends) / min(n, ANSWER)
+                            best[c] = max(best.get(c, (0.0,)), (share, answer, float(cosines[r, col]), a, e))
+                out += [(doc_id, items[c][0], cos, share, answer, share >= SURE or answer >= ANSWERED, a, e)
                         for c, (share, answer, cos, a, e) in best.items()]
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             types = [b.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
@@ -192,7 +244,7 @@ NAMES = ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "contaminat
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Candidate (doc_id, item_id) pairs with cosine, LCS shares, verdict and the words of the document compared."""
+    """Candidate (doc_id, item_id) pairs of share ``LIKELY`` or more with cosine, LCS shares, verdict and the words of the document compared."""
     items = [(r.item_id, words(r.text.encode())) for r in benchmark.where("text is not null and item_id is not null")
              .select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator()]
     items = [x for x in items if x[1]]
