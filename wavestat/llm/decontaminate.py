@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents and benchmark items are read as lower-case words; words are hashed to
-``FEATURES`` features with document frequencies counted over all documents.  A
+Documents and benchmark items are read as lower-case words (A-Z), known by 64-bit
+hashes whose first bits are one of ``FEATURES`` features, with document frequencies counted over all documents.  A
 randomised SVD of the TF-IDF passages of a bounded sample (``FIT_DOCS``
 documents of smallest id hash, whole texts) is computed by Spark tasks that sum
 A'(A W); only FEATURES x RANK numbers reach the driver.  Every passage of every
@@ -21,7 +21,6 @@ each reported.  With an empty documents or benchmark table the result is empty.
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left
 
 import numpy as np
@@ -31,38 +30,56 @@ from pyspark.sql import functions as F
 
 from .common import arrays, binary, column, written
 
-FEATURES, RANK, DROP, OVER, FIT_DOCS, POWER = 1 << 14, 64, 8, 16, 2000, 1
+FEATURE_BITS, RANK, DROP, OVER, FIT_DOCS, POWER = 14, 64, 8, 16, 2000, 1
+FEATURES = 1 << FEATURE_BITS
 CHUNK, COSINE, ITEM_BLOCK = 16, 0.4, 5000
 ANSWER, SURE, LIKELY, ANSWERED = 8, 0.7, 0.5, 0.75
-_TO_SPACE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+_FOLDED = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
+_BYTES = np.array([0 if b == 32 else b for b in _FOLDED], np.uint64)
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 
 
 def words(text: bytes) -> list[bytes]:
-    return text.lower().translate(_TO_SPACE).split()
+    return text.translate(_FOLDED).split()
 
 
-class Hashed(dict):
-    """word -> feature + FEATURES * (number of a known word + 1, else 0), remembered up to a bound."""
+class Hashes:
+    """64-bit hashes of a text's words, from prefix sums of byte * base ** place (modulo 2 ** 64)."""
 
-    def __init__(self, known: dict[bytes, int] | None = None):
-        self.known = known or {}
+    def __init__(self):
+        self.powers = self.inverses = np.ones(1, np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        got = self[word] = zlib.crc32(word) % FEATURES + FEATURES * (self.known.get(word, -1) + 1)
-        return got
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
-    def of(self, ws: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
+    def __call__(self, text: bytes) -> np.ndarray:
+        raw = _BYTES[np.frombuffer(text, np.uint8)]
+        n = len(raw)
+        if n > len(self.powers):
+            self.powers, self.inverses = self._powers(_BASE, 2 * n), self._powers(pow(_BASE, -1, 1 << 64), 2 * n)
+        inside = np.zeros(n + 2, np.int8)
+        inside[1:-1] = raw > 0
+        edges = np.flatnonzero(np.diff(inside))
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(raw * self.powers[:n], out=sums[1:])
+        got = (sums[ends] - sums[starts]) * self.inverses[starts]
+        return (got ^ got >> np.uint64(32)) * _MIX
+
+
+def _features(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
 
 
 def _frequencies(batches):
-    hashed, seen, n = Hashed(), np.zeros(FEATURES, np.int64), 0
+    hashes, seen, n = Hashes(), np.zeros(FEATURES, np.int64), 0
     for b in batches:
         for t in binary(b, "text"):
             n += 1
-            seen[np.unique(hashed.of(words(t)))] += 1
+            here = np.zeros(FEATURES, bool)
+            here[_features(hashes(t))] = True
+            seen += here
     used = np.flatnonzero(seen)
     yield arrays(["feature", "n"], [np.append(used, -1), np.append(seen[used], n)])
 
@@ -94,11 +111,11 @@ def _widest(near: np.ndarray) -> np.ndarray:
 def _spread(idf: np.ndarray, basis: np.ndarray):
     """A'(A W) of the sample's passages (two chunks each), one sum per task, in rows of feature blocks."""
     def run(batches):
-        hashed, out = Hashed(), np.zeros((FEATURES, basis.shape[1]), np.float32)
+        hashes, out = Hashes(), np.zeros((FEATURES, basis.shape[1]), np.float32)
         weighted = (idf[:, None] * basis).astype(np.float32)
         for b in batches:
             for t in binary(b, "text"):
-                f = hashed.of(words(t))
+                f = _features(hashes(t))
                 if not len(f):
                     continue
                 at = np.arange(0, len(f), 2 * CHUNK)
@@ -167,11 +184,14 @@ def common_words(a: list, b: list) -> int:
 
 def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.ndarray):
     weighted = (idf[:, None] * basis).astype(np.float32)
-    hashed = Hashed()
-    wanted = np.stack([weighted[hashed.of(w)].sum(0) for _, w in items])
+    hashes = Hashes()
+    coded = [hashes(b" ".join(ws)) for _, ws in items]
+    wanted = np.stack([weighted[_features(h)].sum(0) for h in coded])
     wanted = (wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)).T.copy()
-    known: dict[bytes, int] = {}
-    ids = [[known.setdefault(w, len(known)) for w in ws] for _, ws in items]
+    known = np.unique(np.concatenate(coded))
+    ids = [np.searchsorted(known, h).tolist() for h in coded]
+    first_of = np.searchsorted(known >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
+    deep = int(np.diff(first_of).max())  # most known words that share their first 20 bits
     lengths = np.array([len(w) for w in ids])
     margins = -(-lengths // CHUNK)  # chunks compared on either side of a passage
     whole, last = [places(w) for w in ids], [places(w[-ANSWER:]) for w in ids]
@@ -194,18 +214,26 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
                 part = slice(k, k + 512)
                 near[part, own] &= (seen[high[part]] > seen[low[part]]).astype(np.float32) @ times >= least
 
+    def numbered(ws: np.ndarray) -> np.ndarray:
+        """Number of each known word, else -1."""
+        at = first_of[(ws >> np.uint64(44)).astype(np.int64)]
+        word = np.full(len(ws), -1)
+        for k in range(deep):
+            spot = np.minimum(at + k, len(known) - 1)
+            np.copyto(word, spot, where=known[spot] == ws)
+        return word
+
     def run(batches):
-        hashed = Hashed(known)
+        hashes = Hashes()
         for b in batches:
             out: list[tuple] = []
             for doc_id, t in zip(column(b, "doc_id").to_pylist(), binary(b, "text"), strict=True):
-                ws = words(t)
-                if not ws:
+                ws = hashes(t)
+                if not len(ws):
                     continue
-                codes = hashed.of(ws)
-                vectors, first, end = _passages(codes % FEATURES, weighted)
+                vectors, first, end = _passages(_features(ws), weighted)
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                word = codes // FEATURES - 1
+                word = numbered(ws)
                 at = np.flatnonzero(word >= 0)
                 local, own = np.unique(word[at], return_inverse=True)
                 reach = np.flatnonzero(uses[local].sum(0) >= LIKELY * lengths)
