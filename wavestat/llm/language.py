@@ -37,9 +37,12 @@ def letters(text: str) -> bytes:
 def dictionaries(docs: DataFrame, per_lang: int = PER_LANG, size: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw dictionary content per language from (doc_id, text, lang) rows."""
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").agg(F.count("*").alias("_n"))
+    counts = usable.groupBy("lang").agg(F.count("*")).collect()  # a row per dictionary
+    if not counts:
+        return {}
+    rows_of = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, n)])
     draw = F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_000)) / 1_000_000.0
-    sampled = usable.join(counts, "lang").where(draw * F.col("_n") <= 2 * per_lang)
+    sampled = usable.where(draw * rows_of[F.col("lang")] <= 2 * per_lang)
     first = W.partitionBy("lang").orderBy(F.xxhash64(F.lit("draw"), "doc_id"), "doc_id", F.xxhash64("text"))
     rows = (sampled.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= per_lang)
             .select("lang", "_r", F.substring("text", 1, size).alias("text")).collect())
