@@ -6,12 +6,16 @@ of up to five bytes.  A symbol seen in a context gets c / (t + d) of it
 is paid and the next shorter context is asked, without the symbols already
 excluded; at last all remaining bytes are equally likely.
 
-Spark counts six-byte grams (five bytes of context and the next byte), which
-hold the whole trie, and words per block of documents; the counts of all
-blocks are summed, each gram gets its code length in the group of its last three
-context bytes, which is handed the counts after its last two (256 at most; the
-order-1 table, 65,536 cells at most, goes to every task), and each block gets
-back only the grams and words that it uses.  No task holds the whole model or vocabulary.
+Six-byte grams (five bytes of context and the next byte) hold the whole trie.
+One pass cuts the documents into blocks of ``BLOCK_BYTES`` and writes them with
+each block's distinct words and grams and their training uses, dealt over hash
+buckets as compressed lists.  A bucket sums the uses of all blocks.  Each gram
+gets its code length in the group of its last three context bytes, which is
+handed the counts after its last two (256 at most; the order-1 table, 65,536
+cells at most, goes to every task).  The buckets then give every block the
+counts and code lengths of its own words and grams, in the order of the lists.
+The buckets grow in number with the blocks, so no task holds the whole model or
+vocabulary.
 
 Null text is the empty text: one end token.  Repeated rows are each scored and
 each counted.  With no training rows every word is unknown and all bytes are
@@ -21,18 +25,23 @@ equally likely.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, remainder, written  # noqa: F401
+from .common import arrays, column, remainder, written  # noqa: F401
 
 END = 255  # not a byte of UTF-8: start context and end symbol
 ORDER = 5
-BLOCK_SPLIT = 4  # blocks per partition of the documents
+BLOCK_BYTES, CHUNK_BYTES = 24 << 20, 4 << 20  # text of a block, and of the grams held at once
+LEAST_BUCKETS = 256
 _END_WORD = b"\xff"
 
 
@@ -46,41 +55,164 @@ def grams(text: bytes) -> np.ndarray:
     return packed
 
 
-def _counted(batches):
-    """Per batch and block: words and grams with their number of training uses (0: only scored)."""
+def _packed(values: np.ndarray) -> bytes:
+    """Eight-byte numbers as compressed byte planes."""
+    return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=0)
+
+
+def _tokens(text: bytes) -> list[bytes]:
+    return [*text.lower().split(), _END_WORD]
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the ascending keys by bucket, first place of each bucket and the end)"""
+    own = _bucket(keys, buckets)
+    order = np.argsort(own, kind="stable")
+    return order, np.searchsorted(own[order], np.arange(buckets + 1))
+
+
+def _dealt_words(words, buckets: int) -> list[list[bytes]]:
+    out: list[list[bytes]] = [[] for _ in range(buckets)]
+    for w in words:
+        out[zlib.crc32(w) % buckets].append(w)
+    for ws in out:
+        ws.sort()
+    return out
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys of all parts and their summed uses."""
+    keys, at = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in parts] or [[]]), len(keys)).astype(np.int64)
+
+
+def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each gram of the texts, the distinct grams)"""
+    return pd.factorize(np.concatenate([grams(t) for t in texts]))
+
+
+class _Block:
+    """Words and grams of the documents of a block, with their training uses."""
+
+    def __init__(self):
+        self.size, self.words, self.parts = 0, Counter(), []
+        self.waiting: dict[bool, list] = {True: [], False: []}
+        self.waits = {True: 0, False: 0}
+
+    def add(self, text: bytes, trains: bool) -> None:
+        self.size += len(text)
+        own = _tokens(text)
+        if trains:
+            self.words.update(own)
+        else:
+            self.words.update(dict.fromkeys((w for w in own if w not in self.words), 0))
+        self.waiting[trains].append(text)
+        self.waits[trains] += len(text) + 1
+        if self.waits[trains] >= CHUNK_BYTES:
+            self.count(trains)
+
+    def count(self, trains: bool) -> None:
+        if self.waiting[trains]:
+            at, keys = _distinct(self.waiting[trains])
+            self.parts.append((keys, np.bincount(at, minlength=len(keys)) if trains else np.zeros(len(keys), np.int64)))
+        self.waiting[trains], self.waits[trains] = [], 0
+
+    def lists(self, block: int, buckets: int, kind: pa.DataType) -> pa.RecordBatch:
+        self.count(True)
+        self.count(False)
+        keys, n = _added(self.parts)
+        order, starts = _dealt(keys, buckets)
+        keys, n = keys[order], n[order]
+        words = _dealt_words(self.words, buckets)
+        cuts = [slice(a, e) for a, e in zip(starts[:-1], starts[1:], strict=True)]
+        return arrays(_BLOCKS, [
+            pa.nulls(buckets, kind), pa.nulls(buckets, pa.string()), pa.nulls(buckets, pa.bool_()),
+            np.full(buckets, block, np.int64), np.arange(buckets, dtype=np.int64),
+            pa.array([zstandard.compress(b" ".join(ws)) for ws in words], pa.binary()),
+            pa.array([_packed(np.array([self.words[w] for w in ws], np.int64)) for ws in words], pa.binary()),
+            pa.array([_packed(_steps(keys[c])) for c in cuts], pa.binary()),
+            pa.array([_packed(n[c]) for c in cuts], pa.binary())])
+
+
+_BLOCKS = ["doc_id", "text", "held_out", "block", "bucket", "words", "word_uses", "grams", "gram_uses"]
+
+
+def _blocks(buckets: int):
+    """The documents with their block (no bucket), and after them one row of lists for each block and bucket."""
+    def run(batches):
+        number, block, kind = TaskContext.get().partitionId() << 20, _Block(), None
+        for b in batches:
+            kind, at = column(b, "doc_id").type, []
+            rows = zip(column(b, "text").cast(pa.binary()).to_pylist(), column(b, "held_out").to_pylist(), strict=True)
+            for text, held_out in rows:
+                text = text or b""
+                if block.size and block.size + len(text) > BLOCK_BYTES:
+                    yield block.lists(number, buckets, kind)
+                    number, block = number + 1, _Block()
+                block.add(text, not held_out)
+                at.append(number)
+            yield arrays(_BLOCKS, [column(b, "doc_id"), column(b, "text"), column(b, "held_out"), np.array(at, np.int64),
+                                   pa.nulls(len(at), pa.int64()), *(pa.nulls(len(at), pa.binary()) for _ in range(4))])
+        if block.words:
+            yield block.lists(number, buckets, kind)
+
+    return run
+
+
+def _summed(key, table):
+    """Of a bucket: the word counts for each block, and the distinct grams with their uses (no block)."""
+    blocks, counts = table.column("block").to_pylist(), Counter()
+    words = [zstandard.decompress(x).split() for x in table.column("words").to_pylist()]
+    for ws, uses in zip(words, table.column("word_uses").to_pylist(), strict=True):
+        for w, n in zip(ws, _unpacked(uses).tolist(), strict=True):
+            counts[w] += n
+    keys, n = _added([(np.cumsum(_unpacked(k)), _unpacked(u)) for k, u in
+                      zip(table.column("grams").to_pylist(), table.column("gram_uses").to_pylist(), strict=True)])
+    none = [None] * len(blocks)
+    return pa.table({
+        "bucket": pa.array([key[0].as_py()] * (len(blocks) + 1), pa.int64()), "block": pa.array([*blocks, None], pa.int64()),
+        "counts": pa.array([*(_packed(np.array([counts[w] for w in ws], np.int64)) for ws in words), None], pa.binary()),
+        "grams": pa.array([*none, _packed(_steps(keys))], pa.binary()), "gram_uses": pa.array([*none, _packed(n)], pa.binary()),
+        "total": pa.array([*none, sum(counts.values())], pa.int64()),
+        "vocabulary": pa.array([*none, sum(c > 0 for c in counts.values())], pa.int64())})
+
+
+def _opened(batches):
     for b in batches:
-        rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True)
-        by: dict[int, list] = {}
-        for block, trains, text in rows:
-            words, parts = by.setdefault(block, [Counter(), [[], []]])
-            text = text or b""
-            own = [*text.lower().split(), _END_WORD]
-            if trains:
-                words.update(own)
-            else:
-                words.update(dict.fromkeys((w for w in own if w not in words), 0))
-            parts[trains].append(grams(text))
-        for block, (words, parts) in by.items():
-            keys, n = np.unique(np.concatenate(parts[1] or [np.zeros(0, np.int64)]), return_counts=True)
-            if parts[0]:
-                more = np.setdiff1d(np.concatenate(parts[0]), keys)
-                keys, n = np.append(keys, more), np.append(n, np.zeros(len(more), n.dtype))
-            size = len(words) + len(keys)
-            yield arrays(["block", "word", "gram", "n"], [
-                pa.array(np.full(size, block, np.int64)),
-                pa.concat_arrays([pa.array([*words], pa.binary()), pa.nulls(len(keys), pa.binary())]),
-                pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(keys, pa.int64())]),
-                pa.concat_arrays([pa.array([*words.values()], pa.int64()), pa.array(n, pa.int64())])])
-
-
-def _estimate(order1: np.ndarray):
+        for keys, n in zip(column(b, "grams").to_pylist(), column(b, "gram_uses").to_pylist(), strict=True):
+            yield arrays(["gram", "n"], [np.cumsum(_unpacked(keys)), _unpacked(n)])
+
+
+def _delivered(key, uses, logs):
+    """Of a bucket: the code lengths of the grams of each block."""
+    gram = logs.column("gram").to_numpy()
+    order = np.argsort(gram)
+    gram, log = gram[order], logs.column("log").to_numpy()[order]
+    values = [_packed(log[np.searchsorted(gram, np.cumsum(_unpacked(k)))]) for k in uses.column("grams").to_pylist()]
+    return pa.table({"block": uses.column("block"), "bucket": uses.column("bucket"), "values": pa.array(values, pa.binary())})
+
+
+def _estimate(order1: np.ndarray, buckets: int):
     """Code lengths of the grams that share the last three context bytes."""
     order0 = order1.sum(0)
 
     def run(key, table, shorter):
         gram = table.column("gram").to_numpy()
         if not len(gram):
-            return pa.table({"gram": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
+            return pa.table({"bucket": pa.array([], pa.int64()), "gram": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
         order = np.argsort(gram)
         gram, n = gram[order], table.column("n").to_numpy()[order]
         symbol = gram & 255
@@ -120,30 +252,45 @@ def _estimate(order1: np.ndarray):
                     gone |= counts > 0
                 else:
                     logs[i] -= math.log10(256 - int(gone.sum()))
-        return pa.table({"gram": pa.array(gram), "log": pa.array(logs)})
+        return pa.table({"bucket": pa.array(_bucket(gram, buckets)), "gram": pa.array(gram), "log": pa.array(logs)})
 
     return run
 
 
-def _scored(words_total: int, vocabulary: int):
-    base = math.log10(words_total + vocabulary + 1) if words_total + vocabulary else 0.0
-
-    def run(key, docs, model):
-        word, gram = model.column("word").to_pylist(), model.column("gram").to_numpy(zero_copy_only=False)
-        value = model.column("value").to_numpy()
-        count = {w: v for w, v in zip(word, value.tolist(), strict=True) if w is not None}
-        used = ~np.isnan(gram.astype(float))
-        keys, logs = gram[used].astype(np.int64), value[used]
-        order = np.argsort(keys)
-        keys, logs = keys[order], logs[order]
-        tokens, known, first, score = [], [], [], []
-        for text in docs.column("text").cast(pa.binary()).to_pylist():
-            text = text or b""
-            got = [count[w] for w in (*text.lower().split(), _END_WORD)]
+def _scored(words_total: int, vocabulary: int, buckets: int):
+    base = math.log10(words_total + vocabulary + 1)
+
+    def run(key, docs, lists):
+        texts = [t or b"" for t in docs.column("text").cast(pa.binary()).to_pylist()]
+        counts: list = [None] * buckets
+        values: list = [None] * buckets
+        for bucket, c, v in zip(*(lists.column(x).to_pylist() for x in ("bucket", "counts", "values")), strict=True):
+            if c is not None:
+                counts[bucket] = _unpacked(c)
+            if v is not None:
+                values[bucket] = _unpacked(v, np.float64)
+        found = _dealt_words({w for t in texts for w in _tokens(t)}, buckets)
+        count = {w: n for ws, uses in zip(found, counts, strict=True) for w, n in zip(ws, uses.tolist(), strict=True)}
+        chunks, at, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t) + 1
+            if size >= CHUNK_BYTES or i == len(texts) - 1:
+                codes, own = _distinct(texts[at:i + 1])
+                chunks.append((codes.astype(np.int32), own, at, i + 1))
+                at, size = i + 1, 0
+        keys = np.unique(np.concatenate([own for _, own, _, _ in chunks]))
+        logs = np.empty(len(keys))
+        logs[_dealt(keys, buckets)[0]] = np.concatenate(values)
+        score = np.empty(len(texts))
+        for codes, own, a, e in chunks:
+            starts = np.cumsum([0] + [len(t) + 1 for t in texts[a:e - 1]])
+            score[a:e] = np.add.reduceat(logs[np.searchsorted(keys, own)][codes], starts)
+        tokens, known, first = [], [], []
+        for t in texts:
+            got = np.array([count[w] for w in _tokens(t)])
             tokens.append(len(got))
-            known.append(sum(c > 0 for c in got))
-            first.append(float(np.log10(np.array(got) + 1.0).sum()) - len(got) * base)
-            score.append(float(logs[np.searchsorted(keys, grams(text))].sum()))
+            known.append(int((got > 0).sum()))
+            first.append(float(np.log10(got + 1.0).sum()) - len(got) * base)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()),
             "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([words_total] * len(tokens), pa.int64()),
@@ -154,30 +301,37 @@ def _scored(words_total: int, vocabulary: int):
 
 def scored(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a boolean column."""
-    block = F.spark_partition_id().cast("long") * BLOCK_SPLIT + F.pmod(F.xxhash64("doc_id", "text"), F.lit(BLOCK_SPLIT))
-    rows = written(docs.select("doc_id", "text", held_out.alias("held_out"), block.alias("block")), "ppm-documents")
-    uses = written(rows.select("block", (~F.col("held_out")).alias("trains"), "text").mapInArrow(
-        _counted, "block long, word binary, gram long, n long"), "ppm-uses")  # a block may repeat a key, once per batch
-    words = uses.where("word is not null").groupBy("word").agg(F.sum("n").alias("value"))
-    total, vocabulary = words.agg(F.coalesce(F.sum("value"), F.lit(0)), F.count_if(F.col("value") > 0)).first()
-    counts = written(uses.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")), "ppm-grams")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", held_out.alias("held_out"))
+    blocks = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES + 1
+    buckets = max(LEAST_BUCKETS, blocks)
+    cut = written(rows.coalesce(max(blocks, 2 * docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(
+        _blocks(buckets), f"doc_id {kind}, text string, held_out boolean, block long, bucket long, words binary, word_uses binary, "
+        "grams binary, gram_uses binary"), "ppm-blocks")
+    uses = cut.where("bucket is not null")
+    model = written(uses.select("bucket", "block", "words", "word_uses", "grams", "gram_uses").groupBy("bucket").applyInArrow(
+        _summed, "bucket long, block long, counts binary, grams binary, gram_uses binary, total long, vocabulary long"), "ppm-model")
+    total, vocabulary = model.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
+    grams_of = model.where("block is null").select("grams", "gram_uses").mapInArrow(_opened, "gram long, n long")
     order1 = np.zeros((256, 256), np.int64)  # at most 65,536 cells
-    for pair, n in counts.groupBy(F.col("gram").bitwiseAND(65535)).agg(F.sum("n")).collect():
+    for pair, n in grams_of.groupBy(F.col("gram").bitwiseAND(65535)).agg(F.sum("n")).collect():
         order1[pair >> 8, pair & 255] = n
     context = F.shiftright("gram", 8)
-    three = counts.select("gram", "n", context.bitwiseAND(0xFFFFFF).alias("three"))
-    keys = counts.select(context.bitwiseAND(0xFFFFFF).alias("of_three")).distinct()
-    two = (counts.groupBy(context.bitwiseAND(0xFFFF).alias("two"), F.col("gram").bitwiseAND(255).alias("s")).agg(F.sum("n").alias("n"))
+    three = grams_of.select("gram", "n", context.bitwiseAND(0xFFFFFF).alias("three"))
+    keys = grams_of.select(context.bitwiseAND(0xFFFFFF).alias("of_three")).distinct()
+    two = (grams_of.groupBy(context.bitwiseAND(0xFFFF).alias("two"), F.col("gram").bitwiseAND(255).alias("s")).agg(F.sum("n").alias("n"))
            .where("n > 0").groupBy("two").agg(F.collect_list(F.struct("s", "n")).alias("cells")))  # 256 cells at most
     shorter = (keys.withColumn("two", F.col("of_three").bitwiseAND(0xFFFF)).join(two, "two", "left")
                .select("of_three", F.coalesce("cells.s", F.array().cast("array<long>")).alias("symbols"),
                        F.coalesce("cells.n", F.array().cast("array<long>")).alias("counts")))
-    logs = three.groupBy("three").cogroup(shorter.groupBy("of_three")).applyInArrow(_estimate(order1), "gram long, log double")
-    back = (uses.where("word is not null").select("block", "word").join(words, "word")
-            .select("block", "word", F.lit(None).cast("long").alias("gram"), F.col("value").cast("double"))
-            .union(uses.where("gram is not null").select("block", "gram").join(logs, "gram")
-                   .select("block", F.lit(None).cast("binary"), "gram", "log")))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        _scored(int(total), int(vocabulary)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
+    logs = three.groupBy("three").cogroup(shorter.groupBy("of_three")).applyInArrow(
+        _estimate(order1, buckets), "bucket long, gram long, log double")
+    values = uses.select("bucket", "block", "grams").groupBy("bucket").cogroup(logs.groupBy("bucket")).applyInArrow(
+        _delivered, "block long, bucket long, values binary")
+    nothing = F.lit(None).cast("binary")
+    lists = (values.select("block", "bucket", nothing.alias("counts"), "values")
+             .union(model.where("block is not null").select("block", "bucket", "counts", nothing)))
+    return cut.where("bucket is null").select("doc_id", "text", "held_out", "block").groupBy("block").cogroup(
+        lists.groupBy("block")).applyInArrow(
+        _scored(int(total), int(vocabulary), buckets), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, "
         "train_tokens long, base_score double, score double")
