@@ -31,6 +31,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -69,8 +70,14 @@ def _steps(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=0)
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), _END_WORD]
+def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """(text of each word, number of each word, the distinct words), without the end tokens."""
+    raw = pa.array(texts, pa.large_binary()).view(pa.large_string())
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(raw))
+    words, at = lists.flatten(), np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    real = pc.greater(pc.binary_length(words), 0)  # white space at an end gives an empty part
+    coded = words.filter(real).dictionary_encode()
+    return at[real.to_numpy(zero_copy_only=False)], coded.indices.to_numpy(), coded.dictionary.view(pa.large_binary()).to_pylist()
 
 
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
@@ -93,41 +100,46 @@ def _dealt_words(words, buckets: int) -> list[list[bytes]]:
     return out
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending distinct keys of all parts and their summed uses."""
-    keys, at = np.unique(np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)]), return_inverse=True)
-    return keys, np.bincount(at, np.concatenate([n for _, n in parts] or [[]]), len(keys)).astype(np.int64)
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first places of the runs of equal values in sorted keys, the values)"""
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
+    return at, keys[at]
 
 
-def _distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each gram of the texts, the distinct grams)"""
-    return pd.factorize(np.concatenate([grams(t) for t in texts]))
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys of all parts and their summed uses."""
+    keys = np.concatenate([k for k, _ in parts] or [np.zeros(0, np.int64)])
+    order = np.argsort(keys, kind="stable")
+    at, own = _runs(keys[order])
+    n = np.concatenate([n for _, n in parts] or [np.zeros(0, np.int64)])[order]
+    return own, np.add.reduceat(n, at) if len(at) else n
 
 
 class _Block:
     """Words and grams of the documents of a block, with their training uses."""
 
     def __init__(self):
-        self.size, self.words, self.parts = 0, Counter(), []
+        self.size, self.words, self.parts = 0, {}, []
         self.waiting: dict[bool, list] = {True: [], False: []}
         self.waits = {True: 0, False: 0}
 
     def add(self, text: bytes, trains: bool) -> None:
         self.size += len(text)
-        own = _tokens(text)
-        if trains:
-            self.words.update(own)
-        else:
-            self.words.update(dict.fromkeys((w for w in own if w not in self.words), 0))
         self.waiting[trains].append(text)
         self.waits[trains] += len(text) + 1
         if self.waits[trains] >= CHUNK_BYTES:
             self.count(trains)
 
     def count(self, trains: bool) -> None:
-        if self.waiting[trains]:
-            at, keys = _distinct(self.waiting[trains])
-            self.parts.append((keys, np.bincount(at, minlength=len(keys)) if trains else np.zeros(len(keys), np.int64)))
+        texts = self.waiting[trains]
+        if texts:
+            _, codes, words = _coded(texts)
+            n = [*np.bincount(codes, minlength=len(words)).tolist(), len(texts)]
+            for w, k in zip([*words, _END_WORD], n, strict=True):
+                self.words[w] = self.words.get(w, 0) + (k if trains else 0)
+            keys = np.sort(np.concatenate([grams(t) for t in texts]))
+            at, own = _runs(keys)
+            self.parts.append((own, np.diff(at, append=len(keys)) if trains else np.zeros(len(own), np.int64)))
         self.waiting[trains], self.waits[trains] = [], 0
 
     def lists(self, block: int, buckets: int, kind: pa.DataType) -> pa.RecordBatch:
@@ -166,7 +178,7 @@ def _blocks(buckets: int):
                 at.append(number)
             yield arrays(_BLOCKS, [column(b, "doc_id"), column(b, "text"), column(b, "held_out"), np.array(at, np.int64),
                                    pa.nulls(len(at), pa.int64()), *(pa.nulls(len(at), pa.binary()) for _ in range(4))])
-        if block.words:
+        if block.waiting[True] or block.waiting[False] or block.parts:
             yield block.lists(number, buckets, kind)
 
     return run
@@ -269,28 +281,28 @@ def _scored(words_total: int, vocabulary: int, buckets: int):
                 counts[bucket] = _unpacked(c)
             if v is not None:
                 values[bucket] = _unpacked(v, np.float64)
-        found = _dealt_words({w for t in texts for w in _tokens(t)}, buckets)
-        count = {w: n for ws, uses in zip(found, counts, strict=True) for w, n in zip(ws, uses.tolist(), strict=True)}
-        chunks, at, size = [], 0, 0
+        chunks, a, size = [], 0, 0
         for i, t in enumerate(texts):
             size += len(t) + 1
             if size >= CHUNK_BYTES or i == len(texts) - 1:
-                codes, own = _distinct(texts[at:i + 1])
-                chunks.append((codes.astype(np.int32), own, at, i + 1))
-                at, size = i + 1, 0
-        keys = np.unique(np.concatenate([own for _, own, _, _ in chunks]))
+                chunks.append((a, i + 1, *_coded(texts[a:i + 1]), *pd.factorize(np.concatenate([grams(t) for t in texts[a:i + 1]]))))
+                a, size = i + 1, 0
+        found = _dealt_words({_END_WORD}.union(*(c[4] for c in chunks)), buckets)
+        count = {w: n for ws, uses in zip(found, counts, strict=True) for w, n in zip(ws, uses.tolist(), strict=True)}
+        keys, place = np.unique(np.concatenate([c[6] for c in chunks]), return_inverse=True)
         logs = np.empty(len(keys))
         logs[_dealt(keys, buckets)[0]] = np.concatenate(values)
-        score = np.empty(len(texts))
-        for codes, own, a, e in chunks:
+        logs, end = logs[place], math.log10(count[_END_WORD] + 1)
+        tokens, known, first, score = (np.empty(len(texts), t) for t in (np.int64, np.int64, float, float))
+        done = 0
+        for a, e, at, codes, words, gram, own in chunks:
+            uses = np.array([count[w] for w in words], np.int64)
+            tokens[a:e] = np.bincount(at, minlength=e - a) + 1
+            known[a:e] = np.bincount(at, uses[codes] > 0, e - a) + (count[_END_WORD] > 0)
+            first[a:e] = np.bincount(at, np.log10(uses + 1.0)[codes], e - a) + end - tokens[a:e] * base
             starts = np.cumsum([0] + [len(t) + 1 for t in texts[a:e - 1]])
-            score[a:e] = np.add.reduceat(logs[np.searchsorted(keys, own)][codes], starts)
-        tokens, known, first = [], [], []
-        for t in texts:
-            got = np.array([count[w] for w in _tokens(t)])
-            tokens.append(len(got))
-            known.append(int((got > 0).sum()))
-            first.append(float(np.log10(got + 1.0).sum()) - len(got) * base)
+            score[a:e] = np.add.reduceat(logs[done:done + len(own)][gram], starts)
+            done += len(own)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()),
             "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([words_total] * len(tokens), pa.int64()),
