@@ -41,7 +41,7 @@ from .common import arrays, column, remainder, written  # noqa: F401
 
 END = 255  # not a byte of UTF-8: start context and end symbol
 ORDER = 5
-BLOCK_BYTES, CHUNK_BYTES = 24 << 20, 4 << 20  # text of a block, and of the grams held at once
+BLOCK_BYTES, CHUNK_BYTES = 24 << 20, 2 << 20  # text of a block, and of the grams held at once
 LEAST_BUCKETS = 256
 _END_WORD = b"\xff"
 
@@ -100,6 +100,10 @@ def _dealt_words(words, buckets: int) -> list[list[bytes]]:
     return out
 
 
+def _sorted(texts: list[bytes]) -> np.ndarray:
+    return np.sort(np.concatenate([grams(t) for t in texts]))
+
+
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first places of the runs of equal values in sorted keys, the values)"""
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[:len(keys)])
@@ -137,7 +141,7 @@ class _Block:
             n = [*np.bincount(codes, minlength=len(words)).tolist(), len(texts)]
             for w, k in zip([*words, _END_WORD], n, strict=True):
                 self.words[w] = self.words.get(w, 0) + (k if trains else 0)
-            keys = np.sort(np.concatenate([grams(t) for t in texts]))
+            keys = _sorted(texts)
             at, own = _runs(keys)
             self.parts.append((own, np.diff(at, append=len(keys)) if trains else np.zeros(len(own), np.int64)))
         self.waiting[trains], self.waits[trains] = [], 0
@@ -281,28 +285,28 @@ def _scored(words_total: int, vocabulary: int, buckets: int):
                 counts[bucket] = _unpacked(c)
             if v is not None:
                 values[bucket] = _unpacked(v, np.float64)
-        chunks, a, size = [], 0, 0
+        chunks, parts, a, size = [], [], 0, 0
         for i, t in enumerate(texts):
             size += len(t) + 1
             if size >= CHUNK_BYTES or i == len(texts) - 1:
-                chunks.append((a, i + 1, *_coded(texts[a:i + 1]), *pd.factorize(np.concatenate([grams(t) for t in texts[a:i + 1]]))))
+                chunks.append((a, i + 1, *_coded(texts[a:i + 1])))
+                parts.append(_runs(_sorted(texts[a:i + 1]))[1])
                 a, size = i + 1, 0
         found = _dealt_words({_END_WORD}.union(*(c[4] for c in chunks)), buckets)
         count = {w: n for ws, uses in zip(found, counts, strict=True) for w, n in zip(ws, uses.tolist(), strict=True)}
-        keys, place = np.unique(np.concatenate([c[6] for c in chunks]), return_inverse=True)
+        keys = _runs(np.sort(np.concatenate(parts)))[1]
         logs = np.empty(len(keys))
         logs[_dealt(keys, buckets)[0]] = np.concatenate(values)
-        logs, end = logs[place], math.log10(count[_END_WORD] + 1)
+        end = math.log10(count[_END_WORD] + 1)
         tokens, known, first, score = (np.empty(len(texts), t) for t in (np.int64, np.int64, float, float))
-        done = 0
-        for a, e, at, codes, words, gram, own in chunks:
+        for a, e, at, codes, words in chunks:
             uses = np.array([count[w] for w in words], np.int64)
             tokens[a:e] = np.bincount(at, minlength=e - a) + 1
             known[a:e] = np.bincount(at, uses[codes] > 0, e - a) + (count[_END_WORD] > 0)
             first[a:e] = np.bincount(at, np.log10(uses + 1.0)[codes], e - a) + end - tokens[a:e] * base
+            gram, own = pd.factorize(np.concatenate([grams(t) for t in texts[a:e]]))
             starts = np.cumsum([0] + [len(t) + 1 for t in texts[a:e - 1]])
-            score[a:e] = np.add.reduceat(logs[done:done + len(own)][gram], starts)
-            done += len(own)
+            score[a:e] = np.add.reduceat(logs[np.searchsorted(keys, own)][gram], starts)
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": pa.array(tokens, pa.int64()),
             "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([words_total] * len(tokens), pa.int64()),
