@@ -231,17 +231,23 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
                 ws = hashes(t)
                 if not len(ws):
                     continue
-                vectors, first, end = _passages(_features(ws), weighted)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 word = numbered(ws)
                 at = np.flatnonzero(word >= 0)
                 local, own = np.unique(word[at], return_inverse=True)
                 reach = np.flatnonzero(uses[local].sum(0) >= LIKELY * lengths)
+                if not len(reach):
+                    continue
+                vectors, first, end = _passages(_features(ws), weighted)
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
                 cosines = vectors @ wanted[:, reach]
                 near = _widest(cosines >= COSINE)
-                if not near.any():
+                some = np.flatnonzero(near.any(0))
+                if not len(some):
                     continue
-                hopeful(near, at, local, own, -(-len(ws) // CHUNK), first, end, reach)
+                reach, cosines, near = reach[some], cosines[:, some], near[:, some]
+                asked = has[np.ix_(reach, local)].any(0)  # words of the items that are left
+                kept = asked[own]
+                hopeful(near, at[kept], local[asked], (np.cumsum(asked) - 1)[own[kept]], -(-len(ws) // CHUNK), first, end, reach)
                 best: dict[int, tuple] = {}
                 for col in np.flatnonzero(near.any(0)).tolist():
                     c = int(reach[col])
@@ -249,15 +255,20 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
                     hits = np.flatnonzero(has[c][word[at]])
                     spots, found = at[hits].tolist(), word[at[hits]].tolist()
                     bits = [whole[c][w] for w in found]
+                    done: dict[tuple[int, int], tuple[float, float]] = {}  # passages often hold the same of the item's words
                     for r in np.flatnonzero(near[:, col]).tolist():
                         a, e = max(0, int(first[r]) * CHUNK - n), min(len(ws), int(end[r]) * CHUNK + CHUNK + n)
                         low, high = bisect_left(spots, a), bisect_left(spots, e)
                         if high - low < LIKELY * n:
                             continue
-                        share = _in_order(n, bits[low:high]) / n
+                        if (low, high) not in done:
+                            share, answer = _in_order(n, bits[low:high]) / n, 0.0
+                            if share >= LIKELY:
+                                ends = [last[c][w] for w in found[low:high] if w in last[c]]
+                                answer = _in_order(min(n, ANSWER), ends) / min(n, ANSWER)
+                            done[low, high] = (share, answer)
+                        share, answer = done[low, high]
                         if share >= LIKELY:
-                            ends = [last[c][w] for w in found[low:high] if w in last[c]]
-                            answer = _in_order(min(n, ANSWER), ends) / min(n, ANSWER)
                             best[c] = max(best.get(c, (0.0,)), (share, answer, float(cosines[r, col]), a, e))
                 out += [(doc_id, items[c][0], cos, share, answer, share >= SURE or answer >= ANSWERED, a, e)
                         for c, (share, answer, cos, a, e) in best.items()]
