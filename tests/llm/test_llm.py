@@ -137,6 +137,19 @@ def test_ppm_against_a_direct_trie(spark):
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(own), sum(words[w] > 0 for w in own), total)
 
 
+def test_ppm_does_not_depend_on_the_blocks(spark, docs):
+    text = "the quick brown fox jumps over the lazy dog and the cat \x0b sat\n"
+    rows = [(i, text[i % 11:] * (i % 5) + str(i)) for i in range(60)] + [(None, "the same"), (None, "the same"), (60, "x " * 4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").union(docs.select("doc_id", "text"))
+
+    def scores(**size):
+        return sorted(map(repr, (tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+                                 for r in ppm.scored(table, ppm.remainder("doc_id", 7) == 2, **size).collect())))
+
+    assert len(scores()) == len(rows) + len(ROWS) and scores() == scores(block_bytes=900)
+    assert ppm.scored(docs.limit(0).withColumn("block", docs["n_words"]), ppm.remainder("doc_id", 7) == 2).collect() == []
+
+
 def luhn(s):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(s))) % 10 == 0
 

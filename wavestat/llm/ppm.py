@@ -166,7 +166,7 @@ class _Block:
 _BLOCKS = ["doc_id", "text", "held_out", "block", "bucket", "words", "word_uses", "grams", "gram_uses"]
 
 
-def _blocks(buckets: int):
+def _blocks(buckets: int, block_bytes: int):
     """The documents with their block (no bucket), and after them one row of lists for each block and bucket."""
     def run(batches):
         number, block, kind = TaskContext.get().partitionId() << 20, _Block(), None
@@ -175,7 +175,7 @@ def _blocks(buckets: int):
             rows = zip(column(b, "text").cast(pa.binary()).to_pylist(), column(b, "held_out").to_pylist(), strict=True)
             for text, held_out in rows:
                 text = text or b""
-                if block.size and block.size + len(text) > BLOCK_BYTES:
+                if block.size and block.size + len(text) > block_bytes:
                     yield block.lists(number, buckets, kind)
                     number, block = number + 1, _Block()
                 block.add(text, not held_out)
@@ -315,14 +315,14 @@ def _scored(words_total: int, vocabulary: int, buckets: int):
     return run
 
 
-def scored(docs: DataFrame, held_out) -> DataFrame:
+def scored(docs: DataFrame, held_out, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; ``held_out`` is a boolean column."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
-    blocks = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES + 1
+    blocks = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes + 1
     buckets = max(LEAST_BUCKETS, blocks)
     cut = written(rows.coalesce(max(blocks, 2 * docs.sparkSession.sparkContext.defaultParallelism)).mapInArrow(
-        _blocks(buckets), f"doc_id {kind}, text string, held_out boolean, block long, bucket long, words binary, word_uses binary, "
+        _blocks(buckets, block_bytes), f"doc_id {kind}, text string, held_out boolean, block long, bucket long, words binary, word_uses binary, "
         "grams binary, gram_uses binary"), "ppm-blocks")
     uses = cut.where("bucket is not null")
     model = written(uses.select("bucket", "block", "words", "word_uses", "grams", "gram_uses").groupBy("bucket").applyInArrow(
