@@ -141,8 +141,9 @@ class Model:
 
 def trained(docs: DataFrame, max_lines: int = MAX_LINES) -> Model:
     """Fit with a bounded sample of corpus lines (first line of the documents of smallest id hash)."""
-    rows = (docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_lines)
-            .select(F.substring(F.element_at(F.split("text", "\n"), 1), 1, 400).alias("line")).collect())
+    line = F.substring(F.substring_index("text", "\n", 1), 1, 400)  # cut before the sort, so that no whole text leaves a task
+    rows = (docs.where("text is not null").select("doc_id", line.alias("line"))
+            .orderBy(F.xxhash64("doc_id"), "doc_id", "line").limit(max_lines).select("line").collect())
     marks = re.compile(r"licen[sc]e|copyright|gpl|public domain|all rights", re.I)
     return Model(sorted({r.line for r in rows if not marks.search(r.line)}))
 
