@@ -234,6 +234,32 @@ def test_decontamination_finds_planted_items(spark):
     assert decontaminate.clean(docs, bench).count() == docs.count() - len({d for d, _ in got})
 
 
+def prose(rng, n, words=900):
+    """Words of invented prose: half of them from twelve common ones."""
+    return [f"w{k}" if k < 12 else f"v{rng.integers(words)}" for k in rng.integers(0, 24, n)]
+
+
+def test_decontamination_finds_items_in_long_texts(spark):
+    rng = np.random.default_rng(5)
+    items = [prose(rng, 22) for _ in range(40)]
+    texts = [prose(rng, 1200) for _ in range(160)]
+    for i, item in enumerate(items):
+        at = 100 + 7 * i
+        texts[i][at:at] = item
+        texts[40 + i][at:at] = [f"other{i}" if k % 5 == 2 else w for k, w in enumerate(item)]  # a paraphrase: every fifth word
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id int, text string")
+    got = {(r.doc_id, r.item_id): r.lcs_share for r in decontaminate.matches(docs, bench).where("contaminated").collect()}
+    assert all(got.get((i, i)) == 1.0 and got.get((40 + i, i), 0) >= 0.75 for i in range(40))
+
+
+def test_decontamination_basis_is_of_all_documents(spark):
+    docs = spark.range(2600).selectExpr("id as doc_id", "concat('only', id) as text")
+    basis = decontaminate.fitted(docs)[1]
+    hashes = decontaminate.Hashes()
+    assert all(np.abs(basis[decontaminate._features(hashes(b"only%d" % i))]).max() > 0 for i in range(2600))
+
+
 def test_licences():
     model = licences.Model(["The cat sat on the mat", "Of the version of this work", "Another line of plain words"])
     for family, texts in licences.TEMPLATES.items():

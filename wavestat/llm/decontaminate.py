@@ -2,18 +2,19 @@
 
 Documents and benchmark items are read as lower-case words (A-Z), known by 64-bit
 hashes whose first bits are one of ``FEATURES`` features, with document frequencies counted over all documents.  A
-randomised SVD of the TF-IDF passages of a bounded sample (``FIT_DOCS``
-documents of smallest id hash, whole texts) is computed by Spark tasks that sum
-A'(A W); only FEATURES x RANK numbers reach the driver.  Every passage of every
-document (runs of two and of three chunks of ``CHUNK`` words, at every chunk)
-is projected and compared by cosine with all items, in blocks of items.  The
+randomised SVD of the TF-IDF passages of all documents is computed by Spark
+tasks that sum A'(A W); only FEATURES x RANK numbers reach the driver.  The
 first ``DROP`` directions, which hold the languages' common words, are left out.
-A candidate whose words fill less than ``LIKELY`` of the item in the chunks
-around the passage is dropped, as its subsequence cannot reach that share; the
-others are decided on the text: the longest common subsequence of words with
-the item, and with the item's answer (its last ``ANSWER`` words, as the table
-has no answer column).  Candidates of a share of ``LIKELY`` or more are
-returned; of these, a share of ``SURE`` or the answer makes contamination.
+Every passage of every document (runs of three chunks of ``CHUNK`` words, at
+every chunk) is compared with all items, in blocks of items, by the words around
+it: one whose words fill less than ``LIKELY`` of the item cannot hold a
+subsequence of that share, and no other is dropped.  These candidates are decided
+on the text: the longest common subsequence of words with the item, and with the
+item's answer (its last ``ANSWER`` words, as the table has no answer column).
+Candidates of a share of ``LIKELY`` or more are returned; of these, a share of
+``SURE`` or the answer makes contamination.  The latent cosine of passage and
+item is returned with them and drops none: a whole short item in other prose
+can have a low one.
 
 Null or blank texts and items without words give no rows.  Repeated rows are
 each reported.  With an empty documents or benchmark table the result is empty.
@@ -28,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, binary, column, written
+from .common import arrays, binary, column
 
-FEATURE_BITS, RANK, DROP, OVER, FIT_DOCS, POWER = 14, 64, 8, 16, 2000, 1
+FEATURE_BITS, RANK, DROP, OVER, POWER = 14, 64, 8, 16, 1
 FEATURES = 1 << FEATURE_BITS
-CHUNK, COSINE, ITEM_BLOCK = 16, 0.4, 5000
+CHUNK, ITEM_BLOCK, FIT_BLOCK, FIT_TASKS = 16, 5000, 512, 64
 ANSWER, SURE, LIKELY, ANSWERED = 8, 0.7, 0.5, 0.75
 _FOLDED = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 _BYTES = np.array([0 if b == 32 else b for b in _FOLDED], np.uint64)
@@ -84,46 +85,37 @@ def _frequencies(batches):
     yield arrays(["feature", "n"], [np.append(used, -1), np.append(seen[used], n)])
 
 
-def _passages(features: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(vectors, first chunk, chunks) of all passages of one document."""
-    chunks = np.add.reduceat(weighted[features], np.arange(0, len(features), CHUNK), axis=0)
-    sums = np.concatenate([np.zeros((1, chunks.shape[1]), chunks.dtype), np.cumsum(chunks, 0, dtype=np.float64).astype(np.float32)])
-    starts, ends = [], []
-    for size in (2, 3):
-        a = np.arange(max(1, len(chunks) - size + 1))
-        starts.append(a)
-        ends.append(np.minimum(a + size, len(chunks)))
-    a, e = np.concatenate(starts), np.concatenate(ends)
-    return sums[e] - sums[a], a, e
-
-
-def _widest(near: np.ndarray) -> np.ndarray:
-    """Without the shorter passages inside a longer one that is near the same item, as no share of theirs is greater."""
-    short = (len(near) + 1) // 2
-    if short == 1:  # both are the whole text
-        near[0] = False
-    else:
-        near[:short - 1] &= ~near[short:]
-        near[1:short] &= ~near[short:]
-    return near
+def _blocks(batches, hashes: Hashes):
+    """(features, passage, passages) of about ``FIT_BLOCK`` words of one or more texts, in passages of two chunks."""
+    held, at, words_held, passages = [], [], 0, 0
+    for b in batches:
+        for t in binary(b, "text"):
+            whole = _features(hashes(t))
+            for k in range(0, len(whole), FIT_BLOCK):
+                f = whole[k:k + FIT_BLOCK]
+                held.append(f)
+                at.append(passages + np.arange(len(f)) // (2 * CHUNK))
+                words_held, passages = words_held + len(f), int(at[-1][-1]) + 1
+                if words_held >= FIT_BLOCK:
+                    yield np.concatenate(held), np.concatenate(at), passages
+                    held, at, words_held, passages = [], [], 0, 0
+    if held:
+        yield np.concatenate(held), np.concatenate(at), passages
 
 
 def _spread(idf: np.ndarray, basis: np.ndarray):
-    """A'(A W) of the sample's passages (two chunks each), one sum per task, in rows of feature blocks."""
+    """A'(A W) of all passages (two chunks each), one sum per task, in rows of feature blocks."""
     def run(batches):
-        hashes, out = Hashes(), np.zeros((FEATURES, basis.shape[1]), np.float32)
-        weighted = (idf[:, None] * basis).astype(np.float32)
-        for b in batches:
-            for t in binary(b, "text"):
-                f = _features(hashes(t))
-                if not len(f):
-                    continue
-                at = np.arange(0, len(f), 2 * CHUNK)
-                norm = np.maximum(np.add.reduceat(idf[f] ** 2, at), 1e-9)
-                y = np.add.reduceat(weighted[f], at, axis=0) / norm[:, None].astype(np.float32)
-                own, row = np.unique(f, return_inverse=True)
-                cells = np.bincount(row * len(at) + np.arange(len(f)) // (2 * CHUNK), idf[f], len(own) * len(at))
-                out[own] += cells.reshape(len(own), -1).astype(np.float32) @ y
+        out, slot = np.zeros((FEATURES, basis.shape[1]), np.float32), np.zeros(FEATURES, np.int64)
+        for f, at, n in _blocks(batches, Hashes()):
+            seen = np.zeros(FEATURES, bool)
+            seen[f] = True
+            own = np.flatnonzero(seen)
+            slot[own] = np.arange(len(own))
+            cells = np.bincount(slot[f] * n + at, idf[f], len(own) * n).reshape(-1, n).astype(np.float32)
+            norm = np.maximum(np.bincount(at, idf[f] ** 2, n), 1e-9).astype(np.float32)
+            out[own] += cells @ (cells.T @ basis[own] / norm[:, None])
+        out = out.astype(np.float32)
         for k in range(0, FEATURES, 1024):
             yield arrays(["part", "sums"], [pa.array([k], pa.int32()), pa.array([out[k:k + 1024].tobytes()], pa.binary())])
 
@@ -135,8 +127,8 @@ def _added(key, table):
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, features x rank basis): frequencies of all documents, basis of the sample."""
+def fitted(docs: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
+    """(idf, features x rank basis): frequencies and passages of all documents."""
     idf = np.zeros(FEATURES, np.float64)
     rows = docs.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect()
     total = max([n for f, n in rows if f < 0], default=0)
@@ -145,11 +137,11 @@ def fitted(docs: DataFrame, fit_docs: int = FIT_DOCS, rank: int = RANK) -> tuple
         if f >= 0:
             idf[f] = np.log((total + 1) / (n + 0.5))
     idf = np.maximum(idf, 0.0)
-    sample = written(docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-                     .limit(fit_docs).select("text").repartition(8), "lsa-sample")
+    tasks = max(FIT_TASKS, 2 * docs.sparkSession.sparkContext.defaultParallelism)  # each sends one sum of FEATURES rows
+    texts = docs.select("text").coalesce(tasks)
     basis = np.random.default_rng(7).standard_normal((FEATURES, DROP + rank + OVER)).astype(np.float32)
     for _ in range(1 + POWER):
-        parts = sample.mapInArrow(_spread(idf, np.linalg.qr(basis)[0]), "part int, sums binary").groupBy("part").applyInArrow(
+        parts = texts.mapInArrow(_spread(idf, np.linalg.qr(basis)[0]), "part int, sums binary").groupBy("part").applyInArrow(
             _added, "part int, sums binary").collect()
         got = np.zeros((FEATURES, DROP + rank + OVER), np.float32)
         for part, sums in parts:
@@ -200,9 +192,10 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
         np.add.at(uses[:, c], w, 1)
     has = np.ascontiguousarray(uses.T > 0)
 
-    def hopeful(near: np.ndarray, at: np.ndarray, local: np.ndarray, word: np.ndarray, chunks: int, first: np.ndarray,
-                end: np.ndarray, reach: np.ndarray) -> None:
-        """Unmark the passages without enough of the item's words around them (in whole chunks)."""
+    def hopeful(at: np.ndarray, local: np.ndarray, word: np.ndarray, chunks: int, first: np.ndarray, end: np.ndarray,
+                reach: np.ndarray) -> np.ndarray:
+        """The passages (rows) with enough of the item's words around them (in whole chunks)."""
+        near = np.ones((len(first), len(reach)), bool)
         seen = np.zeros((chunks + 1, len(local)), np.int32)
         seen[at // CHUNK + 1, word] = 1
         seen = np.cumsum(seen, 0, dtype=np.int32)
@@ -212,7 +205,14 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
             low, high = np.maximum(first - margin, 0), np.minimum(end + 1 + margin, chunks)
             for k in range(0, len(near), 512):
                 part = slice(k, k + 512)
-                near[part, own] &= (seen[high[part]] > seen[low[part]]).astype(np.float32) @ times >= least
+                near[part, own] = (seen[high[part]] > seen[low[part]]).astype(np.float32) @ times >= least
+        return near
+
+    def cosine(features: np.ndarray, first: int, end: int, c: int) -> float:
+        """The greatest latent cosine of the item with the passage or a run of two of its chunks."""
+        chunks = np.add.reduceat(weighted[features[first * CHUNK:end * CHUNK]], np.arange(0, min(end * CHUNK, len(features)) - first * CHUNK, CHUNK), axis=0)
+        sums = [chunks.sum(0), chunks[:2].sum(0), chunks[1:].sum(0)][:3 if len(chunks) > 2 else 1]
+        return max(float(x @ wanted[:, c]) / max(float(np.linalg.norm(x)), 1e-9) for x in sums)
 
     def numbered(ws: np.ndarray) -> np.ndarray:
         """Number of each known word, else -1."""
@@ -237,18 +237,13 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
                 reach = np.flatnonzero(uses[local].sum(0) >= LIKELY * lengths)
                 if not len(reach):
                     continue
-                vectors, first, end = _passages(_features(ws), weighted)
-                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-                cosines = vectors @ wanted[:, reach]
-                near = _widest(cosines >= COSINE)
-                some = np.flatnonzero(near.any(0))
-                if not len(some):
-                    continue
-                reach, cosines, near = reach[some], cosines[:, some], near[:, some]
+                chunks = -(-len(ws) // CHUNK)
+                first = np.arange(max(1, chunks - 2))
+                end = np.minimum(first + 3, chunks)
                 asked = has[np.ix_(reach, local)].any(0)  # words of the items that are left
                 kept = asked[own]
-                hopeful(near, at[kept], local[asked], (np.cumsum(asked) - 1)[own[kept]], -(-len(ws) // CHUNK), first, end, reach)
-                best: dict[int, tuple] = {}
+                near = hopeful(at[kept], local[asked], (np.cumsum(asked) - 1)[own[kept]], chunks, first, end, reach)
+                best: dict[int, list[tuple]] = {}  # the passages of the greatest shares
                 for col in np.flatnonzero(near.any(0)).tolist():
                     c = int(reach[col])
                     n = len(ids[c])
@@ -269,9 +264,13 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
                             done[low, high] = (share, answer)
                         share, answer = done[low, high]
                         if share >= LIKELY:
-                            best[c] = max(best.get(c, (0.0,)), (share, answer, float(cosines[r, col]), a, e))
-                out += [(doc_id, items[c][0], cos, share, answer, share >= SURE or answer >= ANSWERED, a, e)
-                        for c, (share, answer, cos, a, e) in best.items()]
+                            old = best.get(c, [])
+                            if not old or (share, answer) >= old[0][:2]:
+                                best[c] = [*(x for x in old if x[:2] == (share, answer)), (share, answer, r, a, e)]
+                for c, those in best.items():
+                    cos, a, e = max((cosine(_features(ws), int(first[r]), int(end[r]), c), a, e) for _, _, r, a, e in those)
+                    share, answer = those[0][:2]
+                    out.append((doc_id, items[c][0], cos, share, answer, share >= SURE or answer >= ANSWERED, a, e))
             cols = list(zip(*out, strict=True)) if out else [[]] * 8
             types = [b.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
             yield arrays(NAMES, [pa.array([*c], t) for c, t in zip(cols, types, strict=True)])
