@@ -260,6 +260,19 @@ def test_decontamination_basis_is_of_all_documents(spark):
     assert all(np.abs(basis[decontaminate._features(hashes(b"only%d" % i))]).max() > 0 for i in range(2600))
 
 
+def test_decontamination_keeps_clean_documents(spark):
+    rng = np.random.default_rng(6)
+    common = [[f"w{k}" for k in rng.integers(0, 12, 8)] for _ in range(30)]
+    items = [prose(rng, 24) + ([f"end{i}", f"of{i}"] + c[2:] if i % 2 else c) for i, c in enumerate(common)]
+    items.append([f"q{k}" for k in range(14)] + [f"a{k}" for k in range(8)])
+    texts = [prose(rng, 300) for _ in range(200)]
+    leak = items[-1][:6] + texts[0][:40] + items[-1][-8:]  # 14 of 22 words, the answer among them
+    apart = items[-1][:6] + [w for a in items[-1][-8:] for w in (a, *texts[1][:4])]  # the same words, the answer's far apart
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*texts, leak, apart])], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id int, text string")
+    assert {r.doc_id for r in decontaminate.clean(docs, bench).collect()} == {*range(200), 201}
+
+
 def test_licences():
     model = licences.Model(["The cat sat on the mat", "Of the version of this work", "Another line of plain words"])
     for family, texts in licences.TEMPLATES.items():

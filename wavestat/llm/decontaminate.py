@@ -10,8 +10,10 @@ every chunk) is compared with all items, in blocks of items, by the words around
 it: one whose words fill less than ``LIKELY`` of the item cannot hold a
 subsequence of that share, and no other is dropped.  These candidates are decided
 on the text: the longest common subsequence of words with the item, and with the
-item's answer (its last ``ANSWER`` words, as the table has no answer column).
-Candidates of a share of ``LIKELY`` or more are returned; of these, a share of
+item's answer (its last ``ANSWER`` words, as the table has no answer column),
+whose words must stand within ``SPAN`` words and count by their inverse document
+frequency; an answer of common words, of less than half the item's weight a
+word, decides nothing.  Candidates of a share of ``LIKELY`` or more are returned; of these, a share of
 ``SURE`` or the answer makes contamination.  The latent cosine of passage and
 item is returned with them and drops none: a whole short item in other prose
 can have a low one.
@@ -34,7 +36,7 @@ from .common import arrays, binary, column
 FEATURE_BITS, RANK, DROP, OVER, POWER = 14, 64, 8, 16, 1
 FEATURES = 1 << FEATURE_BITS
 CHUNK, ITEM_BLOCK, FIT_BLOCK, FIT_TASKS = 16, 5000, 512, 64
-ANSWER, SURE, LIKELY, ANSWERED = 8, 0.7, 0.5, 0.75
+ANSWER, SPAN, SURE, LIKELY, ANSWERED = 8, 12, 0.7, 0.5, 0.75
 _FOLDED = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 _BYTES = np.array([0 if b == 32 else b for b in _FOLDED], np.uint64)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
@@ -174,6 +176,23 @@ def common_words(a: list, b: list) -> int:
     return _in_order(len(a), [spots[w] for w in b if w in spots])
 
 
+def _answered(last: list, weights: list[float], spots: list[int], found: list) -> float:
+    """Greatest weight of the words of ``last`` that occur in order within ``SPAN`` words, of ``found`` words at ``spots``."""
+    at, best = [(p, w) for p, w in zip(spots, found, strict=True) if w in last], 0.0
+    for i, (start, _) in enumerate(at):
+        row = [0.0] * (len(last) + 1)
+        for p, w in at[i:]:
+            if p >= start + SPAN:
+                break
+            before = 0.0
+            for j, x in enumerate(last):
+                old = row[j + 1]
+                row[j + 1] = max(old, row[j], before + weights[j] if x == w else 0.0)
+                before = old
+        best = max(best, row[-1])
+    return best
+
+
 def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.ndarray):
     weighted = (idf[:, None] * basis).astype(np.float32)
     hashes = Hashes()
@@ -186,7 +205,9 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
     deep = int(np.diff(first_of).max())  # most known words that share their first 20 bits
     lengths = np.array([len(w) for w in ids])
     margins = -(-lengths // CHUNK)  # chunks compared on either side of a passage
-    whole, last = [places(w) for w in ids], [places(w[-ANSWER:]) for w in ids]
+    whole, last = [places(w) for w in ids], [w[-ANSWER:] for w in ids]
+    rare = [idf[_features(h)].tolist() for h in coded]
+    least_weight = [max(sum(x[-ANSWER:]), sum(x) / len(x) / 2 * min(len(x), ANSWER), 1e-9) for x in rare]
     uses = np.zeros((len(known), len(items)), np.float32)  # times that an item has a word
     for c, w in enumerate(ids):
         np.add.at(uses[:, c], w, 1)
@@ -259,8 +280,7 @@ def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.nd
                         if (low, high) not in done:
                             share, answer = _in_order(n, bits[low:high]) / n, 0.0
                             if share >= LIKELY:
-                                ends = [last[c][w] for w in found[low:high] if w in last[c]]
-                                answer = _in_order(min(n, ANSWER), ends) / min(n, ANSWER)
+                                answer = _answered(last[c], rare[c][-ANSWER:], spots[low:high], found[low:high]) / least_weight[c]
                             done[low, high] = (share, answer)
                         share, answer = done[low, high]
                         if share >= LIKELY:
