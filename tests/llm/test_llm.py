@@ -165,6 +165,25 @@ def test_pseudonyms_keep_formats_and_links(spark, docs):
     assert got[1].text == ROWS[0][1] and got[2].text is None and got[6].text == ROWS[-1][1]
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    card, grouped, iban, phone = "4111111111111111", "4111 1111 1111 1111", "AT611904300234573201", "+1 (415) 555-2671"
+    texts = [card, f"{card} 123", f"row 12 {card} 7", f"{grouped} 123 x", f"12 {grouped} 22", f"{card} {card} 9", f"{grouped} {grouped}",
+             iban, f"{iban} EUR", f"{iban} 2024 x", f"{iban} {card}", "AT61 1904 3002 3457 3201 1234",
+             phone, f"{phone} 2024 12", f"{phone} 2024", "+1 415 555 2671 2024", f"{phone} {phone}", f"{phone} {card} 7",
+             f"{card} 12 a.b@c.de", f"{card} JOE.12@x.com", f"({card}) ({card})", "411 11111 11111 111", f"{card} 2021-03-04 10.1.2.3",
+             "7 " * 3000 + card]
+    got = [r.text for r in pseudonyms.pseudonymised(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
+    c, i, p = got[0], got[7], got[12]
+    g = " ".join(c[k:k + 4] for k in range(0, 16, 4))
+    assert c != card and luhn(c) and i != iban and p != phone
+    assert got[1:7] == [f"{c} 123", f"row 12 {c} 7", f"{g} 123 x", f"12 {g} 22", f"{c} {c} 9", f"{g} {g}"]
+    assert got[8:12] == [f"{i} EUR", f"{i} 2024 x", f"{i} {c}", " ".join(i[k:k + 4] for k in range(0, 20, 4)) + " 1234"]
+    assert got[13:18] == [f"{p} 2024 12", f"{p} 2024", p.replace("(", "").replace(")", "").replace("-", " ") + " 2024", f"{p} {p}", f"{p} {c} 7"]
+    assert got[18].startswith(f"{c} 12 ") and "a.b@" not in got[18] and got[19].startswith(f"{c} ") and "JOE.12" not in got[19]
+    assert got[20] == f"({c}) ({c})" and got[21].replace(" ", "") == c
+    assert got[22].startswith(f"{c} ") and "2021-03-04" not in got[22] and "10.1.2.3" not in got[22] and got[23] == "7 " * 3000 + c
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
     two = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))

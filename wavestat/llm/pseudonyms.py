@@ -9,6 +9,11 @@ characters; each round adds a keyed hash of one half to the other, character
 by character, modulo the size of its class.  Equal values have one pseudonym
 wherever they stand.
 
+A found shape is taken with the numbers and groups of capitals that follow it, and
+every run of its words is checked: at each word the longest valid run of the usual
+layout (cards 4-4-4-4, 4-6-5, 4-6-4 or unbroken, IBANs of their country's length,
+telephone numbers that end with a joined group), and between those the longest
+valid run of any layout.  A neighbouring number neither hides a value nor changes.
 Null text stays null; a text without values is returned unchanged.
 """
 
@@ -31,6 +36,13 @@ PATTERNS = {
 }
 _BEFORE, _AFTER = r"(?<![A-Za-z0-9_.@+-])", r"(?![A-Za-z0-9_@]|[.-][A-Za-z0-9])"
 ANY = _BEFORE + "(?:" + "|".join(PATTERNS.values()) + ")" + _AFTER
+_WORD = r"\+?(?:\([0-9]{2,4}\)|[A-Z0-9])(?:[.-]?(?:\([0-9]{2,4}\)|[A-Z0-9]))*+"
+#: A shape and the words after it that could belong to a value.
+REGION = ANY + "(?: (?!" + PATTERNS["email"] + ")" + _WORD + _AFTER + ")*+"
+MOST_WORDS, MOST_CHARS = 19, 48  # of a value that has spaces
+IBAN_LENGTHS = ("AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 "
+                "GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 "
+                "MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -112,6 +124,56 @@ def _kind(m: Column, digits: Column) -> Column:
     return kind
 
 
+def _usual(m: Column, kind: Column, digits: Column) -> Column:
+    """Whether a valid value has the layout that its kind usually has."""
+    tight = F.regexp_replace(m, " ", "")
+    length = F.instr(F.lit(IBAN_LENGTHS), F.concat(F.substr(m, F.lit(1), F.lit(2)), F.length(tight).cast("string"))) > 0
+    card = m.rlike("^([0-9]{13,19}|[0-9]{4}([ -][0-9]{4}){3}([ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$")
+    joined = m.rlike(r"([0-9][.-][0-9]+|[0-9]{6,}) ")  # a group that ends the number, and more after it
+    return (F.when(kind == "card", card).when(kind == "iban", length)
+            .when(kind == "phone", ~joined & (~m.rlike(r"^\+1[^0-9]") | (F.length(digits) == 11))).otherwise(F.lit(True)))
+
+
+def pieces(region: Column) -> Column:
+    """The words of a region, those of one value joined by their spaces."""
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+
+        def at(i: Column) -> Column:
+            texts = F.transform(F.sequence(F.lit(1), F.least(n - i, F.lit(MOST_WORDS))), lambda k: F.struct(
+                k.alias("k"), F.array_join(F.slice(words, i + 1, k), " ").alias("m")))
+            texts = F.filter(texts, lambda x: (x["k"] == 1) | (F.length(x["m"]) <= MOST_CHARS))
+            kinds = F.transform(texts, lambda x: F.struct(x["k"], x["m"], _digits(x["m"]).alias("digits")))
+            kinds = F.transform(kinds, lambda x: F.struct(x["k"], x["m"], x["digits"], _kind(x["m"], x["digits"]).alias("kind")))
+            return F.transform(F.filter(kinds, lambda x: x["kind"].isNotNull()), lambda x: F.struct(
+                x["k"], _usual(x["m"], x["kind"], x["digits"]).alias("usual"),
+                ((x["kind"] != "card") | (x["k"] == 1) | ~x["m"].rlike("[0-9]{13}")).alias("loose")))
+
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+    def longest(found: Column) -> Column:
+        return F.coalesce(F.array_max(F.transform(found, lambda x: x["k"])), F.lit(0))
+
+    def cut(x: Column) -> Column:
+        words, runs_at, usual = x["words"], x["runs"], x["usual"]
+
+        def step(state: Column, i: Column) -> Column:
+            near = F.array_position(F.transform(F.slice(usual, i + 2, F.lit(MOST_WORDS)), lambda k: k > 0), True)
+            room = F.when(near > 0, near).otherwise(MOST_WORDS)
+            loose = longest(F.filter(runs_at[i], lambda r: r["loose"] & (r["k"] <= room)))
+            k = F.greatest(F.when(usual[i] > 0, usual[i]).otherwise(loose), F.lit(1)).cast("int")
+            return F.when(i < state["next"], state).otherwise(F.struct((i + k).cast("int").alias("next"), F.concat(
+                state["out"], F.array(F.array_join(F.slice(words, i + 1, k), " "))).alias("out")))
+
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), start, step, lambda a: a["out"])
+
+    x = F.transform(F.array(F.split(region, " ", -1)), lambda w: F.struct(w.alias("words"), runs(w).alias("runs")))
+    x = F.transform(x, lambda s: F.struct(s["words"], s["runs"], F.transform(
+        s["runs"], lambda found: longest(F.filter(found, lambda r: r["usual"]))).alias("usual")))
+    return F.flatten(F.transform(x, cut))
+
+
 def _body(m: Column, kind: Column, digits: Column) -> Column:
     """The characters that the string permutation may change."""
     country = F.when(m.startswith("+"), F.length(F.regexp_extract(m, r"^\+([0-9]{1,3})", 1))).otherwise(0)
@@ -154,11 +216,12 @@ def pseudonyms(values: Column, key: str = KEY) -> Column:
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with pseudonyms in ``text`` (other columns as they are) and ``_found``: (kind, value, pseudonym) of each value."""
-    rows = docs.withColumn("_found", F.when(F.col("text").rlike(ANY), pseudonyms(
-        F.regexp_extract_all("text", F.lit(ANY), 0), key)))
-    text = F.array_join(F.transform(F.split("text", ANY, -1), lambda s, i: F.concat(
-        s, F.coalesce(F.get(F.col("_found.pseudonym"), i), F.lit("")))), "")
-    return rows.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(text))
+    rows = docs.withColumn("_new", F.when(F.col("text").rlike(ANY), F.transform(
+        F.regexp_extract_all("text", F.lit(REGION), 0), lambda r: pseudonyms(pieces(r), key))))
+    rows = rows.withColumn("_found", F.filter(F.flatten("_new"), lambda x: x["kind"].isNotNull()))
+    text = F.array_join(F.transform(F.split("text", REGION, -1), lambda s, i: F.concat(
+        s, F.coalesce(F.array_join(F.get(F.col("_new"), i)["pseudonym"], " "), F.lit("")))), "")
+    return rows.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(text)).drop("_new")
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
