@@ -94,3 +94,25 @@ def test_swing_flag_null_state_is_not_swing(spark, resp):
     out = {r.caseid: r.swing_state for r in D.dummy_design(resp.withColumn(
         "state", F.when(F.col("caseid") == 2, None).otherwise(F.col("state"))), swing).collect()}
     assert out == {1: 1.0, 2: 0.0, 3: 1.0, 4: 0.0, 5: 1.0, 6: 0.0, 7: 0.0}
+
+
+def test_effects_without_an_estimate_stay(spark):
+    def wave(year, swing, other, dem="DEMOCRAT"):
+        # per group and party: answers of the first item
+        return [resp_row(0, year, 1.0, [y], party=p, state=st) for st, ys in (("S1", swing), ("S2", other))
+                for p in (dem, "REPUBLICAN", "INDEPENDENT") for y in ys]
+    rows = (wave(2016, [0, 1, 1], [0, 0, 1]) + wave(2020, [1, 1, 1], [0, 0, 1], dem="REPUBLICAN")
+            + wave(2024, [0, 0, 1], [0, 1, 1]))
+    df = spark.createDataFrame(rows, SCHEMA)
+    swing = flag_table(spark, {2016: ["S1"], 2020: ["S1"], 2024: ["S1"]})
+    got = {r.year: r for r in X.swing_effect(df, swing).collect()}
+    assert set(got) == {2016, 2020, 2024} and got[2020].status == "separated"
+    assert (got[2020].estimate, got[2020].ci_lower, got[2020].p1) == (None, None, 1.0)
+    trend = X.swing_effect_trend(df, swing).collect()
+    assert len(trend) == 1 and trend[0].n_points == 2
+    assert math.isclose(trend[0].slope, (got[2024].estimate - got[2016].estimate) / 2)
+    party = {(r.year, r.term): r for r in X.party_effects(df, swing).collect()}
+    assert set(party) == {(y, t) for y in (2016, 2020, 2024) for t in S.PARTY_EFFECT_TERMS}
+    assert party[2020, "dem_party"].estimate is None and party[2020, "dem_party"].status != "ok"
+    points = {r.term: r.n_points for r in X.party_effect_trend(df, swing).collect()}
+    assert points["dem_party"] == 2

@@ -60,14 +60,14 @@ def swing_effect(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
     """Average marginal effect of living in a swing state, per year and item.
 
     Survey-weighted logit of each item on the year's swing-state flag (closed
-    form, see ``binary_contrast``); years without flag variation are left out.
+    form, see ``binary_contrast``); years without flag variation are left out,
+    models without a finite estimate have NULL estimates and their status.
     Output: year, item, fraud_label, group, term, estimate, std_error,
     ci_lower, ci_upper, beta, beta_se, p0, p1, n, n0, n1, status.
     """
     df = add_set_flag(resp.select("year", "state", "weight", *items), swing, ["year", "state"],
                       "swing_states")
     est = binary_contrast(df, items, "swing_states", by=["year"], weight="weight")
-    est = est.filter(F.col("estimate").isNotNull() & F.col("std_error").isNotNull())
     return est.select(
         "year", "item", lookup("item", labels).alias("fraud_label"), F.lit(S.SWING_GROUP).alias("group"),
         "term", "estimate", "std_error",
@@ -97,7 +97,8 @@ def effect_trend(effects: DataFrame, keys=("item", "term"), years=S.SURVEY_YEARS
     """Least-squares trend of effect estimates over the survey-year index.
 
     ``years``: all survey years in order (the x axis counts every year, so an
-    item first asked in the second wave starts at 2).
+    item first asked in the second wave starts at 2).  NULL estimates are no
+    points of the line.
     Output: keys..., slope, intercept, n_points.
     """
     return linear_trend(effects.withColumn("year_index", year_index(years)), list(keys),
@@ -122,7 +123,8 @@ def party_effects(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
 
     Model rows: non-NULL belief; rows without a party stay in the design
     (n) but not in the fit.  ``kind``: ``"derivative"`` (default) or
-    ``"difference"`` (average change from party dummy 0 to 1).
+    ``"difference"`` (average change from party dummy 0 to 1).  Models
+    without a finite estimate have NULL estimates and their status.
     Output: year, item, fraud_label, term, party, estimate, std_error,
     ci_lower, ci_upper, n_design, n_fit, status.
     """
@@ -137,7 +139,7 @@ def party_effects(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
     fit = fit_glm(long, ["year", "item"], "y", ["rep_party", "dem_party", "swing_state"],
                   difference_terms=terms if kind == "difference" else ())
     me = fit.marginal_effects(resp.sparkSession, terms, kind=kind)
-    me = me.filter(F.col("estimate").isNotNull() & F.col("std_error").isNotNull())
+    me = me.withColumn("estimate", F.when(F.col("std_error").isNotNull(), F.col("estimate")))
     return me.select(
         "year", "item", lookup("item", labels).alias("fraud_label"), "term",
         lookup("term", S.PARTY_EFFECT_TERMS).alias("party"), "estimate", "std_error",
