@@ -116,3 +116,15 @@ def test_effects_without_an_estimate_stay(spark):
     assert party[2020, "dem_party"].estimate is None and party[2020, "dem_party"].status != "ok"
     points = {r.term: r.n_points for r in X.party_effect_trend(df, swing).collect()}
     assert points["dem_party"] == 2
+
+
+def test_a_later_wave_gets_its_column(spark, resp):
+    more = resp.unionByName(spark.createDataFrame([resp_row(8, 2026, 1.0, [1, None, 0])], SCHEMA))
+    years = [str(y) for y in [*S.SURVEY_YEARS, 2026]]
+    nulls = D.null_rate_by_item_year(more)
+    assert nulls.columns == ["Question", *years, "question_order"]
+    got = {r.Question: r["2026"] for r in nulls.collect()}
+    assert got[S.ITEM_LABELS["ballot_tampering"]] == "1 (100.0%)" and got[S.ITEM_LABELS["voting_more_than_once"]].startswith("0 (")
+    marks = {r.item: r["2026"] for r in D.availability_matrix(more).collect()}
+    assert marks["voting_more_than_once"] == S.CHECK_MARK and marks["ballot_tampering"] == ""
+    assert D.availability_matrix(resp).columns == ["item", "question", *years[:-1]]

@@ -17,6 +17,7 @@ from wavestat.operators.design import add_dummies, add_set_flag, complete_case_b
 from wavestat.operators.multivar import numeric_columns, pairwise_correlation
 from wavestat.operators.reshape import pivot_counts, pivot_first, unpivot_items
 from wavestat.operators.shares import count_share, null_rates, percent_table, weighted_share
+from wavestat.plans.estimates import survey_years
 
 BELIEF = "Belief in Fraud"
 NO_BELIEF = "No Belief in Fraud"
@@ -177,12 +178,20 @@ def confidence_crosstab(resp: DataFrame, items=S.CORE_ITEMS) -> DataFrame:
 # Missing answers, demographics, availability
 # ----------------------------------------------------------------------------
 
+def _column_years(resp: DataFrame) -> list:
+    """The study's years and any others present in the data, in order."""
+    return sorted({*S.SURVEY_YEARS, *survey_years(resp)})
+
+
 def null_rate_by_item_year(resp: DataFrame, items=S.CORE_ITEMS, labels=S.ITEM_LABELS,
-                           years=S.SURVEY_YEARS, order=S.TABLE_ITEM_ORDER) -> DataFrame:
+                           years=None, order=S.TABLE_ITEM_ORDER) -> DataFrame:
     """NULL count and share of each item by year, as "count (share%)" text.
 
+    ``years``: the year columns (default: the study's years and any others
+    present in the data, found by one small job).
     Output: Question (label), question_order, one text column per year.
     """
+    years = _column_years(resp) if years is None else years
     long = null_rates(resp, items, ["year"], item_col="item")
     long = long.select(
         lookup("item", labels).alias("Question"),
@@ -225,13 +234,15 @@ def demographics_percent(resp: DataFrame, sections=S.DEMO_SECTIONS) -> DataFrame
 
 
 def availability_matrix(resp: DataFrame, items=S.FRAUD_ITEMS, labels=S.SHARE_LABELS,
-                        years=S.SURVEY_YEARS, mark: str = S.CHECK_MARK) -> DataFrame:
+                        years=None, mark: str = S.CHECK_MARK) -> DataFrame:
     """Which items were answered (any non-NULL) in which year.
 
     One pass counts non-NULL answers per (year, item); the years x items
-    result is reshaped to one mark column per year.
+    result is reshaped to one mark column per year (``years``; default: the
+    study's years and any others present in the data).
     Output: item, question, one column per year holding the mark or "".
     """
+    years = _column_years(resp) if years is None else years
     per_year = resp.groupBy("year").agg(*[F.count(F.col(c)).alias(c) for c in items])
     long = unpivot_items(per_year, ["year"], items, "item", "n_answers")
     aggs = [F.coalesce(F.max(F.when(F.col("year") == F.lit(y), F.col("n_answers") > 0)), F.lit(False))
