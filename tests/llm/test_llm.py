@@ -301,3 +301,16 @@ def test_licences():
 
 def test_licence_rows(spark, docs):
     assert licences.scanned(docs, licences.trained(docs)).count() == len(ROWS)
+
+
+def test_licence_notices_over_several_lines(spark, docs):
+    gpl = ("# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as\n"
+           "# published by the Free Software Foundation.\n")
+    bsd = (" * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following"
+           "\n * conditions are met:\n")
+    one = "A plain line here.\nReleased under the MIT License.\nThe cat sat on the mat.\n"
+    rows = [(1, "# Copyright 2020 Some One\n#\n" + gpl + "import os\n"), (2, bsd), (3, gpl + "\n" + bsd), (4, one)]
+    got = {r.doc_id: r for r in licences.scanned(spark.createDataFrame(rows, "doc_id long, text string"), licences.trained(docs)).collect()}
+    assert (got[1].family, got[1].verdict, got[1].line) == ("gpl", "confirmed", 2)
+    assert (got[2].family, got[2].verdict) == ("bsd", "confirmed") and got[3].families == ["bsd", "gpl"]
+    assert (got[4].line, got[4].families, got[4].n_paragraphs) == (1, ["mit"], 1)

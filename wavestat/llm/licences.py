@@ -1,6 +1,8 @@
 """Licence scan: a trained paragraph classifier confirmed by templates.
 
-Paragraphs are the lines of a text, long lines cut at sentence ends.  A sparse
+Paragraphs are the lines of a text, long lines cut at sentence ends; a line is
+also read with the lines that follow it without a blank one, up to ``JOIN_WORDS``
+words, and that counts if it confirms a notice that no single line does.  A sparse
 multinomial logistic regression over word 1- to 3-grams is fitted on the
 templates below (whole, cut and embedded in corpus words) against ``unknown``:
 paragraphs that speak of licences without granting one, and a bounded sample of
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import arrays, column, strings
 from .decontaminate import common_words
 
-MAX_LINES, MAX_LINE_WORDS, ACCEPT, CONFIRM = 2000, 60, 0.5, 0.6
+MAX_LINES, MAX_LINE_WORDS, ACCEPT, CONFIRM, JOIN_WORDS = 2000, 60, 0.5, 0.6, 40
 #: Usual short notices of licence families.
 TEMPLATES = {
     "apache": ["Licensed under the Apache License, Version 2.0.",
@@ -125,8 +127,10 @@ class Model:
         k = int(p.argmax())
         if not k:
             return UNKNOWN, float(p[0]), 0.0
-        share = max(common_words(t, ws) / len(t) for t in self.words[self.families[k]])
-        return self.families[k], float(p[k]), share
+        return self.families[k], float(p[k]), self.share(self.families[k], ws)
+
+    def share(self, family: str, ws: list[str]) -> float:
+        return max(common_words(t, ws) / len(t) for t in self.words[family])
 
     def paragraphs(self, text: str) -> list[tuple[int, str, list[str]]]:
         """(line, paragraph, words) of those that could be a licence: two or more words of the vocabulary."""
@@ -138,6 +142,37 @@ class Model:
                     out.append((i, part, ws))
         return out
 
+    def wrapped(self, text: str) -> list[tuple[int, int, list[str], list[str]]]:
+        """(line, line after the last, words of the line's end, words of the lines that follow) of the lines read with others."""
+        lines = text.split("\n")
+        words = [tokens(x) for x in lines] if len(lines) > 1 else []
+        out = []
+        for i in range(len(words) - 1):
+            ws = tokens(_SENTENCE.split(lines[i])[-1]) if len(lines[i]) > 200 else words[i]
+            end, rest = i + 1, []
+            while ws and end < len(words) and words[end] and len(ws) + len(rest) < JOIN_WORDS:
+                rest += words[end]
+                end += 1
+            if rest and any(w in self.known for w in ws):
+                out.append((i, end, ws, rest[:JOIN_WORDS]))
+        return out
+
+    def found(self, text: str) -> list[tuple[bool, float, float, str, int]]:
+        """(confirmed, share, probability, family, line) of the paragraphs that hold a licence."""
+        hits = [(share >= CONFIRM, share, p, family, i) for i, _, ws in self.paragraphs(text)
+                for family, p, share in [self(ws)] if family != UNKNOWN and p >= ACCEPT]
+        sure = {h[4] for h in hits if h[0]}
+        until: dict[str, int] = {}  # the line after the last joined notice of each family
+        for i, end, ws, rest in self.wrapped(text):
+            if not sure.isdisjoint(range(i, end)):
+                continue
+            family, p, share = self(ws + rest)
+            if family == UNKNOWN or p < ACCEPT or share < CONFIRM or i < until.get(family, 0) or self.share(family, rest) >= share:
+                continue
+            until[family] = end
+            hits = [h for h in hits if h[0] or not i <= h[4] < end] + [(True, share, p, family, i)]
+        return hits
+
 
 def trained(docs: DataFrame, max_lines: int = MAX_LINES) -> Model:
     """Fit with a bounded sample of corpus lines (first line of the documents of smallest id hash)."""
@@ -154,8 +189,7 @@ def scanned(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             rows = []
             for text in strings(b, "text"):
-                hits = [(share >= CONFIRM, share, p, family, i) for i, _, ws in model.paragraphs(text or "")
-                        for family, p, share in [model(ws)] if family != UNKNOWN and p >= ACCEPT]
+                hits = model.found(text or "")
                 best = max(hits, default=None)
                 confirmed = sorted({h[3] for h in hits if h[0]})
                 rows.append((best[3] if best else UNKNOWN, ("confirmed" if best[0] else "unconfirmed") if best else "none",
