@@ -6,7 +6,8 @@ import os
 
 import public_tokenizers
 
-from . import decontaminate, html, language, licences, pieces, ppm, pseudonyms, quality, sharding, simhash
+from . import (decontaminate, html, language, licences, pieces, ppm, pseudonyms, quality, runs, secrets, sharding, simhash,
+               whitening)
 
 MODEL = os.environ.get("PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 
@@ -59,9 +60,22 @@ def op10_decontamination(spark, sf_dir):
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), wanted=4)
+
+
+def op12_secret_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scanned(docs, secrets.limits(docs))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return runs.periodic(table(spark, sf_dir, "documents"), plant=True)
+
+
 def queries():
     found = [op1_quality_rules, op2_sharding, op3_licence_scan, op4_language_id, op5_sentencepiece, op6_ppm_scoring, op7_pii_pseudonyms, op8_html_extraction,
-             op9_simhash_near_dedup, op10_decontamination]
+             op9_simhash_near_dedup, op10_decontamination, op11_embedding_whitening, op12_secret_scan, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
