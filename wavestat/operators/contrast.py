@@ -12,8 +12,14 @@ weights over the rows used) is AME = beta * m, m = (n_0 v_0 + n_1 v_1) / n,
 v_g = p_g (1 - p_g); its delta-method gradient with respect to the group
 logits is (-m + beta n_0/n v_0 (1 - 2 p_0), m + beta n_1/n v_1 (1 - 2 p_1)).
 
-All of it is one aggregation by (model keys, flag) and column arithmetic, so
-every (year, outcome) model is fitted in the same job.
+All of it is one aggregation by (model keys, flag), the outcomes summed side
+by side, and column arithmetic on the aggregated rows, so every (year,
+outcome) model is fitted in the same job.
+
+A model with a row without weight has no design.  It gets the plain weighted
+logit of the rows with a weight instead, Var(logit p_g) = 1 / (sum_g w v_g);
+the standard error pools those of the rows' own effects beta v_g (root mean
+square), the estimate is their mean.
 """
 
 from __future__ import annotations
@@ -23,18 +29,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavestat.operators.reshape import unpivot_items
-
 OK = "ok"
 SMALL_CELL = "small_cell"
 NO_VARIATION = "no_variation"
 SEPARATED = "separated"
+FALLBACK = "fallback"
 
 
 def _logit(p):
     return F.log(F.try_divide(p, F.lit(1.0) - p))
 
 
+def _flag_sums(df: DataFrame, outcomes: Sequence[str], flag: str, by: list[str], weight: str, item_col: str) -> DataFrame:
+    """Per (by, outcome): row counts and weight sums of the flag's two levels."""
+    base = df.filter(F.col(flag).isNotNull()).select(
+        *by, F.col(flag).cast("double").alias("__g"), F.col(weight).cast("double").alias("w"),
+        *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(outcomes)])
+    sums = {"n": "count({y})", "nw": "count_if({y} IS NOT NULL AND w IS NOT NULL)",
+            "sw": "sum(CASE WHEN {y} IS NOT NULL THEN w END)", "swy": "sum(w * {y})",
+            "sw2": "sum(CASE WHEN {y} IS NOT NULL THEN w * w END)", "sw2y": "sum(w * w * {y})",
+            "sw2yy": "sum(w * w * {y} * {y})"}
+    grid = base.groupBy(*by, "__g").agg(*[F.expr(f"{e.format(y=f'y{i}')} AS {name}_{i}")
+                                          for i in range(len(outcomes)) for name, e in sums.items()])
+    cells = F.array(*[F.struct(F.lit(c).alias(item_col), *[F.col(f"{name}_{i}").alias(name) for name in sums])
+                      for i, c in enumerate(outcomes)])
+    long = grid.select(*by, "__g", F.explode(cells).alias("c")).filter("c.n > 0").select(*by, "__g", "c.*")
+    level = [F.when(F.col("__g") == F.lit(float(g)), F.col(name)) for g in (0, 1) for name in sums]
+    names = [f"{name}{g}" for g in (0, 1) for name in sums]
+    return long.groupBy(*by, item_col).agg(*[
+        (F.coalesce(F.sum(e), F.lit(0)) if name[:-1] in ("n", "nw") else F.sum(e)).alias(name)
+        for e, name in zip(level, names)])
+
+
 def binary_contrast(df: DataFrame, outcomes: Sequence[str], flag: str, by: Sequence[str] = ("year",),
                     weight: str = "weight", item_col: str = "item", min_cell: int = 5,
                     keep_no_variation: bool = False) -> DataFrame:
@@ -45,48 +71,41 @@ def binary_contrast(df: DataFrame, outcomes: Sequence[str], flag: str, by: Seque
     has one level are dropped (``keep_no_variation`` keeps them with status
     ``no_variation``).  Status ``small_cell`` marks a level with fewer than
     ``min_cell`` rows (estimates kept); ``separated`` marks a group share of
-    exactly 0 or 1 (no finite estimate).
+    exactly 0 or 1 (no finite estimate); ``fallback`` a model with a row
+    without weight (plain weighted-GLM variance, pooled; n counts its weighted
+    rows).
     Output: by..., item, term, estimate (AME), std_error, beta, beta_se,
     p0, p1, n, n0, n1, status.
     """
     by = list(by)
-    long = unpivot_items(df.select(*by, flag, weight, *outcomes), [*by, flag, weight], outcomes,
-                         item_col, "__y")
-    long = long.filter(F.col("__y").isNotNull() & F.col(flag).isNotNull())
-    y, w = F.col("__y").cast("double"), F.col(weight).cast("double")
-    g = F.col(flag).cast("double")
-    parts = []
-    for lvl in (0, 1):
-        in_g = g == F.lit(float(lvl))
-        wg = F.when(in_g, w)
-        parts += [
-            F.count_if(in_g).alias(f"n{lvl}"),
-            F.sum(wg).alias(f"sw{lvl}"),
-            F.sum(wg * y).alias(f"swy{lvl}"),
-            F.sum(wg * wg).alias(f"sw2{lvl}"),
-            F.sum(wg * wg * y).alias(f"sw2y{lvl}"),
-            F.sum(wg * wg * y * y).alias(f"sw2yy{lvl}"),
-        ]
-    agg = long.groupBy(*by, item_col).agg(*parts)
-
-    n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
+    agg = _flag_sums(df, outcomes, flag, by, weight, item_col)
+    one, two = F.lit(1.0), F.lit(2.0)
+    unweighted = (F.col("nw0") < F.col("n0")) | (F.col("nw1") < F.col("n1"))
+    n0, n1 = F.col("nw0").cast("double"), F.col("nw1").cast("double")
     n = n0 + n1
     p = {k: F.try_divide(F.col(f"swy{k}"), F.col(f"sw{k}")) for k in (0, 1)}
-    v = {k: p[k] * (F.lit(1.0) - p[k]) for k in (0, 1)}
-    ss = {k: F.col(f"sw2yy{k}") - F.lit(2.0) * p[k] * F.col(f"sw2y{k}") + p[k] * p[k] * F.col(f"sw2{k}")
-          for k in (0, 1)}
-    var_eta = {k: F.try_divide(F.try_divide(n, n - F.lit(1.0)) * F.greatest(ss[k], F.lit(0.0)),
-                               (F.col(f"sw{k}") * v[k]) * (F.col(f"sw{k}") * v[k])) for k in (0, 1)}
+    v = {k: p[k] * (one - p[k]) for k in (0, 1)}
+    ss = {k: F.col(f"sw2yy{k}") - two * p[k] * F.col(f"sw2y{k}") + p[k] * p[k] * F.col(f"sw2{k}") for k in (0, 1)}
+    design = {k: F.try_divide(F.try_divide(n, n - one) * F.greatest(ss[k], F.lit(0.0)),
+                              (F.col(f"sw{k}") * v[k]) * (F.col(f"sw{k}") * v[k])) for k in (0, 1)}
+    plain = {k: F.try_divide(one, F.col(f"sw{k}") * v[k]) for k in (0, 1)}
+    var_eta = {k: F.when(unweighted, plain[k]).otherwise(design[k]) for k in (0, 1)}
     beta = _logit(p[1]) - _logit(p[0])
     m = F.try_divide(n0 * v[0] + n1 * v[1], n)
-    d0 = -m + beta * F.try_divide(n0, n) * v[0] * (F.lit(1.0) - F.lit(2.0) * p[0])
-    d1 = m + beta * F.try_divide(n1, n) * v[1] * (F.lit(1.0) - F.lit(2.0) * p[1])
-
-    varied = (F.col("n0") > 0) & (F.col("n1") > 0)
+    skew = {k: beta * v[k] * (one - two * p[k]) for k in (0, 1)}
+    d0 = -m + F.try_divide(n0, n) * skew[0]
+    d1 = m + F.try_divide(n1, n) * skew[1]
+    # squared standard error of a row's own effect in either group
+    row0 = (skew[0] - v[0]) * (skew[0] - v[0]) * var_eta[0] + v[0] * v[0] * var_eta[1]
+    row1 = v[1] * v[1] * var_eta[0] + (skew[1] + v[1]) * (skew[1] + v[1]) * var_eta[1]
+    variance = F.when(unweighted, F.try_divide(n0 * row0 + n1 * row1, n)).otherwise(d0 * d0 * var_eta[0] + d1 * d1 * var_eta[1])
+
+    varied = (n0 > 0) & (n1 > 0)
     separated = (v[0] == F.lit(0.0)) | (v[1] == F.lit(0.0))
     status = (F.when(~varied, F.lit(NO_VARIATION))
               .when(separated, F.lit(SEPARATED))
-              .when(F.least("n0", "n1") < F.lit(min_cell), F.lit(SMALL_CELL))
+              .when(unweighted, F.lit(FALLBACK))
+              .when(F.least(n0, n1) < F.lit(min_cell), F.lit(SMALL_CELL))
               .otherwise(F.lit(OK)))
     fine = varied & ~separated
 
@@ -94,14 +113,14 @@ def binary_contrast(df: DataFrame, outcomes: Sequence[str], flag: str, by: Seque
         *by, item_col,
         F.lit(flag).alias("term"),
         F.when(fine, beta * m).alias("estimate"),
-        F.when(fine, F.sqrt(d0 * d0 * var_eta[0] + d1 * d1 * var_eta[1])).alias("std_error"),
+        F.when(fine, F.sqrt(variance)).alias("std_error"),
         F.when(fine, beta).alias("beta"),
         F.when(fine, F.sqrt(var_eta[0] + var_eta[1])).alias("beta_se"),
-        F.when(F.col("n0") > 0, p[0]).alias("p0"),
-        F.when(F.col("n1") > 0, p[1]).alias("p1"),
+        F.when(n0 > 0, p[0]).alias("p0"),
+        F.when(n1 > 0, p[1]).alias("p1"),
         n.cast("long").alias("n"),
-        F.col("n0").cast("long").alias("n0"),
-        F.col("n1").cast("long").alias("n1"),
+        n0.cast("long").alias("n0"),
+        n1.cast("long").alias("n1"),
         status.alias("status"),
     )
     if not keep_no_variation:
@@ -109,14 +128,6 @@ def binary_contrast(df: DataFrame, outcomes: Sequence[str], flag: str, by: Seque
     return out
 
 
-def pool_effects(df: DataFrame, keys: Sequence[str], estimate: str = "estimate",
-                 std_error: str = "std_error") -> DataFrame:
-    """Mean of estimates and root-mean-square of standard errors by keys."""
-    se = F.col(std_error)
-    return df.groupBy(*keys).agg(F.avg(estimate).alias(estimate),
-                                 F.sqrt(F.avg(se * se)).alias(std_error))
-
-
 def linear_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Least-squares line of ``y`` on ``x`` per key group (slope, intercept, n)."""
     return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"),

@@ -17,7 +17,6 @@ from wavestat.operators.design import add_dummies, add_set_flag, complete_case_b
 from wavestat.operators.multivar import numeric_columns, pairwise_correlation
 from wavestat.operators.reshape import pivot_counts, pivot_first, unpivot_items
 from wavestat.operators.shares import count_share, null_rates, percent_table, weighted_share
-from wavestat.plans.estimates import survey_years
 
 BELIEF = "Belief in Fraud"
 NO_BELIEF = "No Belief in Fraud"
@@ -180,7 +179,8 @@ def confidence_crosstab(resp: DataFrame, items=S.CORE_ITEMS) -> DataFrame:
 
 def _column_years(resp: DataFrame) -> list:
     """The study's years and any others present in the data, in order."""
-    return sorted({*S.SURVEY_YEARS, *survey_years(resp)})
+    found = resp.agg(F.collect_set("year")).first()[0]  # the years become column names
+    return sorted({*S.SURVEY_YEARS, *found})
 
 
 def null_rate_by_item_year(resp: DataFrame, items=S.CORE_ITEMS, labels=S.ITEM_LABELS,

@@ -3,7 +3,7 @@ party effects, demographic logit tables, the belief-score regression and PCA."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavestat import study as S
@@ -11,7 +11,7 @@ from wavestat.functions import eq_dummy, in_set, lookup, recode
 from wavestat.operators.contrast import binary_contrast, linear_trend
 from wavestat.operators.design import add_dummies, add_set_flag, complete_case_by_key
 from wavestat.operators.domain import domain_mean
-from wavestat.operators.glm import fit_glm, glm_cells
+from wavestat.operators.glm import fit_glm, fit_glm_items, item_cells
 from wavestat.operators.irt import attach_scores, fit_2pl, item_parameters, pattern_scores, response_patterns
 from wavestat.operators.multivar import pca_fit
 from wavestat.operators.multivar import pca_loadings as multivar_loadings
@@ -76,28 +76,23 @@ def swing_effect(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
         "beta", "beta_se", "p0", "p1", "n", "n0", "n1", "status")
 
 
-MAX_SURVEY_YEARS = 1000
+def survey_years(df: DataFrame, col: str = "year") -> Column:
+    """Distinct survey years present in the data, sorted, as an array value of the plan (scalar subquery)."""
+    return df.select(F.sort_array(F.collect_set(col))).scalar()
 
 
-def survey_years(df: DataFrame, col: str = "year") -> list:
-    """Distinct survey years present in the data, sorted (one small job; the
-    count of distinct years is checked before it reaches the driver)."""
-    rows = df.select(col).distinct().limit(MAX_SURVEY_YEARS + 1).collect()
-    if len(rows) > MAX_SURVEY_YEARS:
-        raise ValueError(f"more than {MAX_SURVEY_YEARS} distinct values in {col}")
-    return sorted(r[col] for r in rows if r[col] is not None)
-
-
-def year_index(years=S.SURVEY_YEARS, col: str = "year"):
-    """1-based position of the year among all survey years (trend x axis)."""
-    return lookup(col, {y: i + 1 for i, y in enumerate(years)})
+def year_index(years=S.SURVEY_YEARS, col: str = "year") -> Column:
+    """1-based position of the year among all survey years (trend x axis); NULL for other years."""
+    known = years if isinstance(years, Column) else F.array(*[F.lit(y) for y in years])
+    at = F.array_position(known, F.col(col).cast("int"))
+    return F.when(at > 0, at)
 
 
 def effect_trend(effects: DataFrame, keys=("item", "term"), years=S.SURVEY_YEARS) -> DataFrame:
     """Least-squares trend of effect estimates over the survey-year index.
 
-    ``years``: all survey years in order (the x axis counts every year, so an
-    item first asked in the second wave starts at 2).  NULL estimates are no
+    ``years``: all survey years in order, a list or an array column (the x axis
+    counts every year, so an item first asked in the second wave starts at 2).  NULL estimates are no
     points of the line.
     Output: keys..., slope, intercept, n_points.
     """
@@ -115,6 +110,16 @@ def swing_effect_trend(resp: DataFrame, swing: DataFrame) -> DataFrame:
 # Party effects (logit on party dummies + swing flag, marginal effects)
 # ----------------------------------------------------------------------------
 
+PARTY_PREDICTORS = ("rep_party", "dem_party", "swing_state")
+
+
+def _party_design(resp: DataFrame, swing: DataFrame, items) -> DataFrame:
+    df = resp.select("year", "state", "party", "weight", *items).withColumns({
+        "rep_party": eq_dummy("party", "REPUBLICAN"),
+        "dem_party": eq_dummy("party", "DEMOCRAT")})
+    return add_set_flag(df, swing, ["year", "state"], "swing_state")
+
+
 def party_effects(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
                   labels=S.EFFECT_LABELS, kind: str = "derivative") -> DataFrame:
     """Average marginal effect of Republican / Democrat (vs Independent) on
@@ -124,20 +129,15 @@ def party_effects(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS,
     Model rows: non-NULL belief; rows without a party stay in the design
     (n) but not in the fit.  ``kind``: ``"derivative"`` (default) or
     ``"difference"`` (average change from party dummy 0 to 1).  Models
-    without a finite estimate have NULL estimates and their status.
+    without a finite estimate have NULL estimates and their status; a model
+    with a row without weight falls back to the plain weighted logit of the
+    others (status ``fallback``, pooled standard errors).
     Output: year, item, fraud_label, term, party, estimate, std_error,
     ci_lower, ci_upper, n_design, n_fit, status.
     """
-    df = resp.select("year", "state", "party", "weight", *items).withColumns({
-        "rep_party": eq_dummy("party", "REPUBLICAN"),
-        "dem_party": eq_dummy("party", "DEMOCRAT")})
-    df = add_set_flag(df, swing, ["year", "state"], "swing_state")
-    long = (df.unpivot(["year", "weight", "rep_party", "dem_party", "swing_state"], list(items),
-                       "item", "y")
-            .filter(F.col("y").isNotNull()))
     terms = list(S.PARTY_EFFECT_TERMS)
-    fit = fit_glm(long, ["year", "item"], "y", ["rep_party", "dem_party", "swing_state"],
-                  difference_terms=terms if kind == "difference" else ())
+    fit = fit_glm_items(_party_design(resp, swing, items), ["year"], items, PARTY_PREDICTORS, keep_null_outcome=False,
+                        difference_terms=terms if kind == "difference" else (), fallback=True)
     me = fit.marginal_effects(resp.sparkSession, terms, kind=kind)
     me = me.withColumn("estimate", F.when(F.col("std_error").isNotNull(), F.col("estimate")))
     return me.select(
@@ -172,9 +172,7 @@ def demographic_logits(resp: DataFrame, years=S.DEMOGRAPHIC_LOGIT_YEARS, items=S
     """Survey-weighted logit of each item on the demographic predictors, per
     year; returns the ``GlmFit`` (all year x item models in one batch)."""
     df = demographic_design(resp, years)
-    long = df.select("year", "weight", *predictors, *items).unpivot(
-        ["year", "weight", *predictors], list(items), "item", "y")
-    return fit_glm(long, ["year", "item"], "y", list(predictors))
+    return fit_glm_items(df, ["year"], items, list(predictors))
 
 
 def coefficient_table(coefs: DataFrame, term_labels: dict, model_col: str, model_labels: dict | None = None,
@@ -352,9 +350,7 @@ def logit_table_2008(raw: DataFrame) -> DataFrame:
     """
     df = raw2008_design(raw)
     preds = list(S.RAW2008_PREDICTORS)
-    long = df.select("weight", *preds, *S.RAW2008_ITEMS).unpivot(
-        ["weight", *preds], list(S.RAW2008_ITEMS), "model", "y")
-    fit = fit_glm(long, ["model"], "y", preds)
+    fit = fit_glm_items(df, [], S.RAW2008_ITEMS, preds, item_col="model")
     table = coefficient_table(fit.coefficients(raw.sparkSession), S.RAW2008_TERM_LABELS, "model")
     aggs = []
     for q_, name in S.RAW2008_MODEL_NAMES.items():
@@ -369,11 +365,5 @@ def party_effect_cells(resp: DataFrame, swing: DataFrame, items=S.CORE_ITEMS) ->
     (year, item, complete, rep_party, dem_party, swing_state) with n and the
     sums of w, w^2, w y, w^2 y, w^2 y^2.  Output: year, item, complete, x1,
     x2, x3, n, sw, sw2, swy, sw2y, sw2yy."""
-    df = resp.select("year", "state", "party", "weight", *items).withColumns({
-        "rep_party": eq_dummy("party", "REPUBLICAN"),
-        "dem_party": eq_dummy("party", "DEMOCRAT")})
-    df = add_set_flag(df, swing, ["year", "state"], "swing_state")
-    long = (df.unpivot(["year", "weight", "rep_party", "dem_party", "swing_state"], list(items), "item", "y")
-            .filter(F.col("y").isNotNull()))
-    return glm_cells(long, ["year", "item"], "y", ["rep_party", "dem_party", "swing_state"],
-                     outcome_in_key=False)
+    cells = item_cells(_party_design(resp, swing, items), ["year"], items, PARTY_PREDICTORS, keep_null_outcome=False)
+    return cells.drop("n_no_weight")

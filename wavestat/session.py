@@ -78,7 +78,7 @@ def materialize_with_path(df, name: str):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/wavestat-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), path
+    return spark.read.schema(df.schema).parquet(path), path  # schema given: no job to infer it
 
 
 def release(spark, path: str) -> None:
