@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from wavestat.operators.irt import attach_scores, fit_2pl, fit_2pl_patterns, pattern_scores
+from wavestat.operators.irt import attach_scores, fit_2pl, maximise, pattern_scores, posterior, quadrature
 from wavestat.operators.multivar import pairwise_correlation, pca_fit, pca_loadings, pca_scores
 
 
@@ -68,10 +68,66 @@ def test_2pl_recovers_parameters(spark):
     fit = fit_2pl(df, items)
     assert np.max(np.abs(fit["a"] - a_true)) < 0.15
     assert np.max(np.abs(fit["d"] - d_true)) < 0.1
-    assert len(fit["patterns"]) <= 2 ** 6
+    assert fit["patterns"].count() <= 2 ** 6
     scores = pattern_scores(spark, fit, "score")
     scored = attach_scores(df, scores, items, "score")
     assert scored.count() == 20000 and scored.filter("score is null").count() == 0
     # EAP correlates with the true ability
     s = np.array([r.score for r in scored.select("rid", "score").orderBy("rid").collect()])
     assert np.corrcoef(s, th)[0, 1] > 0.7
+
+
+def _plain_em(x, n, steps=3000, tol=1e-7):
+    """EM on one pattern table, without extrapolation."""
+    nodes, prior = quadrature()
+    k = x.shape[1]
+    p = (n @ x) / n.sum()
+    a, d = np.ones(k), np.log(p / (1 - p)) * np.sqrt(1 + 1 / 1.7 ** 2)
+    for _ in range(steps):
+        post, _ = posterior(x, a, d, nodes, prior)
+        new = maximise(n @ post, ((post * n[:, None]).T @ x).T, nodes, a, d)
+        change = max(np.max(np.abs(new[0] - a)), np.max(np.abs(new[1] - d)))
+        a, d = new
+        if change < tol:
+            return a, d
+    return a, d
+
+
+def test_2pl_equals_plain_em_on_64_patterns(spark):
+    rng = np.random.default_rng(5)
+    a_true, d_true = np.array([1.4, 0.7, 1.1, 1.9, 0.9, 1.2]), np.array([-0.4, 0.2, 0.1, -0.9, 0.6, 0.0])
+    th = rng.standard_normal(4000)
+    x = (rng.random((4000, 6)) < 1 / (1 + np.exp(-(np.outer(th, a_true) + d_true)))).astype(float)
+    pats, n = np.unique(x, axis=0, return_counts=True)
+    want = _plain_em(pats, n.astype(float))
+    items = [f"i{j}" for j in range(6)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=items)).repartition(5)
+    fit = fit_2pl(df, items, tol=1e-6)
+    assert np.allclose(fit["a"], want[0], atol=2e-4) and np.allclose(fit["d"], want[1], atol=2e-4)
+    nodes, prior = quadrature()
+    eap = {tuple(r[:6]): r.score for r in pattern_scores(spark, fit, "score").collect()}
+    post, _ = posterior(pats, *want, nodes, prior)
+    assert np.allclose([eap[tuple(p)] for p in pats], post @ nodes, atol=1e-3)
+
+
+def test_2pl_recovers_20_items(spark):
+    rng = np.random.default_rng(77)
+    k, n = 20, 12000
+    a_true, d_true = rng.uniform(0.6, 2.0, k), rng.uniform(-1.2, 1.2, k)
+    th = rng.standard_normal(n)
+    x = (rng.random((n, k)) < 1 / (1 + np.exp(-(np.outer(th, a_true) + d_true)))).astype(float)
+    items = [f"i{j}" for j in range(k)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=items))
+    fit = fit_2pl(df, items)
+    assert fit["patterns"].count() > 2 ** 6  # nearly a pattern per respondent, none of them on the driver
+    assert np.max(np.abs(fit["a"] - a_true)) < 0.2 and np.max(np.abs(fit["d"] - d_true)) < 0.15
+    scored = attach_scores(df, pattern_scores(spark, fit, "score"), items, "score")
+    assert scored.filter("score IS NULL").count() == 0 and scored.count() == n
+
+
+def test_2pl_rejects_other_answers(spark):
+    df = spark.createDataFrame([(0.0, 1.0), (1.0, 2.0)], "a double, b double")
+    with pytest.raises(ValueError, match="0/1"):
+        fit_2pl(df, ["a", "b"])
+    with pytest.raises(ValueError, match="no complete"):
+        fit_2pl(df.limit(0), ["a", "b"])

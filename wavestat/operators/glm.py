@@ -312,13 +312,11 @@ def _pass_aggregate(cells: DataFrame, state: DataFrame, model_keys: list[str], p
     (``wrong``).  The final pass has, for the score, the sandwich meat
     sum w^2 (y - mu)^2 x x' and the marginal-effect sums (derivative form; for
     ``diff_terms`` also mu(x_j = 1) - mu(x_j = 0) and its gradient).
-    A model's state columns are the same on all its cells, so they are grouped
-    by with the keys and stand beside the sums.
+    The sums come back beside their model's state columns.
     """
     one = F.lit(1.0)
     x = [one] + [F.col(f"x{i}") for i in range(1, p)]
-    held = [c for c in state.columns if c not in model_keys]
-    joined = _with_state(cells, state, model_keys, held)
+    joined = _with_state(cells, state, model_keys, [f"{c}{i}" for c in ("bs" if family == "binomial" else "b") for i in range(p)])
     eta = _linear("b", p)
     n, sw, sw2 = F.col("n").cast("double"), F.col("sw"), F.col("sw2")
     swy, sw2y, sw2yy = F.col("swy"), F.col("sw2y"), F.col("sw2yy")
@@ -330,7 +328,7 @@ def _pass_aggregate(cells: DataFrame, state: DataFrame, model_keys: list[str], p
     else:
         mu, var_mu = eta, one
         dev = F.col("swyy") - F.lit(2.0) * mu * swy + mu * mu * sw
-    cols = [*model_keys, *held, *[xi.alias(f"__x{i}") for i, xi in enumerate(x)], (sw * var_mu).alias("__wt"), dev.alias("__dev")]
+    cols = [*model_keys, *[xi.alias(f"__x{i}") for i, xi in enumerate(x)], (sw * var_mu).alias("__wt"), dev.alias("__dev")]
     aggs = [F.expr("sum(__dev) AS dev")]
     if family == "binomial":
         move = _linear("s", p)
@@ -362,7 +360,8 @@ def _pass_aggregate(cells: DataFrame, state: DataFrame, model_keys: list[str], p
             if final:
                 aggs.append(F.expr(f"sum(__m * __x{j} * __x{k}) AS m{j}_{k}"))
         aggs.append(F.expr(f"sum(__a2 * __x{j}) AS a{j}") if final else F.expr(f"sum(__r * __x{j}) AS r{j}"))
-    return joined.select(*cols).groupBy(*model_keys, *held).agg(*aggs)
+    sums = joined.select(*cols).groupBy(*model_keys).agg(*aggs)
+    return _with_state(sums, state, model_keys, [c for c in state.columns if c not in model_keys])
 
 
 def _sym(row, prefix: str, p: int) -> np.ndarray:

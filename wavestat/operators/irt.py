@@ -1,12 +1,19 @@
 """Two-parameter logistic item response model (one factor) and EAP scores.
 
-Plan: the only pass over respondent rows is ``response_patterns`` -- a
-``groupBy(items).count()``.  For k binary items there are at most 2^k
-patterns whatever the number of respondents, so the pattern table has a
-proven size bound (checked before it is collected).  Marginal maximum
-likelihood by EM (Bock & Aitkin 1981) then runs over patterns x quadrature
-nodes, and each pattern's expected-a-posteriori score is broadcast-joined
-back to the rows on the item values.
+Plan: ``response_patterns`` (a ``groupBy(items).count()``) is the only pass
+over respondent rows; the pattern table is written once and every EM step
+reads it.  A step is one job: tasks compute the posterior of their patterns on
+the quadrature nodes (a literal array) and sum the expected counts by node and
+the expected correct answers by (item, node); Spark adds those sums, and only
+they, (items + 1) x nodes numbers, reach the driver, which updates slope and
+intercept per item (Bock & Aitkin 1981).  The pattern table stays distributed,
+so the number of items and of patterns is not bounded; with k items there are
+at most 2^k patterns, and never more than respondents.
+
+EM steps are extrapolated in pairs (SQUAREM): a jump along the two last steps
+is kept where it does not lower the likelihood, so a fit takes tens of jobs.
+Each respondent's expected-a-posteriori score comes from joining the pattern
+scores back on the item values.
 
 Model: P(x_i = 1 | theta) = 1 / (1 + exp(-(a_i theta + d_i))), theta ~ N(0, 1),
 fixed quadrature on [-6, 6].  The sign is identified by making the slopes sum
@@ -18,12 +25,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_ITEMS = 16  # at most 2^16 patterns: the EM over patterns x 61 nodes stays small on the driver
-MAX_BROADCAST_PATTERNS = 100_000  # pattern-score tables above this are shuffle-joined
+from wavestat.session import materialize_with_path
+
+BLOCK = 4096  # patterns whose posterior is held at once
 
 
 def response_patterns(df: DataFrame, items: Sequence[str], count_col: str = "n") -> DataFrame:
@@ -31,102 +39,149 @@ def response_patterns(df: DataFrame, items: Sequence[str], count_col: str = "n")
     return df.groupBy(*items).agg(F.count(F.lit(1)).alias(count_col))
 
 
-def _collect_patterns(df: DataFrame, items: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    if len(items) > MAX_ITEMS:
-        raise ValueError(f"{len(items)} items: pattern table may exceed 2^{MAX_ITEMS} rows")
-    bound = 2 ** len(items)
-    # at most 2^k patterns exist for binary answers; fetch one more to detect
-    # non-binary input without ever pulling an unbounded table to the driver
-    pats = response_patterns(df, items).limit(bound + 1).collect()
-    if len(pats) > bound:
-        raise ValueError("more than 2^k answer patterns: 2PL items must be complete 0/1 answers")
-    x = np.array([[float(r[c]) for c in items] for r in pats], dtype=float)
-    n = np.array([float(r["n"]) for r in pats], dtype=float)
-    if x.size and not np.all(np.isin(x, (0.0, 1.0))):
-        raise ValueError("2PL items must be complete 0/1 answers")
-    return x, n
+def quadrature(n_nodes: int = 61, theta_lim: float = 6.0) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and normalised standard normal weights."""
+    nodes = np.linspace(-theta_lim, theta_lim, n_nodes)
+    prior = np.exp(-0.5 * nodes ** 2)
+    return nodes, prior / prior.sum()
 
 
-def _posterior(x: np.ndarray, a: np.ndarray, d: np.ndarray, nodes: np.ndarray, prior: np.ndarray):
+def posterior(x: np.ndarray, a: np.ndarray, d: np.ndarray, nodes: np.ndarray, prior: np.ndarray):
+    """(patterns x nodes posterior, log-likelihood per pattern)."""
     z = np.outer(nodes, a) + d                      # Q x k
     logp = -np.logaddexp(0.0, -z)                   # log P
     logq = -np.logaddexp(0.0, z)                    # log (1 - P)
-    ll = x @ logp.T + (1.0 - x) @ logq.T            # patterns x Q
-    lw = ll + np.log(prior)
+    lw = x @ logp.T + (1.0 - x) @ logq.T + np.log(prior)
     mx = lw.max(axis=1, keepdims=True)
     w = np.exp(lw - mx)
     tot = w.sum(axis=1, keepdims=True)
-    return w / tot, (np.log(tot[:, 0]) + mx[:, 0])
-
-
-def fit_2pl_patterns(x: np.ndarray, n: np.ndarray, n_nodes: int = 61, theta_lim: float = 6.0,
-                     max_iter: int = 2000, tol: float = 1e-4) -> dict:
-    """EM fit of the 2PL on a pattern table (x: patterns x items, n: counts)."""
-    k = x.shape[1]
-    nodes = np.linspace(-theta_lim, theta_lim, n_nodes)
-    prior = np.exp(-0.5 * nodes ** 2)
-    prior /= prior.sum()
-    pbar = np.clip((n @ x) / n.sum(), 1e-4, 1 - 1e-4)
-    a = np.ones(k)
-    d = np.log(pbar / (1 - pbar)) * np.sqrt(1 + a ** 2 / 1.7 ** 2)
-    it = 0
-    np_state = np.seterr(over="ignore")
-    for it in range(1, max_iter + 1):
-        post, _ = _posterior(x, a, d, nodes, prior)
-        nq = n @ post                               # expected count per node
-        rq = (post * n[:, None]).T @ x              # Q x k expected correct
-        a_new, d_new = a.copy(), d.copy()
-        for i in range(k):
-            ai, di = a[i], d[i]
-            for _ in range(20):
-                p = 1.0 / (1.0 + np.exp(-(ai * nodes + di)))
-                resid = rq[:, i] - nq * p
-                wgt = nq * p * (1 - p)
-                g = np.array([resid @ nodes, resid.sum()])
-                h = np.array([[wgt @ nodes ** 2, wgt @ nodes], [wgt @ nodes, wgt.sum()]])
-                try:
-                    step = np.linalg.solve(h, g)
-                except np.linalg.LinAlgError:
-                    break
-                ai, di = ai + step[0], di + step[1]
-                if np.max(np.abs(step)) < 1e-10:
-                    break
-            a_new[i], d_new[i] = ai, di
-        change = max(np.max(np.abs(a_new - a)), np.max(np.abs(d_new - d)))
-        a, d = a_new, d_new
-        if change < tol:
+    return w / tot, np.log(tot[:, 0]) + mx[:, 0]
+
+
+def maximise(nq: np.ndarray, rq: np.ndarray, nodes: np.ndarray, a: np.ndarray, d: np.ndarray):
+    """Slopes and intercepts from expected counts per node (nq) and correct answers per item and node (rq): Newton per item."""
+    a, d = a.copy(), d.copy()
+    for i in range(len(a)):
+        for _ in range(20):
+            p = 1.0 / (1.0 + np.exp(-np.clip(a[i] * nodes + d[i], -700, 700)))
+            resid, wgt = rq[i] - nq * p, nq * p * (1 - p)
+            h11, h12, h22 = wgt @ nodes ** 2, wgt @ nodes, wgt.sum()
+            det = h11 * h22 - h12 * h12
+            if not det > 0:
+                break
+            g1, g2 = resid @ nodes, resid.sum()
+            step = np.array([h22 * g1 - h12 * g2, h11 * g2 - h12 * g1]) / det
+            a[i], d[i] = a[i] + step[0], d[i] + step[1]
+            if np.max(np.abs(step)) < 1e-10:
+                break
+    return a, d
+
+
+def _expected(patterns: DataFrame, items: Sequence[str], a, d, nodes, prior):
+    """(expected counts per node, correct answers per item and node, log-likelihood): one job over the patterns."""
+    k, q = len(items), len(nodes)
+
+    def count(batches):
+        total = np.zeros((k + 1, q))
+        loglik = 0.0
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = np.column_stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(k)])
+                n = part.column(k).to_numpy(zero_copy_only=False)
+                post, ll = posterior(x, a, d, nodes, prior)
+                post *= n[:, None]
+                total[0] += post.sum(0)
+                total[1:] += x.T @ post
+                loglik += float(n @ ll)
+        yield pa.RecordBatch.from_arrays([pa.array([[loglik, *total.ravel()]])], ["sums"])
+
+    rows = (patterns.mapInArrow(count, "sums array<double>").select(F.posexplode("sums").alias("at", "value"))
+            .groupBy("at").agg(F.sum("value").alias("value")).collect())  # (items + 1) x nodes + 1 rows
+    sums = np.zeros(1 + (k + 1) * q)
+    for r in rows:
+        sums[r.at] = r.value
+    counts = sums[1:].reshape(k + 1, q)
+    return counts[0], counts[1:], sums[0]
+
+
+def fit_2pl(df: DataFrame, items: Sequence[str], n_nodes: int = 61, theta_lim: float = 6.0,
+            max_steps: int = 2000, tol: float = 1e-4) -> dict:
+    """Marginal maximum likelihood of the 2PL on complete 0/1 answers in ``df``.
+
+    Stops when an EM step moves no parameter by ``tol``.  Result: items, a, d,
+    nodes, prior, steps, loglik and ``patterns``, the written pattern table.
+    """
+    items = list(items)
+    numbers = [F.col(c).cast("double").alias(c) for c in items]
+    patterns, _ = materialize_with_path(response_patterns(df.select(*numbers), items), "irt-patterns")
+    wrong = F.lit(False)
+    for c in items:
+        wrong = wrong | F.col(c).isNull() | ~F.col(c).isin(0.0, 1.0)
+    start = patterns.agg(F.sum("n").alias("n"), F.count_if(wrong).alias("wrong"),
+                         *[F.sum(F.col(c) * F.col("n")).alias(f"s{i}") for i, c in enumerate(items)]).first()
+    if not start["n"]:
+        raise ValueError("no complete response patterns")
+    if start["wrong"]:
+        raise ValueError("2PL items must be complete 0/1 answers")
+    nodes, prior = quadrature(n_nodes, theta_lim)
+    k = len(items)
+    pbar = np.clip(np.array([start[f"s{i}"] for i in range(k)]) / start["n"], 1e-4, 1 - 1e-4)
+    theta = np.concatenate([np.ones(k), np.log(pbar / (1 - pbar)) * np.sqrt(1 + 1 / 1.7 ** 2)])
+
+    def step(at):
+        nq, rq, loglik = _expected(patterns, items, at[:k], at[k:], nodes, prior)
+        return np.concatenate(maximise(nq, rq, nodes, at[:k], at[k:])), loglik
+
+    steps = 0
+    while steps < max_steps:
+        first, level = step(theta)
+        steps += 1
+        if np.max(np.abs(first - theta)) < tol:
+            theta = first
             break
-    np.seterr(**np_state)
+        second, _ = step(first)
+        steps += 1
+        r, v = first - theta, second - 2 * first + theta
+        if np.max(np.abs(second - first)) < tol or not np.linalg.norm(v) > 0:
+            theta = second
+            break
+        length = max(1.0, np.linalg.norm(r) / np.linalg.norm(v))
+        jump = theta + 2 * length * r + length ** 2 * v
+        theta = second
+        if length > 1 and np.isfinite(jump).all() and np.max(np.abs(jump - second)) < 2:
+            landed, reached = step(jump)
+            steps += 1
+            if reached >= level:
+                if np.max(np.abs(landed - jump)) < tol:
+                    theta = landed
+                    break
+                theta = landed
+    a, d = theta[:k], theta[k:]
     if a.sum() < 0:
         a = -a
-    post, loglik = _posterior(x, a, d, nodes, prior)
-    return {"a": a, "d": d, "nodes": nodes, "prior": prior, "iterations": it,
-            "loglik": float(n @ loglik)}
+    return {"items": items, "a": a, "d": d, "nodes": nodes, "prior": prior, "steps": steps, "patterns": patterns,
+            "loglik": float(_expected(patterns, items, a, d, nodes, prior)[2])}
 
 
-def fit_2pl(df: DataFrame, items: Sequence[str], **kw) -> dict:
-    """Fit the 2PL on complete 0/1 answers in ``df`` (one distributed pass)."""
-    x, n = _collect_patterns(df, items)
-    if n.sum() == 0:
-        raise ValueError("no complete response patterns")
-    fit = fit_2pl_patterns(x, n, **kw)
-    fit.update({"items": list(items), "patterns": x, "counts": n})
-    return fit
+def pattern_scores(spark, fit: dict, score_col: str = "score") -> DataFrame:
+    """EAP score and posterior SD for every observed pattern.  Output: items, n, score, score_sd."""
+    items, a, d, nodes, prior = (fit[name] for name in ("items", "a", "d", "nodes", "prior"))
+    k = len(items)
 
+    def score(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                x = np.column_stack([part.column(i).to_numpy(zero_copy_only=False) for i in range(k)])
+                post, _ = posterior(x, a, d, nodes, prior)
+                eap = post @ nodes
+                sd = np.sqrt(np.clip(post @ nodes ** 2 - eap ** 2, 0, None))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(eap), pa.array(sd)],
+                                                 [*part.schema.names, score_col, f"{score_col}_sd"])
 
-def pattern_scores(spark, fit: dict, score_col: str = "score") -> DataFrame:
-    """EAP score and posterior SD for every observed pattern (<= 2^k rows)."""
-    x, a, d = fit["patterns"], fit["a"], fit["d"]
-    post, _ = _posterior(x, a, d, fit["nodes"], fit["prior"])
-    eap = post @ fit["nodes"]
-    sd = np.sqrt(np.clip(post @ fit["nodes"] ** 2 - eap ** 2, 0, None))
-    items = fit["items"]
-    schema = T.StructType([T.StructField(c, T.DoubleType(), False) for c in items]
-                          + [T.StructField("n", T.LongType()), T.StructField(score_col, T.DoubleType()),
-                             T.StructField(f"{score_col}_sd", T.DoubleType())])
-    rows = [(*[float(v) for v in x[i]], int(fit["counts"][i]), float(eap[i]), float(sd[i]))
-            for i in range(len(eap))]
-    return spark.createDataFrame(rows, schema)
+    schema = ", ".join([*[f"`{c}` double" for c in items], "n long", f"`{score_col}` double", f"`{score_col}_sd` double"])
+    return fit["patterns"].select(*items, "n").mapInArrow(score, schema)
 
 
 def item_parameters(spark, fit: dict) -> DataFrame:
@@ -136,19 +191,11 @@ def item_parameters(spark, fit: dict) -> DataFrame:
     return spark.createDataFrame(rows, "item string, a double, d double, b double")
 
 
-def attach_scores(df: DataFrame, scores: DataFrame, items: Sequence[str], score_col: str = "score",
-                  n_patterns: int | None = None) -> DataFrame:
-    """Join each row to its pattern's score.
-
-    The score table has one row per observed pattern (at most 2^k for k
-    binary items); it is broadcast when ``n_patterns`` (known on the driver
-    from the fit) is at most ``MAX_BROADCAST_PATTERNS``, else shuffle-joined.
-    """
-    keyed = scores.select(*[F.col(c).alias(f"__p_{c}") for c in items], score_col)
+def attach_scores(df: DataFrame, scores: DataFrame, items: Sequence[str], score_col: str = "score") -> DataFrame:
+    """Join each row to its pattern's score (by broadcast or shuffle, as Spark sizes the written score table)."""
+    kept, _ = materialize_with_path(scores.select(*[F.col(c).alias(f"__p_{c}") for c in items], score_col), "irt-scores")
     cond = None
     for c in items:
         e = F.col(c).cast("double") == F.col(f"__p_{c}")
         cond = e if cond is None else cond & e
-    small = n_patterns is not None and n_patterns <= MAX_BROADCAST_PATTERNS
-    out = df.join(F.broadcast(keyed) if small else keyed, cond, "left")
-    return out.drop(*[f"__p_{c}" for c in items])
+    return df.join(kept, cond, "left").drop(*[f"__p_{c}" for c in items])

@@ -265,9 +265,8 @@ def irt_scores(resp: DataFrame, year: int = 2024, items=S.CORE_ITEMS) -> DataFra
     Output: caseid, year, fraud_score."""
     df, fit = _irt(resp, year, items)
     scores = pattern_scores(resp.sparkSession, fit, "fraud_score")
-    return attach_scores(df.select("caseid", "year", *items), scores, items, "fraud_score",
-                         len(fit["counts"])) \
-        .select("caseid", "year", "fraud_score")
+    return attach_scores(df.select("caseid", "year", *items), scores, items, "fraud_score").select(
+        "caseid", "year", "fraud_score")
 
 
 def irt_regression(resp: DataFrame, year: int = 2024, items=S.CORE_ITEMS,
@@ -280,7 +279,7 @@ def irt_regression(resp: DataFrame, year: int = 2024, items=S.CORE_ITEMS,
     """
     df, fit = _irt(resp, year, items)
     scores = pattern_scores(resp.sparkSession, fit, "fraud_score")
-    scored = attach_scores(df, scores, items, "fraud_score", len(fit["counts"]))
+    scored = attach_scores(df, scores, items, "fraud_score")
     reg = fit_glm(scored.select("year", "weight", "fraud_score", *predictors), ["year"], "fraud_score",
                   list(predictors), family="gaussian")
     table = coefficient_table(reg.coefficients(resp.sparkSession), S.DEMOGRAPHIC_TERM_LABELS, "year")
