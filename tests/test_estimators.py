@@ -210,3 +210,24 @@ def test_discrete_change_marginal_effect(spark, sim):
     grad = np.array([(change(beta + h) - change(beta - h)) / 2e-6 for h in np.eye(4) * 1e-6])
     assert math.isclose(me.estimate, change(beta), rel_tol=1e-6)
     assert math.isclose(me.std_error, math.sqrt(grad @ v @ grad), rel_tol=1e-5)
+
+
+def test_domain_mean_far_from_zero(spark):
+    rng = np.random.default_rng(12)
+    n = 3000
+    y = np.column_stack([1e6 + rng.normal(size=n), rng.normal(size=n)])
+    w = rng.uniform(0.5, 2, n)
+    far = rng.random(n) < 0.5
+    y[far, 0] -= 1e6  # one domain near zero, one far from it
+    rows = [("far" if far[i] else None, float(y[i, 0]), float(y[i, 1]) if i % 7 else None, float(w[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "d string, a double, b double, weight double").withColumn("year", F.lit(2020))
+    got = {(r.item, r.d): r for r in domain_mean(df, ["a", "b"], "d", ["year"]).collect()}
+    for j, item in enumerate("ab"):
+        for d_, here in (("far", far), (None, ~far)):
+            m = here & (np.arange(n) % 7 > 0) if item == "b" else here
+            total = w[m].sum()
+            mean = (w[m] * y[m, j]).sum() / total
+            se = math.sqrt(n / (n - 1) * ((w[m] * (y[m, j] - mean) / total) ** 2).sum())
+            assert math.isclose(got[item, d_].mean, mean, rel_tol=1e-12, abs_tol=1e-9)
+            assert math.isclose(got[item, d_].std_error, se, rel_tol=1e-9)
+            assert got[item, d_].n == n and got[item, d_].n_obs == m.sum()

@@ -7,10 +7,10 @@ missing rows contribute zero), with W = sum_d w and m = sum_d w*y / W:
 
     u_i = w_i (y_i - m) / W,    Var(m) = n / (n - 1) * sum_d u_i^2
 
-sum_d w^2 (y - m)^2 expands to Sw2y2 - 2 m Sw2y + m^2 Sw2, so every domain
-of every (group, outcome) comes out of ONE partial/final aggregation on
-(group keys, outcome, domain).  The expansion is exact for 0/1 outcomes; for
-general outcomes with tiny variance relative to the mean, centre y first.
+The first pass sums counts, weights and weighted outcomes of every outcome
+side by side per (group keys, domain); the second reads the rows again beside
+their domain's means and sums (w (y - m))^2, so nothing cancels however large
+the mean.  Only those aggregated rows are unpivoted.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavestat.operators.reshape import unpivot_items
+from wavestat.operators.reshape import with_columns_of
 
 
 def domain_mean(df: DataFrame, outcomes: Sequence[str], domain: str, design_keys: Sequence[str],
@@ -36,27 +36,28 @@ def domain_mean(df: DataFrame, outcomes: Sequence[str], domain: str, design_keys
     n_obs (non-NULL outcome rows in the domain), sum_w.
     """
     keys = list(design_keys)
-    long = unpivot_items(df.select(*keys, domain, weight, *outcomes),
-                         [*keys, domain, weight], outcomes, item_col, "__y")
+    cell = [*keys, domain]
+    index = range(len(outcomes))
+    base = df.select(*cell, F.col(weight).cast("double").alias("w"),
+                     *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(outcomes)])
+    first = base.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        *[F.expr(e.format(i=i)) for i in index for e in (
+            "count(y{i}) AS n_obs{i}", "sum(CASE WHEN y{i} IS NOT NULL THEN w END) AS sum_w{i}", "sum(w * y{i}) AS s_wy{i}")])
+    means = first.select(*cell, "n_rows", *[c for i in index for c in (
+        F.col(f"n_obs{i}"), F.col(f"sum_w{i}"), F.try_divide(f"s_wy{i}", f"sum_w{i}").alias(f"m{i}"))])
+    held = [c for c in means.columns if c not in cell]
+    # a cell's first-pass figures are the same on all its rows
+    second = with_columns_of(base, means, cell, held).groupBy(*cell).agg(
+        *[F.max(c).alias(c) for c in held],
+        *[F.expr(f"sum((w * (y{i} - m{i})) * (w * (y{i} - m{i}))) AS ss{i}") for i in index])
+    parts = F.array(*[F.struct(
+        F.lit(c).alias(item_col), F.col(f"m{i}").alias("mean"), F.col(f"ss{i}").alias("ss"),
+        F.col(f"n_obs{i}").alias("n_obs"), F.col(f"sum_w{i}").alias("sum_w")) for i, c in enumerate(outcomes)])
+    long = second.select(*cell, "n_rows", F.explode(parts).alias("c")).select(*cell, "n_rows", "c.*")
     if exclude is not None:
         long = long.filter(~exclude)
-    y, w = F.col("__y").cast("double"), F.col(weight).cast("double")
-    obs_w = F.when(y.isNotNull(), w)
-    agg = long.groupBy(*keys, item_col, domain).agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(y).alias("n_obs"),
-        F.sum(obs_w).alias("sum_w"),
-        F.sum(w * y).alias("s_wy"),
-        F.sum(obs_w * obs_w).alias("s_w2"),
-        F.sum(w * w * y).alias("s_w2y"),
-        F.sum(w * w * y * y).alias("s_w2y2"),
-    )
-    design = Window.partitionBy(*keys, item_col)
-    n = F.sum("n_rows").over(design)
-    m = F.try_divide(F.col("s_wy"), F.col("sum_w"))
-    ss = F.col("s_w2y2") - F.lit(2.0) * m * F.col("s_w2y") + m * m * F.col("s_w2")
-    var = F.try_divide(F.try_divide(n, n - F.lit(1)) * F.greatest(ss, F.lit(0.0)),
-                       F.col("sum_w") * F.col("sum_w"))
-    out = agg.select(*keys, item_col, domain, m.alias("mean"), F.sqrt(var).alias("std_error"),
-                     n.alias("n"), "n_obs", "sum_w")
+    n = F.sum("n_rows").over(Window.partitionBy(*keys, item_col))
+    var = F.try_divide(F.try_divide(n, n - F.lit(1)) * F.col("ss"), F.col("sum_w") * F.col("sum_w"))
+    out = long.select(*keys, item_col, domain, "mean", F.sqrt(var).alias("std_error"), n.alias("n"), "n_obs", "sum_w")
     return out.filter(F.col("n_obs") > 0)

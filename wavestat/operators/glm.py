@@ -51,6 +51,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from wavestat.functions import all_not_null
+from wavestat.operators.reshape import with_columns_of
 from wavestat.session import materialize_with_path, release
 
 INTERCEPT = "(Intercept)"
@@ -289,13 +290,6 @@ def item_cells(df: DataFrame, model_keys: Sequence[str], outcomes: Sequence[str]
         F.sum("n").alias("n"), F.sum("n_no_weight").alias("n_no_weight"), *[F.sum(name).alias(name) for name in CELL_SUMS])
 
 
-def _with_state(cells: DataFrame, state: DataFrame, keys: list[str], columns: Sequence[str]) -> DataFrame:
-    """Cells with their model's state columns (NULL keys are models too)."""
-    side = state.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *columns)
-    same = [cells[k].eqNullSafe(side[f"__k{i}"]) for i, k in enumerate(keys)]
-    return cells.join(side, same, "inner").drop(*[f"__k{i}" for i in range(len(keys))])
-
-
 def _linear(prefix: str, p: int):
     eta = F.col(f"{prefix}0")
     for i in range(1, p):
@@ -316,7 +310,7 @@ def _pass_aggregate(cells: DataFrame, state: DataFrame, model_keys: list[str], p
     """
     one = F.lit(1.0)
     x = [one] + [F.col(f"x{i}") for i in range(1, p)]
-    joined = _with_state(cells, state, model_keys, [f"{c}{i}" for c in ("bs" if family == "binomial" else "b") for i in range(p)])
+    joined = with_columns_of(cells, state, model_keys, [f"{c}{i}" for c in ("bs" if family == "binomial" else "b") for i in range(p)])
     eta = _linear("b", p)
     n, sw, sw2 = F.col("n").cast("double"), F.col("sw"), F.col("sw2")
     swy, sw2y, sw2yy = F.col("swy"), F.col("sw2y"), F.col("sw2yy")
@@ -361,7 +355,7 @@ def _pass_aggregate(cells: DataFrame, state: DataFrame, model_keys: list[str], p
                 aggs.append(F.expr(f"sum(__m * __x{j} * __x{k}) AS m{j}_{k}"))
         aggs.append(F.expr(f"sum(__a2 * __x{j}) AS a{j}") if final else F.expr(f"sum(__r * __x{j}) AS r{j}"))
     sums = joined.select(*cols).groupBy(*model_keys).agg(*aggs)
-    return _with_state(sums, state, model_keys, [c for c in state.columns if c not in model_keys])
+    return with_columns_of(sums, state, model_keys, [c for c in state.columns if c not in model_keys])
 
 
 def _sym(row, prefix: str, p: int) -> np.ndarray:
@@ -487,7 +481,7 @@ def _pooled(cells: DataFrame, state: DataFrame, keys: list[str], p: int) -> Data
     failed = state.filter(F.col("status") == F.lit(FALLBACK))
     held = [c for c in state.columns if c not in keys]
     x = [F.lit(1.0)] + [F.col(f"x{i}") for i in range(1, p)]
-    rows = _with_state(cells, failed, keys, held)
+    rows = with_columns_of(cells, failed, keys, held)
     entry = [[F.coalesce(F.col("vcov")[j * p + k], F.lit(0.0)) for k in range(p)] for j in range(p)]
     b = [F.coalesce(F.col("coef")[j], F.lit(0.0)) for j in range(p)]
 
@@ -524,7 +518,7 @@ def fit_glm(df: DataFrame, model_keys: Sequence[str], outcome: str, predictors:
         return fit_cells(glm_cells(df, keys, outcome, predictors, weight), keys, predictors, family, **options)
     # sums of squares about the model's mean, not about zero
     means = df.groupBy(*keys).agg(F.avg(F.col(outcome).cast("double")).alias("shift"))
-    centred = _with_state(df.select(*keys, weight, outcome, *predictors), means, keys, ["shift"])
+    centred = with_columns_of(df.select(*keys, weight, outcome, *predictors), means, keys, ["shift"])
     centred = centred.withColumn(outcome, F.col(outcome).cast("double") - F.col("shift"))
     return fit_cells(glm_cells(centred, keys, outcome, predictors, weight), keys, predictors, family,
                      shift=means, **options)
@@ -582,7 +576,7 @@ def fit_cells(cells: DataFrame, model_keys: Sequence[str], predictors: Sequence[
         if shift is None:
             sizes = sizes.withColumn("shift", F.lit(None).cast("double"))
         else:
-            sizes = _with_state(sizes, shift, keys, ["shift"])
+            sizes = with_columns_of(sizes, shift, keys, ["shift"])
         start = sizes.select(
             *keys, "n_design", "n_fit", "n_no_weight", "shift", (F.col("n_fit") > 0).alias("active"),
             F.when(F.col("n_fit") > 0, F.lit(NOT_CONVERGED)).otherwise(F.lit(NO_DATA)).alias("status"),

@@ -42,3 +42,21 @@ def pivot_counts(df: DataFrame, keys: Sequence[str], pivot_col: str, values: Seq
     """Cross-tab counts with zero fill: one column per listed pivot value."""
     aggs = [F.count_if(F.col(pivot_col) == F.lit(p)).alias(name_fmt.format(pivot=p)) for p in values]
     return df.groupBy(*keys).agg(*aggs)
+
+
+def unpivot_patterns(df: DataFrame, ids: Sequence[str], items: Sequence[str], sums: dict[str, Column],
+                     item_col: str = "item", value_col: str = "value") -> DataFrame:
+    """``unpivot_items`` of rows summed by (ids, all items) first: ids, item, value and the named sums.
+
+    Answers have few values, so a row stands for every respondent of one
+    answer pattern and only patterns are multiplied by the number of items.
+    """
+    grid = df.groupBy(*ids, *items).agg(*[e.alias(name) for name, e in sums.items()])
+    return unpivot_items(grid, [*ids, *sums], items, item_col, value_col)
+
+
+def with_columns_of(df: DataFrame, side: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` with ``columns`` of the ``side`` row of the same keys (NULL equals NULL; one row per key)."""
+    side = side.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *columns)
+    same = [df[k].eqNullSafe(side[f"__k{i}"]) for i, k in enumerate(keys)]
+    return df.join(side, same, "inner").drop(*[f"__k{i}" for i in range(len(keys))])

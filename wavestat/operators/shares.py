@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavestat.operators.reshape import unpivot_items
+from wavestat.operators.reshape import unpivot_items, unpivot_patterns
 
 
 def weighted_counts(df: DataFrame, keys: Sequence[str], weight: str = "weight",
@@ -36,7 +36,7 @@ def weighted_share(df: DataFrame, items: Sequence[str], by: Sequence[str] = (),
     default the answer value itself is the group key.  Rows whose answer is
     NULL are left out.
     """
-    long = unpivot_items(df.select(*by, weight, *items), [*by, weight], items, item_col, value_col)
+    long = unpivot_patterns(df, by, items, {weight: F.sum(weight)}, item_col, value_col)
     long = long.filter(F.col(value_col).isNotNull())
     if value_label is not None:
         long = (long.withColumn(value_col, value_label(F.col(value_col)))
@@ -49,17 +49,17 @@ def percent_table(df: DataFrame, sections: Sequence[tuple[str, str, Sequence[str
                   weight: str = "weight") -> DataFrame:
     """Unweighted and weighted percent of each level, for several variables.
 
-    ``sections`` lists ``(section name, column, level order)``.  All variables
-    are stacked by one unpivot and counted in one aggregation (one scan for
-    all sections).  Output: section, feature, n_unweighted, n_weighted,
+    ``sections`` lists ``(section name, column, level order)``.  Rows are
+    counted by all variables together in one scan; those counts are stacked and
+    added up per variable.  Output: section, feature, n_unweighted, n_weighted,
     unweighted_pct, weighted_pct, section_order, level_order.
     """
     cols = [c for _, c, _ in sections]
-    long = unpivot_items(df.select(weight, *cols), [weight], cols, "variable", "feature")
+    long = unpivot_patterns(df, [], cols, {"n": F.count(F.lit(1)), weight: F.sum(weight)}, "variable", "feature")
     long = long.filter(F.col("feature").isNotNull())
     section_of = F.create_map(*[x for s, c, _ in sections for x in (F.lit(c), F.lit(s))])
     agg = (long.groupBy("variable", "feature")
-           .agg(F.count(F.lit(1)).alias("n_unweighted"),
+           .agg(F.sum("n").alias("n_unweighted"),
                 F.coalesce(F.sum(weight), F.lit(0.0)).cast("double").alias("n_weighted")))
     w = Window.partitionBy("variable")
     order_pairs = []

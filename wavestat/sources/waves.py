@@ -27,7 +27,13 @@ def read_waves(spark: SparkSession, paths: Mapping[str, str], fmt: str = "parque
 
 def write_combined(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write the combined table as Parquet partitioned by year (year filters
-    then prune whole directories)."""
+    then prune whole directories).
+
+    Rows are rebalanced by year first: a small year is one file, a large one is
+    split at the session's advisory partition size, so neither many tasks write
+    a sliver each of every year nor one task writes a whole large wave.
+    """
+    df = df.hint("rebalance", "year")
     df.write.mode(mode).partitionBy("year").parquet(path)
 
 
