@@ -151,3 +151,19 @@ def test_absent_wave_is_an_error(spark):
     from wavestat.operators.harmonize import harmonize_study
     with pytest.raises(ValueError, match="no input for wave"):
         harmonize_study({})
+
+
+def test_label_dictionary_decodes_codes_and_keeps_other_values(spark):
+    from wavestat.operators.harmonize import apply_labels, label_lookups
+    dictionary = spark.createDataFrame([("w", "q", "1.0", "Very common"), ("w", "q", "2", "Never"), ("w", "G", "1", "Male"),
+                                        ("other", "q", "1", "x"), ("w", "t", "a", "Alpha")],
+                                       "wave string, column string, code string, label string")
+    labels = label_lookups(dictionary)
+    wave = spark.createDataFrame([(1.0, 1, "a", 1), (2.0, 2, "b", 2), (9.0, None, None, 3), (None, 1, "", 4)],
+                                 "q double, g int, t string, id int").withColumnRenamed("g", "G")
+    got = sorted((r.id, r.q, r.G, r.t) for r in apply_labels(wave, labels["w"]).collect())
+    assert got == [(1, "Very common", "Male", "Alpha"), (2, "Never", "2", "b"), (3, "9", None, None), (4, None, "Male", "")]
+    assert apply_labels(wave, {"missing": {"1": "x"}, "g": {"1": "no such column"}}).schema == wave.schema
+    import pytest
+    with pytest.raises(ValueError, match="two labels"):
+        label_lookups(dictionary.unionByName(spark.createDataFrame([("w", "q", "2", "Seldom")], dictionary.schema)))

@@ -208,6 +208,41 @@ def harmonize_wave(df: DataFrame, sources: Sequence[str], year: int, rules: Harm
     return wave.select(*[out[name].cast(COMBINED_TYPES[name]).alias(name) for name in S.COMBINED_COLUMNS])
 
 
+def label_lookups(dictionary: DataFrame) -> dict[str, dict[str, dict[str, str]]]:
+    """wave -> column -> {code: label} from a (wave, column, code, label) table.
+
+    The table is a survey's codebook, one row per label, and does not grow with
+    the respondents; its rows become literals of the plan.  A code with two
+    labels is an error.
+    """
+    found: dict = {}
+    for r in dictionary.select("wave", "column", F.col("code").cast("string").alias("code"), "label").collect():
+        labels = found.setdefault(r.wave, {}).setdefault(r.column, {})
+        if labels.setdefault(r.code, r.label) != r.label:
+            raise ValueError(f"two labels for code {r.code} of {r.column} in wave {r.wave}")
+    return found
+
+
+def apply_labels(wave: DataFrame, labels: Mapping[str, Mapping[str, str]]) -> DataFrame:
+    """Labelled columns as text: a labelled code becomes its label, another value its own text, NULL stays.
+
+    Columns are matched by exact name; other columns are passed on.  Codes of a
+    numeric column are compared as numbers (code "1" labels 1 and 1.0).
+    """
+    names = list(wave.columns)
+    fields = wave.schema.fields
+    flat = wave.toDF(*[f"__c{i}" for i in range(len(names))])
+    out = []
+    for i, name in enumerate(names):
+        c, t = F.col(f"__c{i}"), fields[i].dataType
+        if labels.get(name):
+            numeric = isinstance(t, _NUMERIC)
+            by_label = [(label, [code]) for code, label in labels[name].items()]
+            c = F.coalesce(_first_match_map(by_label, numeric)[c.cast("double") if numeric else c.cast("string")], code_text(c, t))
+        out.append(c.alias(name))
+    return flat.select(*out)
+
+
 def combine_waves(waves: Sequence[DataFrame], items: Sequence[str] = S.FRAUD_ITEMS) -> DataFrame:
     """Append harmonised waves by name and drop rows whose items are all NULL."""
     combined = functools.reduce(lambda a, b: a.unionByName(b), waves)
@@ -215,12 +250,13 @@ def combine_waves(waves: Sequence[DataFrame], items: Sequence[str] = S.FRAUD_ITE
 
 
 def harmonize_study(raw_waves: Mapping[str, DataFrame], coding: ResponseCoding = MAIN_CODING,
-                    manifest=S.WAVE_MANIFEST) -> DataFrame:
+                    manifest=S.WAVE_MANIFEST, labels: Mapping[str, Mapping] | None = None) -> DataFrame:
     """Harmonise every wave of the study manifest and combine them.
 
     ``raw_waves`` maps the manifest's wave key to the raw wave DataFrame.
     Every wave of the manifest must be given (an absent one is an error).
-    The 2022 wave additionally decodes its numeric codebook.
+    ``labels`` (see ``label_lookups``) turns the labelled columns of a wave
+    into text first.  The 2022 wave additionally decodes its numeric codebook.
     """
     absent = [key for key in manifest if key not in raw_waves]
     if absent:
@@ -229,5 +265,6 @@ def harmonize_study(raw_waves: Mapping[str, DataFrame], coding: ResponseCoding =
     parts = []
     for key, (year, sources) in manifest.items():
         book = S.CODEBOOK_2022 if year == 2022 else None
-        parts.append(harmonize_wave(raw_waves[key], sources, year, rules, book, S.CODEBOOK_2022_KEEPS_TEXT))
+        wave = apply_labels(raw_waves[key], (labels or {}).get(key, {}))
+        parts.append(harmonize_wave(wave, sources, year, rules, book, S.CODEBOOK_2022_KEEPS_TEXT))
     return combine_waves(parts, rules.items)

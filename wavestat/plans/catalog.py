@@ -19,23 +19,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wavestat import study as S
 from wavestat.operators.design import flag_table
-from wavestat.operators.harmonize import ALT_CODING, MAIN_CODING, harmonize_study
+from wavestat.operators.harmonize import ALT_CODING, MAIN_CODING, harmonize_study, label_lookups
 from wavestat.plans import descriptive as D
 from wavestat.plans import estimates as X
 from wavestat.session import checkpoint_dir
 from wavestat.sources.respondents import ADAPTER_SWING_BY_YEAR, respondents
-from wavestat.sources.standin import write_standin_waves
-from wavestat.sources.waves import read_waves
+from wavestat.sources.standin import labelled_wave, write_standin_waves
+from wavestat.sources.waves import read_wave, read_waves
 
 RESP = "resp"          # product(resp)
 SWING = "swing"        # product(resp, swing)
 RAW = "raw"            # product(raw wave) -- key in the spec
 WAVES = "waves"        # product(raw waves)
+LABELLED = "labelled"  # product(one wave as labelled codes, its label dictionary) -- key in the spec
+
+#: Answer columns of the 2012 wave that its labelled form stores as codes.
+LABELLED_2012 = ("q29a", "q29b", "q29c", "q29d", "q29e", "q29f", "q25", "gender", "race", "educ", "pid3", "ideo5", "q1")
+
+
+def harmonize_labelled_wave(wave: DataFrame, dictionary: DataFrame, key: str = "MITU0017_OUTPUT") -> DataFrame:
+    """One wave stored as labelled codes, decoded by its label dictionary and harmonised.
+
+    Output: the combined schema."""
+    return harmonize_study({key: wave}, MAIN_CODING, {key: S.WAVE_MANIFEST[key]}, label_lookups(dictionary))
+
 
 PRODUCTS: dict[str, tuple] = {
     "harmonize_combined": (WAVES, lambda waves: harmonize_study(waves, MAIN_CODING)),
     "harmonize_alt": (WAVES, lambda waves: harmonize_study(waves, ALT_CODING)),
+    "harmonize_labelled": (LABELLED, harmonize_labelled_wave, "MITU0017_OUTPUT"),
     "belief_share_by_item": (RESP, D.belief_share_by_item),
     "belief_share_by_party_year": (RESP, D.belief_share_by_party_year),
     "belief_share_by_party_pooled": (RESP, D.belief_share_by_party_pooled),
@@ -66,6 +80,7 @@ PRODUCTS: dict[str, tuple] = {
     "pca_scores": (RESP, X.pca_scores),
 }
 
+_LABELLED: set[str] = set()
 _WAVE_FILES: dict[tuple[str, str], dict[str, str]] = {}
 
 
@@ -92,6 +107,19 @@ def standin_wave_files(spark: SparkSession, sf_dir: str,
     return read_waves(spark, _WAVE_FILES[key])
 
 
+def labelled_files(spark: SparkSession, sf_dir: str, resp_source, key: str) -> tuple[DataFrame, DataFrame]:
+    """The wave as labelled codes and its dictionary, written beside the raw wave files once per session."""
+    raw = standin_wave_files(spark, sf_dir, resp_source)[key]
+    files = _WAVE_FILES[spark.sparkContext.applicationId, sf_dir, resp_source]
+    base = files[key] + "-labelled"
+    if base not in _LABELLED:
+        coded, dictionary = labelled_wave(raw, key, LABELLED_2012)
+        coded.write.mode("overwrite").parquet(f"{base}/wave")
+        dictionary.write.mode("overwrite").parquet(f"{base}/labels")
+        _LABELLED.add(base)
+    return read_wave(spark, f"{base}/wave"), read_wave(spark, f"{base}/labels")
+
+
 def bind(name: str, resp_source: Callable[[SparkSession, str], DataFrame] = respondents,
          rounded: bool = True) -> Callable[[SparkSession, str], DataFrame]:
     """Callable ``(spark, sf_dir) -> DataFrame`` for one registered product."""
@@ -102,6 +130,8 @@ def bind(name: str, resp_source: Callable[[SparkSession, str], DataFrame] = resp
             out = product(resp_source(spark, sf_dir))
         elif kind == SWING:
             out = product(resp_source(spark, sf_dir), flag_table(spark, ADAPTER_SWING_BY_YEAR))
+        elif kind == LABELLED:
+            out = product(*labelled_files(spark, sf_dir, resp_source, extra[0]))
         elif kind == RAW:
             out = product(standin_wave_files(spark, sf_dir, resp_source)[extra[0]])
         else:

@@ -527,6 +527,10 @@ def harmonize_alt() -> str:
     return _harmonize(S.BELIEF_CODES_ONE_ALT, S.BELIEF_CODES_ZERO_ALT)
 
 
+def harmonize_labelled() -> str:
+    return f"SELECT * FROM ({harmonize_combined()}) WHERE year = 2012"
+
+
 def glm_cells() -> str:
     from wavestat.sources.respondents import ADAPTER_SWING_BY_YEAR
     items = S.CORE_ITEMS
@@ -552,6 +556,7 @@ FROM l2 GROUP BY 1, 2, 3, 4, 5, 6"""
 ORACLES = {
     "harmonize_combined": harmonize_combined,
     "harmonize_alt": harmonize_alt,
+    "harmonize_labelled": harmonize_labelled,
     "belief_share_by_item": belief_share_by_item,
     "belief_share_by_party_year": belief_share_by_party_year,
     "belief_share_by_party_pooled": belief_share_by_party_pooled,

@@ -11,7 +11,7 @@ codes for missing answers.  This module only encodes; decoding is the job of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavestat import study as S
@@ -152,3 +152,21 @@ def write_standin_waves(resp: DataFrame, base_dir: str) -> dict[str, str]:
         standin_wave(view, key).write.mode("overwrite").parquet(path)
         paths[key] = path
     return paths
+
+
+def labelled_wave(wave: DataFrame, key: str, columns) -> tuple[DataFrame, DataFrame]:
+    """A text wave as labelled codes: (coded wave, its (wave, column, code, label) rows).
+
+    Each column's texts are numbered from 1 in text order; texts that are
+    numbers themselves (refusal codes) stay as codes without a label.
+    """
+    long = wave.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "label")
+    texts = long.filter(F.col("label").isNotNull() & F.col("label").try_cast("double").isNull()).distinct()
+    order = Window.partitionBy("column").orderBy("label")
+    dictionary = texts.select(F.lit(key).alias("wave"), "column", F.row_number().over(order).cast("double").alias("code"), "label")
+    codes: dict = {}
+    for r in dictionary.collect():  # a row per answer text
+        codes.setdefault(r.column, {})[r.label] = r.code
+    coded = wave.withColumns({c: F.coalesce(_map(F.col(c), codes[c]).cast("double"), F.col(c).cast("string").try_cast("double"))
+                              for c in columns if c in codes})
+    return coded, dictionary
