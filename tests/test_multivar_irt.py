@@ -131,3 +131,26 @@ def test_2pl_rejects_other_answers(spark):
         fit_2pl(df, ["a", "b"])
     with pytest.raises(ValueError, match="no complete"):
         fit_2pl(df.limit(0), ["a", "b"])
+
+
+def test_correlation_is_one_generated_scan_under_default_settings(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 12)) + 1e6 * (np.arange(12) == 3)
+    x[:, 5] = x[:, 4] * 2 + 1
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(12)]))
+    limit = spark.conf.get("spark.sql.codegen.maxFields")
+    spark.conf.set("spark.sql.codegen.maxFields", "100")  # a plain session's setting
+    try:
+        out = pairwise_correlation(df, df.columns)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.codegen.maxFields", limit)
+    want = np.corrcoef(x.T)
+    got = {(r.row_var, r.col_var): r.r for r in rows}
+    assert len(got) == 144 and all(math.isclose(got[f"c{i}", f"c{j}"], want[i, j], abs_tol=1e-9) for i in range(12) for j in range(12))
+    final = plan.split("Initial Plan")[0]
+    partial = [line for line in final.splitlines() if "HashAggregate" in line and "partial_covar_samp" in line]
+    assert len(partial) == 1 and "*(" in partial[0]  # one aggregation over one scan, generated
+    assert all(r.r is None for r in pairwise_correlation(df.limit(0), ["c0", "c1"]).collect())
+    assert all(r.r is None for r in pairwise_correlation(df.limit(1), ["c0", "c1"]).collect())

@@ -1,8 +1,7 @@
 """Pairwise correlation and principal components.
 
-Both reduce the data in one distributed aggregation to p x p moments; only
-that p x p result is touched on the driver (PCA eigen-decomposition), and
-per-row scores are plain column arithmetic, so they stay in codegen.
+Both reduce the data in one distributed aggregation to p x p moments; PCA's
+p x p matrix is decomposed on the driver, and per-row scores are plain column arithmetic, so they stay in codegen.
 """
 
 from __future__ import annotations
@@ -21,68 +20,43 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in set(exclude)]
 
 
-ZERO_VAR_RTOL = 1e-10  # centred sum of squares below this share of the raw one counts as zero
+PAIRS_PER_BLOCK = 9  # ten moments a pair: a block's aggregation buffer stays under Spark's limit of 100 generated fields
 
 
 def pairwise_correlation(df: DataFrame, cols: Sequence[str], row_col: str = "row_var",
                          col_col: str = "col_var", value_col: str = "r") -> DataFrame:
     """Pearson r for every ordered pair on pairwise-complete rows.
 
-    With z_i = x_i - c_i (0 when x_i is NULL; c_i the column mean, so the raw
-    sums do not cancel) and m_i = 1 when x_i is present, every
-    pairwise-complete moment is an entry of four cross-product matrices:
-
-        n_ij = sum m_i m_j,  Sx_ij = sum z_i m_j,  Sxx_ij = sum z_i^2 m_j,  Sxy_ij = sum z_i z_j
-
-    Pass 1 computes the p column means (p numbers to the driver); pass 2 is
-    one aggregation of plain multiply-adds per row (whole-stage codegen when
-    ``spark.sql.codegen.maxFields`` covers the ~4 p^2 sums), partial per task,
-    one row shuffled per task.  The single row of sums (size bounded by the
-    column count) is turned into r on the driver.  Zero variance or fewer than
-    two complete rows gives NULL.  Output: (row_var, col_var, r) for all
+    One scan: the pairs are cut into blocks, each row is laid out once per
+    block (its pairs side by side, inside the scan stage), and one aggregation
+    by block keeps the centred, mergeable moments of every pair.  However many
+    columns there are, the aggregate stays inside whole-stage code generation;
+    one row per task and block is shuffled.  Zero variance or fewer than two
+    complete rows gives NULL.  Output: (row_var, col_var, r) for all
     len(cols)^2 ordered pairs.
     """
-    cols = list(cols)
-    p = len(cols)
-    mrow = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(cols)]).collect()[0]
-    shift = [float(mrow[f"c{i}"]) if mrow[f"c{i}"] is not None else 0.0 for i in range(p)]
-    proj = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        proj += [F.coalesce(x - F.lit(shift[i]), F.lit(0.0)).alias(f"z{i}"),
-                 x.isNotNull().cast("double").alias(f"m{i}")]
-    staged = df.select(*proj)
-    aggs = []
-    for i in range(p):
-        for j in range(p):
-            if j >= i:
-                aggs += [F.expr(f"sum(m{i} * m{j}) AS n{i}_{j}"), F.expr(f"sum(z{i} * z{j}) AS c{i}_{j}")]
-            aggs += [F.expr(f"sum(z{i} * m{j}) AS a{i}_{j}"), F.expr(f"sum(z{i} * z{i} * m{j}) AS b{i}_{j}")]
-    row = staged.agg(*aggs).collect()[0]  # one row of ~4 p^2 sums (bounded by the column count)
-    n = np.empty((p, p))
-    sxy = np.empty((p, p))
-    a = np.empty((p, p))
-    b = np.empty((p, p))
-    for i in range(p):
-        for j in range(p):
-            lo, hi = min(i, j), max(i, j)
-            n[i, j] = row[f"n{lo}_{hi}"] or 0.0
-            sxy[i, j] = row[f"c{lo}_{hi}"] or 0.0
-            a[i, j] = row[f"a{i}_{j}"] or 0.0
-            b[i, j] = row[f"b{i}_{j}"] or 0.0
-    out = []
-    for i in range(p):
-        for j in range(p):
-            vx = n[i, j] * b[i, j] - a[i, j] ** 2
-            vy = n[i, j] * b[j, i] - a[j, i] ** 2
-            r = None
-            if (n[i, j] >= 2 and vx > ZERO_VAR_RTOL * n[i, j] * b[i, j]
-                    and vy > ZERO_VAR_RTOL * n[i, j] * b[j, i]):
-                r = float((n[i, j] * sxy[i, j] - a[i, j] * a[j, i]) / np.sqrt(vx * vy))
-            out.append((cols[i], cols[j], r))
-    schema = T.StructType([T.StructField(row_col, T.StringType()), T.StructField(col_col, T.StringType()),
-                           T.StructField(value_col, T.DoubleType())])
-    return df.sparkSession.createDataFrame(out, schema)
+    cols, spark = list(cols), df.sparkSession
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    none = F.lit(None).cast("double")
+    blocks = []
+    for b in range(0, len(pairs), PAIRS_PER_BLOCK):
+        part = [(F.when(F.col(f"x{j}").isNotNull(), F.col(f"x{i}")), F.when(F.col(f"x{i}").isNotNull(), F.col(f"x{j}")))
+                for i, j in pairs[b:b + PAIRS_PER_BLOCK]]
+        part += [(none, none)] * (PAIRS_PER_BLOCK - len(part))
+        blocks.append(F.struct(F.lit(b // PAIRS_PER_BLOCK).alias("block"),
+                               *[c.alias(f"{side}{k}") for k, pair in enumerate(part) for side, c in zip("uv", pair)]))
+    laid = x.select(F.explode(F.array(*blocks)).alias("b")).select("b.*")
+    moments = laid.groupBy("block").agg(*[F.expr(e.format(k=k)) for k in range(PAIRS_PER_BLOCK) for e in (
+        "covar_samp(u{k}, v{k}) AS c{k}", "var_samp(u{k}) AS p{k}", "var_samp(v{k}) AS q{k}")])
+    found = moments.select(
+        "block", F.posexplode(F.array(*[
+            F.try_divide(F.col(f"c{k}"), F.sqrt(F.col(f"p{k}")) * F.sqrt(F.col(f"q{k}"))) for k in range(PAIRS_PER_BLOCK)
+        ])).alias("k", value_col)).select((F.col("block") * PAIRS_PER_BLOCK + F.col("k")).alias("pair"), value_col)
+    names = [(cols[i], cols[j], at) for at, (i, j) in enumerate(pairs)]
+    names += [(cols[j], cols[i], at) for at, (i, j) in enumerate(pairs) if i != j]
+    table = spark.createDataFrame(names, f"`{row_col}` string, `{col_col}` string, pair int")
+    return table.join(found, "pair", "left").select(row_col, col_col, value_col)
 
 
 def _standardise_moments(df: DataFrame, cols: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
