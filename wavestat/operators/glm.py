@@ -421,7 +421,7 @@ def _advance(m: dict, p: int, family: str, tol: float, alias_tol: float) -> dict
         if m["iterations"] > SEPARATION_FROM and _is_separated(sums):
             return dict(m, active=False, status=SEPARATED)
         if last is not None and abs(dev - last) / (abs(dev) + 0.1) < tol:
-            return dict(m, active=False, status=OK if len(kept) == p else RANK_DEFICIENT)
+            m.update(active=False, status=OK if len(kept) == p else RANK_DEFICIENT)  # and takes this step, too
     try:
         step = _solve_scaled(gram[np.ix_(kept, kept)], np.array([sums[f"r{j}"] for j in kept], dtype=float))
     except np.linalg.LinAlgError:

@@ -579,7 +579,8 @@ ORACLES = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: fn() for name, fn in ORACLES.items()}
+    from wavestat.plans.oracle_models import MODEL_ORACLES  # builds on this module
+    return {name: fn() for name, fn in {**ORACLES, **MODEL_ORACLES}.items()}
 
 
 __all__ = ["oracle_sql", "RESPONDENTS_SQL", "ident", "q"]
