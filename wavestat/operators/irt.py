@@ -4,9 +4,10 @@ Plan: ``response_patterns`` (a ``groupBy(items).count()``) is the only pass
 over respondent rows; the pattern table is written once and every EM step
 reads it.  A step is one job: tasks compute the posterior of their patterns on
 the quadrature nodes (a literal array) and sum the expected counts by node and
-the expected correct answers by (item, node); Spark adds those sums, and only
-they, (items + 1) x nodes numbers, reach the driver, which updates slope and
-intercept per item (Bock & Aitkin 1981).  The pattern table stays distributed,
+the expected correct answers by (item, node).  Only those sums, (items + 1) x
+nodes numbers a task (a task reads a whole split of the pattern table), reach
+the driver, which adds them and updates slope and intercept per item (Bock &
+Aitkin 1981).  The pattern table stays distributed,
 so the number of items and of patterns is not bounded; with k items there are
 at most 2^k patterns, and never more than respondents.
 
@@ -96,20 +97,20 @@ def _expected(patterns: DataFrame, items: Sequence[str], a, d, nodes, prior):
                 loglik += float(n @ ll)
         yield pa.RecordBatch.from_arrays([pa.array([[loglik, *total.ravel()]])], ["sums"])
 
-    rows = (patterns.mapInArrow(count, "sums array<double>").select(F.posexplode("sums").alias("at", "value"))
-            .groupBy("at").agg(F.sum("value").alias("value")).collect())  # (items + 1) x nodes + 1 rows
     sums = np.zeros(1 + (k + 1) * q)
-    for r in rows:
-        sums[r.at] = r.value
+    for r in patterns.mapInArrow(count, "sums array<double>").collect():  # one row of sums per task
+        sums += np.array(r.sums)
     counts = sums[1:].reshape(k + 1, q)
     return counts[0], counts[1:], sums[0]
 
 
 def fit_2pl(df: DataFrame, items: Sequence[str], n_nodes: int = 61, theta_lim: float = 6.0,
-            max_steps: int = 2000, tol: float = 1e-4) -> dict:
+            max_steps: int = 2000, tol: float = 1e-4, gain: float = 1e-9) -> dict:
     """Marginal maximum likelihood of the 2PL on complete 0/1 answers in ``df``.
 
-    Stops when an EM step moves no parameter by ``tol``.  Result: items, a, d,
+    Stops when an EM step moves no parameter by ``tol``, or when a round adds
+    less than ``gain`` of the log-likelihood (a slope that grows without bound,
+    where one item decides another, ends so).  Result: items, a, d,
     nodes, prior, steps, loglik and ``patterns``, the written pattern table.
     """
     items = list(items)
@@ -133,30 +134,25 @@ def fit_2pl(df: DataFrame, items: Sequence[str], n_nodes: int = 61, theta_lim: f
         nq, rq, loglik = _expected(patterns, items, at[:k], at[k:], nodes, prior)
         return np.concatenate(maximise(nq, rq, nodes, at[:k], at[k:])), loglik
 
-    steps = 0
+    steps, before = 0, -np.inf
     while steps < max_steps:
         first, level = step(theta)
-        steps += 1
-        if np.max(np.abs(first - theta)) < tol:
-            theta = first
-            break
         second, _ = step(first)
-        steps += 1
+        steps += 2
         r, v = first - theta, second - 2 * first + theta
-        if np.max(np.abs(second - first)) < tol or not np.linalg.norm(v) > 0:
-            theta = second
-            break
-        length = max(1.0, np.linalg.norm(r) / np.linalg.norm(v))
-        jump = theta + 2 * length * r + length ** 2 * v
         theta = second
-        if length > 1 and np.isfinite(jump).all() and np.max(np.abs(jump - second)) < 2:
-            landed, reached = step(jump)
-            steps += 1
-            if reached >= level:
-                if np.max(np.abs(landed - jump)) < tol:
-                    theta = landed
-                    break
-                theta = landed
+        if np.max(np.abs(v + r)) < tol or level - before < gain * abs(level):
+            break
+        before = level
+        length = max(1.0, np.linalg.norm(r) / max(np.linalg.norm(v), 1e-300))
+        while length > 1:  # no parameter more than doubles at once
+            jump = first - r + 2 * length * r + length ** 2 * v
+            if np.max(np.abs(jump - second) / (1 + np.abs(second))) <= 1:
+                landed, reached = step(jump)
+                steps += 1
+                theta = landed if reached >= level else second
+                break
+            length = length / 2 if length > 2 else 1.0
     a, d = theta[:k], theta[k:]
     if a.sum() < 0:
         a = -a
