@@ -26,7 +26,7 @@ from .common import arrays, column, strings
 
 MARK = "▁"
 LONG = 128
-CACHE = 400_000  # words remembered per task; then the memory starts anew
+CACHE_BYTES, REMEMBERED = 32 << 20, 256  # memory for words of at most so many characters per task; when full it starts anew
 _NONE = np.int64(2**40)
 
 
@@ -55,6 +55,7 @@ class Pieces:
         self.pairs, self.made, self.rank = self.pairs[by], self.made[by], levels[by]
         self.lookup = {int(p): (int(r), int(m)) for p, r, m in zip(self.pairs, self.rank, self.made, strict=True)}
         self.words: dict[str, tuple[int, str, bytes]] = {}
+        self.held = 0
         #: by code point: the character's piece, or -1 - code point
         self.of_char = -1 - np.arange(0x110000, dtype=np.int64)
         for n, i in self.ids.items():
@@ -145,13 +146,16 @@ class Pieces:
                 got = [y for x in got for y in ([x] if x >= 0 else [self.of_byte[b] for b in chr(-1 - x).encode()])]
             tokens[n] += got
         for w, t in zip(new, tokens, strict=True):
-            self.words[w] = len(t), ",".join(map(str, t)), self.raw(t)
+            known = len(t), ",".join(map(str, t)), self.raw(t)
+            self.words[w] = known
+            self.held += 300 + 2 * len(w) + len(known[1]) + len(known[2])  # with the objects around them
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(number of ids, ids joined by commas, decoded text) of each text."""
         cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if len(self.words) > CACHE:
+        if self.held > CACHE_BYTES:
             self.words.clear()
+            self.held = 0
         new = list({w for ws in cut for w in ws if w not in self.words})
         for a in range(0, len(new), 50_000):
             self.learn(new[a:a + 50_000])
@@ -160,6 +164,9 @@ class Pieces:
             got = [self.words[w] for w in ws]
             text = b"".join(t for _, _, t in got).decode("utf-8", "replace")
             out.append((sum(n for n, _, _ in got), ",".join(s for _, s, _ in got), text[1:]))
+        for w in new:
+            if len(w) > REMEMBERED:
+                del self.words[w]
         return out
 
     def raw(self, ids) -> bytes:
@@ -178,14 +185,17 @@ def encoded(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
         pieces = Pieces(model)
         for b in batches:
             texts = [t or "" for t in strings(b, "text")]
-            got = []
-            for a in range(0, len(texts), 500):
-                got += pieces.encode(texts[a:a + 500])
-            cols = [column(b, "doc_id"), pa.array([n for n, _, _ in got], pa.int64()),
-                    [hashlib.sha256(s.encode()).hexdigest() for _, s, _ in got],
-                    [hashlib.sha256(t.encode()).hexdigest() for _, _, t in got]]
+            counts, digests, ids = [], [], []
+            for a in range(0, len(texts), 500):  # ids and texts of so many at once
+                for n, joined, text in pieces.encode(texts[a:a + 500]):
+                    counts.append(n)
+                    digests.append((hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                    if with_ids:
+                        ids.append(np.array(joined.split(",") if joined else [], np.int32))
+            cols = [column(b, "doc_id"), pa.array(counts, pa.int64()), [x for x, _ in digests], [y for _, y in digests]]
             if with_ids:
-                cols.append(pa.array([[int(x) for x in s.split(",")] if s else [] for _, s, _ in got], pa.list_(pa.int32())))
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids])))
             yield arrays(names, [c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in cols])
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
