@@ -26,7 +26,7 @@ from .common import arrays, column, strings
 
 MARK = "▁"
 LONG = 128
-CACHE_BYTES, REMEMBERED = 32 << 20, 256  # memory for words of at most so many characters per task; when full it starts anew
+CACHE_BYTES, REMEMBERED = 64 << 20, 256  # memory for words of at most so many characters per task; when full it starts anew
 _NONE = np.int64(2**40)
 
 
