@@ -60,6 +60,7 @@ PRODUCTS: dict[str, tuple] = {
     "null_counts_by_item_year": (RESP, D.null_counts_by_item_year),
     "demographics_percent": (RESP, D.demographics_percent),
     "availability_matrix": (RESP, D.availability_matrix),
+    "outcome_frequency": (RESP, D.outcome_frequency),
     "complete_case_by_wave": (RESP, D.complete_case_by_wave),
     "dummy_design": (SWING, D.dummy_design),
     "correlation_matrix": (RESP, D.correlation_matrix),

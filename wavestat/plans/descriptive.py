@@ -15,7 +15,7 @@ from wavestat.functions import (age_bins_closed, age_bins_open, count_null, coun
                                 thousands_text)
 from wavestat.operators.design import add_dummies, add_set_flag, complete_case_by_key
 from wavestat.operators.multivar import numeric_columns, pairwise_correlation
-from wavestat.operators.reshape import pivot_counts, pivot_first, unpivot_items
+from wavestat.operators.reshape import pivot_counts, pivot_first, unpivot_items, unpivot_patterns
 from wavestat.operators.shares import count_share, null_rates, percent_table, weighted_share
 
 BELIEF = "Belief in Fraud"
@@ -297,3 +297,12 @@ def correlation_matrix(resp: DataFrame, renames=S.CORRELATION_RENAMES,
     renamed = resp.toDF(*names)
     cols = numeric_columns(renamed, exclude)
     return pairwise_correlation(renamed, cols)
+
+
+def outcome_frequency(resp: DataFrame, items=S.CORE_ITEMS) -> DataFrame:
+    """How often each answer of each item occurs per year (the distribution a model's outcome has).
+
+    Output: year, item, value, n.
+    """
+    long = unpivot_patterns(resp, ["year"], items, {"n": F.count(F.lit(1))})
+    return long.filter(F.col("value").isNotNull()).groupBy("year", "item", "value").agg(F.sum("n").alias("n"))

@@ -527,6 +527,12 @@ def harmonize_alt() -> str:
     return _harmonize(S.BELIEF_CODES_ONE_ALT, S.BELIEF_CODES_ZERO_ALT)
 
 
+def outcome_frequency() -> str:
+    long = union_long("resp", ["year"], S.CORE_ITEMS, "item", "value")
+    return with_resp("SELECT year, item, value, count(*) AS n FROM long WHERE value IS NOT NULL GROUP BY year, item, value",
+                     f"long AS ({long})")
+
+
 def harmonize_labelled() -> str:
     return f"SELECT * FROM ({harmonize_combined()}) WHERE year = 2012"
 
@@ -557,6 +563,7 @@ ORACLES = {
     "harmonize_combined": harmonize_combined,
     "harmonize_alt": harmonize_alt,
     "harmonize_labelled": harmonize_labelled,
+    "outcome_frequency": outcome_frequency,
     "belief_share_by_item": belief_share_by_item,
     "belief_share_by_party_year": belief_share_by_party_year,
     "belief_share_by_party_pooled": belief_share_by_party_pooled,
