@@ -55,3 +55,16 @@ def ranks(values) -> np.ndarray:
     """Dense integer ids of the values (equal values share an id)."""
     ids: dict = {}
     return np.fromiter((ids.setdefault(v, len(ids)) for v in values), np.int64, len(values))
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found

@@ -4,38 +4,39 @@ Documents and benchmark items are read as lower-case words (A-Z), known by 64-bi
 hashes whose first bits are one of ``FEATURES`` features, with document frequencies counted over all documents.  A
 randomised SVD of the TF-IDF passages of all documents is computed by Spark
 tasks that sum A'(A W); only FEATURES x RANK numbers reach the driver.  The
-first ``DROP`` directions, which hold the languages' common words, are left out.
-Every passage of every document (runs of three chunks of ``CHUNK`` words, at
-every chunk) is compared with all items, in blocks of items, by the words around
-it: one whose words fill less than ``LIKELY`` of the item cannot hold a
-subsequence of that share, and no other is dropped.  These candidates are decided
-on the text: the longest common subsequence of words with the item, and with the
+first ``DROP`` directions, which hold the languages' common words, are left out, and
+each word's row is scaled to unit length, so that frequent words do not drown the rest.
+Every passage of every document (runs of chunks of ``CHUNK`` words, at every chunk,
+about as long as the item) is compared with all items, in blocks of items, by the
+cosine of their sums of rows, weighted by squared inverse document frequency and, on
+both sides, over the words of the block's items (a paraphrase's own words are not
+held against it); those of ``COSINE`` or more are candidates.  They are decided on the text, with an item's
+length of words more on either side: one whose words fill less than ``LIKELY`` of the
+item cannot hold a subsequence of that share and goes; then the longest common subsequence of words with the item, and with the
 item's answer (its last ``ANSWER`` words, as the table has no answer column),
 whose words must stand within ``SPAN`` words and count by their inverse document
 frequency; an answer of common words, of less than half the item's weight a
 word, decides nothing.  Candidates of a share of ``LIKELY`` or more are returned; of these, a share of
-``SURE`` or the answer makes contamination.  The latent cosine of passage and
-item is returned with them and drops none: a whole short item in other prose
-can have a low one.
+``SURE`` or the answer makes contamination.
 
-Null or blank texts and items without words give no rows.  Repeated rows are
-each reported.  With an empty documents or benchmark table the result is empty.
+Null or blank texts and items without words give no rows; an item without an id is
+named by the hash of its text (``item_hash``, given for all).  Repeated rows are
+each reported, repeated items once.  Texts are read whole, whatever their length.  With an empty documents or benchmark table the result is empty.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrays, binary, column
+from .common import arrays, binary, column, free_names
 
-FEATURE_BITS, RANK, DROP, OVER, POWER = 14, 64, 8, 16, 1
+FEATURE_BITS, RANK, DROP, OVER, POWER = 14, 64, 8, 16, 0
 FEATURES = 1 << FEATURE_BITS
-CHUNK, ITEM_BLOCK, FIT_BLOCK, FIT_TASKS = 16, 5000, 512, 64
+CHUNK, COSINE, SEARCH_WORDS = 8, 0.7, 1 << 17
+ITEM_BLOCK, FIT_PASSAGE, FIT_BLOCK, FIT_TASKS = 5000, 32, 512, 64
 ANSWER, SPAN, SURE, LIKELY, ANSWERED = 8, 12, 0.7, 0.5, 0.75
 _FOLDED = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 _BYTES = np.array([0 if b == 32 else b for b in _FOLDED], np.uint64)
@@ -88,7 +89,7 @@ def _frequencies(batches):
 
 
 def _blocks(batches, hashes: Hashes):
-    """(features, passage, passages) of about ``FIT_BLOCK`` words of one or more texts, in passages of two chunks."""
+    """(features, passage, passages) of about ``FIT_BLOCK`` words of one or more texts, in passages of ``FIT_PASSAGE``."""
     held, at, words_held, passages = [], [], 0, 0
     for b in batches:
         for t in binary(b, "text"):
@@ -96,7 +97,7 @@ def _blocks(batches, hashes: Hashes):
             for k in range(0, len(whole), FIT_BLOCK):
                 f = whole[k:k + FIT_BLOCK]
                 held.append(f)
-                at.append(passages + np.arange(len(f)) // (2 * CHUNK))
+                at.append(passages + np.arange(len(f)) // FIT_PASSAGE)
                 words_held, passages = words_held + len(f), int(at[-1][-1]) + 1
                 if words_held >= FIT_BLOCK:
                     yield np.concatenate(held), np.concatenate(at), passages
@@ -106,7 +107,7 @@ def _blocks(batches, hashes: Hashes):
 
 
 def _spread(idf: np.ndarray, basis: np.ndarray):
-    """A'(A W) of all passages (two chunks each), one sum per task, in rows of feature blocks."""
+    """A'(A W) of all passages (``FIT_PASSAGE`` words each), one sum per task, in rows of feature blocks."""
     def run(batches):
         out, slot = np.zeros((FEATURES, basis.shape[1]), np.float32), np.zeros(FEATURES, np.int64)
         for f, at, n in _blocks(batches, Hashes()):
@@ -130,7 +131,7 @@ def _added(key, table):
 
 
 def fitted(docs: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
-    """(idf, features x rank basis): frequencies and passages of all documents."""
+    """(idf, features x rank basis with rows of unit length): frequencies and passages of all documents."""
     idf = np.zeros(FEATURES, np.float64)
     rows = docs.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n")).collect()
     total = max([n for f, n in rows if f < 0], default=0)
@@ -149,7 +150,12 @@ def fitted(docs: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
         for part, sums in parts:
             got[part:part + 1024] = np.frombuffer(sums, np.float32).reshape(1024, -1)
         basis = got
-    return idf, np.linalg.svd(basis, full_matrices=False)[0][:, DROP:DROP + rank]
+    left, size, _ = np.linalg.svd(basis, full_matrices=False)
+    live = int((size > 1e-6 * max(size[0], 1e-30)).sum())  # a small corpus has fewer directions, and no common ones to spare
+    drop = min(DROP, live // 10)
+    left = left[:, drop:max(drop + 1, min(drop + rank, live))]
+    far = np.linalg.norm(left, axis=1, keepdims=True)
+    return idf, np.where(far > 1e-7, left / np.maximum(far, 1e-7), 0)
 
 
 def _in_order(length: int, matches) -> int:
@@ -193,135 +199,151 @@ def _answered(last: list, weights: list[float], spots: list[int], found: list) -
     return best
 
 
-def _matched(items: list[tuple[int, list[bytes]]], idf: np.ndarray, basis: np.ndarray):
-    weighted = (idf[:, None] * basis).astype(np.float32)
+def _matched(items: list[tuple[int | None, int, list[bytes]]], idf: np.ndarray, basis: np.ndarray, least_cosine: float | None):
+    weighted = (idf[:, None] ** 2 * basis).astype(np.float32)
     hashes = Hashes()
-    coded = [hashes(b" ".join(ws)) for _, ws in items]
+    coded = [hashes(b" ".join(ws)) for *_, ws in items]
     wanted = np.stack([weighted[_features(h)].sum(0) for h in coded])
-    wanted = (wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)).T.copy()
-    known = np.unique(np.concatenate(coded))
-    ids = [np.searchsorted(known, h).tolist() for h in coded]
+    wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-9)
+    known, ids = np.unique(np.concatenate(coded), return_inverse=True)
+    lengths = np.array([len(h) for h in coded])
+    ids = [w.tolist() for w in np.split(ids, np.cumsum(lengths)[:-1])]
     first_of = np.searchsorted(known >> np.uint64(44), np.arange((1 << 20) + 1, dtype=np.uint64))
     deep = int(np.diff(first_of).max())  # most known words that share their first 20 bits
-    lengths = np.array([len(w) for w in ids])
-    margins = -(-lengths // CHUNK)  # chunks compared on either side of a passage
+    rows_of = np.concatenate([weighted[_features(known)], np.zeros((1, basis.shape[1]), np.float32)])  # other words add nothing
     whole, last = [places(w) for w in ids], [w[-ANSWER:] for w in ids]
     rare = [idf[_features(h)].tolist() for h in coded]
     least_weight = [max(sum(x[-ANSWER:]), sum(x) / len(x) / 2 * min(len(x), ANSWER), 1e-9) for x in rare]
-    uses = np.zeros((len(known), len(items)), np.float32)  # times that an item has a word
-    for c, w in enumerate(ids):
-        np.add.at(uses[:, c], w, 1)
-    has = np.ascontiguousarray(uses.T > 0)
-
-    def hopeful(at: np.ndarray, local: np.ndarray, word: np.ndarray, chunks: int, first: np.ndarray, end: np.ndarray,
-                reach: np.ndarray) -> np.ndarray:
-        """The passages (rows) with enough of the item's words around them (in whole chunks)."""
-        near = np.ones((len(first), len(reach)), bool)
-        seen = np.zeros((chunks + 1, len(local)), np.int32)
-        seen[at // CHUNK + 1, word] = 1
-        seen = np.cumsum(seen, 0, dtype=np.int32)
-        for margin in np.unique(margins[reach]).tolist():
-            own = np.flatnonzero(margins[reach] == margin)
-            times, least = uses[np.ix_(local, reach[own])], LIKELY * lengths[reach[own]]
-            low, high = np.maximum(first - margin, 0), np.minimum(end + 1 + margin, chunks)
-            for k in range(0, len(near), 512):
-                part = slice(k, k + 512)
-                near[part, own] = (seen[high[part]] > seen[low[part]]).astype(np.float32) @ times >= least
-        return near
-
-    def cosine(features: np.ndarray, first: int, end: int, c: int) -> float:
-        """The greatest latent cosine of the item with the passage or a run of two of its chunks."""
-        chunks = np.add.reduceat(weighted[features[first * CHUNK:end * CHUNK]], np.arange(0, min(end * CHUNK, len(features)) - first * CHUNK, CHUNK), axis=0)
-        sums = [chunks.sum(0), chunks[:2].sum(0), chunks[1:].sum(0)][:3 if len(chunks) > 2 else 1]
-        return max(float(x @ wanted[:, c]) / max(float(np.linalg.norm(x)), 1e-9) for x in sums)
+    # the items by the chunks of their passages: the powers of two below and above the item's length
+    power = np.log2(lengths / CHUNK)
+    spans = 1 << np.maximum(0, np.stack([np.floor(power), np.ceil(power)]).astype(int))
+    classes = [(int(k), np.flatnonzero((spans == k).any(0))) for k in np.unique(spans)]
 
     def numbered(ws: np.ndarray) -> np.ndarray:
-        """Number of each known word, else -1."""
+        """Number of each known word, else that after the last."""
         at = first_of[(ws >> np.uint64(44)).astype(np.int64)]
-        word = np.full(len(ws), -1)
+        word = np.full(len(ws), len(known))
         for k in range(deep):
             spot = np.minimum(at + k, len(known) - 1)
             np.copyto(word, spot, where=known[spot] == ws)
         return word
 
+    def candidates(word: np.ndarray, starts: np.ndarray, of: np.ndarray):
+        """(chunks, passage, item, cosine) of the passages, runs of chunks from each chunk on, near to an item."""
+        sums, ends = np.empty((len(starts), basis.shape[1]), np.float32), np.append(starts, len(word))
+        for k in range(0, len(starts), 4096):
+            low, high = starts[k], ends[min(k + 4096, len(starts))]
+            sums[k:k + 4096] = np.add.reduceat(rows_of[word[low:high]], starts[k:k + 4096] - low, axis=0)
+        span = 1
+        for chunks, own in classes:
+            while span < chunks:  # a run of twice as many chunks, within the document
+                same = np.flatnonzero(of[span:] == of[:-span])
+                twice = sums.copy()
+                twice[same] += sums[same + span]
+                sums, span = twice, 2 * span
+            towards = wanted[own].T.copy()
+            for k in range(0, len(sums), 4096):
+                part = sums[k:k + 4096]
+                cosines = (part / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-9)[:, None] @ towards).ravel()
+                near = np.flatnonzero(cosines >= (-2 if least_cosine is None else least_cosine))
+                yield chunks, near // len(own) + k, own[near % len(own)], cosines[near]
+
+    def searched(docs: list[np.ndarray]) -> dict[tuple[int, int], tuple]:
+        """(document, item) -> share, answer's share, cosine, first and end word of the best passage."""
+        words_of = np.concatenate(docs)
+        edges = np.cumsum([0] + [len(d) for d in docs])
+        starts = np.concatenate([np.arange(a, e, CHUNK) for a, e in zip(edges[:-1], edges[1:], strict=True)])
+        of = np.searchsorted(edges, starts, "right") - 1
+        word, flag = numbered(words_of), np.zeros(len(known) + 1, bool)
+        best: dict[tuple[int, int], tuple] = {}
+        for chunks, r, items_of, cosines in candidates(word, starts, of):
+            order = np.argsort(items_of, kind="stable")
+            cuts = np.flatnonzero(np.diff(items_of[order], prepend=-1, append=-1))
+            for a, e in zip(cuts[:-1], cuts[1:], strict=True):
+                c = int(items_of[order[a]])
+                flag[ids[c]] = True
+                for k in range(a, e, 4096):
+                    rows = order[k:min(k + 4096, e)]
+                    compared(c, flag, word, edges, of[r[rows]], starts[r[rows]], chunks * CHUNK, cosines[rows], best)
+                flag[ids[c]] = False
+        return best
+
+    def compared(c, flag, word, edges, of, starts, size, cosines, best) -> None:
+        """Keep the best of the passages of an item; those with too few of its words around them cannot hold its share."""
+        n = int(lengths[c])
+        low, high = np.maximum(starts - n, edges[of]), np.minimum(starts + size + n, edges[of + 1])
+        at = low[:, None] + np.arange(size + 2 * n)
+        inside = at < high[:, None]
+        hits = flag[word[np.minimum(at, len(word) - 1)]] & inside
+        few = np.flatnonzero(hits.sum(1) >= LIKELY * n)
+        own_words, times = np.unique(ids[c], return_counts=True)
+        r, spot = np.nonzero(hits[few])
+        counts = np.bincount(r * len(times) + np.searchsorted(own_words, word[at[few[r], spot]]), minlength=len(few) * len(times))
+        few = few[np.minimum(counts.reshape(-1, len(times)), times).sum(1) >= LIKELY * n]  # words as often as the item has them
+        done: dict[tuple[int, int], tuple[float, float]] = {}  # passages often hold the same of the item's words
+        for i in few.tolist():
+            spots = at[i][hits[i]].tolist()
+            if (spots[0], spots[-1]) not in done:
+                found = word[spots].tolist()
+                share, answer = _in_order(n, [whole[c][w] for w in found]) / n, 0.0
+                if share >= LIKELY:
+                    answer = _answered(last[c], rare[c][-ANSWER:], spots, found) / least_weight[c]
+                done[spots[0], spots[-1]] = share, answer
+            share, answer = done[spots[0], spots[-1]]
+            if share >= LIKELY:
+                d = int(of[i])
+                own = (share, answer, float(cosines[i]), int(low[i] - edges[d]), int(high[i] - edges[d]))
+                best[d, c] = max(best.get((d, c), own), own)
+
     def run(batches):
         hashes = Hashes()
         for b in batches:
             out: list[tuple] = []
-            for doc_id, t in zip(column(b, "doc_id").to_pylist(), binary(b, "text"), strict=True):
+            names, docs, held = [], [], 0
+            texts = binary(b, "text")
+            for i, (doc_id, t) in enumerate(zip(column(b, "doc_id").to_pylist(), texts, strict=True)):
                 ws = hashes(t)
-                if not len(ws):
-                    continue
-                word = numbered(ws)
-                at = np.flatnonzero(word >= 0)
-                local, own = np.unique(word[at], return_inverse=True)
-                reach = np.flatnonzero(uses[local].sum(0) >= LIKELY * lengths)
-                if not len(reach):
-                    continue
-                chunks = -(-len(ws) // CHUNK)
-                first = np.arange(max(1, chunks - 2))
-                end = np.minimum(first + 3, chunks)
-                asked = has[np.ix_(reach, local)].any(0)  # words of the items that are left
-                kept = asked[own]
-                near = hopeful(at[kept], local[asked], (np.cumsum(asked) - 1)[own[kept]], chunks, first, end, reach)
-                best: dict[int, list[tuple]] = {}  # the passages of the greatest shares
-                for col in np.flatnonzero(near.any(0)).tolist():
-                    c = int(reach[col])
-                    n = len(ids[c])
-                    hits = np.flatnonzero(has[c][word[at]])
-                    spots, found = at[hits].tolist(), word[at[hits]].tolist()
-                    bits = [whole[c][w] for w in found]
-                    done: dict[tuple[int, int], tuple[float, float]] = {}  # passages often hold the same of the item's words
-                    for r in np.flatnonzero(near[:, col]).tolist():
-                        a, e = max(0, int(first[r]) * CHUNK - n), min(len(ws), int(end[r]) * CHUNK + CHUNK + n)
-                        low, high = bisect_left(spots, a), bisect_left(spots, e)
-                        if high - low < LIKELY * n:
-                            continue
-                        if (low, high) not in done:
-                            share, answer = _in_order(n, bits[low:high]) / n, 0.0
-                            if share >= LIKELY:
-                                answer = _answered(last[c], rare[c][-ANSWER:], spots[low:high], found[low:high]) / least_weight[c]
-                            done[low, high] = (share, answer)
-                        share, answer = done[low, high]
-                        if share >= LIKELY:
-                            old = best.get(c, [])
-                            if not old or (share, answer) >= old[0][:2]:
-                                best[c] = [*(x for x in old if x[:2] == (share, answer)), (share, answer, r, a, e)]
-                for c, those in best.items():
-                    cos, a, e = max((cosine(_features(ws), int(first[r]), int(end[r]), c), a, e) for _, _, r, a, e in those)
-                    share, answer = those[0][:2]
-                    out.append((doc_id, items[c][0], cos, share, answer, share >= SURE or answer >= ANSWERED, a, e))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 8
-            types = [b.schema.field("doc_id").type, pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.int64(), pa.int64()]
+                if len(ws):
+                    names.append(doc_id)
+                    docs.append(ws)
+                    held += len(ws)
+                if docs and (held >= SEARCH_WORDS or i == len(texts) - 1):
+                    for (d, c), (share, answer, cos, a, e) in sorted(searched(docs).items()):
+                        out.append((names[d], *items[c][:2], cos, share, answer, share >= SURE or answer >= ANSWERED, a, e))
+                    names, docs, held = [], [], 0
+            cols = list(zip(*out, strict=True)) if out else [[]] * 9
+            types = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), *[pa.float64()] * 3, pa.bool_(), pa.int64(), pa.int64()]
             yield arrays(NAMES, [pa.array([*c], t) for c, t in zip(cols, types, strict=True)])
 
     return run
 
 
-NAMES = ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "contaminated", "first_word", "end_word"]
+NAMES = ["doc_id", "item_id", "item_hash", "cosine", "lcs_share", "answer_share", "contaminated", "first_word", "end_word"]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Candidate (doc_id, item_id) pairs of share ``LIKELY`` or more with cosine, LCS shares, verdict and the words of the document compared."""
-    items = [(r.item_id, words(r.text.encode())) for r in benchmark.where("text is not null and item_id is not null")
-             .select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator()]
-    items = [x for x in items if x[1]]
+def matches(docs: DataFrame, benchmark: DataFrame, cosine: float | None = COSINE) -> DataFrame:
+    """Candidate (doc_id, item) pairs of share ``LIKELY`` or more with cosine, LCS shares, verdict and the words of the
+    document compared.  ``cosine`` is the least of a candidate passage; None makes every passage a candidate."""
+    items = [(r.item_id, r.item_hash, words(r.text.encode())) for r in benchmark.where("text is not null")
+             .select("item_id", F.xxhash64("text").alias("item_hash"), "text").distinct().orderBy("item_id", "text").toLocalIterator()]
+    items = [x for x in items if x[2]]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = (f"doc_id {kind}, item_id long, cosine double, lcs_share double, answer_share double, "
+    schema = (f"doc_id {kind}, item_id long, item_hash long, cosine double, lcs_share double, answer_share double, "
               "contaminated boolean, first_word long, end_word long")
     if not items:
         return docs.sparkSession.createDataFrame([], schema)
     model = fitted(docs)
     found = None
     for a in range(0, len(items), ITEM_BLOCK):
-        part = docs.select("doc_id", "text").mapInArrow(_matched(items[a:a + ITEM_BLOCK], *model), schema)
+        part = docs.select("doc_id", "text").mapInArrow(_matched(items[a:a + ITEM_BLOCK], *model, cosine), schema)
         found = part if found is None else found.union(part)
     return found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, with all columns of ``docs``; rows of null doc_id are matched by text."""
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    hit = matches(keyed.select(F.col("_row").alias("doc_id"), "text"), benchmark).where("contaminated").select(
-        F.col("doc_id").alias("_bad")).distinct()
-    return keyed.join(hit, F.col("_row") == F.col("_bad"), "left_anti").drop("_row")
+    row, bad = free_names(docs, "row", "bad")
+    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    hit = matches(keyed.select(F.col(row).alias("doc_id"), "text"), benchmark).where("contaminated").select(
+        F.col("doc_id").alias(bad)).distinct()
+    return keyed.join(hit, F.col(row) == F.col(bad), "left_anti").drop(row)
