@@ -9,7 +9,9 @@ The decision is marked as rejected when the margin to the second is narrow.
 
 Learned from at most ``PER_LANG`` texts of a language (smallest id hashes).
 Null text or no letter: "und", score 0, rejected.  Ties: the language with
-more sampled bytes, then by name.  With no learnable rows all is "und".
+more sampled bytes, then by name.  With no learnable rows all is "und".  Of a
+sampled text the dictionary takes the first ``DICT_BYTES`` characters; scored
+texts are read whole.  Repeated rows are each scored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -25,12 +27,15 @@ from pyspark.sql.window import Window as W
 from .common import arrays, column, remainder, strings
 
 PER_LANG, DICT_BYTES, MARGIN, SHORT = 300, 112 * 1024, 0.01, 2000
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 def letters(text: str) -> bytes:
     """The text's words of letters, lower-cased, between single spaces; b"" if it has no letter."""
-    found = _LETTERS.findall(text.lower())
+    found = _WORDS.findall(text.lower())
+    if not text.isascii():  # the pattern also takes numerals like superscripts and fractions
+        found = [w if w.isalpha() else "".join(c for c in w if c.isalpha()) for w in found]
+        found = [w for w in found if w]
     return f" {' '.join(found)} ".encode() if found else b""
 
 

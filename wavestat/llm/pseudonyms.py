@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 KEY = "pseudonym-key-1"
 ROUNDS = 8
 #: The shapes of the kinds, tried in this order.
@@ -215,17 +217,20 @@ def pseudonyms(values: Column, key: str = KEY) -> Column:
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with pseudonyms in ``text`` (other columns as they are) and ``_found``: (kind, value, pseudonym) of each value."""
-    rows = docs.withColumn("_new", F.when(F.col("text").rlike(ANY), F.transform(
+    """``docs`` with pseudonyms in ``text`` (other columns as they are) and a last column (``_found``, or a free name like it):
+    (kind, value, pseudonym) of each value."""
+    new, found = free_names(docs, "new", "found")
+    rows = docs.withColumn(new, F.when(F.col("text").rlike(ANY), F.transform(
         F.regexp_extract_all("text", F.lit(REGION), 0), lambda r: pseudonyms(pieces(r), key))))
-    rows = rows.withColumn("_found", F.filter(F.flatten("_new"), lambda x: x["kind"].isNotNull()))
+    rows = rows.withColumn(found, F.filter(F.flatten(new), lambda x: x["kind"].isNotNull()))
     text = F.array_join(F.transform(F.split("text", REGION, -1), lambda s, i: F.concat(
-        s, F.coalesce(F.array_join(F.get(F.col("_new"), i)["pseudonym"], " "), F.lit("")))), "")
-    return rows.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(text)).drop("_new")
+        s, F.coalesce(F.array_join(F.get(F.col(new), i)["pseudonym"], " "), F.lit("")))), "")
+    return rows.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(text)).drop(new)
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """doc_id, text with pseudonyms, number of values replaced and their kinds in page order, for every row."""
+    """doc_id, text with pseudonyms, number of values replaced and their kinds in page order, for every row (null text: null,
+    none); repeated rows are each given, an empty table gives none."""
     rows = replaced(docs.select("doc_id", "text"), key)
     kinds = F.filter(F.coalesce("_found.kind", F.array().cast("array<string>")), lambda k: k.isNotNull())
     return rows.select("doc_id", "text", F.size(kinds).alias("n_values"), kinds.alias("kinds"))
