@@ -150,12 +150,16 @@ def _measure(batches):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Forest:
-    """Fit on the labelled documents of smallest id hash; only ``max_train`` rows of nine numbers reach the driver."""
-    sample = (labels.where("doc_id is not null and quality is not null")
+    """Fit on the labelled documents of smallest id hash; only ``max_train`` rows of nine numbers reach the driver.
+    Of rows with the same id the one of least text is measured."""
+    usable = labels.where("doc_id is not null and quality is not null")
+    share = min(1.0, 2 * max_train / max(1, usable.count()))  # of the hashes' range, so that few rows of a task are sorted
+    sample = (usable.where(F.xxhash64("doc_id") <= int(-2**63 + share * (2**64 - 2048)))
               .select("doc_id", (F.col("quality") > 0).cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_train))
-    rows = (docs.where("doc_id is not null").select("doc_id", "text").join(sample, "doc_id").select("label", "text")
-            .mapInArrow(_measure, "label int, stats array<long>").limit(2 * max_train).collect())
+    one = (docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # max_train rows at most
+           .groupBy("doc_id", "label").agg(F.min("text").alias("text")))  # of repeated ids the least text
+    rows = one.mapInArrow(_measure, "label int, stats array<long>").collect()
     rows.sort(key=lambda r: (r.label, r.stats))
     stats = np.array([r.stats for r in rows], np.int64).reshape(-1, 9)
     return fit(features(stats), np.array([r.label for r in rows], float))
