@@ -208,6 +208,32 @@ def test_html_blocks():
     assert html.main_text(None, tree) == html.main_text("", tree) == html.main_text("<p", tree) == ""
 
 
+def test_html_without_landmarks():
+    tree = html.trained()
+    used = set()
+
+    def walk(t):
+        if not isinstance(t, int):
+            used.add(html.NAMES[t[0]])
+            walk(t[2])
+            walk(t[3])
+
+    walk(tree)
+    assert {"words", "links", "before_links", "after_links"} <= used
+    long = [" ".join(f"{w}{k}" for k in range(n)) + "." for w, n in (("one", 45), ("two", 60), ("three", 38))]
+    nav = "<ul>" + "".join(f"<li><a href=x>{w}</a></li>" for w in ("Home", "About us", "Contact")) + "</ul>"
+    body = f"<h1>Title here</h1><p>{long[0]}</p><p>Yes.</p><p>{long[1]}</p><ul><li>two</li></ul><p>{long[2]}</p>"
+    want = "\n".join(["Title here", long[0], "Yes.", long[1], "two", long[2]])
+    assert html.main_text(f"<body>{body}</body>", tree) == want
+    assert html.main_text(f"<body>{nav}{body}{nav}</body>", tree) == want
+    assert html.main_text("<p>One short paragraph.</p>", tree) == "One short paragraph."
+    ad = f'<div class="newsletter-signup"><p>Subscribe to our newsletter now {long[0]}</p></div>'
+    assert html.main_text(f"<body>{body}{ad}</body>", tree) == want
+    named = [f'<p class="share-price">{long[0]}</p>', f'<p id="search-algorithms">{long[1]}</p>', f'<p class="tags-explained">{long[2]}</p>']
+    assert html.main_text(f"<body>{nav}<article>{''.join(named)}{ad}</article>{nav}</body>", tree) == "\n".join(long)
+    assert html.main_text("", tree) == html.main_text(None, tree) == html.main_text(nav, tree) == ""
+
+
 def test_simhash_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(-2**63, 2**63, 40)

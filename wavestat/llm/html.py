@@ -4,11 +4,13 @@ A page is read as a stream of tags and text.  Text is gathered into blocks
 that end at block tags; script, style and other invisible elements are
 skipped.  A block has its word count, link density, those of its neighbours,
 whether it lies in a landmark of the article, of page furniture or of a form,
-and whether a class, id or role around it names furniture.  A Gini tree fitted
+and whether a class, id or role around it names furniture and nothing else
+(``ad-slot``), or has such a word in another name (``share-price``).  A Gini tree fitted
 on ``LABELLED`` decides which blocks are main text.
 
 Null or empty html gives the empty text.  A page cut off in mid-tag keeps the
-text before that tag.
+text before that tag.  Pages are read whole; repeated rows are each given, an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -36,6 +38,11 @@ HINTS = re.compile(r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cook
                    r"popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|"
                    r"recommend\w*|comments?|commentlist|disqus|replies|reply|respond|sidebar|side-?bar|widget|menu|"
                    r"nav\w*|breadcrumbs?|pagination|pager|toolbar|footer|header|masthead|search|skip|tags?|toc)(?![a-z])")
+#: Words that beside a furniture name say no more than where or what box it is.
+GENERIC = {"ad", "area", "article", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content",
+           "entry", "fixed", "form", "global", "group", "holder", "inline", "inner", "item", "items", "left", "link", "links", "list",
+           "main", "module", "news", "outer", "page", "panel", "policy", "post", "posts", "primary", "reader", "right", "row", "secondary",
+           "section", "site", "slot", "small", "sticky", "stories", "the", "thread", "top", "unit", "up", "user", "wrap", "wrapper", "zone"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog",
          "alert", "alertdialog", "alertbanner", "toolbar"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*(?:>|\Z)|"
@@ -46,12 +53,14 @@ _SPACE = re.compile(r"\s+")
 
 NAMES = ["words", "links", "before_words", "before_links", "after_words", "after_links", "in_main", "in_furniture",
          "hinted", "page_has_main"]
-#: Labelled blocks: the columns of NAMES, then 1 for main text.
+#: Labelled blocks: the columns of NAMES, then 1 for main text.  First pages with a landmark, then pages without.
 LABELLED = [
-    (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 1, 1), (6, 0.0, 9, 0.0, 90, 0.0, 1, 0, 0, 1, 1),
-    (1, 0.0, 40, 0.0, 1, 0.0, 1, 0, 0, 1, 1), (3, 0.0, 1, 0.0, 8, 0.0, 1, 0, 0, 1, 1),
+    (80, 0.0, 60, 0.0, 70, 0.0, 1, 0, 0, 1, 1), (6, 0.0, 9, 0.0, 90, 0.0, 1, 0, 0, 1, 1), (40, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0, 1, 1),
+    (1, 0.0, 40, 0.0, 1, 0.0, 1, 0, 0, 1, 1), (3, 0.0, 1, 0.0, 8, 0.0, 1, 0, 0, 1, 1), (5, 0.0, 0, 0.0, 0, 0.0, 1, 0, 0, 1, 1),
     (12, 1.0, 50, 0.0, 60, 0.0, 1, 0, 0, 1, 1), (30, 0.3, 50, 0.0, 8, 0.5, 1, 0, 0, 1, 1),
     (2, 1.0, 12, 0.0, 30, 0.0, 1, 0, 0, 1, 1), (150, 0.1, 4, 0.0, 8, 0.0, 1, 0, 0, 1, 1),
+    (30, 0.0, 50, 0.0, 40, 0.0, 1, 0, 0.5, 1, 1), (12, 0.0, 30, 0.0, 20, 0.0, 1, 0, 0.5, 1, 1), (60, 0.1, 9, 0.0, 1, 0.0, 1, 0, 0.5, 1, 1),
+    (4, 1.0, 30, 0.0, 3, 1.0, 1, 0, 0.5, 1, 0), (3, 1.0, 4, 1.0, 20, 0.0, 1, 0, 0.5, 1, 0), (8, 0.9, 3, 1.0, 5, 1.0, 1, 0, 0.5, 1, 0),
     (8, 0.0, 5, 0.0, 40, 0.0, 0, 0, 1, 1, 0), (40, 0.0, 50, 0.0, 40, 0.0, 1, 0, 1, 1, 0),
     (12, 0.0, 3, 0.0, 1, 0.0, 1, 0, 1, 1, 0), (60, 0.0, 80, 0.0, 20, 0.0, 0, 0, 1, 0, 0),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 8, 0.0, 0, 1, 0, 0, 0),
@@ -60,21 +69,43 @@ LABELLED = [
     (90, 0.0, 20, 0.0, 30, 0.0, 1, 1, 0, 1, 0), (70, 0.0, 20, 0.0, 30, 0.0, 0, 1, 1, 0, 0),
     (10, 0.0, 20, 0.0, 30, 0.0, 0, 0, 0, 1, 0), (60, 0.0, 90, 0.0, 10, 0.0, 0, 0, 0, 1, 0),
     (5, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0), (30, 0.8, 2, 1.0, 60, 0.0, 0, 0, 0, 1, 0),
-    (60, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (25, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
-    (6, 0.0, 3, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1),
-    (30, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 0, 1), (18, 0.0, 4, 0.0, 20, 0.0, 0, 0, 0, 0, 1),
-    (4, 1.0, 3, 1.0, 50, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0),
-    (20, 0.9, 10, 1.0, 12, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0),
-    (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 0, 0), (6, 0.8, 4, 0.0, 60, 0.0, 0, 0, 0, 0, 0),
+    # running text, headings, short lines, lists, first and last blocks
+    (60, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 0, 1), (25, 0.1, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (80, 0.0, 6, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (30, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (9, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (40, 0.0, 50, 0.0, 1, 0.0, 0, 0, 0, 0, 1), (40, 0.0, 50, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 40, 0.0, 50, 0.0, 0, 0, 0, 0, 1),
+    (1, 0.0, 40, 0.0, 1, 0.0, 0, 0, 0, 0, 1), (1, 0.0, 1, 0.0, 45, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 0, 1),
+    (2, 0.0, 0, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (6, 0.0, 3, 0.0, 60, 0.0, 0, 0, 0, 0, 1), (4, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 1),
+    (4, 0.0, 5, 0.0, 6, 0.0, 0, 0, 0, 0, 1), (3, 0.0, 4, 0.0, 50, 0.0, 0, 0, 0, 0, 1), (18, 0.0, 4, 0.0, 20, 0.0, 0, 0, 0, 0, 1),
+    (30, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 0, 1), (45, 0.1, 4, 1.0, 30, 0.0, 0, 0, 0, 0, 1), (35, 0.0, 50, 0.0, 3, 1.0, 0, 0, 0, 0, 1),
+    (8, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 0, 1), (2, 0.0, 2, 1.0, 45, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 1, 1.0, 30, 0.0, 0, 0, 0, 0, 1),
+    (3, 0.0, 40, 0.0, 3, 0.0, 0, 0, 0, 0, 1), (5, 0.0, 30, 0.0, 2, 0.0, 0, 0, 0, 0, 1), (30, 0.2, 3, 1.0, 4, 1.0, 0, 0, 0, 0, 1), (30, 0.0, 20, 0.0, 20, 0.0, 0, 0, 0.5, 0, 1),
+    (35, 0.5, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1), (6, 0.4, 40, 0.0, 30, 0.0, 0, 0, 0, 0, 1),
+    # link lists, lines between them, furniture by name
+    (4, 1.0, 3, 1.0, 50, 0.0, 0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 0), (4, 1.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0),
+    (20, 0.9, 10, 1.0, 12, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0), (2, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (4, 0.0, 3, 1.0, 0, 0.0, 0, 0, 0, 0, 0), (5, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (2, 0.0, 30, 0.0, 1, 1.0, 0, 0, 0, 0, 0), (3, 0.0, 40, 0.0, 3, 1.0, 0, 0, 0, 0, 0), (2, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 0),
+    (6, 0.8, 4, 0.0, 60, 0.0, 0, 0, 0, 0, 0), (5, 0.8, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 0), (2, 1.0, 50, 0.0, 0, 0.0, 0, 0, 0, 0, 0),
+    (6, 0.0, 40, 0.0, 3, 0.0, 0, 0, 0.5, 0, 0), (4, 0.0, 2, 0.0, 30, 0.0, 0, 0, 0.5, 0, 0), (9, 0.5, 30, 0.0, 30, 0.0, 0, 0, 0.5, 0, 0),
 ]
 
 
+def hinted(named: str) -> float:
+    """1 if a class, id or role names furniture and nothing else; 0.5 if a furniture name is part of another name."""
+    weight = 0.0
+    for name in named.split():
+        if HINTS.search(name):
+            rest = re.split(r"[-_:\d]+", HINTS.sub("-", name))
+            weight = max(weight, 1.0 if all(not w or w in GENERIC for w in rest) else 0.5)
+    return weight
+
+
 def blocks(page: str) -> list[tuple[str, list[float]]]:
     """Text blocks in page order with their features."""
     found: list[list] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, int, int, int, int]] = []  # tag, depth of main, furniture, hint, unseen around it
+    stack: list[tuple[str, int, int, float, int]] = []  # tag, depth of main, furniture, hint, unseen around it
     main = furniture = hint = unseen = link = 0
     has_main = False
 
@@ -83,7 +114,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
         whole = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if whole:
             n = len(whole.split())
-            found.append([whole, n, min(1.0, linked / n), main > 0, furniture > 0, hint > 0])
+            found.append([whole, n, min(1.0, linked / n), main > 0, furniture > 0, hint])
         text.clear()
         linked = 0
 
@@ -120,7 +151,7 @@ def blocks(page: str) -> list[tuple[str, list[float]]]:
             # an article's own header is part of it
             inner = tag == "header" and main and not furniture
             main, furniture = main + (tag in MAIN), furniture + (tag in FURNITURE and not inner or bool(ROLES & {*named.split()}))
-            hint += bool(named and tag not in ("body", "html", "article", "main") and HINTS.search(named))
+            hint = max(hint, hinted(named) if named and tag not in ("body", "html", "article", "main") else 0)
             unseen += tag in INVISIBLE or bool(_HIDDEN.search(m[4]))
             link += tag == "a"
             if m[4].endswith("/") and tag in ("svg", "path"):
@@ -161,8 +192,11 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
 
 
 def trained():
+    """The tree; its first split is on whether the page has a landmark."""
     table = np.array(LABELLED, float)
-    return grow(table[:, :-1], table[:, -1])
+    at = NAMES.index("page_has_main")
+    without, having = table[table[:, at] == 0], table[table[:, at] == 1]
+    return (at, 0.5, grow(without[:, :-1], without[:, -1]), grow(having[:, :-1], having[:, -1]))
 
 
 def decide(tree, row) -> bool:
