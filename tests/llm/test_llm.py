@@ -387,6 +387,19 @@ def test_licences():
     assert model(licences.tokens("You need a driving license to rent a car."))[0] == licences.UNKNOWN
 
 
+def test_licence_scan_reads_each_word_once(monkeypatch):
+    model = licences.Model(["The cat sat on the mat", "Of the version of this work", "Another line of plain words"])
+    text = ("The cat sat\non the mat of the work\n\nReleased under the MIT\nLicense. The work is free\n"
+            + "The terms of the work, and of the version. " * 6 + "\nof the software")
+    words = [ws for parts in model.lines(text) for ws in parts] + [licences.tokens(text)]
+    for ws in words:
+        assert set(model.places(ws)) == {model.vocabulary[g] for g in licences.grams(ws) if g in model.vocabulary}
+    read = []
+    monkeypatch.setattr(licences, "tokens", lambda x, f=licences.tokens: read.extend(f(x)) or f(x))
+    assert [(h[0], h[3], h[4]) for h in model.found(text)] == [(True, "mit", 3)]
+    assert read == words[-1]
+
+
 def test_licence_rows(spark, docs):
     assert licences.scanned(docs, licences.trained(docs)).count() == len(ROWS)
 

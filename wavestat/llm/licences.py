@@ -117,57 +117,75 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
     def places(self, ws: list[str]) -> list[int]:
-        return list({self.vocabulary[g] for g in grams(ws) if g in self.vocabulary})
+        """Places of the 1- to 3-grams in the vocabulary, which holds every shorter gram of a gram."""
+        known, vocabulary = self.known, self.vocabulary
+        at = [i for i, w in enumerate(ws) if w in known]
+        pairs = {i: vocabulary[g] for i, j in zip(at, at[1:]) if j == i + 1 and (g := f"{ws[i]} {ws[j]}") in vocabulary}
+        triples = [vocabulary[g] for i in pairs if i + 1 in pairs and (g := " ".join(ws[i:i + 3])) in vocabulary]
+        return list({*(vocabulary[ws[i]] for i in at), *pairs.values(), *triples})
+
+    def judged(self, paragraphs: list[list[str]]) -> list[tuple[str, float]]:
+        """(family, calibrated probability) of each paragraph."""
+        if not paragraphs:
+            return []
+        z = np.empty((len(paragraphs), len(self.families)))
+        for r, ws in enumerate(paragraphs):
+            at = self.places(ws)
+            z[r] = self.weights[-1] + (self.weights[at].sum(0) / np.sqrt(len(at)) if at else 0)
+        p = self._soft(z / self.heat)
+        best = p.argmax(1)
+        return [(self.families[k], x) for k, x in zip(best.tolist(), p[np.arange(len(p)), best].tolist())]
 
     def __call__(self, ws: list[str]) -> tuple[str, float, float]:
         """(family, calibrated probability, share of the family's best template found in order)"""
-        at = self.places(ws)
-        z = self.weights[-1] + (self.weights[at].sum(0) / np.sqrt(max(len(at), 1)) if at else 0)
-        p = self._soft(z[None] / self.heat)[0]
-        k = int(p.argmax())
-        if not k:
-            return UNKNOWN, float(p[0]), 0.0
-        return self.families[k], float(p[k]), self.share(self.families[k], ws)
+        family, p = self.judged([ws])[0]
+        return family, p, 0.0 if family == UNKNOWN else self.share(family, ws)
 
     def share(self, family: str, ws: list[str]) -> float:
         return max(common_words(t, ws) / len(t) for t in self.words[family])
 
-    def paragraphs(self, text: str) -> list[tuple[int, str, list[str]]]:
-        """(line, paragraph, words) of those that could be a licence: two or more words of the vocabulary."""
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            for part in _SENTENCE.split(line) if len(line) > 200 else (line,):
-                ws = tokens(part)
-                if sum(w in self.known for w in ws) >= 2:
-                    out.append((i, part, ws))
-        return out
+    @staticmethod
+    def lines(text: str) -> list[list[list[str]]]:
+        """The words of every line, by sentence for a long line."""
+        return [[tokens(part) for part in (_SENTENCE.split(line) if len(line) > 200 else (line,))] for line in text.split("\n")]
 
-    def wrapped(self, text: str) -> list[tuple[int, int, list[str], list[str]]]:
+    def paragraphs(self, lines: list[list[list[str]]]) -> list[tuple[int, list[str]]]:
+        """(line, words) of those that could be a licence: two or more words of the vocabulary."""
+        return [(i, ws) for i, parts in enumerate(lines) for ws in parts if sum(map(self.known.__contains__, ws)) >= 2]
+
+    def wrapped(self, lines: list[list[list[str]]]) -> list[tuple[int, int, list[str], list[str]]]:
         """(line, line after the last, words of the line's end, words of the lines that follow) of the lines read with others."""
-        lines = text.split("\n")
-        words = [tokens(x) for x in lines] if len(lines) > 1 else []
+        words = [[w for ws in parts for w in ws] for parts in lines]
         out = []
         for i in range(len(words) - 1):
-            ws = tokens(_SENTENCE.split(lines[i])[-1]) if len(lines[i]) > 200 else words[i]
+            ws = lines[i][-1]
+            if not words[i + 1] or self.known.isdisjoint(ws):
+                continue
             end, rest = i + 1, []
-            while ws and end < len(words) and words[end] and len(ws) + len(rest) < JOIN_WORDS:
+            while end < len(words) and words[end] and len(ws) + len(rest) < JOIN_WORDS:
                 rest += words[end]
                 end += 1
-            if rest and any(w in self.known for w in ws):
+            if rest:
                 out.append((i, end, ws, rest[:JOIN_WORDS]))
         return out
 
     def found(self, text: str) -> list[tuple[bool, float, float, str, int]]:
         """(confirmed, share, probability, family, line) of the paragraphs that hold a licence."""
-        hits = [(share >= CONFIRM, share, p, family, i) for i, _, ws in self.paragraphs(text)
-                for family, p, share in [self(ws)] if family != UNKNOWN and p >= ACCEPT]
+        lines = self.lines(text)
+        single = self.paragraphs(lines)
+        hits = []
+        for (i, ws), (family, p) in zip(single, self.judged([ws for _, ws in single])):
+            if family != UNKNOWN and p >= ACCEPT:
+                share = self.share(family, ws)
+                hits.append((share >= CONFIRM, share, p, family, i))
         sure = {h[4] for h in hits if h[0]}
+        joined = [x for x in self.wrapped(lines) if sure.isdisjoint(range(x[0], x[1]))]
         until: dict[str, int] = {}  # the line after the last joined notice of each family
-        for i, end, ws, rest in self.wrapped(text):
-            if not sure.isdisjoint(range(i, end)):
+        for (i, end, ws, rest), (family, p) in zip(joined, self.judged([ws + rest for _, _, ws, rest in joined])):
+            if family == UNKNOWN or p < ACCEPT or i < until.get(family, 0):
                 continue
-            family, p, share = self(ws + rest)
-            if family == UNKNOWN or p < ACCEPT or share < CONFIRM or i < until.get(family, 0) or self.share(family, rest) >= share:
+            share = self.share(family, ws + rest)
+            if share < CONFIRM or self.share(family, rest) >= share:
                 continue
             until[family] = end
             hits = [h for h in hits if h[0] or not i <= h[4] < end] + [(True, share, p, family, i)]
