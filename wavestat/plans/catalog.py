@@ -97,20 +97,21 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def standin_wave_files(spark: SparkSession, sf_dir: str,
-                       resp_source: Callable[[SparkSession, str], DataFrame] = respondents
-                       ) -> dict[str, DataFrame]:
-    """Raw wave files for ``sf_dir`` (written once per session under the
-    checkpoint folder), read back lazily."""
-    key = (spark.sparkContext.applicationId, sf_dir, resp_source)
-    if key not in _WAVE_FILES:
+                       resp_source: Callable[[SparkSession, str], DataFrame] = respondents,
+                       keys=tuple(S.WAVE_MANIFEST)) -> dict[str, DataFrame]:
+    """Raw wave files ``keys`` for ``sf_dir`` (each written once per session under
+    the checkpoint folder), read back lazily."""
+    files = _WAVE_FILES.setdefault((spark.sparkContext.applicationId, sf_dir, resp_source), {})
+    absent = [key for key in keys if key not in files]
+    if absent:
         base = f"{checkpoint_dir(spark).rstrip('/')}/waves-{uuid.uuid4().hex}"
-        _WAVE_FILES[key] = write_standin_waves(resp_source(spark, sf_dir), base)
-    return read_waves(spark, _WAVE_FILES[key])
+        files.update(write_standin_waves(resp_source(spark, sf_dir), base, absent))
+    return read_waves(spark, {key: files[key] for key in keys})
 
 
 def labelled_files(spark: SparkSession, sf_dir: str, resp_source, key: str) -> tuple[DataFrame, DataFrame]:
     """The wave as labelled codes and its dictionary, written beside the raw wave files once per session."""
-    raw = standin_wave_files(spark, sf_dir, resp_source)[key]
+    raw = standin_wave_files(spark, sf_dir, resp_source, [key])[key]
     files = _WAVE_FILES[spark.sparkContext.applicationId, sf_dir, resp_source]
     base = files[key] + "-labelled"
     if base not in _LABELLED:
@@ -134,7 +135,7 @@ def bind(name: str, resp_source: Callable[[SparkSession, str], DataFrame] = resp
         elif kind == LABELLED:
             out = product(*labelled_files(spark, sf_dir, resp_source, extra[0]))
         elif kind == RAW:
-            out = product(standin_wave_files(spark, sf_dir, resp_source)[extra[0]])
+            out = product(standin_wave_files(spark, sf_dir, resp_source, extra)[extra[0]])
         else:
             out = product(standin_wave_files(spark, sf_dir, resp_source))
         return round_doubles(out) if rounded else out

@@ -136,18 +136,20 @@ def standin_waves(resp: DataFrame) -> dict[str, DataFrame]:
     return {key: standin_wave(resp, key) for key in S.WAVE_MANIFEST}
 
 
-def write_standin_waves(resp: DataFrame, base_dir: str) -> dict[str, str]:
-    """Write every stand-in wave as its own Parquet file set; returns key -> path.
+def write_standin_waves(resp: DataFrame, base_dir: str, keys=tuple(S.WAVE_MANIFEST)) -> dict[str, str]:
+    """Write the stand-in waves ``keys`` each as its own Parquet file set; returns key -> path.
 
-    The respondent view is written once (partitioned by year) and each wave
-    is encoded from its year's partition, so the view's joins run once.
+    The respondent view of their years is written once, so its joins run once
+    and join no other years, and each wave is encoded from a scan of it.  The
+    files are not partitioned by year: that would sort the joined rows of every
+    task, which costs more than the scans and holds a task's rows in memory.
     """
     spark = resp.sparkSession
     base = base_dir.rstrip("/")
-    resp.write.mode("overwrite").partitionBy("year").parquet(f"{base}/respondents")
-    view = spark.read.parquet(f"{base}/respondents")
+    resp.filter(F.col("year").isin([S.WAVE_MANIFEST[key][0] for key in keys])).write.mode("overwrite").parquet(f"{base}/respondents")
+    view = spark.read.schema(resp.schema).parquet(f"{base}/respondents")
     paths = {}
-    for key in S.WAVE_MANIFEST:
+    for key in keys:
         path = f"{base}/{key}"
         standin_wave(view, key).write.mode("overwrite").parquet(path)
         paths[key] = path
