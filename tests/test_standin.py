@@ -74,3 +74,21 @@ def test_lineitem_is_shuffled_once(spark, tmp_path):
     at = next(i for i, (_, line) in enumerate(depth) if "l_orderkey" in line and "Relation" in line)
     above = [line for i, (d, line) in enumerate(depth[:at]) if "Join" in line and all(x > d for x, _ in depth[i + 1:at + 1])]
     assert len(above) == 1
+
+
+def test_generated_code_is_small_enough_to_be_compiled(spark, resp, tmp_path):
+    resp.write.parquet(str(tmp_path / "resp"))
+    for key, wave in standin_waves(spark.read.parquet(str(tmp_path / "resp"))).items():
+        assert largest_method(wave) < COMPILED_BYTES, key
+    run = catalog.bind("harmonize_alt", lambda s, d: resp)
+    assert largest_method(run(spark, str(tmp_path))) < COMPILED_BYTES
+
+
+def test_items_of_harmonised_waves_are_as_rounded(spark, resp, tmp_path):
+    def source(s, d):
+        return resp
+
+    got = catalog.bind("harmonize_alt", source)(spark, str(tmp_path))
+    raw = harmonize_study(catalog.standin_wave_files(spark, str(tmp_path), source), ALT_CODING)
+    assert sorted(map(str, got.collect())) == sorted(map(str, catalog.round_doubles(raw).collect()))
+    assert got.where(F.col("weight") != F.round("weight", 6)).count() == 0

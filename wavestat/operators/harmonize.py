@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavestat import study as S
-from wavestat.functions import code_text, lookup, nullify
+from wavestat.functions import code_text, lookup
 
 
 @dataclass(frozen=True)
@@ -106,6 +106,13 @@ def _first_match_map(targets: Sequence[tuple[object, Sequence[str]]], numeric: b
     return F.create_map(*args)
 
 
+def _scrubbed(text: Column, codes: Sequence[str]) -> Column:
+    """``nullify`` of a text column, its codes in a literal array: one loop in the
+    generated code and not a branch per code (the JVM compiles no method beyond
+    8,000 bytes of code, and a wave is one method)."""
+    return F.when(F.array_contains(F.array(*[F.lit(v) for v in codes]), text), F.lit(None)).otherwise(text) if codes else text
+
+
 def _belief_targets(coding: ResponseCoding) -> list[tuple[float, Sequence[str]]]:
     return [(1.0, coding.text_one), (0.0, coding.text_zero), (1.0, coding.codes_one), (0.0, coding.codes_zero)]
 
@@ -191,7 +198,7 @@ def harmonize_wave(df: DataFrame, sources: Sequence[str], year: int, rules: Harm
 
     for col in rules.response_columns:
         if col in out and col not in rules.items:
-            out[col] = nullify(out[col], rules.refusal_codes)
+            out[col] = _scrubbed(out[col].cast("string"), rules.refusal_codes)
 
     if codebook:
         for col, codes in codebook.items():

@@ -13,7 +13,7 @@ the live adapter view (``queries()``) or on a written combined table (bench).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,11 +85,11 @@ _LABELLED: set[str] = set()
 _WAVE_FILES: dict[tuple[str, str], dict[str, str]] = {}
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (result presentation for comparison)."""
+def round_doubles(df: DataFrame, digits: int = 6, whole: Sequence[str] = ()) -> DataFrame:
+    """Round every double column (result presentation for comparison) but those of ``whole`` numbers."""
     cols = []
     for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in whole:
             cols.append(F.round(F.col(f.name), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
@@ -138,7 +138,8 @@ def bind(name: str, resp_source: Callable[[SparkSession, str], DataFrame] = resp
             out = product(standin_wave_files(spark, sf_dir, resp_source, extra)[extra[0]])
         else:
             out = product(standin_wave_files(spark, sf_dir, resp_source))
-        return round_doubles(out) if rounded else out
+        # a harmonised wave's items are 1, 0 or null
+        return round_doubles(out, whole=S.FRAUD_ITEMS if kind in (WAVES, LABELLED) else ()) if rounded else out
 
     run.__name__ = name
     run.__doc__ = getattr(product, "__doc__", None)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavestat import study as S
+from wavestat.functions import lookup
 
 # FIXED VALUES: per-wave storage style of the stand-in files.
 #   items:  "text_upper" | "text_lower" | "text_mixed" | "codes"
@@ -54,40 +55,33 @@ PARTY_CODES = {"DEMOCRAT": 1.0, "REPUBLICAN": 2.0, "INDEPENDENT": 3.0}
 
 
 def _pick(options, k: Column) -> Column:
-    """options[k mod len] as a literal CASE (deterministic per respondent)."""
-    idx = F.pmod(k, F.lit(len(options)))
-    expr = None
-    for i, o in enumerate(options):
-        expr = F.when(idx == i, F.lit(o)) if expr is None else expr.when(idx == i, F.lit(o))
-    return expr
+    """options[k mod len], an index into a literal array (deterministic per respondent)."""
+    return F.get(F.array(*[F.lit(o) for o in options]), F.pmod(k, F.lit(len(options))))
 
 
 def _map(c: Column, mapping: dict, default=None) -> Column:
-    expr = None
-    for k, v in mapping.items():
-        expr = F.when(c == F.lit(k), F.lit(v)) if expr is None else expr.when(c == F.lit(k), F.lit(v))
-    return expr.otherwise(F.lit(default))
+    found = lookup(c, mapping)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def _item(v: Column, style: str, k: Column) -> Column:
+def _answers(style: str, k: Column) -> dict[str, Column]:
+    """The forms in which a respondent's 1, 0 and missing answers are stored, the same for every item."""
     if style == "codes":
-        return (F.when(v == 1, _pick([1.0, 2.0], k)).when(v == 0, _pick([3.0, 4.0], k))
-                .otherwise(_pick(MISSING_CODES, k))).cast("double")
-    text = (F.when(v == 1, _pick(ONE_TEXT, k)).when(v == 0, _pick(ZERO_TEXT, k))
-            .otherwise(_pick(MISSING_TEXT, k)))
-    if style == "text_lower":
-        return F.lower(text)
-    if style == "text_mixed":
-        return F.initcap(text)
-    return text
+        return {"__one": _pick([1.0, 2.0], k), "__zero": _pick([3.0, 4.0], k), "__missing": _pick(MISSING_CODES, k)}
+    form = {"text_lower": F.lower, "text_mixed": F.initcap}.get(style, lambda text: text)
+    return {"__one": form(_pick(ONE_TEXT, k)), "__zero": form(_pick(ZERO_TEXT, k)), "__missing": form(_pick(MISSING_TEXT, k))}
+
+
+def _item(v: Column) -> Column:
+    return F.when(v == 1, F.col("__one")).when(v == 0, F.col("__zero")).otherwise(F.col("__missing"))
 
 
 def standin_wave(resp: DataFrame, key: str) -> DataFrame:
     """One raw wave (manifest column names, the wave's own codings)."""
     year, sources = S.WAVE_MANIFEST[key]
     style = WAVE_STYLE[key]
-    rows = resp.filter(F.col("year") == F.lit(year))
     k = F.col("caseid")
+    rows = resp.filter(F.col("year") == F.lit(year)).withColumns(_answers(style["items"], k))
     lower = style.get("lower", False)
 
     def txt(c: str) -> Column:
@@ -117,7 +111,7 @@ def standin_wave(resp: DataFrame, key: str) -> DataFrame:
         "voted": _pick(["YES", "NO", "-9"], k),
     }
     for item in S.FRAUD_ITEMS:
-        enc[item] = _item(F.col(item), style["items"], k)
+        enc[item] = _item(F.col(item))
     if style.get("codebook"):
         for col, codes in CODES_2022.items():
             enc[col] = _map(F.col(col), codes, -9.0).cast("double")
